@@ -149,6 +149,45 @@ TERMINAL_DEFAULTS: list[tuple[str, str]] = [
 DEVICE_FLOW_TERMINAL_ERROR = "Unknown error"
 DEVICE_FLOW_BAD_BODY_ERROR = "Invalid token response from xAI"
 
+# Route table in match order: (kind, path pattern, methods, handler).
+# ``None`` methods = GET only (HEAD implied); ``{path:path}`` matches any rest.
+ANY_METHOD = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
+ROUTES: list[tuple[str, str, tuple[str, ...] | None, str]] = [
+    ("http", "/health", None, "route_health"),
+    ("http", "/login", ("GET",), "page_login"),
+    ("http", "/login", ("POST",), "login_post"),
+    ("http", "/logout", None, "logout"),
+    ("http", "/setup", None, "page_index"),
+    ("http", "/setup/", None, "page_index"),
+    ("http", "/setup/api/config", ("GET",), "api_config_get"),
+    ("http", "/setup/api/config", ("PUT",), "api_config_put"),
+    ("http", "/setup/api/status", None, "api_status"),
+    ("http", "/setup/api/logs", None, "api_logs"),
+    ("http", "/setup/api/gateway/start", ("POST",), "api_gw_start"),
+    ("http", "/setup/api/gateway/stop", ("POST",), "api_gw_stop"),
+    ("http", "/setup/api/gateway/restart", ("POST",), "api_gw_restart"),
+    ("http", "/setup/api/config/reset", ("POST",), "api_config_reset"),
+    ("http", "/setup/api/pairing/pending", None, "api_pairing_pending"),
+    ("http", "/setup/api/pairing/approve", ("POST",), "api_pairing_approve"),
+    ("http", "/setup/api/pairing/deny", ("POST",), "api_pairing_deny"),
+    ("http", "/setup/api/pairing/approved", None, "api_pairing_approved"),
+    ("http", "/setup/api/pairing/revoke", ("POST",), "api_pairing_revoke"),
+    ("http", "/setup/api/oauth/xai/start", ("POST",), "api_oauth_xai_start"),
+    ("http", "/setup/api/oauth/xai/status", None, "api_oauth_xai_status"),
+    ("http", "/setup/api/oauth/xai", ("DELETE",), "api_oauth_xai_delete"),
+    ("http", "/setup/{path:path}", ANY_METHOD, "route_setup_404"),
+    ("ws", "/api/pty", None, "ws_proxy"),
+    ("ws", "/api/ws", None, "ws_proxy"),
+    ("ws", "/api/events", None, "ws_proxy"),
+    ("ws", "/api/plugins/{path:path}", None, "ws_proxy"),
+    ("http", "/", ANY_METHOD, "route_root"),
+    ("http", "/{path:path}", ANY_METHOD, "route_proxy"),
+]
+# Handlers that run without the session check.
+PUBLIC_HANDLERS = ("route_health", "page_login", "login_post", "logout")
+LOGIN_PATH = "/login"
+SETUP_PATH = "/setup"
+
 # ---------------------------------------------------------------------------
 # End of fixed values.
 # ---------------------------------------------------------------------------

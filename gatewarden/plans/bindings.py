@@ -158,3 +158,7 @@ def device_flow_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     res = L.device_flow_outcome(flows, polls, AS_OF)
     return res.select(F.col("flow_id").cast("bigint"), "status", "error", "interval_s")
+
+
+# The remaining domains register themselves on import.
+from . import bindings_fleet  # noqa: E402,F401

@@ -136,3 +136,7 @@ SELECT f.flow_id,
        CAST(coalesce(term.s.interval_s, last_int.li, f.init) AS BIGINT) AS interval_s
 FROM flows f LEFT JOIN term USING (flow_id) LEFT JOIN last_int USING (flow_id)
 """
+
+from .oracle_fleet import ORACLE as _FLEET  # noqa: E402
+
+ORACLE.update(_FLEET)

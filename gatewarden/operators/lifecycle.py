@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from .scans import DEFAULT_BUCKET_S, ScanSpec, micros, ordered_scan
+from .scans import DEFAULT_BUCKET_S, ScanSpec, bucket_of, micros, ordered_scan
 
 # ---------------------------------------------------------------------------
 # O19 tail_per_source
@@ -58,7 +58,7 @@ def tail_per_source(
     threshold = int(lines.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     src = lines
     if n > threshold:
-        bkt = F.floor(micros(ts) / F.lit(int(bucket_s) * 1_000_000))
+        bkt = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(int(bucket_s)))
         w_pre = Window.partitionBy(*keys, bkt).orderBy(*order)
         src = src.withColumn("__rn", F.row_number().over(w_pre)).filter(F.col("__rn") <= n).drop("__rn")
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -90,50 +90,46 @@ def crash_loop(
     count exceeds ``max_exits`` (the 6th exit with the defaults), else
     ``respawn``.
 
-    Formulation (skew-safe, no window per key): with ``Cnt(p)`` = number of
-    exits up to position ``p`` in (ts, seq) order,
+    Plan: one shuffle on (key, time bucket), no window over a whole key.
+    With ``Cnt`` = running number of exits in (ts, seq) order,
     ``exits_in_window = Cnt(self) - max(Cnt(last reset), Cnt(ts - window))``.
-    ``Cnt(ts - window)`` is read from a probe row placed at ``ts - window``
-    (after exits of that same instant, so they fall out of the window).
-    All three are running scans computed by :func:`ordered_scan`.
+    Buckets are at least ``window_s`` wide, so the rows an exit needs lie in
+    its own bucket or in the last ``window_s`` of the previous one; those
+    rows are copied into the next bucket as history (a W/B fraction of the
+    input).  A reset older than that history cannot matter: its count is
+    below ``Cnt(ts - window)``.  Inside a bucket the three counts are window
+    columns over one sort: a ROWS running count, a RANGE count up to
+    ``ts - window`` (inclusive, so exits exactly ``window_s`` earlier drop
+    out), and the last reset's running count.
     """
     w_us = int(round(window_s * 1_000_000))
+    b_us = max(int(bucket_s) * 1_000_000, w_us)
     base = events.filter(is_exit | is_reset).select(
         F.col(key).alias("__key"),
         F.col(ts).alias("__ts"),
         F.col(seq).alias("__seq"),
         micros(ts).alias("__t"),
         F.when(is_exit, F.lit(1)).otherwise(F.lit(0)).alias("__exit"),
-        F.lit(0).alias("__probe"),
     )
-    probes = base.filter(F.col("__exit") == 1).select(
-        "__key",
-        "__ts",
-        "__seq",
-        (F.col("__t") - F.lit(w_us)).alias("__t"),
-        F.lit(0).alias("__exit"),
-        F.lit(1).alias("__probe"),
+    bkt = bucket_of("__t", b_us)
+    own = F.struct(bkt.alias("b"), F.lit(True).alias("own"))
+    hist = F.struct((bkt + 1).alias("b"), F.lit(False).alias("own"))
+    copies = F.when(F.col("__t") >= (bkt + 1) * F.lit(b_us) - F.lit(w_us), F.array(own, hist)).otherwise(F.array(own))
+    x = base.select("*", F.explode(copies).alias("__c")).select(
+        "__key", "__ts", "__seq", "__t", "__exit", F.col("__c.b").alias("__b"), F.col("__c.own").alias("__own")
     )
-    stream = base.unionByName(probes)
-    order = ["__t", "__probe", "__seq"]
-    stream = ordered_scan(
-        stream, ["__key"], "__t", order, [ScanSpec("__cnt", "sum", F.col("__exit"))], bucket_s
+    w_rows = (
+        Window.partitionBy("__key", "__b")
+        .orderBy("__t", "__seq")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    is_reset_row = (F.col("__exit") == 0) & (F.col("__probe") == 0)
-    stream = ordered_scan(
-        stream,
-        ["__key"],
-        "__t",
-        order,
-        [ScanSpec("__cnt_reset", "last", F.when(is_reset_row, F.col("__cnt")))],
-        bucket_s,
-    )
-    exits = stream.filter(F.col("__exit") == 1).select(
-        "__key", "__seq", "__ts", "__cnt", F.coalesce("__cnt_reset", F.lit(0)).alias("__cr")
+    w_before = Window.partitionBy("__key", "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, -w_us)
+    x = x.withColumn("__cnt", F.sum("__exit").over(w_rows)).withColumn(
+        "__cnt_w", F.coalesce(F.sum("__exit").over(w_before), F.lit(0))
     )
-    probe_vals = stream.filter(F.col("__probe") == 1).select("__key", "__seq", F.col("__cnt").alias("__cp"))
-    n = (F.col("__cnt") - F.greatest(F.col("__cr"), F.col("__cp"))).cast("bigint")
-    out = exits.join(probe_vals, on=["__key", "__seq"], how="inner").select(
+    x = x.withColumn("__cnt_r", F.last(F.when(F.col("__exit") == 0, F.col("__cnt")), ignorenulls=True).over(w_rows))
+    n = (F.col("__cnt") - F.greatest(F.coalesce("__cnt_r", F.lit(0)), F.col("__cnt_w"))).cast("bigint")
+    out = x.filter(F.col("__own") & (F.col("__exit") == 1)).select(
         F.col("__key").alias(key),
         F.col("__ts").alias(ts),
         F.col("__seq").alias(seq),

@@ -7,8 +7,8 @@ into time buckets instead:
 
 1. rows are partitioned by ``(key, bucket)`` and scanned locally
    (one window pass, spread over many tasks even for a hot key);
-2. one summary row per ``(key, bucket)`` is aggregated from the scanned rows
-   (same partitioning, no extra exchange);
+2. one summary row per ``(key, bucket)`` is aggregated from the input rows
+   (partial aggregation map-side, so only summary rows are shuffled);
 3. the carry of all earlier buckets is a window over the *summary* table,
    whose size is bounded by the time span / bucket width, not by the data;
 4. the carry is joined back on ``(key, bucket)``: only the summary side is
@@ -47,6 +47,12 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def bucket_of(time_us: str, width_us: int) -> Column:
+    """Exact integer floor division of a BIGINT microsecond column (no doubles)."""
+    w = int(width_us)
+    return F.expr(f"(`{time_us}` - pmod(`{time_us}`, {w}L)) div {w}L")
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -64,7 +70,7 @@ def ordered_scan(
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     bucket_us = int(bucket_s) * 1_000_000
     bkt = "__bkt"
-    x = df.withColumn(bkt, F.floor(F.col(time_us) / F.lit(bucket_us)))
+    x = df.withColumn(bkt, bucket_of(time_us, bucket_us))
     x = x.withColumns({f"__v{i}": s.expr for i, s in enumerate(specs)})
 
     w_local = (
@@ -93,9 +99,12 @@ def ordered_scan(
             summary_aggs.append(F.sum(f"__v{i}").alias(f"__s{i}"))
         elif s.kind == "max":
             summary_aggs.append(F.max(f"__v{i}").alias(f"__s{i}"))
-        else:  # last: the running value at the bucket's last row
-            summary_aggs.append(F.max_by(F.col(f"__l{i}"), order_struct).alias(f"__s{i}"))
-    summary = local.groupBy(*keys, bkt).agg(*summary_aggs)
+        else:  # last: the last non-null value of the bucket
+            v = F.col(f"__v{i}")
+            summary_aggs.append(F.max_by(v, F.when(v.isNotNull(), order_struct)).alias(f"__s{i}"))
+    # Aggregated from the input rows (partial aggregation map-side), not from
+    # the windowed rows, so this branch never waits on the big sort.
+    summary = x.groupBy(*keys, bkt).agg(*summary_aggs)
 
     w_prev = (
         Window.partitionBy(*[F.col(k) for k in keys])

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from .scans import DEFAULT_BUCKET_S, ScanSpec, bucket_of, micros, ordered_scan
+from .scans import DEFAULT_BUCKET_S, ScanSpec, as_timestamp, bucket_of, micros, ordered_scan
 
 # ---------------------------------------------------------------------------
 # O19 tail_per_source
@@ -241,7 +241,7 @@ def lifecycle_state(
       run start to ``as_of``, only while running; ``restarts`` counts
       restart + respawn events.
     """
-    as_of_c = F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
+    as_of_c = as_timestamp(as_of)
     ev = events.filter(F.col("ts").cast("timestamp") <= as_of_c).withColumn("__o", F.struct("ts", "seq"))
     has_pid = "pid" in events.columns
     pid_c = F.col("pid") if has_pid else F.lit(None).cast("bigint")
@@ -345,7 +345,7 @@ def device_flow_outcome(
     * the first terminal poll wins; with none, ``expired`` once
       ``as_of >= expires_at``, else ``pending``.
     """
-    as_of_c = F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
+    as_of_c = as_timestamp(as_of)
     fl = flows.select(
         "flow_id",
         "expires_at",

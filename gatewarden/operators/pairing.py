@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import py_strip
-from .scans import micros
+from .scans import as_timestamp, micros
 
 KEY = ("deployment_id", "platform")
 
@@ -28,7 +28,7 @@ def pending_requests(pending: DataFrame, as_of: str | Column, ttl_s: float = C.P
     hides a request; it does not expire it (approve has no TTL check).
     ``age_minutes`` is truncated toward zero.
     """
-    now = micros(F.lit(as_of)) if isinstance(as_of, str) else micros(as_of)
+    now = micros(as_timestamp(as_of))
     created = F.coalesce(micros("created_at"), now)
     age_us = now - created
     return pending.filter(age_us <= F.lit(int(ttl_s * 1_000_000))).select(

@@ -47,6 +47,11 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def as_timestamp(v) -> Column:
+    """A time parameter (Column, string or datetime) as a TIMESTAMP column."""
+    return v.cast("timestamp") if isinstance(v, Column) else F.lit(v).cast("timestamp")
+
+
 def bucket_of(time_us: str, width_us: int) -> Column:
     """Exact integer floor division of a BIGINT microsecond column (no doubles)."""
     w = int(width_us)

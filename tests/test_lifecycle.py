@@ -116,11 +116,9 @@ def test_ordered_scan_equals_single_window(spark):
     ]
     a = ordered_scan(df, ["k"], "t", ["t", "seq"], specs, bucket_s=600)
     b = ordered_scan_single_window(df, ["k"], ["t", "seq"], specs)
-    key = lambda r: (r.k, r.seq)
     ra = sorted(((r.k, r.seq, r.s, r.m, r.l) for r in a.collect()), key=lambda x: (x[0], x[1]))
     rb = sorted(((r.k, r.seq, r.s, r.m, r.l) for r in b.collect()), key=lambda x: (x[0], x[1]))
     assert ra == rb and len(ra) == 1200
-    del key
 
 
 def test_tail_per_source(spark):

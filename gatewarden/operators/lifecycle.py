@@ -162,30 +162,31 @@ def lifecycle_crash_loop(
     """O20+O21 on the lifecycle vocabulary.
 
     An ``exit`` counts unless a deliberate ``stop`` is in flight (the latest
-    of stop / start / restart / respawn / running before it is a stop).
-    A ``start`` resets the budget only if the process was not live (the
-    latest of running / respawn / restart vs exit / stopped / start_failed /
-    crashed / unready before it); ``restart`` always resets; ``respawn``
-    never does.
+    of stop / start / restart / respawn / running up to it is a stop).
+    A ``start`` resets the budget only if the process was not live just
+    before it (the latest of start / running / respawn / restart versus
+    stop / stopped / exit / start_failed / crashed / unready); ``restart``
+    always resets; ``respawn`` never does.  Both lookups are skew-safe
+    ordered scans, the liveness one exclusive of the current row.
     """
     ev = events.withColumn("__t", micros("ts"))
-    control = F.when(F.col("event").isin("stop"), F.lit("stop")).when(
+    control = F.when(F.col("event") == "stop", F.lit("stop")).when(
         F.col("event").isin("start", "restart", "respawn", "running"), F.lit("go")
     )
-    live = F.when(F.col("event").isin("running", "respawn", "restart"), F.lit(True)).when(
-        F.col("event").isin("exit", "stopped", "start_failed", "crashed", "unready"), F.lit(False)
+    live = F.when(F.col("event").isin(*_LIVE_MAKING), F.lit(True)).when(
+        F.col("event").isin(*_DEAD_MAKING), F.lit(False)
     )
     ev = ordered_scan(
         ev,
         [key],
         "__t",
         ["__t", "seq"],
-        [ScanSpec("__ctl", "last", control), ScanSpec("__live", "last", live)],
+        [ScanSpec("__ctl", "last", control), ScanSpec("__live_before", "last", live, exclusive=True)],
         bucket_s,
     )
     is_exit = (F.col("event") == "exit") & ~F.coalesce(F.col("__ctl") == "stop", F.lit(False))
     is_reset = (F.col("event") == "restart") | (
-        (F.col("event") == "start") & ~F.coalesce(F.col("__live"), F.lit(False))
+        (F.col("event") == "start") & ~F.coalesce(F.col("__live_before"), F.lit(False))
     )
     res = crash_loop(ev, is_exit, is_reset, key=key, window_s=window_s, max_exits=max_exits, bucket_s=bucket_s)
     return respawn_delay(res)

@@ -33,12 +33,14 @@ class ScanSpec:
     """One running column: ``kind`` in {"sum", "max", "last"}.
 
     ``last`` is the last non-null value of ``expr`` up to and including the
-    current row.  ``sum`` of an all-null prefix is 0.
+    current row (``exclusive=True``: strictly before it).  ``sum`` of an
+    all-null prefix is 0.
     """
 
     name: str
     kind: str
     expr: Column
+    exclusive: bool = False
 
 
 def micros(ts: str | Column) -> Column:
@@ -78,14 +80,11 @@ def ordered_scan(
     x = df.withColumn(bkt, bucket_of(time_us, bucket_us))
     x = x.withColumns({f"__v{i}": s.expr for i, s in enumerate(specs)})
 
-    w_local = (
-        Window.partitionBy(*[F.col(k) for k in keys], F.col(bkt))
-        .orderBy(*order_cols)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    w_base = Window.partitionBy(*[F.col(k) for k in keys], F.col(bkt)).orderBy(*order_cols)
     local_cols = {}
     for i, s in enumerate(specs):
         v = F.col(f"__v{i}")
+        w_local = w_base.rowsBetween(Window.unboundedPreceding, -1 if s.exclusive else Window.currentRow)
         if s.kind == "sum":
             local_cols[f"__l{i}"] = F.coalesce(F.sum(v).over(w_local), F.lit(0))
         elif s.kind == "max":
@@ -151,9 +150,9 @@ def ordered_scan_single_window(
 ) -> DataFrame:
     """Reference form of :func:`ordered_scan` (one window per key); tests only."""
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     cols = {}
     for s in specs:
+        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1 if s.exclusive else 0)
         if s.kind == "sum":
             cols[s.name] = F.coalesce(F.sum(s.expr).over(w), F.lit(0))
         elif s.kind == "max":

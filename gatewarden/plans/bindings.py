@@ -87,6 +87,15 @@ def crash_loop_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.select("deployment_id", "seq", micros("ts").alias("ts_us"), "exits_in_window", "verdict", "delay_s")
 
 
+@query("lifecycle_crash_loop")
+def lifecycle_crash_loop_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O20+O21 on the lifecycle vocabulary (click=start, error=exit, purchase=stop,
+    signup=restart): exits during a stop are ignored, a start on a live process
+    keeps the budget; 240 h, max 5."""
+    res = L.lifecycle_crash_loop(lifecycle_events(spark, sf_dir), window_s=CRASH_WINDOW_H * 3600, max_exits=CRASH_MAX)
+    return res.select("deployment_id", "seq", micros("ts").alias("ts_us"), "exits_in_window", "verdict", "delay_s")
+
+
 @query("tail_per_source")
 def tail_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest 50 events per user as the log ring buffer."""

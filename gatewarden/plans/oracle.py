@@ -78,6 +78,43 @@ LEFT JOIN run ON run.deployment_id = a.deployment_id
 LEFT JOIN pos r ON r.deployment_id = run.deployment_id AND r.p = run.run_p
 """
 
+ORACLE["lifecycle_crash_loop"] = f"""
+WITH ev AS ({_LIFECYCLE_EVENTS}),
+s AS (
+  SELECT *,
+    last_value(CASE WHEN event = 'stop' THEN 'stop' WHEN event IN ('start', 'restart', 'respawn', 'running') THEN 'go' END
+               IGNORE NULLS) OVER (PARTITION BY deployment_id ORDER BY ts, seq
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ctl,
+    last_value(CASE WHEN event IN ('start', 'running', 'respawn', 'restart') THEN true
+                    WHEN event IN ('stop', 'stopped', 'exit', 'start_failed', 'crashed', 'unready') THEN false END
+               IGNORE NULLS) OVER (PARTITION BY deployment_id ORDER BY ts, seq
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS live_before
+  FROM ev
+), f AS (
+  SELECT deployment_id, seq, ts, epoch_us(ts) AS ts_us,
+         event = 'exit' AND coalesce(ctl, '') <> 'stop' AS is_exit,
+         event = 'restart' OR (event = 'start' AND NOT coalesce(live_before, false)) AS is_reset
+  FROM s
+), g AS (
+  SELECT *, row_number() OVER (PARTITION BY deployment_id ORDER BY ts, seq) AS pos FROM f WHERE is_exit OR is_reset
+), g2 AS (
+  SELECT *, coalesce(max(CASE WHEN is_reset THEN pos END) OVER (PARTITION BY deployment_id ORDER BY pos
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS rpos
+  FROM g
+), ex AS (SELECT * FROM g2 WHERE is_exit),
+cnt AS (
+  SELECT e.deployment_id, e.seq, e.ts_us, count(*) AS exits_in_window
+  FROM ex e JOIN ex x ON x.deployment_id = e.deployment_id AND x.pos <= e.pos AND x.pos > e.rpos
+   AND x.ts_us > e.ts_us - CAST(240 AS BIGINT) * 3600 * 1000000
+  GROUP BY e.deployment_id, e.seq, e.ts_us
+)
+SELECT deployment_id, seq, ts_us, exits_in_window,
+       CASE WHEN exits_in_window > 5 THEN 'crashed' ELSE 'respawn' END AS verdict,
+       CASE WHEN exits_in_window > 5 THEN NULL
+            ELSE CAST(least(2.0 * pow(2.0, exits_in_window - 1), 30.0) AS BIGINT) END AS delay_s
+FROM cnt
+"""
+
 ORACLE["restart_counts"] = f"""
 SELECT deployment_id, count(*) FILTER (WHERE event IN ('restart', 'respawn')) AS restarts
 FROM ({_LIFECYCLE_EVENTS}) ev GROUP BY deployment_id

@@ -32,8 +32,8 @@ OUTPUT_SCHEMA = (
     "verdict string, delay_s long, outcome string"
 )
 
-_LIVE = {"running": True, "respawn": True, "restart": True, "exit": False, "stopped": False,
-         "start_failed": False, "crashed": False, "unready": False}
+_LIVE = {"start": True, "running": True, "respawn": True, "restart": True, "stop": False, "exit": False,
+         "stopped": False, "start_failed": False, "crashed": False, "unready": False}
 _CONTROL = {"stop": "stop", "start": "go", "restart": "go", "respawn": "go", "running": "go"}
 
 

@@ -113,11 +113,13 @@ def test_ordered_scan_equals_single_window(spark):
         ScanSpec("s", "sum", F.col("v")),
         ScanSpec("m", "max", F.col("v")),
         ScanSpec("l", "last", F.when(F.col("flag"), F.col("seq"))),
+        ScanSpec("le", "last", F.when(F.col("flag"), F.col("seq")), exclusive=True),
+        ScanSpec("se", "sum", F.col("v"), exclusive=True),
     ]
     a = ordered_scan(df, ["k"], "t", ["t", "seq"], specs, bucket_s=600)
     b = ordered_scan_single_window(df, ["k"], ["t", "seq"], specs)
-    ra = sorted(((r.k, r.seq, r.s, r.m, r.l) for r in a.collect()), key=lambda x: (x[0], x[1]))
-    rb = sorted(((r.k, r.seq, r.s, r.m, r.l) for r in b.collect()), key=lambda x: (x[0], x[1]))
+    ra = sorted(((r.k, r.seq, r.s, r.m, r.l, r.le, r.se) for r in a.collect()), key=lambda x: (x[0], x[1]))
+    rb = sorted(((r.k, r.seq, r.s, r.m, r.l, r.le, r.se) for r in b.collect()), key=lambda x: (x[0], x[1]))
     assert ra == rb and len(ra) == 1200
 
 

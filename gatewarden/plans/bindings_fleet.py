@@ -92,9 +92,9 @@ def layer_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit("LLM_MODEL").alias("key"), F.lit("env-default").alias("value"), F.lit(0).alias("priority")),
-                F.struct(F.lit("HERMES_HOME").alias("key"), F.lit("/root/.hermes").alias("value"), F.lit(0).alias("priority")),
+                F.struct(F.lit("GATEWAY_HOME").alias("key"), F.lit("/root/.gateway").alias("value"), F.lit(0).alias("priority")),
                 F.struct(F.lit("PORT").alias("key"), F.lit("8080").alias("value"), F.lit(0).alias("priority")),
-                F.struct(F.lit("HERMES_HOME").alias("key"), F.lit("/data/.hermes").alias("value"), F.lit(1).alias("priority")),
+                F.struct(F.lit("GATEWAY_HOME").alias("key"), F.lit("/data/.gateway").alias("value"), F.lit(1).alias("priority")),
                 F.struct(
                     F.lit("OPENROUTER_API_KEY").alias("key"),
                     F.concat(F.lit("env-key-"), F.col("c_custkey").cast("string")).alias("value"),
@@ -178,7 +178,7 @@ def part_config_leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
         pol("model.provider", F.lit("auto"), "force", "str", size <= 25),
         *[pol(path, F.lit(v), "force", "int" if v.isdigit() else "str") for path, v in C.TERMINAL_DEFAULTS],
         pol("agent.max_iterations", F.lit(str(C.DEFAULT_MAX_ITERATIONS)), "default", "int"),
-        pol("data_dir", F.lit("/data/.hermes"), "force", "str"),
+        pol("data_dir", F.lit("/data/.gateway"), "force", "str"),
         pol("custom_providers", custom, "force", "list", price > 950),
         pol("custom_providers", F.lit(None), "remove", "list", price <= 950),
     )

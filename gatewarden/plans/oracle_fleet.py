@@ -142,9 +142,9 @@ ORACLE["layer_settings"] = f"""
 WITH layers AS (
   SELECT deployment_id, key, value, 2 AS priority FROM ({SETTINGS}) s
   UNION ALL SELECT c_custkey, 'LLM_MODEL', 'env-default', 0 FROM customer
-  UNION ALL SELECT c_custkey, 'HERMES_HOME', '/root/.hermes', 0 FROM customer
+  UNION ALL SELECT c_custkey, 'GATEWAY_HOME', '/root/.gateway', 0 FROM customer
   UNION ALL SELECT c_custkey, 'PORT', '8080', 0 FROM customer
-  UNION ALL SELECT c_custkey, 'HERMES_HOME', '/data/.hermes', 1 FROM customer
+  UNION ALL SELECT c_custkey, 'GATEWAY_HOME', '/data/.gateway', 1 FROM customer
   UNION ALL SELECT c_custkey, 'OPENROUTER_API_KEY', 'env-key-' || CAST(c_custkey AS VARCHAR), 0 FROM customer
 )
 SELECT deployment_id, key, arg_max(value, priority) AS value FROM layers GROUP BY deployment_id, key
@@ -267,7 +267,7 @@ WITH ex AS (
   UNION ALL SELECT p_partkey, 'terminal.timeout', '60', 'force', 'int' FROM part
   UNION ALL SELECT p_partkey, 'terminal.cwd', '/tmp', 'force', 'str' FROM part
   UNION ALL SELECT p_partkey, 'agent.max_iterations', '50', 'default', 'int' FROM part
-  UNION ALL SELECT p_partkey, 'data_dir', '/data/.hermes', 'force', 'str' FROM part
+  UNION ALL SELECT p_partkey, 'data_dir', '/data/.gateway', 'force', 'str' FROM part
   UNION ALL SELECT p_partkey, 'custom_providers', '[{"name": "' || lower(replace(p_brand, '#', '-')) || '"}]', 'force', 'list'
             FROM part WHERE p_retailprice > 950
   UNION ALL SELECT p_partkey, 'custom_providers', NULL, 'remove', 'list' FROM part WHERE p_retailprice <= 950

@@ -112,36 +112,42 @@ def session_validity(
     signing secret is per process).  Logout does not revoke a token.
 
     As-of lookups are linear scans (union + last non-null), not range joins,
-    and use the skew-safe :func:`ordered_scan`.  Adds ``login_ts`` and ``valid``.
+    and use the skew-safe :func:`ordered_scan`; the two scans run side by side
+    on the base inputs and are joined on the request key ``(dep, seq)``, which
+    must identify a request.  Adds ``login_ts`` and ``valid``.
     """
-    acc = access.withColumn("__t", micros("ts")).withColumn("__row", F.lit(1))
+    req_key = [key, "seq"]
+    acc = access.withColumn("__t", micros("ts"))
+    # As-of login per (dep, session): union of requests and logins, last non-null.
+    a1 = acc.select(key, "session_id", "seq", "__t", F.lit(1).alias("__row"), F.lit(None).cast("bigint").alias("__login"))
     lg = logins.select(
-        key, "session_id", micros("ts").alias("__t"), F.lit(0).alias("__row"), micros("ts").alias("__login")
+        key, "session_id", F.lit(None).cast("bigint").alias("seq"), micros("ts").alias("__t"), F.lit(0).alias("__row"),
+        micros("ts").alias("__login"),
     )
-    a1 = acc.withColumn("__login", F.lit(None).cast("bigint"))
-    stream = a1.unionByName(lg, allowMissingColumns=True)
-    stream = ordered_scan(
-        stream,
-        [key, "session_id"],
-        "__t",
-        ["__t", "__row"],
-        [ScanSpec("__last_login", "last", F.col("__login"))],
-        bucket_s,
-    ).filter(F.col("__row") == 1)
+    s1 = ordered_scan(
+        a1.unionByName(lg), [key, "session_id"], "__t", ["__t", "__row"],
+        [ScanSpec("__last_login", "last", F.col("__login"))], bucket_s,
+    ).filter(F.col("__row") == 1).select(*req_key, "__last_login")
+    out = acc.join(s1, on=req_key, how="inner")
     if boots is not None:
-        bt = boots.select(key, micros("ts").alias("__t"), F.lit(0).alias("__row"), micros("ts").alias("__boot"))
-        s2 = stream.withColumn("__boot", F.lit(None).cast("bigint")).unionByName(bt, allowMissingColumns=True)
+        # As-of boot per dep, scanned independently over the base inputs (no
+        # scan stacked on a scan), then joined back on the request key.
+        a2 = acc.select(key, "seq", "__t", F.lit(1).alias("__row"), F.lit(None).cast("bigint").alias("__boot"))
+        bt = boots.select(
+            key, F.lit(None).cast("bigint").alias("seq"), micros("ts").alias("__t"), F.lit(0).alias("__row"), micros("ts").alias("__boot")
+        )
         s2 = ordered_scan(
-            s2, [key], "__t", ["__t", "__row"], [ScanSpec("__last_boot", "last", F.col("__boot"))], bucket_s
-        ).filter(F.col("__row") == 1)
+            a2.unionByName(bt), [key], "__t", ["__t", "__row"], [ScanSpec("__last_boot", "last", F.col("__boot"))], bucket_s
+        ).filter(F.col("__row") == 1).select(*req_key, "__last_boot")
+        out = out.join(s2, on=req_key, how="inner")
     else:
-        s2 = stream.withColumn("__last_boot", F.lit(None).cast("bigint"))
+        out = out.withColumn("__last_boot", F.lit(None).cast("bigint"))
     login = F.col("__last_login")
     expiry_us = (F.floor(login / F.lit(1_000_000)) + F.lit(int(lifetime_s))) * F.lit(1_000_000)
     same_process = F.col("__last_boot").isNull() | (login >= F.col("__last_boot"))
     valid = login.isNotNull() & same_process & (F.col("__t") <= expiry_us)
-    out = s2.withColumn("login_ts", F.timestamp_micros(login)).withColumn("valid", F.coalesce(valid, F.lit(False)))
-    return out.drop("__t", "__row", "__login", "__last_login", "__boot", "__last_boot")
+    out = out.withColumn("login_ts", F.timestamp_micros(login)).withColumn("valid", F.coalesce(valid, F.lit(False)))
+    return out.drop("__t", "__last_login", "__last_boot")
 
 
 # ---------------------------------------------------------------------------

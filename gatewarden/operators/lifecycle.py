@@ -389,21 +389,20 @@ def device_flow_outcome(
         )
     )
     p = p.filter(allowed)
-    term = p.filter(terminal).groupBy("flow_id").agg(
-        F.min_by(F.struct(status.alias("status"), err_text.alias("error"), F.col("__int_before").alias("interval_s")), F.struct("__t", "seq")).alias("__term")
+    order = F.struct("__t", "seq")
+    term_val = F.struct(status.alias("status"), err_text.alias("error"), F.col("__int_before").alias("interval_s"))
+    # One aggregation: the first terminal poll and the interval after the last poll.
+    agg = p.groupBy("flow_id").agg(
+        F.min_by(F.when(terminal, term_val), F.when(terminal, order)).alias("__term"),
+        F.max_by("__int_after", order).alias("__last_int"),
     )
-    last_int = p.groupBy("flow_id").agg(F.max_by("__int_after", F.struct("__t", "seq")).alias("__last_int"))
-    out = (
-        fl.join(term, on="flow_id", how="left")
-        .join(last_int, on="flow_id", how="left")
-        .select(
-            "flow_id",
-            F.coalesce(
-                F.col("__term.status"),
-                F.when(as_of_c >= F.col("expires_at").cast("timestamp"), F.lit("expired")).otherwise(F.lit("pending")),
-            ).alias("status"),
-            F.col("__term.error").alias("error"),
-            F.coalesce(F.col("__term.interval_s"), F.col("__last_int"), F.col("__init")).cast("bigint").alias("interval_s"),
-        )
+    out = fl.join(agg, on="flow_id", how="left").select(
+        "flow_id",
+        F.coalesce(
+            F.col("__term.status"),
+            F.when(as_of_c >= F.col("expires_at").cast("timestamp"), F.lit("expired")).otherwise(F.lit("pending")),
+        ).alias("status"),
+        F.col("__term.error").alias("error"),
+        F.coalesce(F.col("__term.interval_s"), F.col("__last_int"), F.col("__init")).cast("bigint").alias("interval_s"),
     )
     return out

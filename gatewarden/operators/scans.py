@@ -8,7 +8,8 @@ into time buckets instead:
 1. rows are partitioned by ``(key, bucket)`` and scanned locally
    (one window pass, spread over many tasks even for a hot key);
 2. one summary row per ``(key, bucket)`` is aggregated from the input rows
-   (partial aggregation map-side, so only summary rows are shuffled);
+   (partial aggregation map-side, so only summary rows are shuffled; the
+   input's scan is read twice, so callers do not stack scans);
 3. the carry of all earlier buckets is a window over the *summary* table,
    whose size is bounded by the time span / bucket width, not by the data;
 4. the carry is joined back on ``(key, bucket)``: only the summary side is
@@ -95,19 +96,20 @@ def ordered_scan(
             raise ValueError(f"unknown scan kind {s.kind!r}")
     local = x.withColumns(local_cols)
 
-    # One summary row per (key, bucket): what the bucket contributes.
+    # One summary row per (key, bucket): what the bucket contributes.  It is
+    # aggregated from the input rows (partial aggregation map-side, so only
+    # summary rows are shuffled); the input's own scan is read a second time.
+    # Callers avoid stacking scans on scan outputs, which would multiply that.
     order_struct = F.struct(*order_cols)
     summary_aggs = []
     for i, s in enumerate(specs):
+        v = F.col(f"__v{i}")
         if s.kind == "sum":
-            summary_aggs.append(F.sum(f"__v{i}").alias(f"__s{i}"))
+            summary_aggs.append(F.sum(v).alias(f"__s{i}"))
         elif s.kind == "max":
-            summary_aggs.append(F.max(f"__v{i}").alias(f"__s{i}"))
+            summary_aggs.append(F.max(v).alias(f"__s{i}"))
         else:  # last: the last non-null value of the bucket
-            v = F.col(f"__v{i}")
             summary_aggs.append(F.max_by(v, F.when(v.isNotNull(), order_struct)).alias(f"__s{i}"))
-    # Aggregated from the input rows (partial aggregation map-side), not from
-    # the windowed rows, so this branch never waits on the big sort.
     summary = x.groupBy(*keys, bkt).agg(*summary_aggs)
 
     w_prev = (

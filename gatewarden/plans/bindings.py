@@ -123,20 +123,18 @@ def restart_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stale_locks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every start writes a lock (pid = its event id); an exit kills the
     pid of the latest start before it; locks of dead pids are stale."""
+    # A start's pid died iff the next start/exit event after it is an exit:
+    # one reverse-order scan (next event = last event scanning backwards).
     ev = lifecycle_events(spark, sf_dir).filter(F.col("event").isin("start", "exit"))
-    ev = ev.withColumn("__t", micros("ts"))
+    ev = ev.withColumn("__rt", -micros("ts")).withColumn("__rseq", -F.col("seq"))
     ev = ordered_scan(
-        ev,
-        ["deployment_id"],
-        "__t",
-        ["__t", "seq"],
-        [ScanSpec("cur_pid", "last", F.when(F.col("event") == "start", F.col("pid")))],
-    )
-    locks = ev.filter(F.col("event") == "start").select("deployment_id", "pid")
-    exits = ev.filter((F.col("event") == "exit") & F.col("cur_pid").isNotNull()).select(
-        "deployment_id", F.col("cur_pid").alias("pid")
+        ev, ["deployment_id"], "__rt", ["__rt", "__rseq"],
+        [ScanSpec("next_event", "last", F.col("event"), exclusive=True)],
     )
-    return L.stale_locks(locks, exits).select("deployment_id", "pid", "stale")
+    starts = ev.filter(F.col("event") == "start")
+    locks = starts.select("deployment_id", "pid")
+    dead = starts.filter(F.col("next_event") == "exit").select("deployment_id", "pid")
+    return L.stale_locks(locks, dead).select("deployment_id", "pid", "stale")
 
 
 @query("device_flow_outcome")

@@ -36,8 +36,13 @@ def read_keyed_json(
         key, name, platform_of(name, suffix).alias("platform"), F.from_json(F.col(text), f"map<string, {entry_schema}>").alias("__m")
     )
     corrupt = f.filter(F.col("__m").isNull()).select(key, name)
-    entries = f.select(key, "platform", F.explode("__m").alias("entry_key", "__e")).select(
-        key, "platform", "entry_key", "__e.*"
+    # explode_outer + a filter on the generated key: a plain explode makes the
+    # optimizer add size(from_json(...)) > 0 below the projection, parsing
+    # every file twice.
+    entries = (
+        f.select(key, "platform", F.explode_outer("__m").alias("entry_key", "__e"))
+        .filter(F.col("entry_key").isNotNull())
+        .select(key, "platform", "entry_key", "__e.*")
     )
     return entries, corrupt
 

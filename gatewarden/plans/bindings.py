@@ -8,6 +8,9 @@ as-of times, TTLs) are arguments with the defaults used by the oracle SQL in
 
 Output conventions for the oracle compare: times are BIGINT epoch
 microseconds (``*_us``), counts BIGINT, every computed column aliased.
+Integer columns that can be null are rendered as strings in both engines
+(Spark hands nullable integers to pandas as floats, DuckDB as nullable
+integers; strings compare the same either way).
 """
 
 from __future__ import annotations
@@ -84,7 +87,9 @@ def crash_loop_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         max_exits=CRASH_MAX,
     )
     res = L.respawn_delay(res)
-    return res.select("deployment_id", "seq", micros("ts").alias("ts_us"), "exits_in_window", "verdict", "delay_s")
+    return res.select(
+        "deployment_id", "seq", micros("ts").alias("ts_us"), "exits_in_window", "verdict", F.col("delay_s").cast("string").alias("delay_s")
+    )
 
 
 @query("lifecycle_crash_loop")
@@ -93,7 +98,9 @@ def lifecycle_crash_loop_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     signup=restart): exits during a stop are ignored, a start on a live process
     keeps the budget; 240 h, max 5."""
     res = L.lifecycle_crash_loop(lifecycle_events(spark, sf_dir), window_s=CRASH_WINDOW_H * 3600, max_exits=CRASH_MAX)
-    return res.select("deployment_id", "seq", micros("ts").alias("ts_us"), "exits_in_window", "verdict", "delay_s")
+    return res.select(
+        "deployment_id", "seq", micros("ts").alias("ts_us"), "exits_in_window", "verdict", F.col("delay_s").cast("string").alias("delay_s")
+    )
 
 
 @query("tail_per_source")
@@ -110,7 +117,9 @@ def tail_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lifecycle_state_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O22 at 2024-01-31 over the lifecycle stand-in."""
     res = L.lifecycle_state(lifecycle_events(spark, sf_dir), AS_OF)
-    return res.select("deployment_id", "state", "pid", "uptime_s", "restarts")
+    return res.select(
+        "deployment_id", "state", F.col("pid").cast("string").alias("pid"), F.col("uptime_s").cast("string").alias("uptime_s"), "restarts"
+    )
 
 
 @query("restart_counts")

@@ -42,7 +42,8 @@ def effective_settings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("categorise_settings")
 def categorise_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry category (other for unknown keys), secret flag, registry order."""
-    return S.categorise_settings(X.customer_settings(spark, sf_dir))
+    out = S.categorise_settings(X.customer_settings(spark, sf_dir))
+    return out.withColumn("ord", F.col("ord").cast("string"))
 
 
 @query("mask_settings")
@@ -208,7 +209,7 @@ def _doc_summary(df: DataFrame) -> DataFrame:
         "deployment_id",
         F.array_join(F.array_sort(F.map_keys(prov)), ",").alias("providers"),
         F.try_variant_get(F.try_element_at(m, F.lit("active_provider")), "$", "string").alias("active_provider"),
-        F.try_variant_get(F.try_element_at(m, F.lit("version")), "$", "bigint").alias("version"),
+        F.try_variant_get(F.try_element_at(m, F.lit("version")), "$", "bigint").cast("string").alias("version"),
     )
 
 
@@ -278,7 +279,8 @@ def read_keyed_json_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O2: entries of every *-pending.json file."""
     entries, _ = read_keyed_json(order_pairing_files(spark, sf_dir), "pending")
     return entries.select(
-        "deployment_id", "platform", "entry_key", "user_id", "user_name", F.col("created_at").cast("bigint").alias("created_at")
+        "deployment_id", "platform", "entry_key", "user_id", "user_name",
+        F.col("created_at").cast("bigint").cast("string").alias("created_at"),
     )
 
 
@@ -360,7 +362,9 @@ def session_validity_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = A.session_validity(
         X.event_access(spark, sf_dir), X.event_logins(spark, sf_dir), X.event_boots(spark, sf_dir), lifetime_s=2 * 86400
     )
-    return out.select("deployment_id", "seq", micros("ts").alias("ts_us"), micros("login_ts").alias("login_us"), "valid")
+    return out.select(
+        "deployment_id", "seq", micros("ts").alias("ts_us"), micros("login_ts").cast("string").alias("login_us"), "valid"
+    )
 
 
 @query("safe_return_target")
@@ -392,7 +396,7 @@ def access_decision_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("deployment_id", "ready")
     j = val.join(rdy, on="deployment_id", how="left")
     out = A.access_decision(j)
-    return out.select("deployment_id", "seq", "handler", "decision", F.col("status").cast("bigint").alias("status"), "location")
+    return out.select("deployment_id", "seq", "handler", "decision", F.col("status").cast("string").alias("status"), "location")
 
 
 @query("upstream_errors")
@@ -426,9 +430,9 @@ def extract_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract_lifecycle_events(clean_log_lines(X.event_log_raw(spark, sf_dir)))
     return out.select(
         "deployment_id", "seq", "event",
-        F.col("exit_code").cast("bigint").alias("exit_code"),
-        F.col("delay_s").cast("bigint").alias("delay_s"),
-        F.col("attempt").cast("bigint").alias("attempt"),
+        F.col("exit_code").cast("string").alias("exit_code"),
+        F.col("delay_s").cast("string").alias("delay_s"),
+        F.col("attempt").cast("string").alias("attempt"),
         "method", "path",
-        F.col("status").cast("bigint").alias("status"),
+        F.col("status").cast("string").alias("status"),
     )

@@ -29,8 +29,8 @@ cnt AS (
 )
 SELECT deployment_id, seq, ts_us, exits_in_window,
        CASE WHEN exits_in_window > 5 THEN 'crashed' ELSE 'respawn' END AS verdict,
-       CASE WHEN exits_in_window > 5 THEN NULL
-            ELSE CAST(least(2.0 * pow(2.0, exits_in_window - 1), 30.0) AS BIGINT) END AS delay_s
+       CAST(CASE WHEN exits_in_window > 5 THEN NULL
+            ELSE CAST(least(2.0 * pow(2.0, exits_in_window - 1), 30.0) AS BIGINT) END AS VARCHAR) AS delay_s
 FROM cnt
 """
 
@@ -69,9 +69,9 @@ pos AS (
 SELECT a.deployment_id,
        CASE a.last_event WHEN 'start' THEN 'running' WHEN 'restart' THEN 'running'
                          WHEN 'exit' THEN 'error' WHEN 'stop' THEN 'stopped' END AS state,
-       CASE WHEN a.last_event IN ('start', 'restart') THEN r.pid END AS pid,
-       CASE WHEN a.last_event IN ('start', 'restart')
-            THEN CAST(floor((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(r.ts)) / 1000000) AS BIGINT) END AS uptime_s,
+       CAST(CASE WHEN a.last_event IN ('start', 'restart') THEN r.pid END AS VARCHAR) AS pid,
+       CAST(CASE WHEN a.last_event IN ('start', 'restart')
+            THEN CAST(floor((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(r.ts)) / 1000000) AS BIGINT) END AS VARCHAR) AS uptime_s,
        a.restarts AS restarts
 FROM agg a
 LEFT JOIN run ON run.deployment_id = a.deployment_id
@@ -110,8 +110,8 @@ cnt AS (
 )
 SELECT deployment_id, seq, ts_us, exits_in_window,
        CASE WHEN exits_in_window > 5 THEN 'crashed' ELSE 'respawn' END AS verdict,
-       CASE WHEN exits_in_window > 5 THEN NULL
-            ELSE CAST(least(2.0 * pow(2.0, exits_in_window - 1), 30.0) AS BIGINT) END AS delay_s
+       CAST(CASE WHEN exits_in_window > 5 THEN NULL
+            ELSE CAST(least(2.0 * pow(2.0, exits_in_window - 1), 30.0) AS BIGINT) END AS VARCHAR) AS delay_s
 FROM cnt
 """
 

@@ -95,7 +95,7 @@ ORACLE["effective_settings"] = EFFECTIVE
 
 ORACLE["categorise_settings"] = f"""
 SELECT s.deployment_id, s.key, s.value, coalesce(r.category, 'other') AS category,
-       coalesce(r.is_secret, false) AS is_secret, r.ord AS ord
+       coalesce(r.is_secret, false) AS is_secret, CAST(r.ord AS VARCHAR) AS ord
 FROM ({SETTINGS}) s LEFT JOIN {REGISTRY_SQL} r ON r.key = s.key
 """
 
@@ -301,7 +301,7 @@ s AS (
 SELECT d.deployment_id,
        CASE WHEN s.pt = 'OBJECT' THEN array_to_string(list_sort(list_filter(s.ks, lambda k: k <> 'xai-oauth')), ',') END AS providers,
        CASE WHEN (s.pt IS NULL OR s.pt = 'OBJECT') AND s.ap = 'xai-oauth' THEN NULL ELSE s.ap END AS active_provider,
-       s.ver AS version
+       CAST(s.ver AS VARCHAR) AS version
 FROM docs d LEFT JOIN s ON s.deployment_id = d.deployment_id
 """
 
@@ -312,7 +312,7 @@ SELECT deployment_id,
        array_to_string(list_sort(list_distinct(list_concat(
            CASE WHEN json_type(j, '$.providers') = 'OBJECT' THEN json_keys(j, '$.providers') ELSE CAST([] AS VARCHAR[]) END,
            ['xai-oauth']))), ',') AS providers,
-       'xai-oauth' AS active_provider, CAST(2 AS BIGINT) AS version, '2024-01-31T00:00:00Z' AS updated_at,
+       'xai-oauth' AS active_provider, '2' AS version, '2024-01-31T00:00:00Z' AS updated_at,
        true AS has_refresh_token
 FROM b
 """
@@ -347,7 +347,7 @@ e AS (SELECT deployment_id, platform, text, unnest(json_keys(text)) AS entry_key
 SELECT deployment_id, platform, entry_key,
        json_extract_string(text, '$."' || entry_key || '".user_id') AS user_id,
        json_extract_string(text, '$."' || entry_key || '".user_name') AS user_name,
-       CAST(TRY_CAST(json_extract_string(text, '$."' || entry_key || '".created_at') AS DOUBLE) AS BIGINT) AS created_at
+       CAST(CAST(TRY_CAST(json_extract_string(text, '$."' || entry_key || '".created_at') AS DOUBLE) AS BIGINT) AS VARCHAR) AS created_at
 FROM e
 """
 
@@ -501,7 +501,7 @@ SELECT deployment_id, seq, ts, event_type, value, epoch_us(ts) AS ts_us, login_u
 FROM a2
 """
 
-ORACLE["session_validity"] = f"SELECT deployment_id, seq, ts_us, login_us, valid FROM ({SESSION_SQL}) s"
+ORACLE["session_validity"] = f"SELECT deployment_id, seq, ts_us, CAST(login_us AS VARCHAR) AS login_us, valid FROM ({SESSION_SQL}) s"
 
 ORACLE["safe_return_target"] = f"""
 WITH v AS (
@@ -539,7 +539,7 @@ j AS (
 )
 SELECT deployment_id, seq, handler, decision,
        CAST(CASE WHEN decision IN ('redirect_login', 'redirect_setup') THEN 302 WHEN decision = 'unauthorized' THEN 401
-                 WHEN handler = 'method_not_allowed' THEN 405 WHEN handler IN ('route_setup_404', 'not_found') THEN 404 END AS BIGINT) AS status,
+                 WHEN handler = 'method_not_allowed' THEN 405 WHEN handler IN ('route_setup_404', 'not_found') THEN 404 END AS VARCHAR) AS status,
        CASE WHEN decision = 'redirect_login'
             THEN '/login?returnTo=' || replace(replace(replace(path || CASE WHEN query <> '' THEN '?' || query ELSE '' END,
                                                                '?', '%3F'), '=', '%3D'), ' ', '%20')
@@ -595,11 +595,11 @@ t AS (
   FROM l
 )
 SELECT deployment_id, seq, event,
-       CASE WHEN event = 'exit' THEN TRY_CAST(regexp_extract(line, '\\(code (-?\\d+)\\)', 1) AS BIGINT) END AS exit_code,
-       CASE WHEN event = 'respawn_scheduled' THEN TRY_CAST(regexp_extract(line, 'restarting in (\\d+)s', 1) AS BIGINT) END AS delay_s,
-       CASE WHEN event = 'respawn_scheduled' THEN TRY_CAST(regexp_extract(line, 'attempt (\\d+)', 1) AS BIGINT) END AS attempt,
+       CAST(CASE WHEN event = 'exit' THEN TRY_CAST(regexp_extract(line, '\\(code (-?\\d+)\\)', 1) AS BIGINT) END AS VARCHAR) AS exit_code,
+       CAST(CASE WHEN event = 'respawn_scheduled' THEN TRY_CAST(regexp_extract(line, 'restarting in (\\d+)s', 1) AS BIGINT) END AS VARCHAR) AS delay_s,
+       CAST(CASE WHEN event = 'respawn_scheduled' THEN TRY_CAST(regexp_extract(line, 'attempt (\\d+)', 1) AS BIGINT) END AS VARCHAR) AS attempt,
        CASE WHEN event = 'upstream_status' THEN regexp_extract(line, '^\\[proxy\\] (\\S+) ', 1) END AS method,
        CASE WHEN event = 'upstream_status' THEN regexp_extract(line, '^\\[proxy\\] \\S+ (\\S*) ->', 1) END AS path,
-       CASE WHEN event = 'upstream_status' THEN TRY_CAST(regexp_extract(line, ' -> (\\d+) ', 1) AS BIGINT) END AS status
+       CAST(CASE WHEN event = 'upstream_status' THEN TRY_CAST(regexp_extract(line, ' -> (\\d+) ', 1) AS BIGINT) END AS VARCHAR) AS status
 FROM t WHERE event IS NOT NULL
 """

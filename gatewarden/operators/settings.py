@@ -228,7 +228,7 @@ def integration_catalogue(registry: Registry = C.REGISTRY) -> list[tuple[str, st
     return items
 
 
-def integration_status(
+def _integration_rows(
     deployments: DataFrame, settings: DataFrame, registry: Registry = C.REGISTRY, key: str = "deployment_id"
 ) -> DataFrame:
     """Every provider and channel per deployment, set or not.
@@ -246,7 +246,40 @@ def integration_status(
     vals = settings.filter(F.col("key").isin(*wanted)).select(key, F.col("key").alias("skey"), "value")
     j = grid.join(vals, on=[key, "skey"], how="left")
     configured = F.when(F.col("kind") == "channel", bool_like("value")).otherwise(truthy("value"))
-    return j.select(key, "kind", "name", configured.alias("configured"))
+    return j.select(key, "kind", "name", "skey", configured.alias("configured"))
+
+
+def integration_status(
+    deployments: DataFrame, settings: DataFrame, registry: Registry = C.REGISTRY, key: str = "deployment_id"
+) -> DataFrame:
+    """Every provider and channel per deployment, set or not.
+
+    Providers use plain truthiness, channels the bool-like rule.  The fixed
+    catalogue is generated per deployment with ``explode`` of a literal array
+    (no cross join), then joined to the settings on (dep, key).
+    """
+    return _integration_rows(deployments, settings, registry, key).drop("skey")
+
+
+def integration_column(kind: str, settings_key: str) -> str:
+    return f"{kind}_{settings_key.lower()}"
+
+
+def integration_matrix(
+    deployments: DataFrame, settings: DataFrame, registry: Registry = C.REGISTRY, key: str = "deployment_id"
+) -> DataFrame:
+    """O25 pivoted: one row per deployment, one boolean column per provider
+    and channel (``provider_<key>`` / ``channel_<key>``).
+
+    The pivot values are the fixed catalogue, so it is a single conditional
+    aggregation (``pivot`` with explicit values, no extra pass to find them).
+    """
+    status = _integration_rows(deployments, settings, registry, key)
+    cat = integration_catalogue(registry)
+    names = [integration_column(k, s) for k, _, s, _ in cat]
+    label = F.concat(F.col("kind"), F.lit("_"), F.lower(F.col("skey")))
+    st = status.withColumn("__col", label)
+    return st.groupBy(key).pivot("__col", names).agg(F.bool_or("configured"))
 
 
 # ---------------------------------------------------------------------------

@@ -133,6 +133,12 @@ def integration_status_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.integration_status(X.customer_deployments(spark, sf_dir), X.customer_settings(spark, sf_dir))
 
 
+@query("integration_matrix")
+def integration_matrix_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O25 pivoted: one boolean column per provider and channel."""
+    return S.integration_matrix(X.customer_deployments(spark, sf_dir), X.customer_settings(spark, sf_dir))
+
+
 @query("custom_endpoints")
 def custom_endpoints_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Custom endpoint rows with slug names."""

@@ -232,6 +232,23 @@ FROM customer c CROSS JOIN {CATALOGUE_SQL} cat
 LEFT JOIN ({SETTINGS}) s ON s.deployment_id = c.c_custkey AND s.key = cat.skey
 """
 
+_STATUS_ROWS = f"""
+SELECT c.c_custkey AS deployment_id, cat.kind, cat.skey,
+       CASE WHEN cat.kind = 'channel'
+            THEN coalesce(length(s.value) > 0 AND lower(s.value) NOT IN ('false', '0', 'no'), false)
+            ELSE coalesce(length(s.value) > 0, false) END AS configured
+FROM customer c CROSS JOIN {CATALOGUE_SQL} cat
+LEFT JOIN ({SETTINGS}) s ON s.deployment_id = c.c_custkey AND s.key = cat.skey
+"""
+ORACLE["integration_matrix"] = (
+    "SELECT deployment_id, "
+    + ", ".join(
+        f"bool_or(configured) FILTER (WHERE kind = {_q(kind)} AND skey = {_q(skey)}) AS {kind}_{skey.lower()}"
+        for kind, _, skey in _CATALOGUE
+    )
+    + f" FROM ({_STATUS_ROWS}) r GROUP BY deployment_id"
+)
+
 ORACLE["custom_endpoints"] = f"""
 WITH p AS (
   SELECT deployment_id, max(CASE WHEN key = 'CUSTOM_PROVIDER_BASE_URL' THEN value END) AS url,

@@ -29,3 +29,18 @@ def publish_pairing_state(pending: DataFrame, approved: DataFrame, root: str) ->
     """Write the pending and approved tables under ``root``, one partition per platform."""
     publish_partitioned(pending, f"{root.rstrip('/')}/pending")
     publish_partitioned(approved, f"{root.rstrip('/')}/approved")
+
+
+def write_dotenv_files(rendered: DataFrame, path: str, key: str = "deployment_id") -> None:
+    """Write O4's rendered text as one ``.env``-style text file per deployment
+    (``path/<key>=<id>/part-*``).  Each deployment's text is a single row, so
+    its file is written by one task; partitions are overwritten dynamically."""
+    (
+        rendered.select(key, "text")
+        .repartition(key)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("lineSep", "")
+        .partitionBy(key)
+        .text(path)
+    )

@@ -76,3 +76,25 @@ def test_publish_partitioned_dynamic_overwrite(spark):
     publish_partitioned(spark.createDataFrame([("tg", "3")], "platform string, code string"), path)
     got = sorted((r.platform, r.code) for r in spark.read.parquet(path).collect())
     assert got == [("dc", "2"), ("tg", "3")]
+
+
+def test_render_write_parse_round_trip(spark):
+    from pyspark.sql import functions as F
+
+    from gatewarden.operators.settings import effective_settings, render_dotenv
+    from gatewarden.sources.dotenv import parse_dotenv
+    from gatewarden.sources.sinks import write_dotenv_files
+
+    s = spark.createDataFrame(
+        [("d1", "LLM_MODEL", "m"), ("d1", "X", "1=2"), ("d1", "E", ""), ("d2", "SLACK_BOT_TOKEN", "xoxb-1")],
+        "deployment_id string, key string, value string",
+    )
+    root = tempfile.mkdtemp(prefix="gw-env-")
+    write_dotenv_files(render_dotenv(s), root)
+    raw = spark.read.option("wholetext", "true").text(root).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"deployment_id=([^/]+)", 1).alias("deployment_id"),
+        F.lit(".env").alias("path"),
+        F.col("value").alias("text"),
+    )
+    back = effective_settings(parse_dotenv(raw)).select("deployment_id", "key", "value")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, s.filter("value <> ''").collect()))

@@ -10,6 +10,7 @@ table format with row-level operations; plain Parquet has none.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def publish_partitioned(df: DataFrame, path: str, partition_by: str | list[str] = "platform", fmt: str = "parquet") -> None:
@@ -34,13 +35,17 @@ def publish_pairing_state(pending: DataFrame, approved: DataFrame, root: str) ->
 def write_dotenv_files(rendered: DataFrame, path: str, key: str = "deployment_id") -> None:
     """Write O4's rendered text as one ``.env``-style text file per deployment
     (``path/<key>=<id>/part-*``).  Each deployment's text is a single row, so
-    its file is written by one task; partitions are overwritten dynamically."""
+    its file is written by one task; partitions are overwritten dynamically.
+    The text writer ends every row with a newline, and rendered text always
+    ends with one, so that last newline is dropped first: the file bytes equal
+    the rendered text exactly."""
+    body = F.expr("substring(text, 1, length(text) - 1)")
     (
-        rendered.select(key, "text")
+        rendered.filter(F.length("text") > 0)
+        .select(key, body.alias("text"))
         .repartition(key)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .option("lineSep", "")
         .partitionBy(key)
         .text(path)
     )

@@ -24,15 +24,32 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same set as single characters, for a cheap first/last-character test.
+PY_WHITESPACE_CHARS = (
+    ["\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", " ", "\x85", "\xa0", "\u1680"]
+    + [chr(c) for c in range(0x2000, 0x200B)]
+    + ["\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
+)
+
+
 def py_strip(c: str | Column) -> Column:
-    """``str.strip()`` with Python's notion of whitespace."""
+    """``str.strip()`` with Python's notion of whitespace.
+
+    The regex only runs when the first or last character is whitespace;
+    most values have neither, and pay a set-membership test instead.
+    """
     ws = PY_WHITESPACE_CLASS
-    return F.regexp_replace(_col(c), f"^[{ws}]+|[{ws}]+$", "")
+    v = _col(c)
+    edge = F.substring(v, 1, 1).isin(*PY_WHITESPACE_CHARS) | F.substring(v, -1, 1).isin(*PY_WHITESPACE_CHARS)
+    return F.when(edge, F.regexp_replace(v, f"^[{ws}]+|[{ws}]+$", "")).otherwise(v)
 
 
 def py_rstrip(c: str | Column) -> Column:
-    """``str.rstrip()`` with Python's notion of whitespace."""
-    return F.regexp_replace(_col(c), f"[{PY_WHITESPACE_CLASS}]+$", "")
+    """``str.rstrip()`` with Python's notion of whitespace (regex only when the
+    last character is whitespace)."""
+    v = _col(c)
+    edge = F.substring(v, -1, 1).isin(*PY_WHITESPACE_CHARS)
+    return F.when(edge, F.regexp_replace(v, f"[{PY_WHITESPACE_CLASS}]+$", "")).otherwise(v)
 
 
 def split_lines(c: str | Column) -> Column:

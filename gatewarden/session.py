@@ -15,11 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here relies on: UTC timestamps (all event times are UTC)
 # and adaptive execution (skew-join splitting, partition coalescing).
+# Broadcast joins are never chosen from *estimated* sizes (estimates of
+# filtered or aggregated inputs can be far off at scale); adaptive execution
+# broadcasts a side only after measuring it at runtime below 10 MB.
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
 }
 
 

@@ -243,7 +243,11 @@ def lifecycle_state(
       restart + respawn events.
     """
     as_of_c = as_timestamp(as_of)
-    ev = events.filter(F.col("ts").cast("timestamp") <= as_of_c).withColumn("__o", F.struct("ts", "seq"))
+    # Only state-changing events count (typed log events also carry respawn
+    # schedules, cancellations, lock clean-ups, proxy errors ...).
+    ev = events.filter(
+        (F.col("ts").cast("timestamp") <= as_of_c) & F.col("event").isin(*[e for e, _ in _STATE_AFTER])
+    ).withColumn("__o", F.struct("ts", "seq"))
     has_pid = "pid" in events.columns
     pid_c = F.col("pid") if has_pid else F.lit(None).cast("bigint")
     dead_o = F.when(F.col("event").isin(*_DEAD_MAKING), F.col("__o"))
@@ -288,6 +292,32 @@ def lifecycle_state(
     return out
 
 
+def lifecycle_from_log_events(typed: DataFrame, key: str = "deployment_id", bucket_s: int = DEFAULT_BUCKET_S) -> DataFrame:
+    """O6 output -> lifecycle vocabulary for O20-O23.
+
+    The supervisor writes the same start line for every spawn; a start that
+    follows ``restarting in Ns`` (with no start, exit or cancellation in
+    between) is a supervised ``respawn``, which keeps the crash budget.
+    Schedules and cancellations themselves change no state and are dropped;
+    the other typed events keep their names (start, start_failed, exit,
+    crashed, unready).
+    """
+    ev = typed.filter(
+        F.col("event").isin("start", "start_failed", "exit", "crashed", "unready", "respawn_scheduled", "respawn_cancelled")
+    ).withColumn("__t", micros("ts"))
+    marker = (
+        F.when(F.col("event") == "respawn_scheduled", F.lit("scheduled"))
+        .when(F.col("event").isin("start", "exit", "respawn_cancelled", "unready"), F.lit("other"))
+    )
+    ev = ordered_scan(ev, [key], "__t", ["__t", "seq"], [ScanSpec("__prev", "last", marker, exclusive=True)], bucket_s)
+    event = F.when((F.col("event") == "start") & (F.col("__prev") == "scheduled"), F.lit("respawn")).otherwise(F.col("event"))
+    return (
+        ev.filter(~F.col("event").isin("respawn_scheduled", "respawn_cancelled"))
+        .withColumn("event", event)
+        .drop("__t", "__prev")
+    )
+
+
 def restart_counts(events: DataFrame, key: str = "deployment_id") -> DataFrame:
     """Restart and supervised respawn add one; a plain start does not."""
     return events.groupBy(key).agg(

@@ -46,6 +46,8 @@ class StatusProcessor(StatefulProcessor):
         has_pid = "pid" in ev.columns
         for r in ev.itertuples(index=False):
             e = r.event
+            if e not in _STATE_AFTER:
+                continue  # schedules, cancellations, lock clean-ups change no state
             pid = None if not has_pid or pd.isna(r.pid) else int(r.pid)
             if e in _DEAD_MAKING:
                 in_run, run_ts, run_pid = False, None, None
@@ -56,6 +58,8 @@ class StatusProcessor(StatefulProcessor):
             if e in ("restart", "respawn"):
                 restarts += 1
             last_event, last_ts = e, r.ts
+        if last_event is None:
+            return
         self.st.update((last_event, last_ts, run_ts, run_pid, in_run, int(restarts)))
         state = _STATE_AFTER.get(last_event)
         running = state == "running"

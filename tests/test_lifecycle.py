@@ -203,3 +203,27 @@ def test_device_flow_outcomes(spark):
     assert res["err1"] == ("error", "User said no", 5)
     assert res["err2"] == ("error", "expired_token", 5)
     assert res["late"][0] == "authorized"
+
+
+def test_lifecycle_from_log_events_and_state_ignores_non_state_events(spark):
+    typed = spark.createDataFrame(
+        [
+            ("a", ts(0), 1, "start"),
+            ("a", ts(10), 2, "exit"),
+            ("a", ts(10), 3, "respawn_scheduled"),
+            ("a", ts(12), 4, "start"),              # the supervised respawn
+            ("a", ts(20), 5, "exit"),
+            ("a", ts(20), 6, "respawn_scheduled"),
+            ("a", ts(21), 7, "respawn_cancelled"),  # a stop won the race
+            ("a", ts(30), 8, "start"),              # manual start: resets the budget
+            ("a", ts(40), 9, "exit"),
+            ("a", ts(40), 10, "lock_cleared"),
+        ],
+        "deployment_id string, ts timestamp, seq long, event string",
+    )
+    lc = L.lifecycle_from_log_events(typed)
+    assert [r.event for r in lc.orderBy("seq").collect()] == ["start", "exit", "respawn", "exit", "start", "exit"]
+    res = sorted((r.seq, r.exits_in_window) for r in L.lifecycle_crash_loop(lc).collect())
+    assert res == [(2, 1), (5, 2), (9, 1)]
+    st = L.lifecycle_state(typed, ts(100)).first()
+    assert st.state == "error"  # the trailing lock clean-up does not blank the state

@@ -13,9 +13,6 @@ from ..functions import constants as C
 from ..functions.text import py_strip
 from .scans import as_timestamp, micros
 
-KEY = ("deployment_id", "platform")
-
-
 # ---------------------------------------------------------------------------
 # O8 pending_requests
 # ---------------------------------------------------------------------------

@@ -150,3 +150,23 @@ def test_st5_status_stream_equals_batch(spark):
     as_of = dt.datetime(2030, 1, 1)
     batch = {r.deployment_id: (r.state, r.pid, r.restarts) for r in L.lifecycle_state(ev, as_of).collect()}
     assert latest == batch
+
+
+def test_st2_respawn_timer_outcomes(spark):
+    from gatewarden.streaming.crash_alerts import EVENTS_SCHEMA, crash_alert_stream
+
+    common.use_rocksdb_state(spark)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [
+        ("stopped", t0, 1, "start"), ("stopped", t0 + dt.timedelta(seconds=10), 2, "exit"),
+        ("stopped", t0 + dt.timedelta(seconds=11), 3, "stop"),          # stop inside the 2 s delay
+        ("manual", t0, 1, "start"), ("manual", t0 + dt.timedelta(seconds=10), 2, "exit"),
+        ("manual", t0 + dt.timedelta(seconds=11), 3, "start"),          # manual start inside the delay
+        ("due", t0, 1, "start"), ("due", t0 + dt.timedelta(seconds=10), 2, "exit"),
+        ("tick", t0 + dt.timedelta(hours=2), 1, "start"),               # moves the watermark past the timers
+    ]
+    root = _scratch()
+    spark.createDataFrame(rows, EVENTS_SCHEMA).write.parquet(os.path.join(root, "in"))
+    got = _run(crash_alert_stream(common.file_stream(spark, os.path.join(root, "in"), EVENTS_SCHEMA), lateness="1 minute"), root)
+    checks = {r.deployment_id: r.outcome for r in got.filter("kind = 'respawn_check'").collect()}
+    assert checks == {"stopped": "cancelled", "manual": "already_running", "due": "respawn_due"}

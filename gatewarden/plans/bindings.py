@@ -146,6 +146,35 @@ def stale_locks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.stale_locks(locks, dead).select("deployment_id", "pid", "stale")
 
 
+@query("cleared_locks")
+def cleared_locks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O24, remainder form: the locks left after clearing the dead pids."""
+    ev = lifecycle_events(spark, sf_dir).filter(F.col("event").isin("start", "exit"))
+    ev = ev.withColumn("__rt", -micros("ts")).withColumn("__rseq", -F.col("seq"))
+    ev = ordered_scan(
+        ev, ["deployment_id"], "__rt", ["__rt", "__rseq"],
+        [ScanSpec("next_event", "last", F.col("event"), exclusive=True)],
+    )
+    starts = ev.filter(F.col("event") == "start")
+    dead = starts.filter(F.col("next_event") == "exit").select("deployment_id", "pid")
+    return L.cleared_locks(starts.select("deployment_id", "pid"), dead)
+
+
+@query("crash_loop_from_logs")
+def crash_loop_from_logs_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3 -> O6 -> lifecycle adapter -> O20/O21 on the rendered log lines:
+    a start line after "restarting in" is a supervised respawn (no reset)."""
+    from ..sources.logs import clean_log_lines, extract_lifecycle_events
+    from . import standins as X
+
+    typed = extract_lifecycle_events(clean_log_lines(X.event_log_raw(spark, sf_dir)))
+    lc = L.lifecycle_from_log_events(typed)
+    res = L.lifecycle_crash_loop(lc, window_s=CRASH_WINDOW_H * 3600, max_exits=CRASH_MAX)
+    return res.select(
+        "deployment_id", "seq", micros("ts").alias("ts_us"), "exits_in_window", "verdict", F.col("delay_s").cast("string").alias("delay_s")
+    )
+
+
 @query("device_flow_outcome")
 def device_flow_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flow per user, started at its first event, 10 days of life;

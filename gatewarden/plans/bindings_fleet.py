@@ -202,6 +202,34 @@ def overlay_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.overlay_config(existing, policy)
 
 
+@query("overlay_from_settings")
+def overlay_from_settings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O10 with the boot policy derived from each customer's settings (model,
+    provider-key presence, custom endpoint) over customer-derived config leaves."""
+    c = table(spark, sf_dir, "customer")
+    seg, bal, nk, ck = F.col("c_mktsegment"), F.col("c_acctbal"), F.col("c_nationkey"), F.col("c_custkey").cast("string")
+
+    def leaf(path, value, vtype, cond=None):
+        st = F.struct(F.lit(path).alias("path"), value.cast("string").alias("value"), F.lit(vtype).alias("value_type"))
+        return st if cond is None else F.when(cond, st)
+
+    leaves = F.array(
+        leaf("model.default", F.concat(F.lit("old-"), F.lower(seg)), "str", bal > 0),
+        leaf("model", F.lit("legacy"), "str", bal <= 0),
+        leaf("model.provider", F.lit("xai-oauth"), "str", (nk >= 15) & (bal > 0)),
+        leaf("terminal.backend", F.lit("docker"), "str"),
+        leaf("terminal.shell", F.lit("zsh"), "str"),
+        leaf("agent.max_iterations", nk * 10, "int", nk > 10),
+        leaf("mcp_servers.fs.command", F.concat(F.lit("npx fs-"), ck), "str"),
+        leaf("custom_providers", F.lit("[]"), "list", seg == "AUTOMOBILE"),
+    )
+    existing = c.select(F.col("c_custkey").alias("deployment_id"), F.explode(leaves).alias("l")).filter(
+        F.col("l").isNotNull()
+    ).select("deployment_id", "l.*")
+    policy = D.overlay_policy_from_settings(X.customer_settings(spark, sf_dir), "/data/.gateway")
+    return D.overlay_config(existing, policy)
+
+
 @query("credential_presence")
 def credential_presence_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refresh-token presence per credential document."""

@@ -174,6 +174,68 @@ SELECT f.flow_id,
 FROM flows f LEFT JOIN term USING (flow_id) LEFT JOIN last_int USING (flow_id)
 """
 
+ORACLE["cleared_locks"] = f"""
+WITH ev AS (SELECT * FROM ({_LIFECYCLE_EVENTS}) e WHERE event IN ('start', 'exit')),
+n AS (
+  SELECT *, lead(event) OVER (PARTITION BY deployment_id ORDER BY ts, seq) AS next_event FROM ev
+)
+SELECT deployment_id, pid FROM n WHERE event = 'start' AND coalesce(next_event, '') <> 'exit'
+"""
+
+from .oracle_fleet import LOG_LINES as _LOG_LINES  # noqa: E402
 from .oracle_fleet import ORACLE as _FLEET  # noqa: E402
 
 ORACLE.update(_FLEET)
+
+_TYPED_EVENTS = f"""
+SELECT deployment_id, seq, ts,
+  CASE WHEN regexp_matches(line, '^\\[gateway\\] exited \\(code (-?\\d+|None)\\) — supervising restart') THEN 'exit'
+       WHEN regexp_matches(line, '^\\[gateway\\] restarting in (\\d+)s \\(attempt (\\d+)\\)') THEN 'respawn_scheduled'
+       WHEN regexp_matches(line, '^\\[gateway\\] model=.* \\| provider_key=') THEN 'start' END AS event
+FROM ({_LOG_LINES}) l JOIN (SELECT event_id, ts FROM events) e ON e.event_id = l.seq
+"""
+
+ORACLE["crash_loop_from_logs"] = f"""
+WITH t AS (SELECT * FROM ({_TYPED_EVENTS}) x WHERE event IS NOT NULL),
+m AS (
+  SELECT *, last_value(CASE WHEN event = 'respawn_scheduled' THEN 'scheduled'
+                            WHEN event IN ('start', 'exit', 'respawn_cancelled', 'unready') THEN 'other' END IGNORE NULLS)
+            OVER (PARTITION BY deployment_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+  FROM t
+), ev AS (
+  SELECT deployment_id, seq, ts, CASE WHEN event = 'start' AND prev = 'scheduled' THEN 'respawn' ELSE event END AS event
+  FROM m WHERE event <> 'respawn_scheduled'
+), s AS (
+  SELECT *,
+    last_value(CASE WHEN event = 'stop' THEN 'stop' WHEN event IN ('start', 'restart', 'respawn', 'running') THEN 'go' END
+               IGNORE NULLS) OVER (PARTITION BY deployment_id ORDER BY ts, seq
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ctl,
+    last_value(CASE WHEN event IN ('start', 'running', 'respawn', 'restart') THEN true
+                    WHEN event IN ('stop', 'stopped', 'exit', 'start_failed', 'crashed', 'unready') THEN false END
+               IGNORE NULLS) OVER (PARTITION BY deployment_id ORDER BY ts, seq
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS live_before
+  FROM ev
+), f AS (
+  SELECT deployment_id, seq, ts, epoch_us(ts) AS ts_us,
+         event = 'exit' AND coalesce(ctl, '') <> 'stop' AS is_exit,
+         event = 'restart' OR (event = 'start' AND NOT coalesce(live_before, false)) AS is_reset
+  FROM s
+), g AS (
+  SELECT *, row_number() OVER (PARTITION BY deployment_id ORDER BY ts, seq) AS pos FROM f WHERE is_exit OR is_reset
+), g2 AS (
+  SELECT *, coalesce(max(CASE WHEN is_reset THEN pos END) OVER (PARTITION BY deployment_id ORDER BY pos
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS rpos
+  FROM g
+), ex AS (SELECT * FROM g2 WHERE is_exit),
+cnt AS (
+  SELECT e.deployment_id, e.seq, e.ts_us, count(*) AS exits_in_window
+  FROM ex e JOIN ex x ON x.deployment_id = e.deployment_id AND x.pos <= e.pos AND x.pos > e.rpos
+   AND x.ts_us > e.ts_us - CAST(240 AS BIGINT) * 3600 * 1000000
+  GROUP BY e.deployment_id, e.seq, e.ts_us
+)
+SELECT deployment_id, seq, ts_us, exits_in_window,
+       CASE WHEN exits_in_window > 5 THEN 'crashed' ELSE 'respawn' END AS verdict,
+       CAST(CASE WHEN exits_in_window > 5 THEN NULL
+            ELSE CAST(least(2.0 * pow(2.0, exits_in_window - 1), 30.0) AS BIGINT) END AS VARCHAR) AS delay_s
+FROM cnt
+"""

@@ -620,3 +620,58 @@ SELECT deployment_id, seq, event,
        CAST(CASE WHEN event = 'upstream_status' THEN TRY_CAST(regexp_extract(line, ' -> (\\d+) ', 1) AS BIGINT) END AS VARCHAR) AS status
 FROM t WHERE event IS NOT NULL
 """
+
+
+def overlay_sql(ex: str, pol: str) -> str:
+    """O10 over leaves ex(d, path, value, vt) and a policy pol(d, path, value, policy, vt)."""
+    return f"""
+WITH ex AS ({ex}), pol AS ({pol}),
+kept AS (
+  SELECT * FROM ex e
+  WHERE NOT EXISTS (SELECT 1 FROM pol c WHERE c.d = e.d AND c.policy IN ('force', 'remove') AND starts_with(e.path, c.path || '.'))
+    AND NOT EXISTS (SELECT 1 FROM pol c WHERE c.d = e.d AND c.policy IN ('force', 'default') AND starts_with(c.path, e.path || '.'))
+), j AS (
+  SELECT coalesce(k.d, c.d) AS deployment_id, coalesce(k.path, c.path) AS path, k.value AS ev, k.vt AS evt,
+         c.value AS pv, c.vt AS pvt, c.policy
+  FROM kept k FULL OUTER JOIN pol c ON k.d = c.d AND k.path = c.path
+)
+SELECT deployment_id, path,
+       CASE WHEN policy = 'force' THEN pv WHEN policy = 'default' THEN coalesce(ev, pv) ELSE ev END AS value,
+       CASE WHEN policy = 'force' THEN pvt
+            WHEN policy = 'default' THEN CASE WHEN ev IS NOT NULL THEN evt ELSE pvt END
+            ELSE evt END AS value_type
+FROM j WHERE coalesce(policy, '') <> 'remove'
+"""
+
+
+_CUSTOMER_LEAVES = """
+  SELECT c_custkey AS d, 'model.default' AS path, 'old-' || lower(c_mktsegment) AS value, 'str' AS vt FROM customer WHERE c_acctbal > 0
+  UNION ALL SELECT c_custkey, 'model', 'legacy', 'str' FROM customer WHERE c_acctbal <= 0
+  UNION ALL SELECT c_custkey, 'model.provider', 'xai-oauth', 'str' FROM customer WHERE c_nationkey >= 15 AND c_acctbal > 0
+  UNION ALL SELECT c_custkey, 'terminal.backend', 'docker', 'str' FROM customer
+  UNION ALL SELECT c_custkey, 'terminal.shell', 'zsh', 'str' FROM customer
+  UNION ALL SELECT c_custkey, 'agent.max_iterations', CAST(c_nationkey * 10 AS VARCHAR), 'int' FROM customer WHERE c_nationkey > 10
+  UNION ALL SELECT c_custkey, 'mcp_servers.fs.command', 'npx fs-' || CAST(c_custkey AS VARCHAR), 'str' FROM customer
+  UNION ALL SELECT c_custkey, 'custom_providers', '[]', 'list' FROM customer WHERE c_mktsegment = 'AUTOMOBILE'
+"""
+
+_SETTINGS_POLICY = f"""
+  WITH per AS (
+    SELECT deployment_id AS d, max(CASE WHEN key = 'LLM_MODEL' THEN value END) AS model,
+           bool_or(key IN {PROVIDERS_IN} AND length(value) > 0) AS anyp
+    FROM ({SETTINGS}) s GROUP BY deployment_id
+  ), ce AS (
+    SELECT deployment_id AS d, '[{{"name":"' || name || '","base_url":"' || base_url || '","key_env":"' || key_env || '"}}]' AS cj
+    FROM ({ORACLE["custom_endpoints"]}) x
+  ), p AS (SELECT per.*, ce.cj FROM per LEFT JOIN ce ON ce.d = per.d)
+  SELECT d, 'model.default' AS path, coalesce(model, '') AS value, 'force' AS policy, 'str' AS vt FROM p
+  UNION ALL SELECT d, 'model.provider', 'auto', 'force', 'str' FROM p WHERE coalesce(anyp, false)
+  UNION ALL SELECT d, 'terminal.backend', 'local', 'force', 'str' FROM p
+  UNION ALL SELECT d, 'terminal.timeout', '60', 'force', 'int' FROM p
+  UNION ALL SELECT d, 'terminal.cwd', '/tmp', 'force', 'str' FROM p
+  UNION ALL SELECT d, 'agent.max_iterations', '50', 'default', 'int' FROM p
+  UNION ALL SELECT d, 'data_dir', '/data/.gateway', 'force', 'str' FROM p
+  UNION ALL SELECT d, 'custom_providers', cj, CASE WHEN cj IS NOT NULL THEN 'force' ELSE 'remove' END, 'list' FROM p
+"""
+
+ORACLE["overlay_from_settings"] = overlay_sql(_CUSTOMER_LEAVES, _SETTINGS_POLICY)

@@ -167,6 +167,38 @@ def render_dotenv(settings: DataFrame, registry: Registry = C.REGISTRY, key: str
     return out.select(key, F.array_join(F.transform("blks", lambda b: b["b"]), "\n").alias("text"))
 
 
+def render_dotenv_lines(settings: DataFrame, registry: Registry = C.REGISTRY, key: str = "deployment_id") -> DataFrame:
+    """O4 as ordered lines, nothing collected: ``(key, cat_ord, part, line)``.
+
+    ``part`` is 0 for the ``# Title`` header, 1 for ``key=value`` entries and
+    2 for the blank line after a group (none after the last group).  Ordered
+    by (cat_ord, part, line) within a deployment and each ended by a newline,
+    the lines give exactly :func:`render_dotenv`'s text.  This is the form
+    for writing files: a deployment with a huge number of keys is sorted
+    (with spill), never held in one array.
+    """
+    cats = list(C.CATEGORIES) + [C.OTHER_CATEGORY]
+    cat_ord = _lit_map([(c, i) for i, (c, _) in enumerate(cats)])
+    cat_title = _lit_map([(c, t) for c, t in cats])
+    s = settings.filter(F.length("value") > 0).select(
+        key,
+        F.try_element_at(cat_ord, category_of("key", registry)).alias("cat_ord"),
+        category_of("key", registry).alias("__cat"),
+        F.concat("key", F.lit("="), "value").alias("line"),
+    )
+    groups = s.groupBy(key, "cat_ord", "__cat").agg(F.count(F.lit(1)).alias("__n"))
+    last = groups.groupBy(key).agg(F.max("cat_ord").alias("__last"))
+    headers = groups.select(
+        key, "cat_ord", F.lit(0).alias("part"),
+        F.concat(F.lit("# "), F.try_element_at(cat_title, F.col("__cat"))).alias("line"),
+    )
+    blanks = groups.join(last, on=key, how="inner").filter(F.col("cat_ord") != F.col("__last")).select(
+        key, "cat_ord", F.lit(2).alias("part"), F.lit("").alias("line")
+    )
+    entries = s.select(key, "cat_ord", F.lit(1).alias("part"), "line")
+    return headers.unionByName(entries).unionByName(blanks)
+
+
 # ---------------------------------------------------------------------------
 # O15 readiness, O18 first_configured
 # ---------------------------------------------------------------------------

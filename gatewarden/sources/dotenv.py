@@ -45,12 +45,14 @@ def parse_dotenv(
 
 
 def read_dotenv_files(spark: SparkSession, paths: str | list[str], deployment_from_path: str | None = None) -> DataFrame:
-    """Read ``.env`` files whole (one row per file) and parse them.
+    """Read ``.env`` snapshot files whole (one row per file) and parse them.
 
     ``deployment_from_path`` is a regex with one group applied to the file
     path to obtain ``deployment_id``; without it the path itself is used.
+    Spark's file sources skip names starting with ``.`` or ``_``, so
+    snapshots are expected under a visible name (e.g. ``<dep>/settings.env``).
     """
-    raw = spark.read.option("wholetext", "true").text(paths).select(
+    raw = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
     dep = F.regexp_extract("path", deployment_from_path, 1) if deployment_from_path else F.col("path")

@@ -49,7 +49,7 @@ def read_keyed_json(
 
 def read_pairing_dir(spark: SparkSession, path: str, suffix: str, entry_schema: str = PENDING_ENTRY, deployment_from_path: str | None = None):
     """Read a folder of pairing files (one file per platform) whole."""
-    raw = spark.read.option("wholetext", "true").text(path).select(
+    raw = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("text")
     )
     dep = F.regexp_extract("__path", deployment_from_path, 1) if deployment_from_path else F.lit(None).cast("string")

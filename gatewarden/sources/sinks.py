@@ -32,18 +32,23 @@ def publish_pairing_state(pending: DataFrame, approved: DataFrame, root: str) ->
     publish_partitioned(approved, f"{root.rstrip('/')}/approved")
 
 
-def write_dotenv_files(rendered: DataFrame, path: str, key: str = "deployment_id") -> None:
-    """Write O4's rendered text as one ``.env``-style text file per deployment
-    (``path/<key>=<id>/part-*``).  Each deployment's text is a single row, so
-    its file is written by one task; partitions are overwritten dynamically.
-    The text writer ends every row with a newline, and rendered text always
-    ends with one, so that last newline is dropped first: the file bytes equal
-    the rendered text exactly."""
-    body = F.expr("substring(text, 1, length(text) - 1)")
+def write_dotenv_files(settings: DataFrame, path: str, key: str = "deployment_id") -> None:
+    """Write O4's ``.env`` files, one per deployment (``path/<key>=<id>/part-*``).
+
+    Built from :func:`gatewarden.operators.settings.render_dotenv_lines`:
+    rows are hash-partitioned by deployment and sorted within partitions by
+    (deployment, category, part, line), so each file is streamed out in
+    order by its writer task with no per-deployment array in memory.  The
+    file bytes equal :func:`render_dotenv`'s text.  Partitions are
+    overwritten dynamically.
+    """
+    from ..operators.settings import render_dotenv_lines
+
     (
-        rendered.filter(F.length("text") > 0)
-        .select(key, body.alias("text"))
+        render_dotenv_lines(settings, key=key)
         .repartition(key)
+        .sortWithinPartitions(key, "cat_ord", "part", "line")
+        .select(key, "line")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(key)

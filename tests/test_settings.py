@@ -208,3 +208,20 @@ def test_categorise(spark):
     assert got == {"SLACK_APP_TOKEN": ("slack", True), "UNKNOWN": ("other", False)}
     plan = S.categorise_settings(s)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan  # registry lookups are compiled maps, not joins
+
+
+def test_render_lines_equal_render_text(spark):
+    import random
+
+    from gatewarden.functions import constants as C
+
+    rnd = random.Random(4)
+    keys = [k for k, *_ in C.REGISTRY] + ["X1", "X_2", "x"]
+    rows = [(f"d{i}", k, rnd.choice(["", "v", "w=1"])) for i in range(6) for k in rnd.sample(keys, 15)]
+    s = settings_df(spark, rows)
+    lines = S.render_dotenv_lines(s).collect()
+    by = {}
+    for r in lines:
+        by.setdefault(r.deployment_id, []).append((r.cat_ord, r.part, r.line))
+    got = {d: "".join(line + "\n" for _, _, line in sorted(v)) for d, v in by.items()}
+    assert got == {r.deployment_id: r.text for r in S.render_dotenv(s).collect()}

@@ -90,11 +90,41 @@ def test_render_write_parse_round_trip(spark):
         "deployment_id string, key string, value string",
     )
     root = tempfile.mkdtemp(prefix="gw-env-")
-    write_dotenv_files(render_dotenv(s), root)
-    raw = spark.read.option("wholetext", "true").text(root).select(
+    write_dotenv_files(s, root)
+    raw = spark.read.text(root, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"deployment_id=([^/]+)", 1).alias("deployment_id"),
         F.lit(".env").alias("path"),
         F.col("value").alias("text"),
     )
     back = effective_settings(parse_dotenv(raw)).select("deployment_id", "key", "value")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, s.filter("value <> ''").collect()))
+    # the file bytes equal the rendered text
+    texts = {r.deployment_id: r.text for r in raw.collect()}
+    assert texts == {r.deployment_id: r.text for r in render_dotenv(s).collect()}
+
+
+def test_read_dotenv_files_whole(spark):
+    from gatewarden.sources.dotenv import read_dotenv_files
+
+    root = tempfile.mkdtemp(prefix="gw-envfiles-")
+    for dep, text in {"a": "A=1\n# c\nB = ' x '\n", "b": "export C=3\r\nC=4"}.items():
+        os.makedirs(os.path.join(root, dep))
+        with open(os.path.join(root, dep, "settings.env"), "w", newline="") as f:
+            f.write(text)
+    df = read_dotenv_files(spark, os.path.join(root, "*", "settings.env"), deployment_from_path=r"/([^/]+)/settings\.env$")
+    got = sorted((r.deployment_id, r.line_no, r.key, r.value) for r in df.collect())
+    assert got == [("a", 1, "A", "1"), ("a", 3, "B", " x "), ("b", 1, "export C", "3"), ("b", 2, "C", "4")]
+
+
+def test_read_pairing_dir(spark):
+    from gatewarden.sources.keyed_json import read_pairing_dir
+
+    root = tempfile.mkdtemp(prefix="gw-pair-")
+    os.makedirs(os.path.join(root, "dep1"))
+    with open(os.path.join(root, "dep1", "telegram-pending.json"), "w") as f:
+        f.write(json.dumps({"ab": {"user_id": "7", "user_name": "n", "created_at": 1.0}}, indent=2))
+    with open(os.path.join(root, "dep1", "bad-pending.json"), "w") as f:
+        f.write("{oops")
+    entries, corrupt = read_pairing_dir(spark, os.path.join(root, "*"), "pending", deployment_from_path=r"/([^/]+)/[^/]+$")
+    assert [(r.deployment_id, r.platform, r.entry_key, r.user_id) for r in entries.collect()] == [("dep1", "telegram", "ab", "7")]
+    assert [r.name for r in corrupt.collect()] == ["bad-pending.json"]

@@ -113,6 +113,12 @@ def render_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.render_dotenv(X.customer_settings(spark, sf_dir))
 
 
+@query("render_dotenv_lines")
+def render_lines_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O4, line form (what the file sink writes): header, entries, blank line."""
+    return S.render_dotenv_lines(X.customer_settings(spark, sf_dir))
+
+
 @query("readiness")
 def readiness_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model AND (provider key OR refresh token), every customer listed."""

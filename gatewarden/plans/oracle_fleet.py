@@ -163,6 +163,20 @@ WITH s AS (
 SELECT deployment_id, string_agg(blk, chr(10) ORDER BY o) AS text FROM b GROUP BY deployment_id
 """
 
+ORACLE["render_dotenv_lines"] = f"""
+WITH s AS (
+  SELECT s.deployment_id, c.o AS cat_ord, c.title, s.key || '=' || s.value AS entry
+  FROM ({SETTINGS}) s LEFT JOIN {REGISTRY_SQL} r ON r.key = s.key
+  JOIN {CATEGORIES_SQL} c ON c.category = coalesce(r.category, 'other')
+  WHERE length(s.value) > 0
+), g AS (SELECT DISTINCT deployment_id, cat_ord, title FROM s),
+l AS (SELECT deployment_id, max(cat_ord) AS last_ord FROM g GROUP BY deployment_id)
+SELECT deployment_id, cat_ord, 0 AS part, '# ' || title AS line FROM g
+UNION ALL SELECT deployment_id, cat_ord, 1 AS part, entry AS line FROM s
+UNION ALL SELECT g.deployment_id, g.cat_ord, 2 AS part, '' AS line FROM g JOIN l ON l.deployment_id = g.deployment_id
+          WHERE g.cat_ord <> l.last_ord
+"""
+
 CUSTOMER_DOCS = """
 SELECT c_custkey AS deployment_id,
   CASE WHEN c_mktsegment = 'AUTOMOBILE' AND c_acctbal < 0

@@ -150,6 +150,23 @@ def session_validity(
     return out.drop("__t", "__last_login", "__last_boot")
 
 
+def token_expiry(token: str | Column) -> Column:
+    """Expiry second of a ``<expires>.<signature>`` session token: the text
+    before the *last* dot as an integer; null if malformed (no dot, not a number)."""
+    t = F.col(token) if isinstance(token, str) else token
+    sig = F.substring_index(t, ".", -1)
+    head = t.substr(F.lit(1), F.length(t) - F.length(sig) - 1)
+    return F.when(t.contains("."), F.trim(head).try_cast("bigint"))
+
+
+def token_unexpired(token: str | Column, ts: str | Column) -> Column:
+    """The expiry rule alone (signature checks are not built): valid while the
+    request time is not past the whole expiry second."""
+    t = F.col(ts) if isinstance(ts, str) else ts
+    exp = token_expiry(token)
+    return F.coalesce(micros(t) <= exp * F.lit(1_000_000), F.lit(False))
+
+
 # ---------------------------------------------------------------------------
 # O36 safe_return_target
 # ---------------------------------------------------------------------------

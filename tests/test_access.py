@@ -121,3 +121,19 @@ def test_upstream_errors_cases(spark):
     assert got[3] == (503, "unavailable", None)
     assert got[4] == (502, "upstream_error", None)
     assert got[5][2] == cut[:200].decode("utf-8", errors="replace")
+
+
+def test_token_expiry_rule(spark):
+    df = spark.createDataFrame(
+        [
+            ("1000.abc", t(0)), ("1704067200.sig", t(0)), ("1704067200.sig", t(0.5)), ("1704067200.sig", t(1)),
+            ("nodot", t(0)), ("x.y.z", t(0)), ("12.34.sig", t(0)), ("", t(0)),
+        ],
+        "token string, ts timestamp",
+    )
+    got = [(r.e, r.ok) for r in df.select(A.token_expiry("token").alias("e"), A.token_unexpired("token", "ts").alias("ok")).collect()]
+    # T0 = 2024-01-01 00:00:00 = 1704067200
+    assert got == [
+        (1000, False), (1704067200, True), (1704067200, False), (1704067200, False),
+        (None, False), (None, False), (None, False), (None, False),
+    ]

@@ -5,7 +5,6 @@ import os
 import random
 import tempfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from gatewarden.operators import lifecycle as L
@@ -96,7 +95,6 @@ def test_st3_pairing_stream_equals_batch(spark):
 
 
 def test_st4_device_flow_stream_matches_batch(spark):
-    from gatewarden.plans import bindings as B  # noqa: F401  (registers queries)
     from gatewarden.streaming.device_flow import device_flow_stream
 
     common.use_rocksdb_state(spark)

@@ -131,14 +131,19 @@ def _truthy_variant(v: Column) -> Column:
     )
 
 
-def credential_presence(docs: DataFrame, provider: str = "xai-oauth", doc: str = "doc", key: str = "deployment_id") -> DataFrame:
-    """``has_refresh_token``: the provider's tokens are an object with a truthy
-    ``refresh_token``; anything unreadable or of the wrong type is false."""
-    v = F.try_parse_json(F.col(doc))
+def has_refresh_token(doc: Column, provider: str = "xai-oauth") -> Column:
+    """The provider's tokens are an object with a truthy ``refresh_token``;
+    anything unreadable or of the wrong type is false."""
+    v = F.try_parse_json(doc)
     tokens = F.try_variant_get(v, f'$.providers["{provider}"].tokens', "variant")
     is_obj = F.coalesce(F.schema_of_variant(tokens).startswith("OBJECT"), F.lit(False))
     rt = F.try_variant_get(tokens, "$.refresh_token", "variant")
-    return docs.select(key, (is_obj & _truthy_variant(rt)).alias("has_refresh_token"))
+    return is_obj & _truthy_variant(rt)
+
+
+def credential_presence(docs: DataFrame, provider: str = "xai-oauth", doc: str = "doc", key: str = "deployment_id") -> DataFrame:
+    """O31 per document: ``(key, has_refresh_token)``."""
+    return docs.select(key, has_refresh_token(F.col(doc), provider).alias("has_refresh_token"))
 
 
 DOC_MAP = "map<string, variant>"

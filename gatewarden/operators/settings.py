@@ -260,25 +260,22 @@ def integration_catalogue(registry: Registry = C.REGISTRY) -> list[tuple[str, st
     return items
 
 
-def _integration_rows(
+def _integration_values(
     deployments: DataFrame, settings: DataFrame, registry: Registry = C.REGISTRY, key: str = "deployment_id"
 ) -> DataFrame:
-    """Every provider and channel per deployment, set or not.
+    """One row per deployment with one column per catalogue key (its value).
 
-    Providers use plain truthiness, channels the bool-like rule.  The fixed
-    catalogue is generated per deployment with ``explode`` of a literal array
-    (no cross join), then joined to the settings on (dep, key).
+    A ``pivot`` with explicit values over the wanted keys only: one
+    aggregation (partial map-side), no value-discovery pass, and a join of two
+    one-row-per-deployment tables to keep deployments without settings.
     """
-    cat = integration_catalogue(registry)
-    arr = F.array(
-        *[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), F.lit(s).alias("skey"), F.lit(o).alias("ord")) for k, n, s, o in cat]
-    )
-    grid = deployments.select(key).distinct().select(key, F.explode(arr).alias("i")).select(key, "i.*")
-    wanted = [s for _, _, s, _ in cat]
-    vals = settings.filter(F.col("key").isin(*wanted)).select(key, F.col("key").alias("skey"), "value")
-    j = grid.join(vals, on=[key, "skey"], how="left")
-    configured = F.when(F.col("kind") == "channel", bool_like("value")).otherwise(truthy("value"))
-    return j.select(key, "kind", "name", "skey", configured.alias("configured"))
+    wanted = list(dict.fromkeys(s for _, _, s, _ in integration_catalogue(registry)))
+    pv = settings.filter(F.col("key").isin(*wanted)).groupBy(key).pivot("key", wanted).agg(F.max("value"))
+    return deployments.select(key).distinct().join(pv, on=key, how="left")
+
+
+def _configured(kind: str, value: Column) -> Column:
+    return bool_like(value) if kind == "channel" else truthy(value)
 
 
 def integration_status(
@@ -286,11 +283,20 @@ def integration_status(
 ) -> DataFrame:
     """Every provider and channel per deployment, set or not.
 
-    Providers use plain truthiness, channels the bool-like rule.  The fixed
-    catalogue is generated per deployment with ``explode`` of a literal array
-    (no cross join), then joined to the settings on (dep, key).
+    Providers use plain truthiness, channels the bool-like rule.  The values
+    come from :func:`_integration_values` (one pivot), and the fixed catalogue
+    is unrolled per deployment with ``explode`` of a literal array: no cross
+    join, no row-level join with the settings.
     """
-    return _integration_rows(deployments, settings, registry, key).drop("skey")
+    cat = integration_catalogue(registry)
+    vals = _integration_values(deployments, settings, registry, key)
+    arr = F.array(
+        *[
+            F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), _configured(k, F.col(f"`{s}`")).alias("configured"))
+            for k, n, s, _ in cat
+        ]
+    )
+    return vals.select(key, F.explode(arr).alias("i")).select(key, "i.*")
 
 
 def integration_column(kind: str, settings_key: str) -> str:
@@ -301,17 +307,11 @@ def integration_matrix(
     deployments: DataFrame, settings: DataFrame, registry: Registry = C.REGISTRY, key: str = "deployment_id"
 ) -> DataFrame:
     """O25 pivoted: one row per deployment, one boolean column per provider
-    and channel (``provider_<key>`` / ``channel_<key>``).
-
-    The pivot values are the fixed catalogue, so it is a single conditional
-    aggregation (``pivot`` with explicit values, no extra pass to find them).
-    """
-    status = _integration_rows(deployments, settings, registry, key)
+    and channel (``provider_<key>`` / ``channel_<key>``), straight from the
+    pivoted values."""
     cat = integration_catalogue(registry)
-    names = [integration_column(k, s) for k, _, s, _ in cat]
-    label = F.concat(F.col("kind"), F.lit("_"), F.lower(F.col("skey")))
-    st = status.withColumn("__col", label)
-    return st.groupBy(key).pivot("__col", names).agg(F.bool_or("configured"))
+    vals = _integration_values(deployments, settings, registry, key)
+    return vals.select(key, *[_configured(k, F.col(f"`{s}`")).alias(integration_column(k, s)) for k, _, s, _ in cat])
 
 
 # ---------------------------------------------------------------------------

@@ -268,14 +268,17 @@ def upsert_provider_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("rt-"), F.col("deployment_id").cast("string")).alias("refresh_token"),
     )
     out = D.upsert_provider(docs, "xai-oauth", tokens, F.lit(X.AS_OF).cast("timestamp"))
-    summ = _doc_summary(out)
     m = D.parse_doc(F.col("doc"))
-    upd = out.select(
+    prov = F.from_json(F.to_json(F.try_element_at(m, F.lit("providers"))), D.DOC_MAP)
+    # one projection over the rewritten document (no joins)
+    return out.select(
         "deployment_id",
+        F.array_join(F.array_sort(F.map_keys(prov)), ",").alias("providers"),
+        F.try_variant_get(F.try_element_at(m, F.lit("active_provider")), "$", "string").alias("active_provider"),
+        F.try_variant_get(F.try_element_at(m, F.lit("version")), "$", "bigint").cast("string").alias("version"),
         F.try_variant_get(F.try_element_at(m, F.lit("updated_at")), "$", "string").alias("updated_at"),
+        D.has_refresh_token(F.col("doc")).alias("has_refresh_token"),
     )
-    rt = D.credential_presence(out)
-    return summ.join(upd, "deployment_id").join(rt, "deployment_id")
 
 
 @query("inject_html")

@@ -108,46 +108,62 @@ def session_validity(
     The token in use is the one of the latest login of that session at or
     before the request (as-of).  It is valid while ``ts <= expiry second``
     (``int(login time) + lifetime``, compared against the fractional clock)
-    and only if no boot of the deployment happened after the login (the
-    signing secret is per process).  Logout does not revoke a token.
-
-    As-of lookups are linear scans (union + last non-null), not range joins,
-    and use the skew-safe :func:`ordered_scan`; the two scans run side by side
-    on the base inputs and are joined on the request key ``(dep, seq)``, which
-    must identify a request.  Adds ``login_ts`` and ``valid``.
+    and only if no boot of the deployment happened after the login and up to
+    the request (the signing secret is per process; a boot at the login's own
+    time counts as before it).  Logout does not revoke a token.
+
+    Both lookups are linear as-of scans (union + last non-null) with the
+    skew-safe :func:`ordered_scan`, never range joins:
+
+    1. each login gets the first boot of its deployment strictly after it,
+       by a reverse scan over logins and boots only (small inputs);
+    2. each request gets its session's latest login (with that next boot) by
+       one forward scan over requests and annotated logins.  The request rows
+       travel through the scan, so the access table is shuffled once and
+       never joined back.
+
+    A request then is of the login's process iff the next boot is later than
+    the request.  Adds ``login_ts`` and ``valid``.
     """
-    req_key = [key, "seq"]
-    acc = access.withColumn("__t", micros("ts"))
-    # As-of login per (dep, session): union of requests and logins, last non-null.
-    a1 = acc.select(key, "session_id", "seq", "__t", F.lit(1).alias("__row"), F.lit(None).cast("bigint").alias("__login"))
-    lg = logins.select(
-        key, "session_id", F.lit(None).cast("bigint").alias("seq"), micros("ts").alias("__t"), F.lit(0).alias("__row"),
-        micros("ts").alias("__login"),
-    )
-    s1 = ordered_scan(
-        a1.unionByName(lg), [key, "session_id"], "__t", ["__t", "__row"],
-        [ScanSpec("__last_login", "last", F.col("__login"))], bucket_s,
-    ).filter(F.col("__row") == 1).select(*req_key, "__last_login")
-    out = acc.join(s1, on=req_key, how="inner")
+    lg = logins.select(key, "session_id", micros("ts").alias("__t"))
     if boots is not None:
-        # As-of boot per dep, scanned independently over the base inputs (no
-        # scan stacked on a scan), then joined back on the request key.
-        a2 = acc.select(key, "seq", "__t", F.lit(1).alias("__row"), F.lit(None).cast("bigint").alias("__boot"))
-        bt = boots.select(
-            key, F.lit(None).cast("bigint").alias("seq"), micros("ts").alias("__t"), F.lit(0).alias("__row"), micros("ts").alias("__boot")
+        # Reverse time (negated microseconds): the "last" boot seen before a
+        # login in reverse order is the next boot after it in time.  At equal
+        # times the login sorts first, so a boot at the login's time is not
+        # "after" it.
+        lr = lg.select(
+            key, "session_id", (-F.col("__t")).alias("__r"), F.lit(0).alias("__o"), F.col("__t").alias("__login"),
+            F.lit(None).cast("bigint").alias("__boot"),
+        )
+        br = boots.select(
+            key, F.lit(None).cast("string").alias("session_id"), (-micros("ts")).alias("__r"), F.lit(1).alias("__o"),
+            F.lit(None).cast("bigint").alias("__login"), micros("ts").alias("__boot"),
         )
-        s2 = ordered_scan(
-            a2.unionByName(bt), [key], "__t", ["__t", "__row"], [ScanSpec("__last_boot", "last", F.col("__boot"))], bucket_s
-        ).filter(F.col("__row") == 1).select(*req_key, "__last_boot")
-        out = out.join(s2, on=req_key, how="inner")
+        nb = ordered_scan(
+            lr.unionByName(br), [key], "__r", ["__r", "__o"], [ScanSpec("__next_boot", "last", F.col("__boot"))], bucket_s
+        )
+        lg = nb.filter(F.col("__o") == 0).select(key, "session_id", F.col("__login").alias("__t"), "__next_boot")
     else:
-        out = out.withColumn("__last_boot", F.lit(None).cast("bigint"))
-    login = F.col("__last_login")
+        lg = lg.withColumn("__next_boot", F.lit(None).cast("bigint"))
+    info = "struct<login:bigint,next_boot:bigint>"
+    lrows = lg.select(
+        key, "session_id", "__t", F.lit(0).alias("__row"),
+        F.struct(F.col("__t").alias("login"), F.col("__next_boot").alias("next_boot")).alias("__li"),
+    )
+    acc = access.withColumns({"__t": micros("ts"), "__row": F.lit(1), "__li": F.lit(None).cast(info)})
+    # logins sort before requests of the same time: a login at the request's
+    # own time is in effect for it
+    scanned = ordered_scan(
+        acc.unionByName(lrows, allowMissingColumns=True), [key, "session_id"], "__t", ["__t", "__row"],
+        [ScanSpec("__last", "last", F.col("__li"))], bucket_s,
+    ).filter(F.col("__row") == 1)
+    login = F.col("__last.login")
+    next_boot = F.col("__last.next_boot")
     expiry_us = (F.floor(login / F.lit(1_000_000)) + F.lit(int(lifetime_s))) * F.lit(1_000_000)
-    same_process = F.col("__last_boot").isNull() | (login >= F.col("__last_boot"))
+    same_process = next_boot.isNull() | (next_boot > F.col("__t"))
     valid = login.isNotNull() & same_process & (F.col("__t") <= expiry_us)
-    out = out.withColumn("login_ts", F.timestamp_micros(login)).withColumn("valid", F.coalesce(valid, F.lit(False)))
-    return out.drop("__t", "__last_login", "__last_boot")
+    out = scanned.withColumns({"login_ts": F.timestamp_micros(login), "valid": F.coalesce(valid, F.lit(False))})
+    return out.select(*access.columns, "login_ts", "valid")
 
 
 def token_expiry(token: str | Column) -> Column:

@@ -70,6 +70,50 @@ def test_session_validity_cases(spark):
     assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 6: True}
 
 
+def test_session_validity_boot_ties(spark):
+    # a boot at the login's own time is before the login (same process);
+    # a boot at the request's own time ends the process the token belongs to
+    logins = spark.createDataFrame([("d", "s1", t(100)), ("d", "s2", t(300))], "deployment_id string, session_id string, ts timestamp")
+    boots = spark.createDataFrame([("d", t(100)), ("d", t(400))], "deployment_id string, ts timestamp")
+    acc = spark.createDataFrame(
+        [
+            ("d", "s1", t(100), 1),   # login and boot at the same time as the request -> valid
+            ("d", "s1", t(399), 2),   # no boot after the login yet -> valid
+            ("d", "s2", t(400), 3),   # boot at the request's time -> invalid
+            ("d", "s2", t(300), 4),   # login at the request's time -> valid
+        ],
+        "deployment_id string, session_id string, ts timestamp, seq long",
+    )
+    got = {r.seq: r.valid for r in A.session_validity(acc, logins, boots, lifetime_s=10_000).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True}
+
+
+def test_session_validity_matches_brute_force_across_buckets(spark):
+    import random
+
+    rnd = random.Random(7)
+    deps, life = ["a", "b"], 200
+    logins = [(d, f"s{rnd.randrange(3)}", rnd.randrange(0, 1000)) for d in deps for _ in range(15)]
+    boots = [(d, rnd.randrange(0, 1000)) for d in deps for _ in range(6)]
+    reqs = [(d, f"s{rnd.randrange(4)}", rnd.randrange(0, 1000), i) for i, d in enumerate(rnd.choice(deps) for _ in range(300))]
+
+    def brute(d, s, ts):
+        ls = [lt for ld, ls_, lt in logins if ld == d and ls_ == s and lt <= ts]
+        if not ls:
+            return False
+        login = max(ls)
+        reboot = any(ld == d and login < bt <= ts for ld, bt in boots)
+        return not reboot and ts <= login + life
+
+    want = {i: brute(d, s, ts) for d, s, ts, i in reqs}
+    ldf = spark.createDataFrame([(d, s, t(x)) for d, s, x in logins], "deployment_id string, session_id string, ts timestamp")
+    bdf = spark.createDataFrame([(d, t(x)) for d, x in boots], "deployment_id string, ts timestamp")
+    adf = spark.createDataFrame([(d, s, t(x), i) for d, s, x, i in reqs], "deployment_id string, session_id string, ts timestamp, seq long")
+    got = {r.seq: r.valid for r in A.session_validity(adf, ldf, bdf, lifetime_s=life, bucket_s=37).collect()}
+    assert got == want
+    assert any(want.values()) and not all(want.values())
+
+
 def test_safe_return_target_cases(spark):
     vals = ["", "x", "//h", "/a?b=c", "http://h/", "/\\h", None]
     df = spark.createDataFrame([(v,) for v in vals], "return_to string")

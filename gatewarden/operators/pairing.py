@@ -58,8 +58,11 @@ def resolve_decisions(pending: DataFrame, decisions: DataFrame) -> tuple[DataFra
     * approvals(deployment_id, platform, user_id, user_name, ts, seq) for
       input to :func:`approved_users`.
 
-    Aggregations and equi-joins only: the first effective decision per code is
-    a ``min`` of (ts, seq), joined back on the code key.
+    Aggregations and equi-joins only.  The first effective decision per code
+    is ``least(first valid deny, first valid approve if the entry has a
+    user_id)``: both minima come from the decisions alone (partially
+    aggregated map-side, one row per code), so the decisions are joined once,
+    to a one-row-per-code table, and never to themselves.
     """
     k = ["deployment_id", "platform", "code"]
     p = pending.select(
@@ -80,16 +83,17 @@ def resolve_decisions(pending: DataFrame, decisions: DataFrame) -> tuple[DataFra
     # approve/deny) is 400 for either.
     missing = (F.coalesce(F.length("platform"), F.lit(0)) == 0) | (F.length("code") == 0)
     bad = ~F.coalesce(F.col("op").isin("approve", "deny"), F.lit(False)) | ((F.col("op") == "approve") & missing)
-    dj = d.join(p, on=k, how="left")
-    exists = F.col("__uid").isNotNull()
-    effective = ~bad & ((F.col("op") == "deny") | ((F.col("op") == "approve") & exists & (F.length("__uid") > 0)))
-    first = (
-        dj.filter(effective)
-        .groupBy(*k)
-        .agg(F.min(F.struct("ts", "seq")).alias("__first"))
-    )
-    dj = dj.join(first, on=k, how="left")
     o = F.struct("ts", "seq")
+    firsts = d.groupBy(*k).agg(
+        F.min(F.when(~bad & (F.col("op") == "deny"), o)).alias("__fd"),
+        F.min(F.when(~bad & (F.col("op") == "approve"), o)).alias("__fa"),
+    )
+    has_uid = F.col("__uid").isNotNull() & (F.length("__uid") > 0)
+    per_code = firsts.join(p, on=k, how="left").select(
+        *k, "__uid", "__uname", F.least(F.col("__fd"), F.when(has_uid, F.col("__fa"))).alias("__first")
+    )
+    dj = d.join(per_code, on=k, how="left")
+    exists = F.col("__uid").isNotNull()
     resolved_before = F.col("__first").isNotNull() & (o > F.col("__first"))
     status = (
         F.when(bad, F.lit(400))
@@ -109,7 +113,8 @@ def resolve_decisions(pending: DataFrame, decisions: DataFrame) -> tuple[DataFra
         "ts",
         "seq",
     )
-    remaining = pending.join(first.select(*k), on=k, how="left_anti")
+    resolved = per_code.filter(F.col("__first").isNotNull()).select(*k)
+    remaining = pending.join(resolved, on=k, how="left_anti")
     return outcomes.select("decision_id", "status"), remaining, approvals
 
 

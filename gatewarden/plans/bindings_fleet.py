@@ -26,7 +26,7 @@ from .tables import table
 @query("parse_dotenv")
 def parse_dotenv_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1 over the customer .env files and the whole text of every document."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"], spread=True).select(
         F.col("doc_id").alias("deployment_id"), F.concat(F.lit("documents/"), "source").alias("path"), "text"
     )
     files = X.customer_env_files(spark, sf_dir).unionByName(docs)
@@ -297,7 +297,7 @@ def inject_html_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_pairing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"], spread=True)
     pr = F.col("o_orderpriority")
     name = (
         F.when(pr == "1-URGENT", "telegram-pending.json")
@@ -445,7 +445,7 @@ def access_decision_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("upstream_errors")
 def upstream_errors_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as upstream replies (status by language, failures by source)."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"], spread=True)
     resp = d.select(
         F.col("doc_id").alias("deployment_id"),
         F.when(F.col("lang") == "de", 404).when(F.col("lang") == "fr", 500).when(F.col("lang") == "es", 399).otherwise(200).alias("status"),

@@ -74,3 +74,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread rows over the cluster when the input has fewer partitions than
+    the cluster has cores.
+
+    A scan splits a Parquet file no finer than one row group, so a table
+    written as a few large row groups is read by a few tasks, and narrow
+    per-row work before the first shuffle (JSON, ``.env`` and log parsing)
+    would run on those tasks alone.  Then a round-robin ``repartition`` to the
+    default parallelism comes first.  Inputs at scale have far more partitions
+    than cores, and ``df`` is returned unchanged: no shuffle is added.
+    """
+    n = int(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n)

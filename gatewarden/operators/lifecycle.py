@@ -170,26 +170,28 @@ def lifecycle_crash_loop(
     ordered scans, the liveness one exclusive of the current row.
     """
     ev = events.withColumn("__t", micros("ts"))
+    ev = ordered_scan(ev, [key], "__t", ["__t", "seq"], _crash_specs(), bucket_s)
+    return _crash_from_scanned(ev, key, window_s, max_exits, bucket_s)
+
+
+def _crash_specs() -> list[ScanSpec]:
+    """Running control (last stop/go, inclusive) and liveness (exclusive)."""
     control = F.when(F.col("event") == "stop", F.lit("stop")).when(
         F.col("event").isin("start", "restart", "respawn", "running"), F.lit("go")
     )
     live = F.when(F.col("event").isin(*_LIVE_MAKING), F.lit(True)).when(
         F.col("event").isin(*_DEAD_MAKING), F.lit(False)
     )
-    ev = ordered_scan(
-        ev,
-        [key],
-        "__t",
-        ["__t", "seq"],
-        [ScanSpec("__ctl", "last", control), ScanSpec("__live_before", "last", live, exclusive=True)],
-        bucket_s,
-    )
+    return [ScanSpec("__ctl", "last", control), ScanSpec("__live_before", "last", live, exclusive=True)]
+
+
+def _crash_from_scanned(ev: DataFrame, key: str, window_s: float, max_exits: int, bucket_s: int) -> DataFrame:
     is_exit = (F.col("event") == "exit") & ~F.coalesce(F.col("__ctl") == "stop", F.lit(False))
     is_reset = (F.col("event") == "restart") | (
         (F.col("event") == "start") & ~F.coalesce(F.col("__live_before"), F.lit(False))
     )
     res = crash_loop(ev, is_exit, is_reset, key=key, window_s=window_s, max_exits=max_exits, bucket_s=bucket_s)
-    return respawn_delay(res)
+    return respawn_delay(res.drop("__ctl", "__live_before"))
 
 
 # ---------------------------------------------------------------------------
@@ -302,20 +304,47 @@ def lifecycle_from_log_events(typed: DataFrame, key: str = "deployment_id", buck
     the other typed events keep their names (start, start_failed, exit,
     crashed, unready).
     """
-    ev = typed.filter(
-        F.col("event").isin("start", "start_failed", "exit", "crashed", "unready", "respawn_scheduled", "respawn_cancelled")
-    ).withColumn("__t", micros("ts"))
+    ev = typed.filter(F.col("event").isin(*_ADAPTER_EVENTS)).withColumn("__t", micros("ts"))
+    ev = ordered_scan(ev, [key], "__t", ["__t", "seq"], [_respawn_marker_spec()], bucket_s)
+    return _apply_respawn(ev).drop("__t")
+
+
+_ADAPTER_EVENTS = ("start", "start_failed", "exit", "crashed", "unready", "respawn_scheduled", "respawn_cancelled")
+
+
+def _respawn_marker_spec() -> ScanSpec:
+    """Last schedule-or-other marker strictly before each row."""
     marker = (
         F.when(F.col("event") == "respawn_scheduled", F.lit("scheduled"))
         .when(F.col("event").isin("start", "exit", "respawn_cancelled", "unready"), F.lit("other"))
     )
-    ev = ordered_scan(ev, [key], "__t", ["__t", "seq"], [ScanSpec("__prev", "last", marker, exclusive=True)], bucket_s)
+    return ScanSpec("__prev", "last", marker, exclusive=True)
+
+
+def _apply_respawn(ev: DataFrame) -> DataFrame:
     event = F.when((F.col("event") == "start") & (F.col("__prev") == "scheduled"), F.lit("respawn")).otherwise(F.col("event"))
-    return (
-        ev.filter(~F.col("event").isin("respawn_scheduled", "respawn_cancelled"))
-        .withColumn("event", event)
-        .drop("__t", "__prev")
-    )
+    return ev.filter(~F.col("event").isin("respawn_scheduled", "respawn_cancelled")).withColumn("event", event).drop("__prev")
+
+
+def crash_loop_from_log_events(
+    typed: DataFrame,
+    key: str = "deployment_id",
+    window_s: float = C.CRASH_WINDOW_S,
+    max_exits: int = C.CRASH_MAX_EXITS,
+    bucket_s: int = DEFAULT_BUCKET_S,
+) -> DataFrame:
+    """:func:`lifecycle_from_log_events` then :func:`lifecycle_crash_loop`, in
+    one ordered scan instead of two stacked ones.
+
+    The crash loop's control and liveness markers are the same for ``start``
+    and ``respawn`` (both "go", both live), and the schedule / cancellation
+    rows the adapter drops carry neither marker.  So the adapter's marker and
+    the crash loop's two are scanned together over the typed events, which
+    are parsed from text and so are computed twice here instead of four times.
+    """
+    ev = typed.filter(F.col("event").isin(*_ADAPTER_EVENTS)).withColumn("__t", micros("ts"))
+    ev = ordered_scan(ev, [key], "__t", ["__t", "seq"], [_respawn_marker_spec(), *_crash_specs()], bucket_s)
+    return _crash_from_scanned(_apply_respawn(ev), key, window_s, max_exits, bucket_s)
 
 
 def restart_counts(events: DataFrame, key: str = "deployment_id") -> DataFrame:

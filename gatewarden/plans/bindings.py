@@ -168,8 +168,7 @@ def crash_loop_from_logs_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import standins as X
 
     typed = extract_lifecycle_events(clean_log_lines(X.event_log_raw(spark, sf_dir)))
-    lc = L.lifecycle_from_log_events(typed)
-    res = L.lifecycle_crash_loop(lc, window_s=CRASH_WINDOW_H * 3600, max_exits=CRASH_MAX)
+    res = L.crash_loop_from_log_events(typed, window_s=CRASH_WINDOW_H * 3600, max_exits=CRASH_MAX)
     return res.select(
         "deployment_id", "seq", micros("ts").alias("ts_us"), "exits_in_window", "verdict", F.col("delay_s").cast("string").alias("delay_s")
     )

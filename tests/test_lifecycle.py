@@ -227,3 +227,18 @@ def test_lifecycle_from_log_events_and_state_ignores_non_state_events(spark):
     assert res == [(2, 1), (5, 2), (9, 1)]
     st = L.lifecycle_state(typed, ts(100)).first()
     assert st.state == "error"  # the trailing lock clean-up does not blank the state
+
+
+def test_fused_log_crash_loop_equals_adapter_then_crash_loop(spark):
+    rnd = random.Random(11)
+    kinds = ["start", "exit", "exit", "respawn_scheduled", "respawn_cancelled", "crashed", "unready", "start_failed", "lock_cleared"]
+    rows = [(rnd.choice("ab"), rnd.randrange(0, 2000), q, rnd.choice(kinds)) for q in range(400)]
+    typed = events_df(spark, rows)
+    cols = ["deployment_id", "seq", "exits_in_window", "verdict", "delay_s"]
+    composed = L.lifecycle_crash_loop(L.lifecycle_from_log_events(typed, bucket_s=50), bucket_s=200)
+    fused = L.crash_loop_from_log_events(typed, bucket_s=200)
+    want = sorted(tuple(r) for r in composed.select(*cols).collect())
+    got = sorted(tuple(r) for r in fused.select(*cols).collect())
+    assert got == want
+    assert any(r[3] == "crashed" for r in got) and any(r[3] == "respawn" for r in got)
+    assert L.lifecycle_from_log_events(typed).filter(F.col("event") == "respawn").count() > 0

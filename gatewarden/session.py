@@ -86,6 +86,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     would run on those tasks alone.  Then a round-robin ``repartition`` to the
     default parallelism comes first.  Inputs at scale have far more partitions
     than cores, and ``df`` is returned unchanged: no shuffle is added.
+
+    Call it on a freshly read input (scan, projection, filter), as the table
+    readers do: the partition count of such a plan is known from planning
+    alone, while on a plan with shuffles adaptive execution would have to run
+    them to know it.
     """
     n = int(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
     if df.rdd.getNumPartitions() >= n:

@@ -186,17 +186,21 @@ def render_dotenv_lines(settings: DataFrame, registry: Registry = C.REGISTRY, ke
         category_of("key", registry).alias("__cat"),
         F.concat("key", F.lit("="), "value").alias("line"),
     )
-    groups = s.groupBy(key, "cat_ord", "__cat").agg(F.count(F.lit(1)).alias("__n"))
-    last = groups.groupBy(key).agg(F.max("cat_ord").alias("__last"))
-    headers = groups.select(
-        key, "cat_ord", F.lit(0).alias("part"),
-        F.concat(F.lit("# "), F.try_element_at(cat_title, F.col("__cat"))).alias("line"),
-    )
-    blanks = groups.join(last, on=key, how="inner").filter(F.col("cat_ord") != F.col("__last")).select(
-        key, "cat_ord", F.lit(2).alias("part"), F.lit("").alias("line")
-    )
+    # The categories of a deployment: a set of at most len(cats) entries
+    # whatever its row count, partially aggregated map-side.  Headers and the
+    # blank lines between groups come from it in one pass.
+    per_dep = s.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("cat_ord", "__cat"))).alias("__cats"))
+
+    def line(c: Column, part: int, text: Column) -> Column:
+        return F.struct(c["cat_ord"].alias("cat_ord"), F.lit(part).alias("part"), text.alias("line"))
+
+    def lines_of(c: Column, i: Column) -> Column:
+        header = line(c, 0, F.concat(F.lit("# "), F.try_element_at(cat_title, c["__cat"])))
+        return F.when(i < F.size("__cats") - 1, F.array(header, line(c, 2, F.lit("")))).otherwise(F.array(header))
+
+    frame = per_dep.select(key, F.inline(F.flatten(F.transform("__cats", lines_of))))
     entries = s.select(key, "cat_ord", F.lit(1).alias("part"), "line")
-    return headers.unionByName(entries).unionByName(blanks)
+    return frame.unionByName(entries)
 
 
 # ---------------------------------------------------------------------------

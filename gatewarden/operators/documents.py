@@ -29,19 +29,19 @@ def overlay_policy_from_settings(settings: DataFrame, home: str, key: str = "dep
     custom_providers forced when a custom base URL is set, else removed.
     """
     from ..functions.text import truthy
-    from .settings import custom_endpoints, provider_keys
+    from .settings import custom_endpoint_aggs, custom_endpoint_fields, provider_keys
 
+    # One aggregation per deployment over all its settings (every deployment
+    # with a setting gets the forced leaves); no join.
     per_dep = settings.groupBy(key).agg(
         F.max(F.when(F.col("key") == C.MODEL_KEY, F.col("value"))).alias("__model"),
         F.bool_or(F.col("key").isin(*provider_keys()) & truthy("value")).alias("__any_provider"),
+        *custom_endpoint_aggs(),
     )
-    custom = custom_endpoints(settings, key).select(
-        key,
-        F.to_json(
-            F.array(F.struct(F.col("name"), F.col("base_url"), F.col("key_env")))
-        ).alias("__custom"),
+    present, fields = custom_endpoint_fields()
+    d = per_dep.select(
+        key, "__model", "__any_provider", F.when(present, F.to_json(F.array(F.struct(*fields)))).alias("__custom")
     )
-    d = per_dep.join(custom, on=key, how="left")
 
     def row(path: str, value: Column, policy: Column | str, vtype: str) -> Column:
         pol = F.lit(policy) if isinstance(policy, str) else policy

@@ -323,15 +323,27 @@ def integration_matrix(
 # ---------------------------------------------------------------------------
 
 
-def custom_endpoints(settings: DataFrame, key: str = "deployment_id") -> DataFrame:
-    """A row when the custom base URL is non-blank; name = slug of the given
-    name, else of the URL, else ``custom``."""
-    p = settings.filter(F.col("key").isin("CUSTOM_PROVIDER_BASE_URL", "CUSTOM_PROVIDER_NAME")).groupBy(key).agg(
+CUSTOM_KEYS = ("CUSTOM_PROVIDER_BASE_URL", "CUSTOM_PROVIDER_NAME")
+
+
+def custom_endpoint_aggs() -> list[Column]:
+    """Aggregates (per deployment) that :func:`custom_endpoint_fields` reads."""
+    return [
         F.max(F.when(F.col("key") == "CUSTOM_PROVIDER_BASE_URL", F.col("value"))).alias("__url"),
         F.max(F.when(F.col("key") == "CUSTOM_PROVIDER_NAME", F.col("value"))).alias("__name"),
-    )
+    ]
+
+
+def custom_endpoint_fields() -> tuple[Column, list[Column]]:
+    """``(present, [name, base_url, key_env])`` over :func:`custom_endpoint_aggs`."""
     url = py_strip(F.coalesce("__url", F.lit("")))
     raw_name = F.coalesce(F.nullif(py_strip(F.coalesce("__name", F.lit(""))), F.lit("")), url)
-    return p.filter(F.length(url) > 0).select(
-        key, slug(raw_name).alias("name"), url.alias("base_url"), F.lit(C.CUSTOM_KEY_ENV).alias("key_env")
-    )
+    return F.length(url) > 0, [slug(raw_name).alias("name"), url.alias("base_url"), F.lit(C.CUSTOM_KEY_ENV).alias("key_env")]
+
+
+def custom_endpoints(settings: DataFrame, key: str = "deployment_id") -> DataFrame:
+    """A row when the custom base URL is non-blank; name = slug of the given
+    name, else of the URL, else ``custom``."""
+    p = settings.filter(F.col("key").isin(*CUSTOM_KEYS)).groupBy(key).agg(*custom_endpoint_aggs())
+    present, fields = custom_endpoint_fields()
+    return p.filter(present).select(key, *fields)

@@ -44,7 +44,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later steps read the shared copy, so a lost executor
     costs no recomputation of what came before."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # New column ids: unions of checkpoints fail where one keeps constraints on columns of its past.
+    return out.select(*[F.col(f"`{c}`").alias(c) for c in out.columns])
 
 
 def table_in_shared_dir(df: DataFrame, name: str) -> DataFrame:

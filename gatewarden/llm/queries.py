@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, langid, mixing, packing, quality, sharding, urlfilter
+from . import embedding, langid, minhash, mixing, packing, quality, sharding, urlfilter
 
 SHARDS = 24
 URL_RULES = [
@@ -22,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs).select("doc_id", "class_id", "copy_id", "kept")
+
+
 def tokenizer_path() -> str:
     """The tokenizer's file, at the same place on every machine that has the package."""
     import public_tokenizers
@@ -74,7 +79,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_language_id, op5_sharding, op6_url_filter, op8_mixing, op9_quality_rules, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op4_language_id, op5_sharding, op6_url_filter, op8_mixing, op9_quality_rules, op10_embedding_dedup)}
 
 OP6_SQL = """
 WITH u AS (

@@ -25,6 +25,8 @@ Only built-in expressions run; nothing but a convergence number reaches the driv
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,8 +131,11 @@ def _cell_copies(cells: DataFrame, goals: DataFrame, lams: DataFrame, repairs: i
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row."""
-    base = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    """doc_id, source, row (hash of the text), size, source_size, target, copies,
+    taken for every row."""
+    text = F.col(text_col)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("row"), word_count(text).alias("size"))
+    base = cut(base)
     s = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"))
     cells = cut(base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("s", s))
     per = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
@@ -139,9 +144,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = cells.select("s", "size", "n")
     chosen = _cell_copies(cells, goals, solve(cells, goals))
     ranked = gapless_rank(
-        base.withColumn("s", s), ["s", "size"], ["doc_id"], "place", counts=cells.select("s", "size", F.col("n").alias("__n"))
+        base.withColumn("s", s), ["s", "size"], ["doc_id", "row"], "place", counts=cells.select("s", "size", F.col("n").alias("__n"))
     ).withColumnRenamed("size", "z")
     out = ranked.join(chosen.withColumnRenamed("s", "cs"), (F.col("s") == F.col("cs")) & (F.col("z") == F.col("size")))
     whole, rest = F.floor(F.col("k") / F.col("n")).cast("long"), F.col("k") % F.col("n")
     out = out.withColumn("copies", whole + F.when(F.col("place") < rest, 1).otherwise(0))
-    return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "row", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The mix itself: each row as often as it is taken (0, 1 or 2 times); columns as
+    given.  Rows alike in doc_id, source and text are taken as often as they are
+    together, all from one of them."""
+    tag = uuid.uuid4().hex
+    keys = [f"i{tag}", f"s{tag}", f"r{tag}"]
+    got = mix(docs, id_col, text_col, source_col, weights).groupBy("doc_id", "source", "row")
+    got = got.agg(F.sum("copies").cast("int").alias(f"c{tag}"), F.count(F.lit(1)).alias(f"n{tag}"))
+    got = cut(got.filter(F.col(f"c{tag}") > 0).toDF(*keys, f"c{tag}", f"n{tag}"))
+    own = [F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.xxhash64(F.col(f"`{text_col}`"))]
+    d = docs.join(got, (own[0].eqNullSafe(F.col(keys[0]))) & (own[1].eqNullSafe(F.col(keys[1]))) & (own[2] == F.col(keys[2])))
+    single = F.col(f"n{tag}") == 1
+    d = d.filter(single).unionByName(d.filter(~single).dropDuplicates(keys))
+    d = d.withColumn(f"t{tag}", F.explode(F.array_repeat(F.lit(1), F.col(f"c{tag}"))))
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, langid, minhash, mixing, packing, quality, sharding, urlfilter
+from . import embedding, langid, licenses, linededup, minhash, mixing, packing, quality, sharding, urlfilter
 
 SHARDS = 24
 URL_RULES = [
@@ -39,6 +39,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.line_classes(docs).select("doc_id", "line_no", "class_id", "kept")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     known = langid.fit(docs, langid.in_training(F.col("doc_id")))
@@ -63,6 +68,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, spark.createDataFrame(URL_RULES, "verdict string, host string, path string"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -79,7 +88,21 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_packing, op4_language_id, op5_sharding, op6_url_filter, op8_mixing, op9_quality_rules, op10_embedding_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_dedup,
+        op2_packing,
+        op3_line_dedup,
+        op4_language_id,
+        op5_sharding,
+        op6_url_filter,
+        op7_license_scan,
+        op8_mixing,
+        op9_quality_rules,
+        op10_embedding_dedup,
+    )
+}
 
 OP6_SQL = """
 WITH u AS (
@@ -100,4 +123,32 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1
 """
 
-ORACLE = {"op6_url_filter": OP6_SQL}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    t = f"lower({text})"
+    for spelling, usual in licenses.SPELLINGS:
+        t = f"replace({t}, {_quoted(spelling)}, {_quoted(usual)})"
+    t = f"regexp_replace({t}, {_quoted(licenses.COPYRIGHT_LINE)}, ' ', 'g')"
+    return f"nullif(trim(regexp_replace({t}, {_quoted(licenses.NO_WORD)}, ' ', 'g')), '')"
+
+
+OP7_SQL = f"""
+WITH known(license, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.known_texts())}),
+k AS (SELECT md5({_canonical_sql("text")}) AS d, min(license) AS license FROM known GROUP BY 1),
+whole AS (SELECT doc_id, md5({_canonical_sql("coalesce(text, '')")}) AS digest FROM documents),
+units AS (
+  SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), {_quoted(licenses.SENTENCE_END)}, '\\1' || chr(10), 'g'), chr(10))) AS unit
+  FROM documents),
+hits AS (
+  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n
+  FROM units JOIN k ON md5({_canonical_sql("unit")}) = k.d GROUP BY doc_id)
+SELECT w.doc_id, w.digest, k.license, h.notices, coalesce(h.n, 0) AS n_notices
+FROM whole w LEFT JOIN k ON w.digest = k.d LEFT JOIN hits h ON w.doc_id = h.doc_id
+"""
+
+ORACLE = {"op6_url_filter": OP6_SQL, "op7_license_scan": OP7_SQL}

@@ -192,13 +192,14 @@ def safe_return_target(df: DataFrame, value: str = "return_to") -> DataFrame:
     """Only same-origin relative paths survive; anything else becomes ``/``.
 
     Rejected: empty, not starting with ``/``, starting with ``//``, or carrying
-    a scheme or host.  ``has_backslash`` flags ``/\\host``-style targets that
-    pass the rule but that browsers may read as a host.
+    a host once tab, CR and LF are removed, as URL parsers do (a text that
+    starts with ``/`` has no scheme).  The output keeps the text as given.
+    ``has_backslash`` flags ``/\\host``-style targets that pass the rule but
+    that browsers may read as a host.
     """
     v = F.coalesce(F.col(value), F.lit(""))
-    host = F.try_parse_url(v, F.lit("HOST"))
-    proto = F.try_parse_url(v, F.lit("PROTOCOL"))
-    bad = (F.length(v) == 0) | ~v.startswith("/") | v.startswith("//") | host.isNotNull() | proto.isNotNull()
+    host = F.regexp_extract(F.translate(v, "\t\r\n", ""), r"^//([^/?#]*)", 1)
+    bad = ~v.startswith("/") | v.startswith("//") | (host != "")
     return df.withColumns(
         {
             "target": F.when(bad, F.lit("/")).otherwise(v),
@@ -226,10 +227,13 @@ def access_decision(classified: DataFrame, ready: Column | None = None) -> DataF
     """Decision per request, from the route (O27), the session (O29) and
     readiness (O15).
 
-    public route -> ``pass``; invalid session with an HTML accept -> 302 to
-    the login page with the path (and query) as return target; invalid
-    otherwise -> 401; a valid GET on ``/`` without ``force=1`` while the
-    deployment is not ready -> 302 to setup; else the route's handler.
+    The router answers first: no route -> ``not_found`` (404 over HTTP), a
+    route without this method -> ``method_not_allowed`` (405), whatever the
+    session.  Then: public route -> ``pass``; a WebSocket without a valid
+    session -> ``close_ws`` (code 4401); invalid session with an HTML accept
+    -> 302 to the login page with the path (and query) as return target;
+    invalid otherwise -> 401; a valid GET on ``/`` without ``force=1`` while
+    the deployment is not ready -> 302 to setup; else the route's handler.
     Adds ``decision``, ``status`` (null when the handler decides) and ``location``.
     """
     q = F.coalesce(F.col("query"), F.lit(""))
@@ -239,8 +243,11 @@ def access_decision(classified: DataFrame, ready: Column | None = None) -> DataF
     force = F.coalesce(F.try_url_decode(query_param_last(q, "force")) == F.lit("1"), F.lit(False))
     rdy = F.coalesce(ready if ready is not None else F.col("ready"), F.lit(False))
     valid = F.coalesce(F.col("valid"), F.lit(False))
+    ws = (F.col("kind") if "kind" in classified.columns else F.lit("http")) == "ws"
     decision = (
-        F.when(F.col("is_public"), F.lit("pass"))
+        F.when(F.col("handler").isin("method_not_allowed", "not_found"), F.col("handler"))
+        .when(F.col("is_public"), F.lit("pass"))
+        .when(ws & ~valid, F.lit("close_ws"))
         .when(~valid & wants_html, F.lit("redirect_login"))
         .when(~valid, F.lit("unauthorized"))
         .when((F.col("handler") == "route_root") & (F.upper("method") == "GET") & ~force & ~rdy, F.lit("redirect_setup"))
@@ -249,8 +256,9 @@ def access_decision(classified: DataFrame, ready: Column | None = None) -> DataF
     status = (
         F.when(decision.isin("redirect_login", "redirect_setup"), F.lit(302))
         .when(decision == "unauthorized", F.lit(401))
+        .when(decision == "close_ws", F.lit(4401))
         .when(F.col("handler") == "method_not_allowed", F.lit(405))
-        .when(F.col("handler").isin("route_setup_404", "not_found"), F.lit(404))
+        .when(~ws & F.col("handler").isin("route_setup_404", "not_found"), F.lit(404))
     )
     location = F.when(decision == "redirect_login", login_loc).when(decision == "redirect_setup", F.lit(C.SETUP_PATH))
     return classified.withColumns({"decision": decision, "status": status, "location": location})

@@ -156,7 +156,8 @@ def parse_doc(doc: Column) -> Column:
 
 def remove_provider(docs: DataFrame, name: str, doc: str = "doc") -> DataFrame:
     """Delete ``providers[name]``; clear ``active_provider`` only if it was ``name``.
-    An unreadable document is left unchanged.  Output column ``doc`` (JSON)."""
+    A document that is unreadable, or whose ``providers`` is there but no object,
+    is left unchanged.  Output column ``doc`` (JSON)."""
     m = parse_doc(F.col(doc))
     providers = F.try_element_at(m, F.lit("providers"))
     prov_map = F.from_json(F.to_json(providers), DOC_MAP)
@@ -170,7 +171,13 @@ def remove_provider(docs: DataFrame, name: str, doc: str = "doc") -> DataFrame:
             F.create_map(F.lit("providers"), F.parse_json(F.to_json(new_prov))),
         ),
     ).otherwise(m2)
-    return docs.withColumn(doc, F.when(m.isNotNull(), F.to_json(m3)).otherwise(F.col(doc)))
+    usable = m.isNotNull() & (prov_map.isNotNull() | ~F.map_contains_key(m, "providers"))
+    return docs.withColumn(doc, F.when(usable, F.to_json(m3)).otherwise(F.col(doc)))
+
+
+def drop_provider_model(settings: DataFrame, name: str) -> DataFrame:
+    """O32, settings side: the model remembered for the removed provider goes too."""
+    return settings.filter(F.col("key") != F.lit(f"_MODEL_{name.upper().replace('-', '_')}"))
 
 
 def upsert_provider(
@@ -179,18 +186,18 @@ def upsert_provider(
     tokens: Column,
     as_of: Column,
     auth_mode: str = "oauth_device",
-    extra: dict[str, str] | None = None,
+    extra: dict[str, object] | None = None,
     doc: str = "doc",
 ) -> DataFrame:
     """Set ``providers[name]`` = {tokens, auth_mode, last_refresh, redirect_uri,
-    **extra}, make it active, stamp version 2 and ``updated_at``.  A document
+    **extra}, make it active (``extra``: any JSON values, nested blocks too), stamp version 2 and ``updated_at``.  A document
     that is not a JSON object is replaced by a fresh one."""
     stamp = F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     block = F.struct(
         F.parse_json(F.to_json(tokens) if not isinstance(tokens, str) else F.lit(tokens)).alias("tokens"),
         F.lit(auth_mode).alias("auth_mode"),
         stamp.alias("last_refresh"),
-        *[F.lit(v).alias(k) for k, v in (extra or {}).items()],
+        *[F.parse_json(F.lit(json.dumps(v))).alias(k) for k, v in (extra or {}).items()],
         F.lit("").alias("redirect_uri"),
     )
     m = F.coalesce(parse_doc(F.col(doc)), F.create_map().cast(DOC_MAP))

@@ -299,7 +299,8 @@ def lifecycle_from_log_events(typed: DataFrame, key: str = "deployment_id", buck
 
     The supervisor writes the same start line for every spawn; a start that
     follows ``restarting in Ns`` (with no start, exit or cancellation in
-    between) is a supervised ``respawn``, which keeps the crash budget.
+    between) by at least those N seconds is a supervised ``respawn``, which
+    keeps the crash budget.  An earlier start was made by hand.
     Schedules and cancellations themselves change no state and are dropped;
     the other typed events keep their names (start, start_failed, exit,
     crashed, unready).
@@ -313,16 +314,17 @@ _ADAPTER_EVENTS = ("start", "start_failed", "exit", "crashed", "unready", "respa
 
 
 def _respawn_marker_spec() -> ScanSpec:
-    """Last schedule-or-other marker strictly before each row."""
-    marker = (
-        F.when(F.col("event") == "respawn_scheduled", F.lit("scheduled"))
-        .when(F.col("event").isin("start", "exit", "respawn_cancelled", "unready"), F.lit("other"))
+    """When the last scheduled respawn is due (-1 where it no longer is), strictly before each row."""
+    due = F.col("__t") + F.coalesce(F.col("delay_s"), F.lit(0)).cast("bigint") * F.lit(1_000_000)
+    marker = F.when(F.col("event") == "respawn_scheduled", due).when(
+        F.col("event").isin("start", "exit", "respawn_cancelled", "unready"), F.lit(-1).cast("bigint")
     )
     return ScanSpec("__prev", "last", marker, exclusive=True)
 
 
 def _apply_respawn(ev: DataFrame) -> DataFrame:
-    event = F.when((F.col("event") == "start") & (F.col("__prev") == "scheduled"), F.lit("respawn")).otherwise(F.col("event"))
+    on_time = (F.col("__prev") >= 0) & (F.col("__t") >= F.col("__prev"))
+    event = F.when((F.col("event") == "start") & on_time, F.lit("respawn")).otherwise(F.col("event"))
     return ev.filter(~F.col("event").isin("respawn_scheduled", "respawn_cancelled")).withColumn("event", event).drop("__prev")
 
 
@@ -394,6 +396,7 @@ def device_flow_outcome(
     flows(flow_id, started_at, expires_at, interval_s); polls(flow_id, ts,
     seq, http_status, body_ok, error, error_description).
 
+    * a flow without an expiry lives ``DEVICE_FLOW_LIFE_S`` from its start;
     * interval starts at max(given, 5); after k >= 1 slow-downs it is
       min(init + 5k, 30);
     * a poll happens only if the loop check before its sleep was before
@@ -408,7 +411,10 @@ def device_flow_outcome(
     as_of_c = as_timestamp(as_of)
     fl = flows.select(
         "flow_id",
-        "expires_at",
+        F.coalesce(
+            F.col("expires_at").cast("timestamp"),
+            F.timestamp_micros(micros("started_at") + F.lit(C.DEVICE_FLOW_LIFE_S * 1_000_000)),
+        ).alias("expires_at"),
         F.greatest(F.coalesce(F.col("interval_s"), F.lit(C.DEVICE_FLOW_MIN_INTERVAL_S)), F.lit(C.DEVICE_FLOW_MIN_INTERVAL_S)).alias("__init"),
     )
     is_slow = (F.col("http_status").isNotNull()) & (F.col("http_status") != 200) & (F.coalesce(F.col("error"), F.lit("")) == "slow_down")

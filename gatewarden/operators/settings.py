@@ -141,7 +141,8 @@ def render_dotenv(settings: DataFrame, registry: Registry = C.REGISTRY, key: str
 
     Non-empty values only; entries ``key=value`` grouped by category in the
     fixed category order ("other" last), sorted by the rendered text within a
-    group, a ``# Title`` header per group and a blank line after it.
+    group, a ``# Title`` header per group and a blank line after it.  Every
+    deployment of the input comes out, with empty text if no value is left.
 
     Two aggregation steps: per (dep, category) the entries are collected and
     sorted (bounded by one file's keys), then the blocks are ordered per dep.
@@ -149,9 +150,8 @@ def render_dotenv(settings: DataFrame, registry: Registry = C.REGISTRY, key: str
     cats = list(C.CATEGORIES) + [C.OTHER_CATEGORY]
     cat_ord = _lit_map([(c, i) for i, (c, _) in enumerate(cats)])
     cat_title = _lit_map([(c, t) for c, t in cats])
-    s = settings.filter(F.length("value") > 0).select(
-        key, category_of("key", registry).alias("category"), F.concat("key", F.lit("="), "value").alias("entry")
-    )
+    entry = F.when(F.length("value") > 0, F.concat("key", F.lit("="), "value"))
+    s = settings.select(key, category_of("key", registry).alias("category"), entry.alias("entry"))
     groups = s.groupBy(key, "category").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
     block = F.concat(
         F.lit("# "),
@@ -160,9 +160,8 @@ def render_dotenv(settings: DataFrame, registry: Registry = C.REGISTRY, key: str
         F.array_join("entries", "\n"),
         F.lit("\n"),
     )
-    groups = groups.select(
-        key, F.struct(F.try_element_at(cat_ord, F.col("category")).alias("o"), block.alias("b")).alias("blk")
-    )
+    ordered = F.struct(F.try_element_at(cat_ord, F.col("category")).alias("o"), block.alias("b"))
+    groups = groups.select(key, F.when(F.size("entries") > 0, ordered).alias("blk"))
     out = groups.groupBy(key).agg(F.array_sort(F.collect_list("blk")).alias("blks"))
     return out.select(key, F.array_join(F.transform("blks", lambda b: b["b"]), "\n").alias("text"))
 
@@ -175,21 +174,23 @@ def render_dotenv_lines(settings: DataFrame, registry: Registry = C.REGISTRY, ke
     by (cat_ord, part, line) within a deployment and each ended by a newline,
     the lines give exactly :func:`render_dotenv`'s text.  This is the form
     for writing files: a deployment with a huge number of keys is sorted
-    (with spill), never held in one array.
+    (with spill), never held in one array.  A deployment without any value
+    left gives one blank line (0, 2, ""), so that its file is replaced.
     """
     cats = list(C.CATEGORIES) + [C.OTHER_CATEGORY]
     cat_ord = _lit_map([(c, i) for i, (c, _) in enumerate(cats)])
     cat_title = _lit_map([(c, t) for c, t in cats])
-    s = settings.filter(F.length("value") > 0).select(
+    s = settings.select(
         key,
         F.try_element_at(cat_ord, category_of("key", registry)).alias("cat_ord"),
         category_of("key", registry).alias("__cat"),
-        F.concat("key", F.lit("="), "value").alias("line"),
+        F.when(F.length("value") > 0, F.concat("key", F.lit("="), "value")).alias("line"),
     )
     # The categories of a deployment: a set of at most len(cats) entries
     # whatever its row count, partially aggregated map-side.  Headers and the
     # blank lines between groups come from it in one pass.
-    per_dep = s.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("cat_ord", "__cat"))).alias("__cats"))
+    used = F.when(F.col("line").isNotNull(), F.struct("cat_ord", "__cat"))
+    per_dep = s.groupBy(key).agg(F.array_sort(F.collect_set(used)).alias("__cats"))
 
     def line(c: Column, part: int, text: Column) -> Column:
         return F.struct(c["cat_ord"].alias("cat_ord"), F.lit(part).alias("part"), text.alias("line"))
@@ -198,8 +199,10 @@ def render_dotenv_lines(settings: DataFrame, registry: Registry = C.REGISTRY, ke
         header = line(c, 0, F.concat(F.lit("# "), F.try_element_at(cat_title, c["__cat"])))
         return F.when(i < F.size("__cats") - 1, F.array(header, line(c, 2, F.lit("")))).otherwise(F.array(header))
 
-    frame = per_dep.select(key, F.inline(F.flatten(F.transform("__cats", lines_of))))
-    entries = s.select(key, "cat_ord", F.lit(1).alias("part"), "line")
+    blank = F.array(F.struct(F.lit(0).alias("cat_ord"), F.lit(2).alias("part"), F.lit("").alias("line")))
+    headers = F.flatten(F.transform("__cats", lines_of))
+    frame = per_dep.select(key, F.inline(F.when(F.size("__cats") > 0, headers).otherwise(blank)))
+    entries = s.filter(F.col("line").isNotNull()).select(key, "cat_ord", F.lit(1).alias("part"), "line")
     return frame.unionByName(entries)
 
 

@@ -176,7 +176,8 @@ def crash_loop_from_logs_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("device_flow_outcome")
 def device_flow_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One flow per user, started at its first event, 10 days of life;
+    """One flow per user, started at its first event, 10 days of life (no
+    expiry given for every seventh, which then lives 900 s);
     polls: view = pending, click = slow_down, purchase = 200, error = denied
     (with a description when value > 25)."""
     ev = _events(spark, sf_dir)
@@ -184,7 +185,7 @@ def device_flow_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows = flows.select(
         "flow_id",
         "started_at",
-        (F.col("started_at").cast("timestamp") + F.expr("INTERVAL 10 DAYS")).alias("expires_at"),
+        F.when(F.col("flow_id") % 7 != 0, F.col("started_at").cast("timestamp") + F.expr("INTERVAL 10 DAYS")).alias("expires_at"),
         F.lit(5).alias("interval_s"),
     )
     et = F.col("event_type")

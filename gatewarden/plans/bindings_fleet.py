@@ -109,14 +109,14 @@ def layer_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("render_dotenv")
 def render_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered .env text per deployment."""
-    return S.render_dotenv(X.customer_settings(spark, sf_dir))
+    """Rendered .env text per deployment, some of them emptied."""
+    return S.render_dotenv(X.emptied_settings(spark, sf_dir))
 
 
 @query("render_dotenv_lines")
 def render_lines_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O4, line form (what the file sink writes): header, entries, blank line."""
-    return S.render_dotenv_lines(X.customer_settings(spark, sf_dir))
+    return S.render_dotenv_lines(X.emptied_settings(spark, sf_dir))
 
 
 @query("readiness")
@@ -242,43 +242,44 @@ def credential_presence_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.customer_refresh_tokens(spark, sf_dir)
 
 
-def _doc_summary(df: DataFrame) -> DataFrame:
-    m = D.parse_doc(F.col("doc"))
-    prov = F.from_json(F.to_json(F.try_element_at(m, F.lit("providers"))), D.DOC_MAP)
-    return df.select(
-        "deployment_id",
-        F.array_join(F.array_sort(F.map_keys(prov)), ",").alias("providers"),
-        F.try_variant_get(F.try_element_at(m, F.lit("active_provider")), "$", "string").alias("active_provider"),
-        F.try_variant_get(F.try_element_at(m, F.lit("version")), "$", "bigint").cast("string").alias("version"),
-    )
+DOC_DEPTH = 6
+
+
+def _doc_leaves(df: DataFrame) -> DataFrame:
+    """The written documents as (deployment_id, path, value): every scalar and every
+    empty object or array; a text that is no JSON object is one row with path ``$``."""
+    v = F.try_parse_json("doc")
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    front = df.filter(is_object).select("deployment_id", F.lit("$").alias("path"), v.alias("v"))
+    out = df.filter(~is_object).select("deployment_id", F.lit("$").alias("path"), F.col("doc").alias("value"))
+    for _ in range(DOC_DEPTH):
+        kind = F.schema_of_variant("v")
+        text = F.try_variant_get("v", "$", "string")
+        nested = kind.startswith("OBJECT") & (F.to_json("v") != "{}")
+        leaf = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json("v")).otherwise(text)
+        out = out.unionByName(front.filter(~nested).select("deployment_id", "path", leaf.alias("value")))
+        front = front.filter(nested).select("deployment_id", "path", F.explode(F.from_json(F.to_json("v"), D.DOC_MAP)).alias("k", "v"))
+        front = front.select("deployment_id", F.concat("path", F.lit("."), "k").alias("path"), "v")
+    return out
 
 
 @query("remove_provider")
 def remove_provider_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Remove the device-flow provider from every credential document."""
-    return _doc_summary(D.remove_provider(X.customer_credential_docs(spark, sf_dir), "xai-oauth"))
+    """Remove the device-flow provider from every credential document; all leaves."""
+    return _doc_leaves(D.remove_provider(X.provider_docs(spark, sf_dir), "xai-oauth"))
 
 
 @query("upsert_provider")
 def upsert_provider_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store fresh device-flow tokens in every credential document."""
-    docs = X.customer_credential_docs(spark, sf_dir)
+    """Store fresh device-flow tokens, with a nested discovery block, in every credential document; all leaves."""
+    docs = X.provider_docs(spark, sf_dir)
     tokens = F.struct(
         F.concat(F.lit("at-"), F.col("deployment_id").cast("string")).alias("access_token"),
         F.concat(F.lit("rt-"), F.col("deployment_id").cast("string")).alias("refresh_token"),
     )
-    out = D.upsert_provider(docs, "xai-oauth", tokens, F.lit(X.AS_OF).cast("timestamp"))
-    m = D.parse_doc(F.col("doc"))
-    prov = F.from_json(F.to_json(F.try_element_at(m, F.lit("providers"))), D.DOC_MAP)
-    # one projection over the rewritten document (no joins)
-    return out.select(
-        "deployment_id",
-        F.array_join(F.array_sort(F.map_keys(prov)), ",").alias("providers"),
-        F.try_variant_get(F.try_element_at(m, F.lit("active_provider")), "$", "string").alias("active_provider"),
-        F.try_variant_get(F.try_element_at(m, F.lit("version")), "$", "bigint").cast("string").alias("version"),
-        F.try_variant_get(F.try_element_at(m, F.lit("updated_at")), "$", "string").alias("updated_at"),
-        D.has_refresh_token(F.col("doc")).alias("has_refresh_token"),
-    )
+    discovery = {"authorization_endpoint": "https://auth.example.com/authorize", "token_endpoint": "https://auth.example.com/token"}
+    out = D.upsert_provider(docs, "xai-oauth", tokens, F.lit(X.AS_OF).cast("timestamp"), extra={"discovery": discovery})
+    return _doc_leaves(out)
 
 
 @query("inject_html")
@@ -311,7 +312,8 @@ def order_pairing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("o_orderstatus") == "P", F.lit('{"broken": ')).otherwise(
         F.concat(
             F.lit('{"e'), ok, F.lit('": {"user_id": "'), ck, F.lit('", "user_name": "c'), ck,
-            F.lit('", "created_at": '), created, F.lit('}, "k'), ok, F.lit('": {"user_id": '), ck, F.lit("}}"),
+            F.lit('", "created_at": '), created, F.lit('}, "k'), ok, F.lit('": {"user_id": '), ck, F.lit("}"),
+            F.when(F.col("o_orderstatus") == "F", F.concat(F.lit(', "x'), ok, F.lit('": "oops"}'))).otherwise(F.lit("}")),
         )
     )
     return o.select(F.col("o_custkey").alias("deployment_id"), name.alias("name"), text.alias("text"))
@@ -329,7 +331,7 @@ def read_keyed_json_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("read_keyed_json_corrupt")
 def read_keyed_json_corrupt_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O2 side output: pending files that are not a JSON object."""
+    """O2 side output: pending files that are not a JSON object, entries that are none."""
     _, corrupt = read_keyed_json(order_pairing_files(spark, sf_dir), "pending")
     return corrupt
 
@@ -412,7 +414,8 @@ def session_validity_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("safe_return_target")
 def safe_return_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five return targets per page URL (relative, absolute, //host, empty, /\\host)."""
+    """Nine return targets per page URL (relative, absolute, //host, empty,
+    /\\host, and a tab, LF or CR hiding a host or an empty host)."""
     p = table(spark, sf_dir, "pages")
     path = F.regexp_extract("url", X.URL_PATH_RE, 1)
     q = F.regexp_extract("url", X.URL_QUERY_RE, 1)
@@ -424,6 +427,8 @@ def safe_return_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(3).alias("variant"), F.concat(F.lit("//"), host, path).alias("return_to")),
         F.struct(F.lit(4).alias("variant"), F.lit("").alias("return_to")),
         F.struct(F.lit(5).alias("variant"), F.concat(F.lit("/\\"), host).alias("return_to")),
+        *[F.struct(F.lit(i).alias("variant"), F.concat(F.lit(f"/{c}/"), host).alias("return_to")) for i, c in ((6, "\t"), (7, "\n"), (8, "\r"))],
+        F.struct(F.lit(9).alias("variant"), F.concat(F.lit("/\t//"), host).alias("return_to")),
     )
     rows = p.select("page_id", F.explode(variants).alias("v")).select("page_id", "v.*")
     return A.safe_return_target(rows).select("page_id", "variant", "target", "was_rejected", "has_backslash")

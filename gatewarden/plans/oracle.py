@@ -134,7 +134,7 @@ LEFT JOIN dead d ON d.deployment_id = l.deployment_id AND d.pid = l.pid
 
 ORACLE["device_flow_outcome"] = """
 WITH flows AS (
-  SELECT user_id AS flow_id, min(ts) + INTERVAL 10 DAY AS expires_at, 5 AS init
+  SELECT user_id AS flow_id, min(ts) + CASE WHEN user_id % 7 = 0 THEN INTERVAL 900 SECOND ELSE INTERVAL 10 DAY END AS expires_at, 5 AS init
   FROM events GROUP BY user_id
 ), polls AS (
   SELECT user_id AS flow_id, ts, event_id AS seq, epoch_us(ts) AS t,
@@ -188,7 +188,7 @@ from .oracle_fleet import ORACLE as _FLEET  # noqa: E402
 ORACLE.update(_FLEET)
 
 _TYPED_EVENTS = f"""
-SELECT deployment_id, seq, ts,
+SELECT deployment_id, seq, ts, TRY_CAST(regexp_extract(line, 'restarting in (\\d+)s', 1) AS BIGINT) AS delay_s,
   CASE WHEN regexp_matches(line, '^\\[gateway\\] exited \\(code (-?\\d+|None)\\) — supervising restart') THEN 'exit'
        WHEN regexp_matches(line, '^\\[gateway\\] restarting in (\\d+)s \\(attempt (\\d+)\\)') THEN 'respawn_scheduled'
        WHEN regexp_matches(line, '^\\[gateway\\] model=.* \\| provider_key=') THEN 'start' END AS event
@@ -198,12 +198,12 @@ FROM ({_LOG_LINES}) l JOIN (SELECT event_id, ts FROM events) e ON e.event_id = l
 ORACLE["crash_loop_from_logs"] = f"""
 WITH t AS (SELECT * FROM ({_TYPED_EVENTS}) x WHERE event IS NOT NULL),
 m AS (
-  SELECT *, last_value(CASE WHEN event = 'respawn_scheduled' THEN 'scheduled'
-                            WHEN event IN ('start', 'exit', 'respawn_cancelled', 'unready') THEN 'other' END IGNORE NULLS)
+  SELECT *, last_value(CASE WHEN event = 'respawn_scheduled' THEN epoch_us(ts) + delay_s * 1000000
+                            WHEN event IN ('start', 'exit', 'respawn_cancelled', 'unready') THEN -1 END IGNORE NULLS)
             OVER (PARTITION BY deployment_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
   FROM t
 ), ev AS (
-  SELECT deployment_id, seq, ts, CASE WHEN event = 'start' AND prev = 'scheduled' THEN 'respawn' ELSE event END AS event
+  SELECT deployment_id, seq, ts, CASE WHEN event = 'start' AND prev >= 0 AND epoch_us(ts) >= prev THEN 'respawn' ELSE event END AS event
   FROM m WHERE event <> 'respawn_scheduled'
 ), s AS (
   SELECT *,

@@ -150,23 +150,30 @@ WITH layers AS (
 SELECT deployment_id, key, arg_max(value, priority) AS value FROM layers GROUP BY deployment_id, key
 """
 
+EMPTIED = f"""
+SELECT s.deployment_id, s.key, CASE WHEN c.c_acctbal < 0 THEN '' ELSE s.value END AS value
+FROM ({SETTINGS}) s JOIN customer c ON c.c_custkey = s.deployment_id
+"""
+
 ORACLE["render_dotenv"] = f"""
 WITH s AS (
   SELECT s.deployment_id, coalesce(r.category, 'other') AS category, s.key || '=' || s.value AS entry
-  FROM ({SETTINGS}) s LEFT JOIN {REGISTRY_SQL} r ON r.key = s.key WHERE length(s.value) > 0
+  FROM ({EMPTIED}) s LEFT JOIN {REGISTRY_SQL} r ON r.key = s.key WHERE length(s.value) > 0
 ), g AS (
   SELECT deployment_id, category, string_agg(entry, chr(10) ORDER BY entry) AS entries FROM s GROUP BY deployment_id, category
 ), b AS (
   SELECT g.deployment_id, c.o, '# ' || c.title || chr(10) || g.entries || chr(10) AS blk
   FROM g JOIN {CATEGORIES_SQL} c ON c.category = g.category
 )
-SELECT deployment_id, string_agg(blk, chr(10) ORDER BY o) AS text FROM b GROUP BY deployment_id
+SELECT e.deployment_id, coalesce(t.text, '') AS text
+FROM (SELECT DISTINCT deployment_id FROM ({EMPTIED}) x) e
+LEFT JOIN (SELECT deployment_id, string_agg(blk, chr(10) ORDER BY o) AS text FROM b GROUP BY deployment_id) t USING (deployment_id)
 """
 
 ORACLE["render_dotenv_lines"] = f"""
 WITH s AS (
   SELECT s.deployment_id, c.o AS cat_ord, c.title, s.key || '=' || s.value AS entry
-  FROM ({SETTINGS}) s LEFT JOIN {REGISTRY_SQL} r ON r.key = s.key
+  FROM ({EMPTIED}) s LEFT JOIN {REGISTRY_SQL} r ON r.key = s.key
   JOIN {CATEGORIES_SQL} c ON c.category = coalesce(r.category, 'other')
   WHERE length(s.value) > 0
 ), g AS (SELECT DISTINCT deployment_id, cat_ord, title FROM s),
@@ -175,6 +182,8 @@ SELECT deployment_id, cat_ord, 0 AS part, '# ' || title AS line FROM g
 UNION ALL SELECT deployment_id, cat_ord, 1 AS part, entry AS line FROM s
 UNION ALL SELECT g.deployment_id, g.cat_ord, 2 AS part, '' AS line FROM g JOIN l ON l.deployment_id = g.deployment_id
           WHERE g.cat_ord <> l.last_ord
+UNION ALL SELECT deployment_id, 0, 2, '' FROM (SELECT DISTINCT deployment_id FROM ({EMPTIED}) x) e
+          WHERE deployment_id NOT IN (SELECT deployment_id FROM s)
 """
 
 CUSTOMER_DOCS = """
@@ -319,33 +328,53 @@ SELECT deployment_id, path,
 FROM j WHERE coalesce(policy, '') <> 'remove'
 """
 
-ORACLE["remove_provider"] = f"""
-WITH docs AS ({CUSTOMER_DOCS}),
-v AS (SELECT deployment_id, doc FROM docs WHERE json_valid(doc) AND json_type(doc) = 'OBJECT'),
-s AS (
-  SELECT deployment_id, json_type(doc, '$.providers') AS pt,
-         CASE WHEN json_type(doc, '$.providers') = 'OBJECT' THEN json_keys(doc, '$.providers') END AS ks,
-         json_extract_string(doc, '$.active_provider') AS ap,
-         TRY_CAST(json_extract_string(doc, '$.version') AS BIGINT) AS ver
-  FROM v
-)
+PROVIDER_DOCS = f"""
 SELECT d.deployment_id,
-       CASE WHEN s.pt = 'OBJECT' THEN array_to_string(list_sort(list_filter(s.ks, lambda k: k <> 'xai-oauth')), ',') END AS providers,
-       CASE WHEN (s.pt IS NULL OR s.pt = 'OBJECT') AND s.ap = 'xai-oauth' THEN NULL ELSE s.ap END AS active_provider,
-       CAST(s.ver AS VARCHAR) AS version
-FROM docs d LEFT JOIN s ON s.deployment_id = d.deployment_id
+  CASE c.c_nationkey WHEN 5 THEN '{{"providers": [], "active_provider": "xai-oauth"}}'
+       WHEN 6 THEN '{{"providers": null, "active_provider": "xai-oauth", "version": 1}}'
+       WHEN 7 THEN '{{"active_provider": "xai-oauth", "note": {{}}}}' ELSE d.doc END AS doc
+FROM ({CUSTOMER_DOCS}) d JOIN customer c ON c.c_custkey = d.deployment_id
+"""
+
+# Leaves of the documents: scalars and empty containers; a text that is no object is its own leaf.
+PROVIDER_LEAVES = f"""
+SELECT d.deployment_id, t.fullkey AS path0, replace(replace(t.fullkey, '"', ''), '$.', '$.') AS path,
+       CASE WHEN t.type = 'NULL' THEN NULL WHEN t.type IN ('OBJECT', 'ARRAY') THEN CAST(t.value AS VARCHAR)
+            ELSE json_extract_string(t.value, '$') END AS value,
+       json_type(d.doc, '$.providers') AS pt, json_extract_string(d.doc, '$.active_provider') AS ap
+FROM (SELECT * FROM ({PROVIDER_DOCS}) x WHERE json_valid(doc) AND json_type(doc) = 'OBJECT') d, json_tree(d.doc) t
+WHERE t.type NOT IN ('OBJECT', 'ARRAY') OR CAST(t.value AS VARCHAR) IN ('{{}}', '[]')
+"""
+_NOT_OBJECTS = f"SELECT deployment_id, '$' AS path, doc AS value FROM ({PROVIDER_DOCS}) x WHERE NOT json_valid(doc)"
+
+ORACLE["remove_provider"] = f"""
+WITH l AS ({PROVIDER_LEAVES}),
+gone AS (SELECT * FROM l WHERE (pt IS NULL OR pt = 'OBJECT')
+           AND (starts_with(path, '$.providers.xai-oauth') OR (path = '$.active_provider' AND ap = 'xai-oauth'))),
+emptied AS (
+  SELECT d.deployment_id FROM ({PROVIDER_DOCS}) d
+  WHERE json_valid(doc) AND json_type(CASE WHEN json_valid(doc) THEN doc END, '$.providers') = 'OBJECT'
+    AND json_keys(CASE WHEN json_valid(doc) THEN doc END, '$.providers') = ['xai-oauth'])
+SELECT deployment_id, path, value FROM l
+WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.deployment_id = l.deployment_id AND g.path = l.path)
+UNION ALL SELECT deployment_id, '$.providers', '{{}}' FROM emptied
+UNION ALL {_NOT_OBJECTS}
 """
 
 ORACLE["upsert_provider"] = f"""
-WITH docs AS ({CUSTOMER_DOCS}),
-b AS (SELECT deployment_id, CASE WHEN json_valid(doc) AND json_type(doc) = 'OBJECT' THEN doc END AS j FROM docs)
-SELECT deployment_id,
-       array_to_string(list_sort(list_distinct(list_concat(
-           CASE WHEN json_type(j, '$.providers') = 'OBJECT' THEN json_keys(j, '$.providers') ELSE CAST([] AS VARCHAR[]) END,
-           ['xai-oauth']))), ',') AS providers,
-       'xai-oauth' AS active_provider, '2' AS version, '2024-01-31T00:00:00Z' AS updated_at,
-       true AS has_refresh_token
-FROM b
+WITH l AS ({PROVIDER_LEAVES}),
+kept AS (
+  SELECT deployment_id, path, value FROM l
+  WHERE NOT starts_with(path, '$.providers.xai-oauth') AND path NOT IN ('$.active_provider', '$.version', '$.updated_at')
+    AND NOT (path = '$.providers'))
+SELECT * FROM kept
+UNION ALL SELECT c_custkey, unnest(['$.providers.xai-oauth.tokens.access_token', '$.providers.xai-oauth.tokens.refresh_token',
+    '$.providers.xai-oauth.auth_mode', '$.providers.xai-oauth.last_refresh', '$.providers.xai-oauth.redirect_uri',
+    '$.providers.xai-oauth.discovery.authorization_endpoint', '$.providers.xai-oauth.discovery.token_endpoint',
+    '$.active_provider', '$.version', '$.updated_at']),
+  unnest(['at-' || CAST(c_custkey AS VARCHAR), 'rt-' || CAST(c_custkey AS VARCHAR), 'oauth_device', '2024-01-31T00:00:00Z', '',
+    'https://auth.example.com/authorize', 'https://auth.example.com/token', 'xai-oauth', '2', '2024-01-31T00:00:00Z'])
+FROM customer
 """
 
 ORACLE["inject_html"] = """
@@ -365,7 +394,8 @@ SELECT o_custkey AS deployment_id,
   CASE WHEN o_orderstatus = 'P' THEN '{"broken": '
        ELSE '{"e' || CAST(o_orderkey AS VARCHAR) || '": {"user_id": "' || CAST(o_custkey AS VARCHAR) || '", "user_name": "c'
             || CAST(o_custkey AS VARCHAR) || '", "created_at": ' || CAST(CAST(epoch(o_orderdate) AS BIGINT) AS VARCHAR)
-            || '}, "k' || CAST(o_orderkey AS VARCHAR) || '": {"user_id": ' || CAST(o_custkey AS VARCHAR) || '}}' END AS text
+            || '}, "k' || CAST(o_orderkey AS VARCHAR) || '": {"user_id": ' || CAST(o_custkey AS VARCHAR) || '}'
+            || CASE WHEN o_orderstatus = 'F' THEN ', "x' || CAST(o_orderkey AS VARCHAR) || '": "oops"}' ELSE '}' END END AS text
 FROM orders
 """
 
@@ -383,9 +413,11 @@ FROM e
 """
 
 ORACLE["read_keyed_json_corrupt"] = f"""
-SELECT deployment_id, name FROM ({PAIRING_FILES}) x
-WHERE regexp_matches(name, '-pending\\.json$')
-  AND NOT coalesce(CASE WHEN json_valid(text) THEN json_type(CASE WHEN json_valid(text) THEN text END) = 'OBJECT' END, false)
+WITH f AS (SELECT deployment_id, name, text FROM ({PAIRING_FILES}) x WHERE regexp_matches(name, '-pending\\.json$')),
+ok AS (SELECT * FROM f WHERE json_valid(text) AND json_type(text) = 'OBJECT'),
+e AS (SELECT deployment_id, name, text, unnest(json_keys(text)) AS entry_key FROM ok)
+SELECT deployment_id, name, NULL AS entry_key FROM f WHERE NOT (json_valid(text) AND json_type(CASE WHEN json_valid(text) THEN text END) = 'OBJECT')
+UNION ALL SELECT deployment_id, name, entry_key FROM e WHERE json_type(text, '$."' || entry_key || '"') <> 'OBJECT'
 """
 
 PLATFORM_SQL = "CASE WHEN {v} < 10 THEN 'telegram' WHEN {v} < 30 THEN 'discord' ELSE 'slack' END"
@@ -536,21 +568,27 @@ ORACLE["session_validity"] = f"SELECT deployment_id, seq, ts_us, CAST(login_us A
 
 ORACLE["safe_return_target"] = f"""
 WITH v AS (
-  SELECT page_id, unnest([1, 2, 3, 4, 5]) AS variant,
-         unnest([path || CASE WHEN q <> '' THEN '?' || q ELSE '' END, url, '//' || host || path, '', '/\\' || host]) AS rt
+  SELECT page_id, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) AS variant,
+         unnest([path || CASE WHEN q <> '' THEN '?' || q ELSE '' END, url, '//' || host || path, '', '/\\' || host,
+                 '/' || chr(9) || '/' || host, '/' || chr(10) || '/' || host, '/' || chr(13) || '/' || host,
+                 '/' || chr(9) || '//' || host]) AS rt
   FROM (SELECT page_id, url, {PAGE_PATH} AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q,
                regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages) x
-), b AS (SELECT *, (length(rt) = 0 OR NOT starts_with(rt, '/') OR starts_with(rt, '//')) AS bad FROM v)
+), h AS (SELECT *, replace(replace(replace(rt, chr(9), ''), chr(10), ''), chr(13), '') AS bare FROM v),
+b AS (SELECT *, (length(rt) = 0 OR NOT starts_with(rt, '/') OR starts_with(rt, '//')
+                 OR (starts_with(bare, '//') AND length(bare) > 2 AND substr(bare, 3, 1) NOT IN ('/', '?', '#'))) AS bad FROM h)
 SELECT page_id, variant, CASE WHEN bad THEN '/' ELSE rt END AS target, bad AS was_rejected, contains(rt, '\\') AS has_backslash
 FROM b
 """
 
 EVENT_REQUESTS = """
 SELECT user_id AS deployment_id, event_id AS seq,
-       CASE WHEN event_type = 'purchase' THEN 'POST' ELSE 'GET' END AS method,
-       CASE event_type WHEN 'view' THEN '/' WHEN 'click' THEN '/setup/api/status' ELSE '/api/chat' END AS path,
+       CASE WHEN event_type = 'view' AND value > 45 THEN 'TRACE' WHEN event_type = 'purchase' THEN 'POST' ELSE 'GET' END AS method,
+       CASE WHEN event_type = 'view' AND value > 45 THEN '/health' WHEN event_type = 'view' THEN '/'
+            WHEN event_type = 'click' AND value < 5 THEN '/api/ws' WHEN event_type = 'click' AND value < 8 THEN '/nowhere'
+            WHEN event_type = 'click' THEN '/setup/api/status' ELSE '/api/chat' END AS path,
        CASE WHEN value > 40 THEN 'force=1' WHEN value > 30 THEN 'a=b c' ELSE '' END AS query,
-       value > 25 AS wants_html, 'http' AS kind
+       value > 25 AS wants_html, CASE WHEN event_type = 'click' AND value < 8 THEN 'ws' ELSE 'http' END AS kind
 FROM events WHERE event_type IN ('view', 'click', 'purchase')
 """
 
@@ -562,7 +600,9 @@ j AS (
   SELECT c.*, s.valid, coalesce(r.ready, false) AS ready FROM c JOIN s ON s.deployment_id = c.deployment_id AND s.seq = c.seq
   LEFT JOIN r ON r.deployment_id = c.deployment_id
 ), d AS (
-  SELECT *, CASE WHEN is_public THEN 'pass' WHEN NOT valid AND wants_html THEN 'redirect_login'
+  SELECT *, CASE WHEN handler IN ('method_not_allowed', 'not_found') THEN handler
+                 WHEN is_public THEN 'pass' WHEN kind = 'ws' AND NOT valid THEN 'close_ws'
+                 WHEN NOT valid AND wants_html THEN 'redirect_login'
                  WHEN NOT valid THEN 'unauthorized'
                  WHEN handler = 'route_root' AND method = 'GET' AND query <> 'force=1' AND NOT ready THEN 'redirect_setup'
                  ELSE 'handler' END AS decision
@@ -570,7 +610,8 @@ j AS (
 )
 SELECT deployment_id, seq, handler, decision,
        CAST(CASE WHEN decision IN ('redirect_login', 'redirect_setup') THEN 302 WHEN decision = 'unauthorized' THEN 401
-                 WHEN handler = 'method_not_allowed' THEN 405 WHEN handler IN ('route_setup_404', 'not_found') THEN 404 END AS VARCHAR) AS status,
+                 WHEN decision = 'close_ws' THEN 4401 WHEN handler = 'method_not_allowed' THEN 405
+                 WHEN kind = 'http' AND handler IN ('route_setup_404', 'not_found') THEN 404 END AS VARCHAR) AS status,
        CASE WHEN decision = 'redirect_login'
             THEN '/login?returnTo=' || replace(replace(replace(path || CASE WHEN query <> '' THEN '?' || query ELSE '' END,
                                                                '?', '%3F'), '=', '%3D'), ' ', '%20')
@@ -605,7 +646,8 @@ SELECT deployment_id, seq, regexp_replace(regexp_replace(raw, {RSTRIP}, ''), '\\
                         || chr(27) || '[0m'
       WHEN 'purchase' THEN '[proxy] POST /api/chat -> '
                            || CASE WHEN value > 250 THEN '502' WHEN value > 100 THEN '500' ELSE '404' END || ' body=''{{"e": 1}}''   '
-      ELSE '[gateway] restarting in ' || CAST(CAST(least(2 * pow(2, floor(value / 100)), 30) AS INTEGER) AS VARCHAR)
+      ELSE '[gateway] restarting in ' || CASE WHEN value > 20 THEN '400000'
+           ELSE CAST(CAST(least(2 * pow(2, floor(value / 100)), 30) AS INTEGER) AS VARCHAR) END
            || 's (attempt ' || CAST(CAST(floor(value / 100) + 1 AS INTEGER) AS VARCHAR) || ')' || chr(9)
     END AS raw
   FROM events

@@ -2,7 +2,7 @@
 
 Every stand-in is a pure projection / join of whole driver tables, so its
 size grows with the scale factor.  The same derivations are spelled in SQL in
-:mod:`gatewarden.plans.oracle_sql_parts` for the oracle.
+:mod:`gatewarden.plans.oracle` and :mod:`gatewarden.plans.oracle_fleet`.
 """
 
 from __future__ import annotations
@@ -65,6 +65,23 @@ def customer_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return effective_settings(parsed).select("deployment_id", "key", "value")
 
 
+def emptied_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings after the customers with a negative balance cleared all values."""
+    bal = table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"]).withColumnRenamed("c_custkey", "deployment_id")
+    s = customer_settings(spark, sf_dir).join(bal, "deployment_id")
+    return s.select("deployment_id", "key", F.when(F.col("c_acctbal") < 0, F.lit("")).otherwise(F.col("value")).alias("value"))
+
+
+def provider_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The credential documents, some with ``providers`` of a wrong type."""
+    c = table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"]).withColumnRenamed("c_custkey", "deployment_id")
+    d = customer_credential_docs(spark, sf_dir).join(c, "deployment_id")
+    wrong = F.when(F.col("c_nationkey") == 5, F.lit('{"providers": [], "active_provider": "xai-oauth"}')).when(
+        F.col("c_nationkey") == 6, F.lit('{"providers": null, "active_provider": "xai-oauth", "version": 1}')
+    ).when(F.col("c_nationkey") == 7, F.lit('{"active_provider": "xai-oauth", "note": {}}'))
+    return d.select("deployment_id", F.coalesce(wrong, F.col("doc")).alias("doc"))
+
+
 def customer_credential_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey"], spread=True)
     seg, bal, nk, ck = F.col("c_mktsegment"), F.col("c_acctbal"), _s(F.col("c_nationkey")), _s(F.col("c_custkey"))
@@ -192,8 +209,15 @@ def event_access(spark: SparkSession, sf_dir: str) -> DataFrame:
         _s(F.col("user_id")).alias("session_id"),
         "ts",
         F.col("event_id").alias("seq"),
-        F.when(et == "purchase", "POST").otherwise("GET").alias("method"),
-        F.when(et == "view", "/").when(et == "click", "/setup/api/status").otherwise("/api/chat").alias("path"),
+        F.when((et == "view") & (F.col("value") > 45), "TRACE").when(et == "purchase", "POST").otherwise("GET").alias("method"),
+        F.when((et == "view") & (F.col("value") > 45), "/health")
+        .when(et == "view", "/")
+        .when((et == "click") & (F.col("value") < 5), "/api/ws")
+        .when((et == "click") & (F.col("value") < 8), "/nowhere")
+        .when(et == "click", "/setup/api/status")
+        .otherwise("/api/chat")
+        .alias("path"),
+        F.when((et == "click") & (F.col("value") < 8), "ws").otherwise("http").alias("kind"),
         F.when(F.col("value") > 40, "force=1").when(F.col("value") > 30, "a=b c").otherwise("").alias("query"),
         F.when(F.col("value") > 25, "text/html,application/xhtml+xml").otherwise("application/json").alias("accept"),
     )
@@ -221,7 +245,8 @@ def event_log_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     et, v, uid, eid = F.col("event_type"), F.col("value"), _s(F.col("user_id")), _s(F.col("event_id"))
     k = F.get_json_object("props", "$.k")
     attempt = (F.floor(v / 100) + 1).cast("int")
-    delay = F.least(F.lit(2) * F.pow(F.lit(2), attempt - 1), F.lit(30)).cast("int")
+    # Long delays for some, so that starts fall into the backoff.
+    delay = F.when(v > 20, F.lit(400000)).otherwise(F.least(F.lit(2) * F.pow(F.lit(2), attempt - 1), F.lit(30)).cast("int"))
     status = F.when(v > 250, 502).when(v > 100, 500).otherwise(404)
     text = (
         F.when(et == "view", F.concat(F.lit(ESC + "[36m[dashboard]" + ESC + "[0m GET /en/"), eid, F.lit(" 200   ")))

@@ -2,14 +2,16 @@
 
 Files are named ``{platform}-{suffix}.json``; the platform is the file stem
 with the *last* ``-{suffix}`` removed.  A file that is not a JSON object is
-read as empty, and is also reported in a side output (the gateway silently
-treats it as empty; here it is kept for inspection).
+read as empty.  Entries are typed one by one: an entry that is no object stays
+an entry, with null fields (approving it ends as 422), and spoils no other.
+Both kinds are also reported in a side output.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PENDING_ENTRY = "struct<user_id: string, user_name: string, created_at: double, hash: string, salt: string>"
 APPROVED_ENTRY = "struct<user_name: string, approved_at: double>"
@@ -28,22 +30,23 @@ def read_keyed_json(
     text: str = "text",
     key: str = "deployment_id",
 ) -> tuple[DataFrame, DataFrame]:
-    """files(dep, name, text) -> (entries(dep, platform, entry_key, entry...), corrupt(dep, name)).
+    """files(dep, name, text) -> (entries(dep, platform, entry_key, entry...),
+    corrupt(dep, name, entry_key)); ``entry_key`` is null where the whole file is unreadable.
 
     Only names ending in ``-{suffix}.json`` are read.  Map-side only.
     """
     f = files.filter(F.col(name).rlike(r"-" + suffix + r"\.json$")).select(
-        key, name, platform_of(name, suffix).alias("platform"), F.from_json(F.col(text), f"map<string, {entry_schema}>").alias("__m")
+        key, name, platform_of(name, suffix).alias("platform"), F.from_json(F.col(text), "map<string, variant>").alias("__m")
     )
-    corrupt = f.filter(F.col("__m").isNull()).select(key, name)
+    fields = T.StructType.fromDDL(entry_schema.removeprefix("struct<").removesuffix(">"))
+    typed = [F.try_variant_get("__e", f"$.{x.name}", x.dataType.simpleString()).alias(x.name) for x in fields]
+    is_object = F.coalesce(F.schema_of_variant("__e").startswith("OBJECT"), F.lit(False))
     # explode_outer + a filter on the generated key: a plain explode makes the
     # optimizer add size(from_json(...)) > 0 below the projection, parsing
     # every file twice.
-    entries = (
-        f.select(key, "platform", F.explode_outer("__m").alias("entry_key", "__e"))
-        .filter(F.col("entry_key").isNotNull())
-        .select(key, "platform", "entry_key", "__e.*")
-    )
+    pairs = f.select(key, name, "platform", F.col("__m").isNull().alias("__bad"), F.explode_outer("__m").alias("entry_key", "__e"))
+    entries = pairs.filter(F.col("entry_key").isNotNull()).select(key, "platform", "entry_key", *typed)
+    corrupt = pairs.filter(F.col("__bad") | (F.col("entry_key").isNotNull() & ~is_object)).select(key, name, "entry_key")
     return entries, corrupt
 
 

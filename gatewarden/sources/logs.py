@@ -34,6 +34,7 @@ LINE_PATTERNS: list[tuple[str, str]] = [
     ("start_failed", r"^\[error\] Failed to start: "),
     ("start", r"^\[gateway\] model=.* \| provider_key="),
     ("dashboard_spawned", r"^\[dashboard\] spawned pid=(\d+) "),
+    ("dashboard_start_failed", r"^\[dashboard\] FAILED to spawn: "),
     ("dashboard_exit", r"^\[dashboard\] EXITED with code (-?\d+) — "),
     ("dashboard_exit", r"^\[dashboard\] exited cleanly \(code (0)\)"),
     ("upstream_status", r"^\[proxy\] (\S+) (\S*) -> (\d+) body="),

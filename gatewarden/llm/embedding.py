@@ -24,6 +24,8 @@ own and is nobody's component.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,6 +56,12 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.nd
     return centres
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; divided by the largest component first, against overflow."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     """Indexes of the n nearest centres of each row, nearest first."""
     n = min(n, len(centres))
@@ -152,7 +160,7 @@ def near_duplicates(
     for dim, n in sizes.items():
         chosen = classes.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share[dim] * (1 << 20)) + 1))
         x = np.array([r["v"] for r in chosen.select("v").orderBy(F.xxhash64("key")).limit(sample).collect()], float).reshape(-1, dim)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(x)
         index[dim] = Index(x, min(-(-n // LIST_ROWS), len(x) // 8 + 1))
     shared = spark.sparkContext.broadcast(index)
 
@@ -162,9 +170,7 @@ def near_duplicates(
             for dim, part in batch.groupby("dim"):
                 ix = shared.value[dim]
                 x = np.stack(part["v"].to_numpy()).astype(float)
-                # Divided by the largest component first: no overflow for huge vectors.
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(x)
                 lists = _nearest(x, ix.centres, probes)
                 codes, errors = ix.encode(x, lists[:, 0])
                 for p in range(lists.shape[1]):
@@ -194,7 +200,7 @@ def near_duplicates(
     dealt = dealt.withColumn("to", F.explode(F.when(F.col("own"), F.concat(as_row, as_query)).otherwise(as_query)))
     dealt = dealt.select("dim", "list", "to.*", "node", "copies", "home", "v", "codes", "error")
 
-    def search(key, part: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
         dim, which = int(key[0]), int(key[1])
         ix = shared.value[dim]
         stored, part = part[part["stored"]], part[~part["stored"]]

@@ -25,6 +25,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 import pyarrow as pa
@@ -218,20 +219,20 @@ EVOLVED = "block long, island int, pid long, length long, item long, bin long, o
 def _evolve_blocks(loose: DataFrame, blocks: int, capacity: int, islands: int = ISLANDS) -> DataFrame:
     """pid, length -> block, pid, length, bin, offset: the best island of each block."""
 
-    def first(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def first(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "pid"], ascending=[False, True])
         lengths, pid = rows["length"].tolist(), rows["pid"].tolist()
         bins = Packer(lengths, capacity, int(key[0] * 31 + key[1])).evolve([])
         return _rows_of(key[0], key[1], pid, lengths, bins)
 
-    def second(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def second(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         own = rows[rows["origin"] == key[1]].sort_values("item")
         lengths, pid = own["length"].tolist(), own["pid"].tolist()
         elites = _bins_of(rows)
         bins = Packer(lengths, capacity, int(key[0] * 31 + key[1] + 7919)).evolve([elites[k] for k in sorted(elites)])
         return _rows_of(key[0], key[1], pid, lengths, bins)
 
-    def best(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def best(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         sizes = rows.groupby("island")["bin"].max()
         return rows[rows["island"] == sizes.idxmin()]
 

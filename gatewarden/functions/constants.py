@@ -3,16 +3,12 @@
 Everything in this module must equal the values the supervised gateway uses
 for results to agree: the settings registry, channel map, category order and
 titles, header names, limits.  They are stated plainly, in their natural
-order, and are only turned into small DataFrames by the helpers at the end.
-Nothing here grows with the data: the registry has 58 rows, the channel map
+order.  Nothing here grows with the data: the registry has 58 rows, the channel map
 7, the category list 15 (+ "other").
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
 # ---------------------------------------------------------------------------
 # FIXED VALUES — must equal the reference's, do not edit.
 # ---------------------------------------------------------------------------
@@ -118,9 +114,6 @@ FALSE_WORDS = ("false", "0", "no")
 HOP_BY_HOP = ("host", "transfer-encoding")
 RESPONSE_EXTRA_DROP = ("content-encoding", "content-length")
 
-# Colour escape removed from child-process output: ESC [ digits/semicolons m.
-ANSI_COLOUR_PATTERN = r"\x1b\[[0-9;]*m"
-
 # Limits (defaults of the operators).
 PAIRING_TTL_S = 3600
 CRASH_WINDOW_S = 120
@@ -128,7 +121,6 @@ CRASH_MAX_EXITS = 5
 RESPAWN_BASE_DELAY_S = 2.0
 RESPAWN_MAX_DELAY_S = 30.0
 GATEWAY_LOG_LINES = 500
-DASHBOARD_LOG_LINES = 300
 SESSION_LIFETIME_S = 7 * 86400
 DEVICE_FLOW_LIFE_S = 900
 DEVICE_FLOW_MIN_INTERVAL_S = 5
@@ -187,35 +179,3 @@ ROUTES: list[tuple[str, str, tuple[str, ...] | None, str]] = [
 PUBLIC_HANDLERS = ("route_health", "page_login", "login_post", "logout")
 LOGIN_PATH = "/login"
 SETUP_PATH = "/setup"
-
-# ---------------------------------------------------------------------------
-# End of fixed values.
-# ---------------------------------------------------------------------------
-
-REGISTRY_SCHEMA = T.StructType(
-    [
-        T.StructField("ord", T.IntegerType(), False),
-        T.StructField("key", T.StringType(), False),
-        T.StructField("label", T.StringType(), False),
-        T.StructField("category", T.StringType(), False),
-        T.StructField("is_secret", T.BooleanType(), False),
-    ]
-)
-
-
-def registry_df(spark: SparkSession, entries: list[tuple[str, str, str, bool]] | None = None) -> DataFrame:
-    """The registry as a small DataFrame (ord = position in registry order)."""
-    rows = [(i, k, label, cat, sec) for i, (k, label, cat, sec) in enumerate(entries or REGISTRY)]
-    return spark.createDataFrame(rows, REGISTRY_SCHEMA)
-
-
-def channels_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, n, k) for i, (n, k) in enumerate(CHANNELS)], "ord INT, name STRING, key STRING"
-    )
-
-
-def categories_df(spark: SparkSession) -> DataFrame:
-    rows = [(i, c, t) for i, (c, t) in enumerate(CATEGORIES)]
-    rows.append((len(CATEGORIES), *OTHER_CATEGORY))
-    return spark.createDataFrame(rows, "ord INT, category STRING, title STRING")

@@ -198,6 +198,60 @@ def _crash_from_scanned(ev: DataFrame, key: str, window_s: float, max_exits: int
 # O22 lifecycle_state, O23 restart_counts
 # ---------------------------------------------------------------------------
 
+# Vocabulary of the respawn rules: what an event makes of liveness, of the last
+# deliberate control and of the configuration's readiness.
+LIVE_AFTER = {
+    "start": True, "running": True, "respawn": True, "restart": True,
+    "stop": False, "stopped": False, "exit": False, "start_failed": False, "crashed": False, "unready": False,
+}
+CONTROL_AFTER = {"stop": "stop", "start": "go", "restart": "go", "respawn": "go", "running": "go"}
+READY_AFTER = {"config_ready": True, "config_unready": False}
+
+
+def _after(table: dict[str, object]) -> Column:
+    out = F.lit(None)
+    for event, value in table.items():
+        out = F.when(F.col("event") == event, F.lit(value)).otherwise(out)
+    return out
+
+
+def respawn_checks(
+    events: DataFrame,
+    key: str = "deployment_id",
+    window_s: float = C.CRASH_WINDOW_S,
+    max_exits: int = C.CRASH_MAX_EXITS,
+    bucket_s: int = DEFAULT_BUCKET_S,
+) -> DataFrame:
+    """What becomes of each respawn when its delay ends: (key, ts, seq of the exit,
+    due, outcome).
+
+    ``cancelled`` if the last control up to then is a stop, else
+    ``already_running`` if the process is live, else ``unready`` if the
+    configuration is incomplete, else ``respawn_due``.  The checks join the
+    events as rows of their due time (after events of the same moment) and one
+    ordered scan carries the three last values to them.
+    """
+    plain = events.select(key, F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("bigint").alias("seq"), "event")
+    exits = lifecycle_crash_loop(plain, key, window_s, max_exits, bucket_s).filter(F.col("verdict") == "respawn")
+    due = F.timestamp_micros(micros("ts") + F.col("delay_s") * F.lit(1_000_000))
+    none = F.lit(None)
+    checks = exits.select(key, due.alias("ts"), F.lit(2**63 - 1).alias("seq"), none.cast("string").alias("event"), F.col("ts").alias("__xt"), F.col("seq").alias("__xs"))
+    rows = plain.withColumns({"__xt": none.cast("timestamp"), "__xs": none.cast("bigint")}).unionByName(checks).withColumn("__t", micros("ts"))
+    specs = [
+        ScanSpec("__live", "last", _after(LIVE_AFTER)),
+        ScanSpec("__ctl", "last", _after(CONTROL_AFTER)),
+        ScanSpec("__ready", "last", _after(READY_AFTER)),
+    ]
+    rows = ordered_scan(rows, [key], "__t", ["__t", "seq"], specs, bucket_s).filter(F.col("__xs").isNotNull())
+    outcome = (
+        F.when(F.coalesce(F.col("__ctl") == "stop", F.lit(False)), "cancelled")
+        .when(F.coalesce(F.col("__live"), F.lit(False)), "already_running")
+        .when(~F.coalesce(F.col("__ready"), F.lit(True)), "unready")
+        .otherwise("respawn_due")
+    )
+    return rows.select(key, F.col("__xt").alias("ts"), F.col("__xs").alias("seq"), F.col("ts").alias("due"), outcome.alias("outcome"))
+
+
 # Event -> state after it.  ``start`` on a dead process spawns at once.
 _STATE_AFTER = [
     ("start", "running"),

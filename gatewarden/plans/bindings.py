@@ -103,6 +103,21 @@ def lifecycle_crash_loop_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("respawn_checks")
+def respawn_checks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2's respawn checks in batch, on the lifecycle stand-in with views as readiness
+    events (unready below 10): the delays are stretched to hours so that events fall into them."""
+    ev = lifecycle_events(spark, sf_dir).select("deployment_id", "ts", "seq", "event")
+    views = _events(spark, sf_dir).filter("event_type = 'view'").select(
+        F.col("user_id").alias("deployment_id"), "ts", F.col("event_id").alias("seq"),
+        F.when(F.col("value") < 10, "config_unready").otherwise("config_ready").alias("event"),
+    )
+    # An hour of events counts as a second: epoch 2024 stays the origin.
+    squeezed = F.timestamp_micros(F.floor(micros("ts") / 3600).cast("bigint"))
+    res = L.respawn_checks(ev.unionByName(views).withColumn("ts", squeezed), window_s=CRASH_WINDOW_H, max_exits=CRASH_MAX)
+    return res.select("deployment_id", "seq", micros("due").alias("due_us"), "outcome")
+
+
 @query("tail_per_source")
 def tail_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest 50 events per user as the log ring buffer."""

@@ -14,6 +14,7 @@ from ..operators.scans import micros
 from ..sources.dotenv import parse_dotenv
 from ..sources.keyed_json import read_keyed_json
 from ..sources.logs import clean_log_lines, extract_lifecycle_events
+from ..sources.sinks import merge_published
 from . import standins as X
 from .bindings import query
 from .tables import table
@@ -26,7 +27,7 @@ from .tables import table
 @query("parse_dotenv")
 def parse_dotenv_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1 over the customer .env files and the whole text of every document."""
-    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"], spread=True).select(
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"]).select(
         F.col("doc_id").alias("deployment_id"), F.concat(F.lit("documents/"), "source").alias("path"), "text"
     )
     files = X.customer_env_files(spark, sf_dir).unionByName(docs)
@@ -298,7 +299,7 @@ def inject_html_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_pairing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"], spread=True)
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"])
     pr = F.col("o_orderpriority")
     name = (
         F.when(pr == "1-URGENT", "telegram-pending.json")
@@ -356,6 +357,18 @@ def resolve_remaining_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remaining.select("deployment_id", "platform", "code")
 
 
+@query("publish_pairing_state")
+def publish_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the deployments publish their requests of value 20 and more
+    (their telegram requests all go); the others' rows stay as they were."""
+    before = X.pending_from_events(spark, sf_dir)
+    published = table(spark, sf_dir, "events", ["user_id"]).select(F.col("user_id").alias("deployment_id")).filter("deployment_id % 3 = 0")
+    now = before.join(
+        table(spark, sf_dir, "events", ["event_id", "value"]).select(F.col("event_id").cast("string").alias("code"), "value"), "code"
+    ).filter("value >= 20")
+    return merge_published(before, now.select(before.columns), published).select("deployment_id", "platform", "code", "user_id", "user_name")
+
+
 @query("approved_users")
 def approved_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """approve = signup, revoke = error; latest op per user wins."""
@@ -450,7 +463,7 @@ def access_decision_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("upstream_errors")
 def upstream_errors_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as upstream replies (status by language, failures by source)."""
-    d = table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"], spread=True)
+    d = table(spark, sf_dir, "documents", ["doc_id", "lang", "source", "text"])
     resp = d.select(
         F.col("doc_id").alias("deployment_id"),
         F.when(F.col("lang") == "de", 404).when(F.col("lang") == "fr", 500).when(F.col("lang") == "es", 399).otherwise(200).alias("status"),

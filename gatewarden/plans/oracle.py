@@ -115,6 +115,44 @@ SELECT deployment_id, seq, ts_us, exits_in_window,
 FROM cnt
 """
 
+_SQUEEZED = f"""
+SELECT deployment_id, seq, epoch_us(ts) // 3600 AS t, event FROM ({_LIFECYCLE_EVENTS}) l
+UNION ALL SELECT user_id, event_id, epoch_us(ts) // 3600, CASE WHEN value < 10 THEN 'config_unready' ELSE 'config_ready' END
+FROM events WHERE event_type = 'view'
+"""
+
+ORACLE["respawn_checks"] = f"""
+WITH ev AS ({_SQUEEZED}),
+s AS (
+  SELECT *,
+    last_value(CASE WHEN event = 'stop' THEN 'stop' WHEN event IN ('start', 'restart') THEN 'go' END IGNORE NULLS)
+      OVER (PARTITION BY deployment_id ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ctl,
+    last_value(CASE WHEN event IN ('start', 'restart') THEN true WHEN event IN ('stop', 'exit') THEN false END IGNORE NULLS)
+      OVER (PARTITION BY deployment_id ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS live_before
+  FROM ev
+), f AS (
+  SELECT deployment_id, seq, t, event = 'exit' AND coalesce(ctl, '') <> 'stop' AS is_exit,
+         event = 'restart' OR (event = 'start' AND NOT coalesce(live_before, false)) AS is_reset
+  FROM s
+), g AS (SELECT *, row_number() OVER (PARTITION BY deployment_id ORDER BY t, seq) AS pos FROM f WHERE is_exit OR is_reset
+), g2 AS (
+  SELECT *, coalesce(max(CASE WHEN is_reset THEN pos END) OVER (PARTITION BY deployment_id ORDER BY pos
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS rpos FROM g
+), ex AS (SELECT * FROM g2 WHERE is_exit),
+cnt AS (
+  SELECT e.deployment_id, e.seq, e.t, count(*) AS n
+  FROM ex e JOIN ex x ON x.deployment_id = e.deployment_id AND x.pos <= e.pos AND x.pos > e.rpos AND x.t > e.t - 240000000
+  GROUP BY e.deployment_id, e.seq, e.t
+), due AS (SELECT *, t + CAST(least(2.0 * pow(2.0, n - 1), 30.0) AS BIGINT) * 1000000 AS d FROM cnt WHERE n <= 5)
+SELECT d.deployment_id, d.seq, d.d AS due_us,
+       CASE WHEN arg_max(CASE WHEN e.event = 'stop' THEN 'stop' ELSE 'go' END, (e.t, e.seq)) FILTER (WHERE e.event IN ('stop', 'start', 'restart')) = 'stop' THEN 'cancelled'
+            WHEN coalesce(arg_max(e.event IN ('start', 'restart'), (e.t, e.seq)) FILTER (WHERE e.event IN ('stop', 'start', 'restart', 'exit')), false) THEN 'already_running'
+            WHEN coalesce(arg_max(e.event, (e.t, e.seq)) FILTER (WHERE e.event IN ('config_ready', 'config_unready')), '') = 'config_unready' THEN 'unready'
+            ELSE 'respawn_due' END AS outcome
+FROM due d JOIN ev e ON e.deployment_id = d.deployment_id AND e.t <= d.d
+GROUP BY d.deployment_id, d.seq, d.d
+"""
+
 ORACLE["restart_counts"] = f"""
 SELECT deployment_id, count(*) FILTER (WHERE event IN ('restart', 'respawn')) AS restarts
 FROM ({_LIFECYCLE_EVENTS}) ev GROUP BY deployment_id

@@ -470,6 +470,12 @@ SELECT p.deployment_id, p.platform, p.code FROM pend p
 WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.deployment_id = p.deployment_id AND f.platform = p.platform AND f.code = p.code)
 """
 
+ORACLE["publish_pairing_state"] = f"""
+SELECT user_id AS deployment_id, {PLATFORM_SQL.format(v='value')} AS platform, CAST(event_id AS VARCHAR) AS code,
+       CASE WHEN value < 5 THEN '  ' ELSE CAST(user_id AS VARCHAR) END AS user_id, 'user-' || CAST(user_id AS VARCHAR) AS user_name
+FROM events WHERE event_type = 'signup' AND (user_id % 3 <> 0 OR value >= 20)
+"""
+
 ORACLE["approved_users"] = """
 WITH ops AS (
   SELECT user_id AS deployment_id, 'telegram' AS platform, CAST(user_id AS VARCHAR) AS uid, event_type,

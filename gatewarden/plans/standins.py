@@ -28,7 +28,7 @@ def _s(c: Column) -> Column:
 
 
 def customer_env_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey", "c_name"], spread=True)
+    c = table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey", "c_name"])
     seg, bal, nk, ck, name = F.col("c_mktsegment"), F.col("c_acctbal"), F.col("c_nationkey"), _s(F.col("c_custkey")), F.col("c_name")
     whatsapp = (
         F.when(seg == "AUTOMOBILE", "false")
@@ -83,7 +83,7 @@ def provider_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_credential_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey"], spread=True)
+    c = table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey"])
     seg, bal, nk, ck = F.col("c_mktsegment"), F.col("c_acctbal"), _s(F.col("c_nationkey")), _s(F.col("c_custkey"))
     doc = (
         F.when(
@@ -241,7 +241,7 @@ ESC = "\x1b"
 
 
 def event_log_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"], spread=True)
+    ev = table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
     et, v, uid, eid = F.col("event_type"), F.col("value"), _s(F.col("user_id")), _s(F.col("event_id"))
     k = F.get_json_object("props", "$.k")
     attempt = (F.floor(v / 100) + 1).cast("int")

@@ -10,14 +10,7 @@ TABLES = (
 ).split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None, spread: bool = False) -> DataFrame:
-    """One table; ``spread=True`` (with the needed ``columns``) for inputs of
-    heavy per-row text work, see :func:`gatewarden.session.spread`."""
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """One table, or some of its columns."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if columns:
-        df = df.select(*columns)
-    if spread:
-        from ..session import spread as _spread
-
-        df = _spread(df)
-    return df
+    return df.select(*columns) if columns else df

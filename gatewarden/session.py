@@ -3,15 +3,14 @@
 The library never creates a session implicitly: every operator takes
 DataFrames and returns DataFrames.  ``local_session`` exists for tests,
 the bench and the driver entry point; on a cluster the caller brings its
-own session and its own ``spark.checkpoint.dir``.
+own session.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job here relies on: UTC timestamps (all event times are UTC)
 # and adaptive execution (skew-join splitting, partition coalescing).
@@ -25,6 +24,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+    # Of equal keys in a JSON object the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -45,54 +46,4 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark.sparkContext.setLogLevel("ERROR")
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
-
-    ``spark.checkpoint.dir`` is read from the session.  Only when it is unset
-    (local tests) do we pick a fresh scratch folder of our own.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="gatewarden-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a local one).
-
-    Used between the stages of multi-pass jobs so a lost executor does not
-    force recomputation from the raw scan.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread rows over the cluster when the input has fewer partitions than
-    the cluster has cores.
-
-    A scan splits a Parquet file no finer than one row group, so a table
-    written as a few large row groups is read by a few tasks, and narrow
-    per-row work before the first shuffle (JSON, ``.env`` and log parsing)
-    would run on those tasks alone.  Then a round-robin ``repartition`` to the
-    default parallelism comes first.  Inputs at scale have far more partitions
-    than cores, and ``df`` is returned unchanged: no shuffle is added.
-
-    Call it on a freshly read input (scan, projection, filter), as the table
-    readers do: the partition count of such a plan is known from planning
-    alone, while on a plan with shuffles adaptive execution would have to run
-    them to know it.
-    """
-    n = int(min_partitions or df.sparkSession.sparkContext.defaultParallelism)
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    return df.repartition(n)

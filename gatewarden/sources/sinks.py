@@ -1,35 +1,67 @@
-"""O5 publish_pairing_state and other partitioned writes.
+"""O5 publish_pairing_state, and the ``.env`` file sink of O4.
 
-The gateway rewrites one JSON file per platform.  Here each keyed table is
-written partitioned by ``platform`` with dynamic partition overwrite, so a
-job replaces exactly the platforms it produced and leaves the others alone
-(the table-level analogue of rewriting one file).  Row-level MERGE needs a
-table format with row-level operations; plain Parquet has none.
+The gateway rewrites one JSON file per deployment and platform.  Here a publish
+covers some deployments: their rows replace whatever those deployments had, also
+where none are left, and all other deployments' rows stay.  Plain Parquet has no
+row-level merge, so every publish writes a complete new version beside the old
+ones and then a commit marker; readers see the last committed version only, and
+a publish that dies half-way leaves nothing visible.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TABLES = ("pending", "approved")
+BUCKETS = 64
+
+
+def merge_published(previous: DataFrame, rows: DataFrame, published: DataFrame, key: str = "deployment_id") -> DataFrame:
+    """The published deployments' ``rows``, and ``previous`` of all others."""
+    covered = published.select(key).distinct()
+    return previous.join(covered, key, "left_anti").unionByName(rows.join(covered, key, "left_semi"))
 
-def publish_partitioned(df: DataFrame, path: str, partition_by: str | list[str] = "platform", fmt: str = "parquet") -> None:
-    """Overwrite only the partitions present in ``df`` (dynamic overwrite)."""
-    cols = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-    (
-        df.repartition(*cols)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*cols)
-        .format(fmt)
-        .save(path)
-    )
 
+def committed_version(spark: SparkSession, root: str) -> int:
+    """The last committed version, 0 before the first."""
+    try:
+        return spark.read.parquet(f"{root.rstrip('/')}/commits").agg(F.max("version")).first()[0] or 0
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return 0
+        raise
 
-def publish_pairing_state(pending: DataFrame, approved: DataFrame, root: str) -> None:
-    """Write the pending and approved tables under ``root``, one partition per platform."""
-    publish_partitioned(pending, f"{root.rstrip('/')}/pending")
-    publish_partitioned(approved, f"{root.rstrip('/')}/approved")
+
+def read_published(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """The committed rows of ``pending`` or ``approved``; None where there are none."""
+    version = committed_version(spark, root)
+    try:
+        return spark.read.parquet(f"{root.rstrip('/')}/{table}/version={version}").drop("bucket") if version else None
+    except AnalysisException as e:
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # a version without rows has no files
+            return None
+        raise
+
+
+def publish_pairing_state(pending: DataFrame, approved: DataFrame, published: DataFrame, root: str, key: str = "deployment_id", buckets: int = BUCKETS) -> int:
+    """Publish the pairing state of the ``published`` deployments (one row each at
+    least, rows or not) and return the new version.
+
+    Files are partitioned by platform and by a hash bucket of the deployment, so a
+    platform's rows are written by many tasks.
+    """
+    spark = pending.sparkSession
+    version = committed_version(spark, root) + 1
+    for name, rows in zip(TABLES, (pending, approved)):
+        old = read_published(spark, root, name)
+        new = merge_published(rows.limit(0) if old is None else old.select(rows.columns), rows, published, key)
+        new = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        target = f"{root.rstrip('/')}/{name}/version={version}"
+        new.repartition("platform", "bucket").write.mode("overwrite").partitionBy("platform", "bucket").parquet(target)
+    spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{root.rstrip('/')}/commits")
+    return version
 
 
 def write_dotenv_files(settings: DataFrame, path: str, key: str = "deployment_id") -> None:
@@ -39,8 +71,9 @@ def write_dotenv_files(settings: DataFrame, path: str, key: str = "deployment_id
     rows are hash-partitioned by deployment and sorted within partitions by
     (deployment, category, part, line), so each file is streamed out in
     order by its writer task with no per-deployment array in memory.  The
-    file bytes equal :func:`render_dotenv`'s text.  Partitions are
-    overwritten dynamically.
+    file bytes equal :func:`render_dotenv`'s text; a deployment without any
+    value left gets a file of one blank line in place of its old one.
+    Partitions are overwritten dynamically.
     """
     from ..operators.settings import render_dotenv_lines
 

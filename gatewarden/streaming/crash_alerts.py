@@ -1,18 +1,17 @@
 """ST2: crash-loop guard and respawn backoff as a live stream (O20 + O21 + timers).
 
-Keyed by deployment with ``transformWithStateInPandas``.  Per deployment the
-state holds only what the supervisor itself holds: the times of recent
-unexpected exits (pruned to the window), whether the process is live and
-whether a deliberate stop is in flight.  Every counted exit emits a row with
-``exits_in_window``, ``verdict`` and ``delay_s`` (the batch
-:func:`gatewarden.operators.lifecycle.lifecycle_crash_loop` gives the same
-rows for the same events).  A respawn registers an event-time timer at
-``exit + delay``; when the watermark passes it, a ``respawn_check`` row says
-whether the respawn goes ahead (``respawn_due``), was cancelled by a stop in
-the meantime (``cancelled``) or found a live process (``already_running``).
-
-Events within a micro-batch are ordered by (ts, seq); events of a later
-batch are taken as later (the supervisor's own arrival order).
+Keyed by deployment with ``transformWithStateInPandas``.  Rows are held in state
+until the watermark passes their time and are then applied in event order, so
+the order of arrival within ``lateness`` does not matter.  Every counted exit
+emits a row with ``exits_in_window``, ``verdict`` and ``delay_s``; every respawn
+emits a ``respawn_check`` row for the moment its delay ends: ``cancelled`` (a
+stop came first), ``already_running``, ``unready`` (configuration incomplete) or
+``respawn_due``.  A check is settled before any event later than its moment.
+
+:func:`gatewarden.operators.lifecycle.lifecycle_crash_loop` and
+:func:`gatewarden.operators.lifecycle.respawn_checks` give the same rows in
+batch.  Rows later than ``lateness`` never reach the stream;
+:func:`missed_rows` recomputes a closed range and returns what the stream lacks.
 """
 
 from __future__ import annotations
@@ -21,9 +20,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import constants as C
+from ..operators.lifecycle import CONTROL_AFTER, LIVE_AFTER, READY_AFTER, lifecycle_crash_loop, respawn_checks
 from .common import put_list
 
 EVENTS_SCHEMA = "deployment_id string, ts timestamp, seq long, event string"
@@ -31,10 +32,11 @@ OUTPUT_SCHEMA = (
     "deployment_id string, ts timestamp, seq long, kind string, exits_in_window long, "
     "verdict string, delay_s long, outcome string"
 )
+_COLS = ["deployment_id", "ts", "seq", "kind", "exits_in_window", "verdict", "delay_s", "outcome"]
 
-_LIVE = {"start": True, "running": True, "respawn": True, "restart": True, "stop": False, "exit": False,
-         "stopped": False, "start_failed": False, "crashed": False, "unready": False}
-_CONTROL = {"stop": "stop", "start": "go", "restart": "go", "respawn": "go", "running": "go"}
+
+def _us(ts) -> int:
+    return int(pd.Timestamp(ts).value // 1000)
 
 
 class CrashLoopProcessor(StatefulProcessor):
@@ -46,71 +48,70 @@ class CrashLoopProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.held = handle.getListState("held", "t long, ts timestamp, seq long, event string")
         self.exits = handle.getListState("exits", "t long")
-        self.flags = handle.getValueState("flags", "live boolean, control string")
-        self.pending = handle.getListState("pending", "timer_ms long, ts timestamp, seq long")
-
-    def _flags(self):
-        if self.flags.exists():
-            live, control = self.flags.get()
-            return bool(live), control
-        return False, None
+        self.flags = handle.getValueState("flags", "live boolean, control string, ready boolean")
+        self.pending = handle.getListState("pending", "due long, ts timestamp, seq long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        dep = key[0]
-        ev = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-        live, control = self._flags()
-        recent = [r[0] for r in self.exits.get()] if self.exits.exists() else []
-        out = []
-        for ts, seq, event in zip(ev["ts"], ev["seq"], ev["event"]):
-            t_us = int(pd.Timestamp(ts).value // 1000)
-            if event == "restart" or (event == "start" and not live):
-                recent = []
-            if event == "exit" and control != "stop":
-                recent = [x for x in recent if t_us - x < self.window_us]
-                recent.append(t_us)
-                n = len(recent)
-                crashed = n > self.max_exits
-                delay = None if crashed else int(min(self.base_s * 2 ** (n - 1), self.cap_s))
-                out.append((dep, ts, seq, "exit", n, "crashed" if crashed else "respawn", delay, None))
-                if not crashed:
-                    timer_ms = t_us // 1000 + delay * 1000
-                    self.handle.registerTimer(timer_ms)
-                    self.pending.appendValue((timer_ms, pd.Timestamp(ts).to_pydatetime(), int(seq)))
-            live = _LIVE.get(event, live)
-            control = _CONTROL.get(event, control)
-        put_list(self.exits, [(x,) for x in recent])
-        self.flags.update((live, control))
-        if out:
-            yield pd.DataFrame(out, columns=["deployment_id", "ts", "seq", "kind", "exits_in_window", "verdict", "delay_s", "outcome"])
+        moments = set()
+        for frame in rows:
+            new = [(_us(r.ts), pd.Timestamp(r.ts).to_pydatetime(), int(r.seq), r.event) for r in frame.itertuples(index=False)]
+            self.held.appendList(new)
+            moments.update(-(-t // 1000) for t, _, _, _ in new)
+        for ms in moments:
+            self.handle.registerTimer(ms)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        dep = key[0]
-        fired = expiredTimerInfo.getExpiryTimeInMs()
-        live, control = self._flags()
-        keep, out = [], []
-        for timer_ms, ts, seq in (self.pending.get() if self.pending.exists() else []):
-            if timer_ms == fired:
-                outcome = "cancelled" if control == "stop" else ("already_running" if live else "respawn_due")
-                out.append((dep, ts, seq, "respawn_check", None, None, None, outcome))
-            else:
-                keep.append((timer_ms, ts, seq))
-        put_list(self.pending, keep)
+        # All that the watermark has passed, not this timer alone: checks that fall due meanwhile have no timer to come.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        held = sorted(self.held.get()) if self.held.exists() else []
+        ripe = [r for r in held if r[0] <= now]
+        flags = list(self.flags.get()) if self.flags.exists() else [False, None, True]
+        exits = [r[0] for r in self.exits.get()] if self.exits.exists() else []
+        pending = sorted(self.pending.get()) if self.pending.exists() else []
+        out: list[tuple] = []
+
+        def settle(until: int) -> None:
+            live, control, ready = flags
+            outcome = "cancelled" if control == "stop" else "already_running" if live else "respawn_due" if ready else "unready"
+            while pending and pending[0][0] < until:
+                _, ts, seq = pending.pop(0)
+                out.append((key[0], ts, seq, "respawn_check", None, None, None, outcome))
+
+        for t, ts, seq, event in ripe:
+            settle(t)
+            if event == "restart" or (event == "start" and not flags[0]):
+                exits.clear()
+            if event == "exit" and flags[1] != "stop":
+                exits[:] = [*(x for x in exits if x > t - self.window_us), t]
+                verdict = "crashed" if len(exits) > self.max_exits else "respawn"
+                delay = int(min(self.base_s * 2 ** (len(exits) - 1), self.cap_s)) if verdict == "respawn" else None
+                out.append((key[0], ts, seq, "exit", len(exits), verdict, delay, None))
+                if delay is not None:
+                    due = t + delay * 1_000_000
+                    pending.append((due, ts, seq))
+                    pending.sort()
+                    self.handle.registerTimer(due // 1000 + 1)
+            flags[:] = [LIVE_AFTER.get(event, flags[0]), CONTROL_AFTER.get(event, flags[1]), READY_AFTER.get(event, flags[2])]
+        settle(now + 1)
+        put_list(self.held, [tuple(r) for r in held[len(ripe) :]])
+        put_list(self.exits, [(x,) for x in exits])
+        put_list(self.pending, [tuple(r) for r in pending])
+        self.flags.update(tuple(flags))
         if out:
-            yield pd.DataFrame(out, columns=["deployment_id", "ts", "seq", "kind", "exits_in_window", "verdict", "delay_s", "outcome"])
+            yield pd.DataFrame(out, columns=_COLS)
 
     def close(self) -> None:
         pass
 
 
 def crash_alert_stream(
-    events: DataFrame,
-    window_s: float = C.CRASH_WINDOW_S,
-    max_exits: int = C.CRASH_MAX_EXITS,
-    lateness: str = "10 minutes",
+    events: DataFrame, lateness: str, window_s: float = C.CRASH_WINDOW_S, max_exits: int = C.CRASH_MAX_EXITS
 ) -> DataFrame:
-    """Streaming O20+O21 with respawn timers.  ``lateness`` bounds how late an
-    event may arrive (our choice; the supervisor has no notion of it)."""
+    """Streaming O20+O21 with respawn checks.  ``lateness`` bounds how late an event
+    may arrive; results come that much later."""
     return (
         events.withWatermark("ts", lateness)
         .groupBy("deployment_id")
@@ -121,3 +122,17 @@ def crash_alert_stream(
             timeMode="EventTime",
         )
     )
+
+
+def missed_rows(events: DataFrame, emitted: DataFrame, window_s: float = C.CRASH_WINDOW_S, max_exits: int = C.CRASH_MAX_EXITS) -> DataFrame:
+    """Rows of the batch rules over ``events`` (a closed range, late rows included)
+    that the stream did not emit as they are."""
+    none = lambda t: F.lit(None).cast(t)
+    exits = lifecycle_crash_loop(events, window_s=window_s, max_exits=max_exits).select(
+        "deployment_id", "ts", "seq", F.lit("exit").alias("kind"), "exits_in_window", "verdict", "delay_s", none("string").alias("outcome")
+    )
+    checks = respawn_checks(events, window_s=window_s, max_exits=max_exits).select(
+        "deployment_id", "ts", "seq", F.lit("respawn_check").alias("kind"), none("long").alias("exits_in_window"),
+        none("string").alias("verdict"), none("long").alias("delay_s"), "outcome",
+    )
+    return exits.unionByName(checks).exceptAll(emitted.select(*_COLS))

@@ -5,12 +5,18 @@ interval); ``poll`` rows are replies.  The first terminal reply emits the
 outcome (authorized / error); with none, the timer at ``expires_at`` emits
 ``expired`` once the watermark passes it.  Interval rules as in the batch
 job: max(given, 5) at start, +5 per slow-down capped at 30; a reply counts
-only if the loop check before its sleep was before expiry.
+only if the loop check before its sleep was before expiry; a flow without an
+expiry lives ``DEVICE_FLOW_LIFE_S``.
+
+The two sources progress on their own, so replies that come before their flow
+row wait in state for it.  A flow's state goes when it expires; replies whose
+flow row has not come within a flow's life end as ``no_flow`` rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,37 +29,64 @@ OUTPUT_SCHEMA = "flow_id string, ts timestamp, status string, error string, inte
 _COLS = ["flow_id", "ts", "status", "error", "interval_s"]
 
 
+class _Poll(NamedTuple):
+    ts: object
+    seq: int
+    http_status: int | None
+    body_ok: bool | None
+    error: str | None
+    error_description: str | None
+
+
 class DeviceFlowProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.flow = handle.getValueState("flow", "expires_ms long, interval_s long, done boolean")
+        self.early = handle.getListState(
+            "early", "ts timestamp, seq long, http_status int, body_ok boolean, error string, error_description string"
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fid = key[0]
-        ev = pd.concat(list(rows), ignore_index=True)
-        ev["__o"] = (ev["kind"] != "flow").astype(int)  # the flow row first at equal times
-        ev = ev.sort_values(["ts", "__o", "seq"], kind="stable")
         st = self.flow.get() if self.flow.exists() else None
         expires_ms, interval, done = (st[0], st[1], bool(st[2])) if st else (None, None, False)
+        flows, polls = [], []
+        for frame in rows:
+            for r in frame.itertuples(index=False):
+                if r.kind == "flow":
+                    flows.append(r)
+                else:
+                    polls.append(_Poll(*(None if pd.isna(x) else x for x in (r.ts, r.seq, r.http_status, r.body_ok, r.error, r.error_description))))
+        if expires_ms is None and not flows:
+            # The flow row is still to come.
+            self.early.appendList([(pd.Timestamp(p.ts).to_pydatetime(), *p[1:]) for p in polls])
+            last = max(int(pd.Timestamp(p.ts).value // 1_000_000) for p in polls)
+            self.handle.registerTimer(last + C.DEVICE_FLOW_LIFE_S * 1000)
+            return
+        if self.early.exists():
+            polls += [_Poll(*x) for x in self.early.get()]
+            self.early.clear()
         out = []
-        for r in ev.itertuples(index=False):
-            if r.kind == "flow":
-                expires_ms = int(pd.Timestamp(r.expires_at).value // 1_000_000)
+        for r in [*flows, *sorted(polls, key=lambda p: (pd.Timestamp(p.ts), p.seq))]:
+            if not isinstance(r, _Poll):
+                started = pd.Timestamp(r.ts)
+                expiry = started + pd.Timedelta(seconds=C.DEVICE_FLOW_LIFE_S) if pd.isna(r.expires_at) else pd.Timestamp(r.expires_at)
+                expires_ms = int(expiry.value // 1_000_000)
                 given = C.DEVICE_FLOW_MIN_INTERVAL_S if pd.isna(r.interval_s) else int(r.interval_s)
                 interval, done = max(given, C.DEVICE_FLOW_MIN_INTERVAL_S), False
                 self.handle.registerTimer(expires_ms)
                 continue
-            if done or expires_ms is None:
+            if done:
                 continue
             t_ms = int(pd.Timestamp(r.ts).value // 1_000_000)
             if t_ms - interval * 1000 >= expires_ms:
                 continue  # the loop had already stopped before this reply
-            status = None if pd.isna(r.http_status) else int(r.http_status)
-            err = "" if r.error is None or pd.isna(r.error) else r.error
+            status = None if r.http_status is None else int(r.http_status)
+            err = r.error or ""
             if status is None:
                 continue
             if status == 200:
-                ok = bool(r.body_ok) if not pd.isna(r.body_ok) else False
+                ok = bool(r.body_ok)
                 out.append((fid, r.ts, "authorized" if ok else "error", None if ok else C.DEVICE_FLOW_BAD_BODY_ERROR, interval))
                 done = True
             elif err == "authorization_pending":
@@ -61,8 +94,7 @@ class DeviceFlowProcessor(StatefulProcessor):
             elif err == "slow_down":
                 interval = min(interval + C.DEVICE_FLOW_SLOWDOWN_STEP_S, C.DEVICE_FLOW_MAX_INTERVAL_S)
             else:
-                desc = None if r.error_description is None or pd.isna(r.error_description) else r.error_description
-                out.append((fid, r.ts, "error", desc or err or C.DEVICE_FLOW_TERMINAL_ERROR, interval))
+                out.append((fid, r.ts, "error", r.error_description or err or C.DEVICE_FLOW_TERMINAL_ERROR, interval))
                 done = True
         if expires_ms is not None:
             self.flow.update((expires_ms, interval, done))
@@ -71,18 +103,22 @@ class DeviceFlowProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.flow.exists():
+            waiting = list(self.early.get()) if self.early.exists() else []
+            self.early.clear()
+            if waiting:
+                yield pd.DataFrame([(key[0], x[0], "no_flow", None, None) for x in waiting], columns=_COLS)
             return
         expires_ms, interval, done = self.flow.get()
+        self.flow.clear()
         if not done:
             ts = pd.Timestamp(expires_ms, unit="ms")
-            self.flow.update((expires_ms, interval, True))
             yield pd.DataFrame([(key[0], ts, "expired", None, interval)], columns=_COLS)
 
     def close(self) -> None:
         pass
 
 
-def device_flow_stream(flows: DataFrame, polls: DataFrame, lateness: str = "1 minute") -> DataFrame:
+def device_flow_stream(flows: DataFrame, polls: DataFrame, lateness: str) -> DataFrame:
     """flows(flow_id, started_at, expires_at, interval_s) and polls(flow_id, ts,
     seq, http_status, body_ok, error, error_description) streams -> outcomes."""
     f = flows.select(

@@ -38,10 +38,10 @@ class PairingProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         dep, platform, code = key
-        ev = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+        ev = [r for frame in rows for r in frame.itertuples(index=False)]
         entry = self.entry.get() if self.entry.exists() else None
         out = []
-        for r in ev.itertuples(index=False):
+        for r in sorted(ev, key=lambda r: (r.ts, r.seq)):
             if r.kind == "request":
                 entry = (r.user_id or "", r.user_name or "")
                 continue
@@ -92,3 +92,44 @@ def pairing_stream(requests: DataFrame, decisions: DataFrame) -> DataFrame:
             statefulProcessor=PairingProcessor(), outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="None"
         )
     )
+
+
+APPROVED_SCHEMA = "deployment_id string, platform string, user_id string, user_name string, approved_at timestamp, approved boolean"
+_APPROVED_COLS = ["deployment_id", "platform", "user_id", "user_name", "approved_at", "approved"]
+
+
+class ApprovedProcessor(StatefulProcessor):
+    """Latest approval or revocation of a user by (ts, seq); O17 as a stream."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "ts timestamp, seq long, user_name string, approved boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get() if self.last.exists() else None
+        for frame in rows:
+            for r in frame.itertuples(index=False):
+                if last is None or (pd.Timestamp(r.ts), r.seq) >= (pd.Timestamp(last[0]), last[1]):
+                    last = (pd.Timestamp(r.ts).to_pydatetime(), int(r.seq), r.user_name, bool(r.approved))
+        self.last.update(last)
+        yield pd.DataFrame([(*key, last[2], last[0], last[3])], columns=_APPROVED_COLS)
+
+    def close(self) -> None:
+        pass
+
+
+def approved_stream(approvals: DataFrame, revocations: DataFrame) -> DataFrame:
+    """approvals(deployment_id, platform, user_id, user_name, ts, seq) and
+    revocations(deployment_id, platform, user_id, ts, seq) streams -> the newest
+    state of each touched user; the batch form is
+    :func:`gatewarden.operators.pairing.approved_users`."""
+    a = approvals.select("deployment_id", "platform", "user_id", "user_name", "ts", "seq", F.lit(True).alias("approved"))
+    r = revocations.select(
+        "deployment_id", "platform", "user_id", F.lit(None).cast("string").alias("user_name"), "ts", "seq", F.lit(False).alias("approved")
+    )
+    return (
+        a.unionByName(r)
+        .groupBy("deployment_id", "platform", "user_id")
+        .transformWithStateInPandas(
+            statefulProcessor=ApprovedProcessor(), outputStructType=APPROVED_SCHEMA, outputMode="Append", timeMode="None"
+        )
+    )

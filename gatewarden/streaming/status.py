@@ -3,11 +3,13 @@
 A stateful processor keyed by deployment folds lifecycle events into
 (state, pid, run start, restarts) exactly like the batch
 :func:`gatewarden.operators.lifecycle.lifecycle_state`, and emits the new
-status of every deployment touched by a micro-batch.  The sink is a
+status of every deployment touched by a micro-batch.  An event older than the
+last one applied changes no state (its restart still counts).  The sink is a
 ``foreachBatch`` keyed overwrite: each batch's rows go to their own
 ``batch_id=`` partition (overwritten on replay, so a retried batch after an
 executor loss writes the same rows once); readers take the newest row per
-deployment with :func:`read_latest_status`.
+deployment with :func:`read_latest_status`, and :func:`compact_status` replaces
+the history by those rows in a new folder.
 """
 
 from __future__ import annotations
@@ -34,21 +36,23 @@ _DEAD_MAKING = {"stop", "stopped", "exit", "start_failed", "crashed", "unready"}
 class StatusProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.st = handle.getValueState(
-            "status", "last_event string, last_ts timestamp, run_ts timestamp, run_pid long, in_run boolean, restarts long"
+            "status", "last_event string, last_ts timestamp, last_seq long, run_ts timestamp, run_pid long, in_run boolean, restarts long"
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ev = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
         if self.st.exists():
-            last_event, last_ts, run_ts, run_pid, in_run, restarts = self.st.get()
+            last_event, last_ts, last_seq, run_ts, run_pid, in_run, restarts = self.st.get()
         else:
-            last_event, last_ts, run_ts, run_pid, in_run, restarts = None, None, None, None, False, 0
-        has_pid = "pid" in ev.columns
-        for r in ev.itertuples(index=False):
+            last_event, last_ts, last_seq, run_ts, run_pid, in_run, restarts = None, None, None, None, None, False, 0
+        # Schedules, cancellations, lock clean-ups change no state.
+        ev = [r for frame in rows for r in frame.itertuples(index=False) if r.event in _STATE_AFTER]
+        for r in sorted(ev, key=lambda r: (r.ts, r.seq)):
             e = r.event
-            if e not in _STATE_AFTER:
-                continue  # schedules, cancellations, lock clean-ups change no state
-            pid = None if not has_pid or pd.isna(r.pid) else int(r.pid)
+            if last_ts is not None and (r.ts, r.seq) < (pd.Timestamp(last_ts), last_seq):
+                restarts += e in ("restart", "respawn")
+                continue
+            pid = getattr(r, "pid", None)
+            pid = None if pid is None or pd.isna(pid) else int(pid)
             if e in _DEAD_MAKING:
                 in_run, run_ts, run_pid = False, None, None
             elif e == "restart":
@@ -57,10 +61,10 @@ class StatusProcessor(StatefulProcessor):
                 in_run, run_ts, run_pid = True, r.ts, pid
             if e in ("restart", "respawn"):
                 restarts += 1
-            last_event, last_ts = e, r.ts
+            last_event, last_ts, last_seq = e, r.ts, int(r.seq)
         if last_event is None:
             return
-        self.st.update((last_event, last_ts, run_ts, run_pid, in_run, int(restarts)))
+        self.st.update((last_event, last_ts, last_seq, run_ts, run_pid, in_run, int(restarts)))
         state = _STATE_AFTER.get(last_event)
         running = state == "running"
         yield pd.DataFrame(
@@ -102,9 +106,16 @@ def start_status_sink(status: DataFrame, path: str, checkpoint: str, available_n
 
 
 def read_latest_status(spark: SparkSession, path: str) -> DataFrame:
-    """The newest status row per deployment (max batch, then event time)."""
+    """The newest status row per deployment (event time, then batch)."""
     s = spark.read.parquet(path)
     latest = s.groupBy("deployment_id").agg(
-        F.max_by(F.struct("state", "pid", "run_started_at", "restarts", "event_ts"), F.struct("batch_id", "event_ts")).alias("l")
+        F.max_by(F.struct("state", "pid", "run_started_at", "restarts", "event_ts"), F.struct("event_ts", "batch_id")).alias("l")
     )
     return latest.select("deployment_id", "l.*")
+
+
+def compact_status(spark: SparkSession, path: str, into: str) -> None:
+    """Write the newest rows of ``path`` to the new folder ``into``, as one batch that
+    later batches follow; readers and the sink move there, the old folder can go."""
+    last = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
+    read_latest_status(spark, path).withColumn("batch_id", F.lit(last).cast("long")).write.partitionBy("batch_id").parquet(into)

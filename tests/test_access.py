@@ -181,3 +181,11 @@ def test_token_expiry_rule(spark):
         (1000, False), (1704067200, True), (1704067200, False), (1704067200, False),
         (None, False), (None, False), (None, False), (None, False),
     ]
+
+
+def test_return_targets_hidden_hosts(spark):
+    from gatewarden.operators.access import safe_return_target
+
+    cases = {"/\t/evil.com": "/", "/\n/evil.com": "/", "/\r/evil.com": "/", "/a\tb": "/a\tb", "/\t//x": "/\t//x", "/ok?x=//y": "/ok?x=//y"}
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, return_to string")
+    assert {list(cases)[r.i]: r.target for r in safe_return_target(df).collect()} == cases

@@ -110,3 +110,26 @@ def test_inject_html_cases(spark):
     assert got[2] == ("<html>no tag</html>", False)
     assert got[3] == ("<html><BODY>x</BODY></html>", False)
     assert got[4] == ("<body>x</body>", False)
+
+
+def test_remove_provider_leaves_wrong_types_alone(spark):
+    docs = spark.createDataFrame(
+        [
+            ("list", '{"providers": [], "active_provider": "p"}'),
+            ("null", '{"providers": null, "active_provider": "p"}'),
+            ("none", '{"active_provider": "p"}'),
+            ("both", '{"providers": {"p": {}, "q": {}}, "active_provider": "p"}'),
+        ],
+        "deployment_id string, doc string",
+    )
+    got = {r.deployment_id: r.doc for r in D.remove_provider(docs, "p").collect()}
+    assert got["list"] == docs.filter("deployment_id = 'list'").first().doc and '"active_provider"' in got["null"]
+    assert got["none"] == "{}" and got["both"] == '{"providers":{"q":{}}}'
+    s = spark.createDataFrame([("d", "_MODEL_XAI_OAUTH", "m"), ("d", "LLM_MODEL", "m")], "deployment_id string, key string, value string")
+    assert [r.key for r in D.drop_provider_model(s, "xai-oauth").collect()] == ["LLM_MODEL"]
+
+
+def test_last_of_equal_json_keys_counts(spark):
+    doc = '{"providers": {"xai-oauth": {"tokens": {"refresh_token": ""}}}, "providers": {"xai-oauth": {"tokens": {"refresh_token": "x"}}}}'
+    df = spark.createDataFrame([("d", doc)], "deployment_id string, doc string")
+    assert D.credential_presence(df).first().has_refresh_token is True

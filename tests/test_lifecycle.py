@@ -220,7 +220,7 @@ def test_lifecycle_from_log_events_and_state_ignores_non_state_events(spark):
             ("a", ts(40), 10, "lock_cleared"),
         ],
         "deployment_id string, ts timestamp, seq long, event string",
-    )
+    ).withColumn("delay_s", F.when(F.col("event") == "respawn_scheduled", 2))
     lc = L.lifecycle_from_log_events(typed)
     assert [r.event for r in lc.orderBy("seq").collect()] == ["start", "exit", "respawn", "exit", "start", "exit"]
     res = sorted((r.seq, r.exits_in_window) for r in L.lifecycle_crash_loop(lc).collect())
@@ -233,7 +233,7 @@ def test_fused_log_crash_loop_equals_adapter_then_crash_loop(spark):
     rnd = random.Random(11)
     kinds = ["start", "exit", "exit", "respawn_scheduled", "respawn_cancelled", "crashed", "unready", "start_failed", "lock_cleared"]
     rows = [(rnd.choice("ab"), rnd.randrange(0, 2000), q, rnd.choice(kinds)) for q in range(400)]
-    typed = events_df(spark, rows)
+    typed = events_df(spark, rows).withColumn("delay_s", F.when(F.col("event") == "respawn_scheduled", (F.col("seq") % 4).cast("int")))
     cols = ["deployment_id", "seq", "exits_in_window", "verdict", "delay_s"]
     composed = L.lifecycle_crash_loop(L.lifecycle_from_log_events(typed, bucket_s=50), bucket_s=200)
     fused = L.crash_loop_from_log_events(typed, bucket_s=200)
@@ -242,3 +242,25 @@ def test_fused_log_crash_loop_equals_adapter_then_crash_loop(spark):
     assert got == want
     assert any(r[3] == "crashed" for r in got) and any(r[3] == "respawn" for r in got)
     assert L.lifecycle_from_log_events(typed).filter(F.col("event") == "respawn").count() > 0
+
+
+def test_start_inside_the_backoff_is_manual(spark):
+    typed = spark.createDataFrame(
+        [
+            ("a", ts(0), 1, "exit", None), ("a", ts(0), 2, "respawn_scheduled", 2), ("a", ts(1), 3, "start", None), ("a", ts(5), 4, "exit", None),
+            ("b", ts(0), 1, "exit", None), ("b", ts(0), 2, "respawn_scheduled", 2), ("b", ts(2), 3, "start", None), ("b", ts(5), 4, "exit", None),
+        ],
+        "deployment_id string, ts timestamp, seq long, event string, delay_s int",
+    )
+    got = {(r.deployment_id, r.seq): r.exits_in_window for r in L.crash_loop_from_log_events(typed).collect()}
+    assert got == {("a", 1): 1, ("a", 4): 1, ("b", 1): 1, ("b", 4): 2}
+
+
+def test_flow_without_expiry_has_the_default_life(spark):
+    flows = spark.createDataFrame([("f", ts(0), None, 5)], "flow_id string, started_at timestamp, expires_at timestamp, interval_s int")
+    polls = spark.createDataFrame(
+        [("f", ts(1000), 1, 200, True, None, None)],
+        "flow_id string, ts timestamp, seq long, http_status int, body_ok boolean, error string, error_description string",
+    )
+    assert L.device_flow_outcome(flows, polls, ts(2000)).first().status == "expired"
+    assert L.device_flow_outcome(flows, polls, ts(800)).first().status == "pending"

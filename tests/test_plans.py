@@ -39,17 +39,8 @@ def test_crash_loop_single_exchange(spark):
 def test_oracle_agrees_at_smallest_scale(spark):
     from tools.oracle_compare import compare
 
-    res = compare(spark, SF, verbose=False)
+    import __spark_entry__ as E
+
+    res = compare(spark, SF, list(E.oracle_sql()), verbose=False)
     bad = {k: v for k, v in res.items() if v[0] is not True}
     assert not bad, bad
-
-
-def test_spread_only_when_partitions_are_few(spark):
-    from gatewarden.session import spread
-
-    few = spark.range(0, 1000, 1, numPartitions=1)
-    out = spread(few, 4)
-    assert out.rdd.getNumPartitions() == 4
-    assert sorted(r.id for r in out.collect()) == list(range(1000))
-    many = spark.range(0, 1000, 1, numPartitions=6)
-    assert spread(many, 4) is many

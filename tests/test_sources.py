@@ -1,4 +1,4 @@
-"""Sources and sinks: O2 keyed JSON, O3 log cleaning, O6 event extraction, O5 partitioned publish."""
+"""Sources and sinks: O2 keyed JSON, O3 log cleaning, O6 event extraction, O5 versioned publish."""
 
 import json
 import os
@@ -6,7 +6,7 @@ import tempfile
 
 from gatewarden.sources.keyed_json import read_keyed_json
 from gatewarden.sources.logs import clean_log_lines, extract_lifecycle_events
-from gatewarden.sources.sinks import publish_partitioned
+from gatewarden.sources.sinks import publish_pairing_state, read_published
 
 
 def test_read_keyed_json(spark):
@@ -68,14 +68,50 @@ def test_extract_lifecycle_events(spark):
     assert 10 not in got
 
 
-def test_publish_partitioned_dynamic_overwrite(spark):
+def test_publish_covers_only_the_published_deployments(spark):
     root = tempfile.mkdtemp(prefix="gw-sink-")
-    path = os.path.join(root, "pending")
-    a = spark.createDataFrame([("tg", "1"), ("dc", "2")], "platform string, code string")
-    publish_partitioned(a, path)
-    publish_partitioned(spark.createDataFrame([("tg", "3")], "platform string, code string"), path)
-    got = sorted((r.platform, r.code) for r in spark.read.parquet(path).collect())
-    assert got == [("dc", "2"), ("tg", "3")]
+    rows = lambda *r: spark.createDataFrame(list(r), "deployment_id string, platform string, code string")
+    deps = lambda *d: spark.createDataFrame([(x,) for x in d], "deployment_id string")
+    read = lambda t: sorted((r.deployment_id, r.platform, r.code) for r in read_published(spark, root, t).collect())
+    assert read_published(spark, root, "pending") is None
+    publish_pairing_state(rows(("A", "tg", "1"), ("A", "dc", "2"), ("B", "tg", "3")), rows(("B", "tg", "9")), deps("A", "B"), root)
+    # A alone: B keeps its row, A's last dc row goes, a row of a deployment not published is ignored.
+    publish_pairing_state(rows(("A", "tg", "4"), ("C", "tg", "5")), rows(), deps("A"), root)
+    assert read("pending") == [("A", "tg", "4"), ("B", "tg", "3")] and read("approved") == [("B", "tg", "9")]
+    # Nothing left for A at all.
+    assert publish_pairing_state(rows(), rows(), deps("A"), root) == 3
+    assert read("pending") == [("B", "tg", "3")]
+
+
+def test_unfinished_publish_is_not_seen(spark):
+    root = tempfile.mkdtemp(prefix="gw-sink-")
+    rows = spark.createDataFrame([("A", "tg", "1")], "deployment_id string, platform string, code string")
+    publish_pairing_state(rows, rows, rows, root)
+    rows.withColumn("bucket", rows.code.cast("int")).write.partitionBy("platform", "bucket").parquet(f"{root}/pending/version=2")  # no commit
+    assert read_published(spark, root, "pending").count() == 1
+    assert publish_pairing_state(rows.limit(0), rows, rows, root) == 2
+    assert read_published(spark, root, "pending") is None and read_published(spark, root, "approved").count() == 1
+
+
+def test_mixed_entries_spoil_no_others(spark):
+    files = spark.createDataFrame(
+        [("d", "tg-pending.json", json.dumps({"a": "oops", "b": {"user_id": "1"}, "c": None, "e": {"created_at": "x", "user_id": 2}}))],
+        "deployment_id string, name string, text string",
+    )
+    entries, corrupt = read_keyed_json(files, "pending")
+    assert sorted((r.entry_key, r.user_id, r.created_at) for r in entries.collect()) == [("a", None, None), ("b", "1", None), ("c", None, None), ("e", "2", None)]
+    assert sorted(r.entry_key for r in corrupt.collect()) == ["a", "c"]
+
+
+def test_emptied_file_is_replaced(spark):
+    from gatewarden.sources.sinks import write_dotenv_files
+
+    root = tempfile.mkdtemp(prefix="gw-env-")
+    kind = "deployment_id string, key string, value string"
+    write_dotenv_files(spark.createDataFrame([("d1", "ADMIN_PASSWORD", "secret"), ("d2", "X", "1")], kind), root)
+    write_dotenv_files(spark.createDataFrame([("d1", "ADMIN_PASSWORD", "")], kind), root)
+    got = {r.deployment_id: r.value for r in spark.read.text(root, wholetext=True).select("deployment_id", "value").collect()}
+    assert got == {"d1": "\n", "d2": "# Other\nX=1\n"}
 
 
 def test_render_write_parse_round_trip(spark):

@@ -55,14 +55,21 @@ def test_st2_crash_alerts_equal_batch(spark):
     df = spark.createDataFrame(rows, EVENTS_SCHEMA)
     root = _scratch()
     df.write.parquet(os.path.join(root, "in"))
-    stream = crash_alert_stream(common.file_stream(spark, os.path.join(root, "in"), EVENTS_SCHEMA))
+    tick = spark.createDataFrame([("tick", t0 + dt.timedelta(days=2), 1, "start")], EVENTS_SCHEMA)  # moves the watermark
+    tick.coalesce(1).write.mode("append").parquet(os.path.join(root, "in"))
+    stream = crash_alert_stream(common.file_stream(spark, os.path.join(root, "in"), EVENTS_SCHEMA), "10 minutes")
     got = _run(stream, root)
     exits = sorted((r.deployment_id, r.seq, r.exits_in_window, r.verdict, r.delay_s) for r in got.filter("kind = 'exit'").collect())
     batch = L.lifecycle_crash_loop(df)
     expect = sorted((r.deployment_id, r.seq, r.exits_in_window, r.verdict, r.delay_s) for r in batch.collect())
     assert exits == expect
-    checks = got.filter("kind = 'respawn_check'").collect()
-    assert {r.outcome for r in checks} <= {"respawn_due", "cancelled", "already_running"}
+    checks = sorted((r.deployment_id, r.seq, r.outcome) for r in got.filter("kind = 'respawn_check'").collect())
+    assert checks == sorted((r.deployment_id, r.seq, r.outcome) for r in L.respawn_checks(df).collect())
+    assert len({c[2] for c in checks}) >= 2
+    from gatewarden.streaming.crash_alerts import missed_rows
+
+    assert missed_rows(df, got).count() == 0
+    assert missed_rows(df, got.filter("kind = 'respawn_check'")).count() == len(exits)
 
 
 def test_st3_pairing_stream_equals_batch(spark):
@@ -120,7 +127,7 @@ def test_st4_device_flow_stream_matches_batch(spark):
     polls.write.parquet(os.path.join(root, "polls"))
     fs = common.file_stream(spark, os.path.join(root, "flows"), flows.schema)
     ps = common.file_stream(spark, os.path.join(root, "polls"), polls.schema)
-    got = {r.flow_id: (r.status, r.error, r.interval_s) for r in _run(device_flow_stream(fs, ps), root).collect()}
+    got = {r.flow_id: (r.status, r.error, r.interval_s) for r in _run(device_flow_stream(fs, ps, "1 minute"), root).collect()}
     for f in ["ok", "exp", "slow", "err"]:
         assert got[f] == batch[f], f
 
@@ -161,10 +168,94 @@ def test_st2_respawn_timer_outcomes(spark):
         ("manual", t0, 1, "start"), ("manual", t0 + dt.timedelta(seconds=10), 2, "exit"),
         ("manual", t0 + dt.timedelta(seconds=11), 3, "start"),          # manual start inside the delay
         ("due", t0, 1, "start"), ("due", t0 + dt.timedelta(seconds=10), 2, "exit"),
+        ("again", t0, 1, "start"), ("again", t0 + dt.timedelta(seconds=10), 2, "exit"),
+        ("again", t0 + dt.timedelta(seconds=12, milliseconds=500), 3, "respawn"),  # after the delay: the respawn itself
+        ("late_stop", t0, 1, "start"), ("late_stop", t0 + dt.timedelta(seconds=10), 2, "exit"),
+        ("late_stop", t0 + dt.timedelta(seconds=300), 3, "stop"),
+        ("unready", t0, 1, "start"), ("unready", t0 + dt.timedelta(seconds=5), 2, "config_unready"),
+        ("unready", t0 + dt.timedelta(seconds=10), 3, "exit"),
         ("tick", t0 + dt.timedelta(hours=2), 1, "start"),               # moves the watermark past the timers
     ]
     root = _scratch()
     spark.createDataFrame(rows, EVENTS_SCHEMA).write.parquet(os.path.join(root, "in"))
     got = _run(crash_alert_stream(common.file_stream(spark, os.path.join(root, "in"), EVENTS_SCHEMA), lateness="1 minute"), root)
     checks = {r.deployment_id: r.outcome for r in got.filter("kind = 'respawn_check'").collect()}
-    assert checks == {"stopped": "cancelled", "manual": "already_running", "due": "respawn_due"}
+    want = {"stopped": "cancelled", "manual": "already_running", "due": "respawn_due", "again": "respawn_due",
+            "late_stop": "respawn_due", "unready": "unready"}
+    assert checks == want
+    batch = L.respawn_checks(spark.createDataFrame(rows, EVENTS_SCHEMA)).collect()
+    assert {r.deployment_id: r.outcome for r in batch} == want
+
+
+def test_st4_early_polls_and_default_life(spark):
+    """Polls in an earlier micro-batch than their flow row count; a flow without an
+    expiry lives 900 s; polls without any flow row come out."""
+    from gatewarden.streaming.device_flow import DeviceFlowProcessor, device_flow_stream  # noqa: F401
+
+    common.use_rocksdb_state(spark)
+    t0 = dt.datetime(2024, 1, 1)
+    kind_f = "flow_id string, started_at timestamp, expires_at timestamp, interval_s int"
+    kind_p = "flow_id string, ts timestamp, seq long, http_status int, body_ok boolean, error string, error_description string"
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    root = _scratch()
+    polls = [("early", at(10), 1, 200, True, None, None), ("orphan", at(10), 1, 200, True, None, None), ("life", at(10), 1, 400, True, "authorization_pending", None)]
+    flows = [("early", t0, None, 5), ("life", t0, None, 5)]
+    for n, (f, p) in enumerate([([], polls), (flows, []), ([("tick", at(90_000), None, 5)], []), ([("tick2", at(90_001), None, 5)], [])]):
+        spark.createDataFrame(f, kind_f).coalesce(1).write.mode("append").parquet(os.path.join(root, "flows"))
+        spark.createDataFrame(p, kind_p).coalesce(1).write.mode("append").parquet(os.path.join(root, "polls"))
+        import time
+
+        time.sleep(1.1)  # files are taken in the order of their times
+    fs = common.file_stream(spark, os.path.join(root, "flows"), spark.createDataFrame([], kind_f).schema, max_files=1)
+    ps = common.file_stream(spark, os.path.join(root, "polls"), spark.createDataFrame([], kind_p).schema, max_files=1)
+    got = {r.flow_id: r for r in _run(device_flow_stream(fs, ps, "1 minute"), root).collect()}
+    assert got["early"].status == "authorized" and got["orphan"].status == "no_flow"
+    assert got["life"].status == "expired" and got["life"].ts == at(900)
+
+
+def test_st3_approvals_and_revocations_equal_batch(spark):
+    from gatewarden.operators import pairing as P
+    from gatewarden.streaming.pairing import approved_stream
+
+    common.use_rocksdb_state(spark)
+    rnd = random.Random(9)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("d", "tg", f"u{rnd.randint(0, 8)}", f"n{i}", t0 + dt.timedelta(seconds=rnd.randint(0, 30)), i) for i in range(60)]
+    kind = "deployment_id string, platform string, user_id string, user_name string, ts timestamp, seq long"
+    a, r = spark.createDataFrame(rows[:35], kind), spark.createDataFrame(rows[35:], kind).drop("user_name")
+    root = _scratch()
+    a.repartition(3).write.parquet(os.path.join(root, "a"))
+    r.repartition(3).write.parquet(os.path.join(root, "r"))
+    s = approved_stream(common.file_stream(spark, os.path.join(root, "a"), a.schema, max_files=1), common.file_stream(spark, os.path.join(root, "r"), r.schema, max_files=1))
+    out = _run(s, root)
+    last = {}
+    for x in out.collect():
+        if x.user_id not in last or x.approved_at >= last[x.user_id].approved_at:
+            last[x.user_id] = x
+    want = {x.user_id: x.user_name for x in P.approved_users(a, r).collect()}
+    newest = {}
+    for row in rows:
+        if row[2] not in newest or (row[4], row[5]) > newest[row[2]][:2]:
+            newest[row[2]] = (row[4], row[5], row[3])
+    assert {u for u, x in last.items() if x.approved} >= set(want) - {u for u in want if last[u].approved_at != newest[u][0]}
+
+
+def test_st5_late_start_does_not_revive(spark):
+    from gatewarden.streaming.status import compact_status, read_latest_status, start_status_sink, status_stream
+
+    common.use_rocksdb_state(spark)
+    t0 = dt.datetime(2024, 1, 1)
+    kind = "deployment_id string, ts timestamp, seq long, event string, pid long"
+    root = _scratch()
+    import time
+
+    for batch in ([("d", t0 + dt.timedelta(seconds=20), 2, "exit", 1)], [("d", t0 + dt.timedelta(seconds=10), 1, "start", 1)]):
+        spark.createDataFrame(batch, kind).coalesce(1).write.mode("append").parquet(os.path.join(root, "in"))
+        time.sleep(1.1)
+    s = status_stream(common.file_stream(spark, os.path.join(root, "in"), spark.createDataFrame([], kind).schema, max_files=1))
+    q = start_status_sink(s, os.path.join(root, "status"), os.path.join(root, "ckpt"), available_now=True)
+    q.awaitTermination(300)
+    assert q.exception() is None
+    assert read_latest_status(spark, os.path.join(root, "status")).first().state == "error"
+    compact_status(spark, os.path.join(root, "status"), os.path.join(root, "compact"))
+    assert [r.state for r in spark.read.parquet(os.path.join(root, "compact")).collect()] == ["error"]

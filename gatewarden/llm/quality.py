@@ -34,6 +34,7 @@ FLOORS = (0.06, 0.75, 0.75, 0.75)
 SHARE = 0.75
 STEPS = 4
 MIN_GROUP = 80
+SALTS = 32
 #: Squared distance: the chi-square quantile of 4 degrees at 1 - 1e-9.
 CUTOFF = 47.6
 
@@ -107,6 +108,16 @@ def statistics() -> list[Column]:
     ]
 
 
+def _beside(rows: DataFrame, small: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
+    """``rows`` (with a column salt) left-joined to a table of one row per group: the
+    small side is copied to every salt, so a hot group's rows stay spread out."""
+    copies = small.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    match = F.col("salt") == F.col("__s")
+    for a, b in on:
+        match = match & F.col(a).eqNullSafe(F.col(b))
+    return rows.join(copies, match, "left").drop("__s", *[b for _, b in on])
+
+
 def _groups(vectors: DataFrame, min_group: int) -> DataFrame:
     """(lang, source) -> judge, the key whose estimate judges its texts, and feeds,
     the keys to whose estimates they contribute."""
@@ -164,9 +175,10 @@ def consistency(d: int, share: float) -> float:
 
 
 def estimate(vectors: DataFrame, steps: int = STEPS, share: float = SHARE) -> DataFrame:
-    """MCD estimates per key from rows (key, statistics)."""
+    """MCD estimates per key from rows (key, salt, statistics)."""
     mid = vectors.groupBy("key").agg(*[F.percentile_approx(a, 0.5, 10000).alias(f"m{i}") for i, a in enumerate(STATS)])
-    dev = vectors.join(mid, "key").groupBy("key").agg(
+    mid = mid.withColumnRenamed("key", "k")
+    dev = _beside(vectors, mid, [("key", "k")]).groupBy("key").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(len(STATS))],
         *[F.percentile_approx(F.abs(F.col(a) - F.col(f"m{i}")), 0.5, 10000).alias(f"s{i}") for i, a in enumerate(STATS)],
     )
@@ -175,9 +187,9 @@ def estimate(vectors: DataFrame, steps: int = STEPS, share: float = SHARE) -> Da
     est = cut(dev.select("key", *[f"m{i}" for i in range(len(STATS))], *zero, *diag))
     factor = consistency(len(STATS), share)
     for _ in range(steps):
-        near = vectors.join(est, "key").withColumn("d2", _distance()).select("key", *STATS, "d2")
-        at = near.groupBy("key").agg(F.percentile_approx("d2", share, 10000).alias("at"))
-        est = cut(_scatter(near.join(at, "key").filter(F.col("d2") <= F.col("at")), factor))
+        near = _beside(vectors, est.withColumnRenamed("key", "k"), [("key", "k")]).withColumn("d2", _distance()).select("key", "salt", *STATS, "d2")
+        at = near.groupBy("key").agg(F.percentile_approx("d2", share, 10000).alias("at")).withColumnRenamed("key", "k")
+        est = cut(_scatter(_beside(near, at, [("key", "k")]).filter(F.col("d2") <= F.col("at")), factor))
     return est
 
 
@@ -195,15 +207,16 @@ def judge(
     keep = [F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")]
     base = base_counts(docs, F.col(text_col), keep)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rows = cut(base.withColumn("base_failed", failed).select("*", *statistics()))
-    vectors = rows.filter(F.col("n_words") >= MIN_WORDS).select("lang", "source", *STATS)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    rows = cut(base.withColumn("base_failed", failed).select("*", *statistics(), salt.alias("salt")))
+    vectors = rows.filter(F.col("n_words") >= MIN_WORDS).select("lang", "source", "salt", *STATS)
     groups = cut(_groups(vectors, min_group))
-    on = F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs"))
-    fed = cut(vectors.join(groups, on).select(F.explode("feeds").alias("key"), *STATS))
+    on = [("lang", "gl"), ("source", "gs")]
+    fed = cut(_beside(vectors, groups, on).select(F.explode("feeds").alias("key"), "salt", *STATS))
     enough = fed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_group).select("key")
     est = estimate(fed, STEPS).join(enough, "key", "left_semi")
     known = groups.join(est, groups["judge"] == est["key"], "left").drop("feeds", "key")
-    out = rows.join(known, on, "left").withColumn("distance", _distance())
+    out = _beside(rows, known, on).withColumn("distance", _distance())
     # Fewer symbols or repeats than usual is no fault: only vectors beyond the centre count.
     worse = F.lit(False)
     for i, a in enumerate(STATS):

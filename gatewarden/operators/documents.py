@@ -20,8 +20,9 @@ from ..functions import constants as C
 # ---------------------------------------------------------------------------
 
 
-def overlay_policy_from_settings(settings: DataFrame, home: str, key: str = "deployment_id") -> DataFrame:
-    """The boot-time overlay policy per deployment, from its settings.
+def overlay_policy_from_settings(settings: DataFrame, home: str, key: str = "deployment_id", deployments: DataFrame | None = None) -> DataFrame:
+    """The boot-time overlay policy per deployment, from its settings; with
+    ``deployments`` also for those without any setting.
 
     model.default forced to the model setting (also when empty); model.provider
     forced to ``auto`` only if some provider key is set; terminal leaves
@@ -31,8 +32,11 @@ def overlay_policy_from_settings(settings: DataFrame, home: str, key: str = "dep
     from ..functions.text import truthy
     from .settings import custom_endpoint_aggs, custom_endpoint_fields, provider_keys
 
-    # One aggregation per deployment over all its settings (every deployment
-    # with a setting gets the forced leaves); no join.
+    # One aggregation per deployment over all its settings; a deployment without
+    # any joins it as one row without a key.
+    if deployments is not None:
+        bare = deployments.select(key, F.lit("").alias("key"), F.lit("").alias("value"))
+        settings = settings.select(key, "key", "value").unionByName(bare)
     per_dep = settings.groupBy(key).agg(
         F.max(F.when(F.col("key") == C.MODEL_KEY, F.col("value"))).alias("__model"),
         F.bool_or(F.col("key").isin(*provider_keys()) & truthy("value")).alias("__any_provider"),
@@ -58,57 +62,63 @@ def overlay_policy_from_settings(settings: DataFrame, home: str, key: str = "dep
     return d.select(key, F.explode(rows).alias("r")).select(key, "r.*").filter(F.col("policy").isNotNull())
 
 
-def _ancestors(path: Column) -> Column:
-    """Proper ancestor paths of a dotted path: a.b.c -> [a, a.b]."""
-    parts = F.split(path, r"\.")
-    n = F.size(parts)
-    return F.when(
-        n > 1,
-        F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(parts, 1, i), ".")),
-    ).otherwise(F.array().cast("array<string>"))
+def overlay_policy_from_sign_ins(sign_ins: DataFrame, provider: str, home: str, key: str = "deployment_id") -> DataFrame:
+    """The overlay policy of a device-flow sign-in, sign_ins(key, model): the provider
+    is forced, the model only where it is given, terminal leaves and the iteration
+    limit are defaulted, data_dir is forced to ``home``."""
+
+    def row(path: str, value: Column, policy: Column, vtype: str) -> Column:
+        return F.struct(F.lit(path).alias("path"), value.cast("string").alias("value"), policy.alias("policy"), F.lit(vtype).alias("value_type"))
+
+    force, default = F.lit("force"), F.lit("default")
+    rows = F.array(
+        row("model.default", F.col("model"), F.when(F.length("model") > 0, force), "str"),
+        row("model.provider", F.lit(provider), force, "str"),
+        *[row(p, F.lit(v), default, "int" if v.isdigit() else "str") for p, v in C.TERMINAL_DEFAULTS],
+        row("agent.max_iterations", F.lit(str(C.DEFAULT_MAX_ITERATIONS)), default, "int"),
+        row("data_dir", F.lit(home), force, "str"),
+    )
+    return sign_ins.select(key, F.explode(rows).alias("r")).select(key, "r.*").filter(F.col("policy").isNotNull())
+
+
+def sign_in_settings(sign_ins: DataFrame, provider: str, key: str = "deployment_id") -> DataFrame:
+    """Settings that a sign-in with a model writes back: the model setting and the one
+    that remembers the provider's model."""
+    names = F.array(F.lit(C.MODEL_KEY), F.lit(f"_MODEL_{provider.upper().replace('-', '_')}"))
+    return sign_ins.filter(F.length("model") > 0).select(key, F.explode(names).alias("key"), F.col("model").alias("value"))
 
 
 def overlay_config(existing: DataFrame, policy: DataFrame, key: str = "deployment_id") -> DataFrame:
     """Apply an overlay policy to config leaves.
 
     * ``force``: the policy value always wins;
-    * ``default``: the policy value only where the leaf is absent;
+    * ``default``: the policy value only where nothing is there: a leaf with a
+      null value counts, and so do leaves below the path;
     * ``remove``: the leaf and everything under it is dropped;
     * a forced scalar replaces any subtree under its path;
     * a managed section (parent of a forced/defaulted leaf) that exists as a
       scalar is replaced by a mapping (the scalar leaf is dropped);
     * every other leaf (unknown sections) is kept.
 
-    All joins are equi-joins on (dep, path); ancestor paths are generated
-    per leaf with ``explode`` (depth-bounded), not by a theta join.
+    A deployment's policy is a handful of rows, folded into one map; the leaves
+    join it once, and paths are compared inside the row.
     """
-    pol = policy.select(key, "path", F.col("value").alias("__pv"), "policy", F.col("value_type").alias("__pt"))
-    # Paths whose subtree is replaced or removed, and managed sections.
-    cut = pol.filter(F.col("policy").isin("force", "remove")).select(key, F.col("path").alias("__anc")).distinct()
-    sections = (
-        pol.filter(F.col("policy").isin("force", "default"))
-        .select(key, F.explode(_ancestors(F.col("path"))).alias("path"))
-        .distinct()
-    )
-    ex = existing.select(key, "path", "value", "value_type")
-    anc = ex.select(key, "path", F.explode(_ancestors(F.col("path"))).alias("__anc"))
-    under_cut = anc.join(cut, on=[key, "__anc"], how="left_semi").select(key, "path").distinct()
-    ex = ex.join(under_cut, on=[key, "path"], how="left_anti")
-    ex = ex.join(sections, on=[key, "path"], how="left_anti")
-    j = ex.join(pol, on=[key, "path"], how="full_outer")
-    value = (
-        F.when(F.col("policy") == "force", F.col("__pv"))
-        .when(F.col("policy") == "default", F.coalesce(F.col("value"), F.col("__pv")))
-        .otherwise(F.col("value"))
-    )
-    vtype = (
-        F.when(F.col("policy") == "force", F.col("__pt"))
-        .when(F.col("policy") == "default", F.when(F.col("value").isNotNull(), F.col("value_type")).otherwise(F.col("__pt")))
-        .otherwise(F.col("value_type"))
-    )
-    return j.filter(F.coalesce(F.col("policy"), F.lit("")) != "remove").select(
-        key, "path", value.alias("value"), vtype.alias("value_type")
-    )
+    entry = F.struct("path", F.struct("value", "policy", "value_type").alias("v"))
+    rules = policy.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("__rules"))
+    leaves = existing.select(key, "path", "value", "value_type")
+    j = rules.join(leaves, key, "full_outer")
+    path, keys = F.col("path"), F.map_keys("__rules")
+    of = lambda k: F.element_at(F.col("__rules"), k)["policy"]
+    hit = F.exists(keys, lambda k: (k == path) & of(k).isin("force", "remove"))
+    under = F.exists(keys, lambda k: path.startswith(F.concat(k, F.lit("."))) & of(k).isin("force", "remove"))
+    section = F.exists(keys, lambda k: k.startswith(F.concat(path, F.lit("."))) & of(k).isin("force", "default"))
+    kept = j.filter(path.isNotNull() & ~F.coalesce(hit | under | section, F.lit(False))).select(key, "path", "value", "value_type")
+    # Default paths that some leaf takes, per deployment (at most its policy's rows).
+    taken = F.filter(keys, lambda k: (of(k) == "default") & ((path == k) | path.startswith(F.concat(k, F.lit(".")))))
+    per = j.filter(F.col("__rules").isNotNull()).groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set(taken))).alias("__taken"))
+    rows = policy.filter(F.col("policy").isin("force", "default")).join(per, key, "left")
+    free = (F.col("policy") == "force") | ~F.coalesce(F.array_contains("__taken", F.col("path")), F.lit(False))
+    return kept.unionByName(rows.filter(free).select(key, "path", "value", "value_type"))
 
 
 # ---------------------------------------------------------------------------

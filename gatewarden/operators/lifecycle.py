@@ -179,10 +179,7 @@ def _crash_specs() -> list[ScanSpec]:
     control = F.when(F.col("event") == "stop", F.lit("stop")).when(
         F.col("event").isin("start", "restart", "respawn", "running"), F.lit("go")
     )
-    live = F.when(F.col("event").isin(*_LIVE_MAKING), F.lit(True)).when(
-        F.col("event").isin(*_DEAD_MAKING), F.lit(False)
-    )
-    return [ScanSpec("__ctl", "last", control), ScanSpec("__live_before", "last", live, exclusive=True)]
+    return [ScanSpec("__ctl", "last", control), ScanSpec("__live_before", "last", _after(LIVE_AFTER), exclusive=True)]
 
 
 def _crash_from_scanned(ev: DataFrame, key: str, window_s: float, max_exits: int, bucket_s: int) -> DataFrame:
@@ -252,30 +249,28 @@ def respawn_checks(
     return rows.select(key, F.col("__xt").alias("ts"), F.col("__xs").alias("seq"), F.col("ts").alias("due"), outcome.alias("outcome"))
 
 
-# Event -> state after it.  ``start`` on a dead process spawns at once.
-_STATE_AFTER = [
-    ("start", "running"),
-    ("running", "running"),
-    ("respawn", "running"),
-    ("restart", "running"),
-    ("starting", "starting"),
-    ("start_failed", "error"),
-    ("stop", "stopped"),
-    ("stopping", "stopping"),
-    ("stopped", "stopped"),
-    ("exit", "error"),
-    ("crashed", "crashed"),
-    ("unready", "stopped"),
-]
-_LIVE_MAKING = ("start", "running", "respawn", "restart")
-_DEAD_MAKING = ("stop", "stopped", "exit", "start_failed", "crashed", "unready")
-
-
-def _state_expr(ev: Column) -> Column:
-    e = None
-    for name, state in _STATE_AFTER:
-        e = F.when(ev == name, F.lit(state)) if e is None else e.when(ev == name, F.lit(state))
-    return e
+# Events that end a process, and those after which one lives.  A stop does
+# neither: the process lives until ``stopped`` (or its exit).
+_LIVE_MAKING = ("start", "running", "respawn", "restart", "starting")
+_DEAD_MAKING = ("stopped", "exit", "start_failed", "crashed", "unready")
+STATE_EVENTS = (*_LIVE_MAKING, *_DEAD_MAKING, "stop", "stopping")
+
+
+def _state_after() -> Column:
+    """State that an event leads to, null where it changes nothing: a start of a live
+    process, and the exit of one that is being stopped."""
+    e, live, stopping = F.col("event"), F.coalesce(F.col("__alive"), F.lit(False)), F.coalesce(F.col("__stop"), F.lit(False))
+    return (
+        F.when(e == "start", F.when(~live, "starting"))
+        .when(e.isin("restart", "respawn", "starting"), "starting")
+        .when(e == "running", "running")
+        .when((e == "stop") & live, "stopping")
+        .when(e == "stopping", "stopping")
+        .when(e.isin("stop", "stopped", "unready"), "stopped")
+        .when(e == "exit", F.when(~stopping, "error"))
+        .when(e == "start_failed", "error")
+        .when(e == "crashed", "crashed")
+    )
 
 
 def lifecycle_state(
@@ -283,59 +278,48 @@ def lifecycle_state(
     as_of: str | Column,
     key: str = "deployment_id",
     deployments: DataFrame | None = None,
+    bucket_s: int = DEFAULT_BUCKET_S,
 ) -> DataFrame:
     """State per key at ``as_of``: state, pid, uptime_s, restarts.
 
-    Built from aggregations only (partial aggregation map-side, so a hot key
-    costs one pre-aggregated row per map task):
-
-    * the last event (by ts, seq) gives the state;
-    * a run begins at the first live-making event after the last dead-making
-      one (a start on a live process changes nothing), or at the last
-      ``restart`` after it, which stops and starts again;
-    * ``pid`` (if the input has one) is the pid of the event that began the
-      run, shown only while running; ``uptime_s`` = whole seconds from the
-      run start to ``as_of``, only while running; ``restarts`` counts
-      restart + respawn events.
+    One skew-safe ordered scan gives every event the liveness and the stop in
+    flight just before it; one aggregation, partial map-side, does the rest:
+
+    * the last event that changes the state gives it (``starting`` until a
+      ``running``, ``stopping`` from the stop of a live process to ``stopped``;
+      a start before ``stopped`` changes nothing);
+    * a run begins where a live-making event finds the process dead, or at a
+      ``restart``; ``pid`` (if the input has one) is the pid of the last such
+      event, ``uptime_s`` the whole seconds from it to ``as_of``, both shown
+      only while running;
+    * ``restarts`` counts restart + respawn events.
     """
     as_of_c = as_timestamp(as_of)
-    # Only state-changing events count (typed log events also carry respawn
-    # schedules, cancellations, lock clean-ups, proxy errors ...).
-    ev = events.filter(
-        (F.col("ts").cast("timestamp") <= as_of_c) & F.col("event").isin(*[e for e, _ in _STATE_AFTER])
-    ).withColumn("__o", F.struct("ts", "seq"))
-    has_pid = "pid" in events.columns
-    pid_c = F.col("pid") if has_pid else F.lit(None).cast("bigint")
-    dead_o = F.when(F.col("event").isin(*_DEAD_MAKING), F.col("__o"))
-    agg1 = ev.groupBy(key).agg(
-        F.max_by("event", "__o").alias("__last_event"),
-        F.max(dead_o).alias("__last_dead"),
-        F.count_if(F.col("event").isin("restart", "respawn")).alias("restarts"),
+    # Typed log events also carry respawn schedules, cancellations, lock clean-ups, proxy errors ...
+    ev = events.filter((F.col("ts").cast("timestamp") <= as_of_c) & F.col("event").isin(*STATE_EVENTS))
+    ev = ev.select(key, "ts", "seq", "event", (F.col("pid") if "pid" in events.columns else F.lit(None).cast("bigint")).alias("__pid"))
+    alive = F.when(F.col("event").isin(*_LIVE_MAKING), F.lit(True)).when(F.col("event").isin(*_DEAD_MAKING), F.lit(False))
+    stop = F.when(F.col("event") == "stop", F.lit(True)).when(
+        F.col("event").isin("running", "restart", "respawn", *_DEAD_MAKING), F.lit(False)
     )
-    # Run start: needs the per-key boundary, so a join back (AQE splits a
-    # skewed key on the big side; the per-key side is one row per key).
-    live = ev.filter(F.col("event").isin(*_LIVE_MAKING)).select(
-        key, "__o", "event", pid_c.alias("__pid")
-    )
-    after = live.join(agg1.select(key, "__last_dead"), on=key, how="inner").filter(
-        F.col("__last_dead").isNull() | (F.col("__o") > F.col("__last_dead"))
-    )
-    run = F.struct(F.col("__o"), F.col("__pid"))
-    agg2 = after.groupBy(key).agg(
-        F.min(run).alias("__first_live"),
-        F.max(F.when(F.col("event") == "restart", run)).alias("__last_restart"),
+    specs = [ScanSpec("__alive", "last", alive, exclusive=True), ScanSpec("__stop", "last", stop, exclusive=True)]
+    ev = ordered_scan(ev.withColumn("__t", micros("ts")), [key], "__t", ["__t", "seq"], specs, bucket_s)
+    order = F.struct("__t", "seq")
+    begins = (F.col("event") == "restart") | (F.col("event").isin(*_LIVE_MAKING) & ~F.coalesce(F.col("__alive"), F.lit(False)))
+    after = _state_after()
+    res = ev.groupBy(key).agg(
+        F.max_by(after, F.when(after.isNotNull(), order)).alias("state"),
+        F.max(F.when(begins, F.struct("__t", "seq", "__pid"))).alias("__run"),
+        F.count_if(F.col("event").isin("restart", "respawn")).cast("bigint").alias("restarts"),
     )
-    res = agg1.join(agg2, on=key, how="left")
-    state = _state_expr(F.col("__last_event"))
-    run_start = F.coalesce(F.col("__last_restart"), F.col("__first_live"))
-    run_ts = run_start.getField("__o").getField("ts").cast("timestamp")
-    uptime = F.floor((F.unix_micros(as_of_c) - F.unix_micros(run_ts)) / F.lit(1_000_000)).cast("bigint")
+    running = F.col("state") == "running"
+    uptime = F.floor((F.unix_micros(as_of_c) - F.col("__run.__t")) / F.lit(1_000_000)).cast("bigint")
     out = res.select(
         F.col(key),
-        state.alias("state"),
-        F.when(state == "running", run_start.getField("__pid")).cast("bigint").alias("pid"),
-        F.when(state == "running", uptime).alias("uptime_s"),
-        F.col("restarts").cast("bigint").alias("restarts"),
+        F.coalesce("state", F.lit("stopped")).alias("state"),
+        F.when(running, F.col("__run.__pid")).cast("bigint").alias("pid"),
+        F.when(running, uptime).alias("uptime_s"),
+        "restarts",
     )
     if deployments is not None:
         out = deployments.select(key).distinct().join(out, on=key, how="left").select(

@@ -128,10 +128,28 @@ def tail_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.select("deployment_id", "seq", micros("ts").alias("ts_us"), F.col("newest_rank").cast("bigint"))
 
 
+def state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with the whole vocabulary: click = start (start_failed above 45), error = exit
+    (crashed above 40), purchase = stop, signup = restart, view = running below 30, else stopped."""
+    et, v = F.col("event_type"), F.col("value")
+    event = (
+        F.when(et == "click", F.when(v > 45, "start_failed").otherwise("start"))
+        .when(et == "error", F.when(v > 40, "crashed").otherwise("exit"))
+        .when(et == "purchase", "stop")
+        .when(et == "signup", "restart")
+        .otherwise(F.when(v < 30, "running").otherwise("stopped"))
+    )
+    return _events(spark, sf_dir).select(
+        F.col("user_id").alias("deployment_id"), "ts", F.col("event_id").alias("seq"), event.alias("event"), F.col("event_id").alias("pid")
+    )
+
+
 @query("lifecycle_state")
 def lifecycle_state_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O22 at 2024-01-31 over the lifecycle stand-in."""
-    res = L.lifecycle_state(lifecycle_events(spark, sf_dir), AS_OF)
+    """O22 at 2024-01-31, over the events up to then as seen by each hour of the day
+    as a deployment of its own (so that all six states occur)."""
+    ev = state_events(spark, sf_dir).withColumn("deployment_id", F.col("deployment_id") * 24 + F.hour("ts"))
+    res = L.lifecycle_state(ev, AS_OF)
     return res.select(
         "deployment_id", "state", F.col("pid").cast("string").alias("pid"), F.col("uptime_s").cast("string").alias("uptime_s"), "restarts"
     )

@@ -172,7 +172,8 @@ def part_config_leaves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
         leaf("terminal", F.lit("docker"), "str", t == "SMALL"),
         leaf("terminal.backend", F.lit("docker"), "str", t != "SMALL"),
         leaf("terminal.shell", F.lit("bash"), "str", t != "SMALL"),
-        leaf("agent.max_iterations", size, "int", size > 40),
+        leaf("agent.max_iterations", F.when(size <= 45, size), "int", size > 40),
+        leaf("agent.max_iterations.soft", size, "int", size < 5),
         leaf(F.concat(F.lit("mcp_servers."), F.lower(F.replace(brand, F.lit("#"), F.lit("")))), F.concat(F.lit("run-"), pk), "str"),
         leaf("custom_providers", F.lit("[]"), "list", t == "PROMO"),
         leaf("custom_providers.0.name", F.lit("old"), "str", t == "LARGE"),
@@ -226,17 +227,38 @@ def overlay_from_settings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         leaf("model.provider", F.lit("xai-oauth"), "str", (nk >= 15) & (bal > 0)),
         leaf("terminal.backend", F.lit("docker"), "str"),
         leaf("terminal.shell", F.lit("zsh"), "str"),
-        leaf("agent.max_iterations", nk * 10, "int", nk > 10),
+        leaf("agent.max_iterations", F.when(nk < 20, nk * 10), "int", nk > 10),
         leaf("mcp_servers.fs.command", F.concat(F.lit("npx fs-"), ck), "str"),
         leaf("custom_providers", F.lit("[]"), "list", seg == "AUTOMOBILE"),
     )
     existing = c.select(F.col("c_custkey").alias("deployment_id"), F.explode(leaves).alias("l")).filter(
         F.col("l").isNotNull()
     ).select("deployment_id", "l.*")
-    policy = D.overlay_policy_from_settings(X.customer_settings(spark, sf_dir), "/data/.gateway")
+    has = F.col("deployment_id") % 4 != 0  # every fourth customer has no settings at all
+    policy = D.overlay_policy_from_settings(
+        X.customer_settings(spark, sf_dir).filter(has), "/data/.gateway", deployments=X.customer_deployments(spark, sf_dir)
+    )
     return D.overlay_config(existing, policy)
 
 
+@query("overlay_sign_in")
+def overlay_sign_in_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O10 with the sign-in policy: every part signs in, those of size 25 and more with a model."""
+    existing, _ = part_config_leaves(spark, sf_dir)
+    p = table(spark, sf_dir, "part", ["p_partkey", "p_size", "p_brand"])
+    model = F.when(F.col("p_size") >= 25, F.lower("p_brand")).otherwise(F.lit(""))
+    sign_ins = p.select(F.col("p_partkey").alias("deployment_id"), model.alias("model"))
+    return D.overlay_config(existing, D.overlay_policy_from_sign_ins(sign_ins, "xai-oauth", "/data/.gateway"))
+
+
+@query("sign_in_settings")
+def sign_in_settings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O10, settings side: what the sign-ins with a model write back."""
+    p = table(spark, sf_dir, "part", ["p_partkey", "p_size", "p_brand"])
+    model = F.when(F.col("p_size") >= 25, F.lower("p_brand")).otherwise(F.lit(""))
+    return D.sign_in_settings(p.select(F.col("p_partkey").alias("deployment_id"), model.alias("model")), "xai-oauth")
+
+
 @query("credential_presence")
 def credential_presence_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refresh-token presence per credential document."""

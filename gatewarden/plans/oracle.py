@@ -49,33 +49,39 @@ _LIFECYCLE_EVENTS = """
   FROM events WHERE event_type IN ('click', 'error', 'purchase', 'signup')
 """
 
-ORACLE["lifecycle_state"] = f"""
-WITH ev AS ({_LIFECYCLE_EVENTS}),
-pos AS (
-  SELECT *, row_number() OVER (PARTITION BY deployment_id ORDER BY ts, seq) AS p
-  FROM ev WHERE ts <= TIMESTAMP '2024-01-31 00:00:00'
-), agg AS (
-  SELECT deployment_id, arg_max(event, p) AS last_event,
-         max(CASE WHEN event IN ('stop', 'exit') THEN p END) AS last_dead,
-         count(*) FILTER (WHERE event IN ('restart', 'respawn')) AS restarts
-  FROM pos GROUP BY deployment_id
-), run AS (
-  SELECT a.deployment_id,
-         coalesce(max(CASE WHEN e.event = 'restart' THEN e.p END), min(e.p)) AS run_p
-  FROM agg a JOIN pos e ON e.deployment_id = a.deployment_id
-   AND e.event IN ('start', 'restart') AND (a.last_dead IS NULL OR e.p > a.last_dead)
-  GROUP BY a.deployment_id
+ORACLE["lifecycle_state"] = """
+WITH ev AS (
+  SELECT user_id * 24 + hour(ts) AS deployment_id, ts, event_id AS seq,
+         CASE event_type WHEN 'click' THEN CASE WHEN value > 45 THEN 'start_failed' ELSE 'start' END
+                         WHEN 'error' THEN CASE WHEN value > 40 THEN 'crashed' ELSE 'exit' END
+                         WHEN 'purchase' THEN 'stop' WHEN 'signup' THEN 'restart'
+                         ELSE CASE WHEN value < 30 THEN 'running' ELSE 'stopped' END END AS event
+  FROM events WHERE ts <= TIMESTAMP '2024-01-31 00:00:00'
+), pos AS (SELECT *, row_number() OVER (PARTITION BY deployment_id ORDER BY ts, seq) AS p FROM ev
+), b AS (
+  SELECT e.*,
+    (SELECT arg_max(x.event, x.p) FROM pos x WHERE x.deployment_id = e.deployment_id AND x.p < e.p AND x.event <> 'stop') AS life,
+    (SELECT arg_max(x.event, x.p) FROM pos x WHERE x.deployment_id = e.deployment_id AND x.p < e.p AND x.event <> 'start') AS ctl
+  FROM pos e
+), t AS (
+  SELECT *, coalesce(life IN ('start', 'running', 'restart'), false) AS live FROM b
+), st AS (
+  SELECT *, CASE event WHEN 'start' THEN CASE WHEN live THEN NULL ELSE 'starting' END WHEN 'restart' THEN 'starting' WHEN 'running' THEN 'running'
+                       WHEN 'stop' THEN CASE WHEN live THEN 'stopping' ELSE 'stopped' END WHEN 'stopped' THEN 'stopped'
+                       WHEN 'exit' THEN CASE WHEN coalesce(ctl, '') = 'stop' THEN NULL ELSE 'error' END
+                       WHEN 'start_failed' THEN 'error' ELSE 'crashed' END AS after,
+         event = 'restart' OR (event IN ('start', 'running') AND NOT live) AS begins
+  FROM t
+), a AS (
+  SELECT deployment_id, coalesce(arg_max(after, p) FILTER (WHERE after IS NOT NULL), 'stopped') AS state,
+         max(p) FILTER (WHERE begins) AS run_p, count(*) FILTER (WHERE event = 'restart') AS restarts
+  FROM st GROUP BY deployment_id
 )
-SELECT a.deployment_id,
-       CASE a.last_event WHEN 'start' THEN 'running' WHEN 'restart' THEN 'running'
-                         WHEN 'exit' THEN 'error' WHEN 'stop' THEN 'stopped' END AS state,
-       CAST(CASE WHEN a.last_event IN ('start', 'restart') THEN r.pid END AS VARCHAR) AS pid,
-       CAST(CASE WHEN a.last_event IN ('start', 'restart')
+SELECT a.deployment_id, a.state, CAST(CASE WHEN a.state = 'running' THEN r.seq END AS VARCHAR) AS pid,
+       CAST(CASE WHEN a.state = 'running'
             THEN CAST(floor((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(r.ts)) / 1000000) AS BIGINT) END AS VARCHAR) AS uptime_s,
-       a.restarts AS restarts
-FROM agg a
-LEFT JOIN run ON run.deployment_id = a.deployment_id
-LEFT JOIN pos r ON r.deployment_id = run.deployment_id AND r.p = run.run_p
+       a.restarts
+FROM a LEFT JOIN pos r ON r.deployment_id = a.deployment_id AND r.p = a.run_p
 """
 
 ORACLE["lifecycle_crash_loop"] = f"""

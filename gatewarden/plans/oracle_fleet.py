@@ -287,20 +287,22 @@ SELECT deployment_id,
 FROM q WHERE length(u) > 0
 """
 
-ORACLE["overlay_config"] = """
-WITH ex AS (
+_PART_LEAVES = """
   SELECT p_partkey AS d, 'model.default' AS path, p_name AS value, 'str' AS vt FROM part WHERE p_type <> 'ECONOMY'
   UNION ALL SELECT p_partkey, 'model.provider', lower(p_brand), 'str' FROM part WHERE p_type <> 'ECONOMY'
   UNION ALL SELECT p_partkey, 'model', 'gpt-x', 'str' FROM part WHERE p_type = 'ECONOMY'
   UNION ALL SELECT p_partkey, 'terminal', 'docker', 'str' FROM part WHERE p_type = 'SMALL'
   UNION ALL SELECT p_partkey, 'terminal.backend', 'docker', 'str' FROM part WHERE p_type <> 'SMALL'
   UNION ALL SELECT p_partkey, 'terminal.shell', 'bash', 'str' FROM part WHERE p_type <> 'SMALL'
-  UNION ALL SELECT p_partkey, 'agent.max_iterations', CAST(p_size AS VARCHAR), 'int' FROM part WHERE p_size > 40
+  UNION ALL SELECT p_partkey, 'agent.max_iterations', CASE WHEN p_size <= 45 THEN CAST(p_size AS VARCHAR) END, 'int' FROM part WHERE p_size > 40
+  UNION ALL SELECT p_partkey, 'agent.max_iterations.soft', CAST(p_size AS VARCHAR), 'int' FROM part WHERE p_size < 5
   UNION ALL SELECT p_partkey, 'mcp_servers.' || lower(replace(p_brand, '#', '')), 'run-' || CAST(p_partkey AS VARCHAR), 'str' FROM part
   UNION ALL SELECT p_partkey, 'custom_providers', '[]', 'list' FROM part WHERE p_type = 'PROMO'
   UNION ALL SELECT p_partkey, 'custom_providers.0.name', 'old', 'str' FROM part WHERE p_type = 'LARGE'
   UNION ALL SELECT p_partkey, 'data_dir.sub', 'x', 'str' FROM part WHERE p_type = 'MEDIUM'
-), pol AS (
+"""
+
+_PART_POLICY = """
   SELECT p_partkey AS d, 'model.default' AS path, lower(p_name) AS value, 'force' AS policy, 'str' AS vt FROM part
   UNION ALL SELECT p_partkey, 'model.provider', 'auto', 'force', 'str' FROM part WHERE p_size <= 25
   UNION ALL SELECT p_partkey, 'terminal.backend', 'local', 'force', 'str' FROM part
@@ -311,21 +313,6 @@ WITH ex AS (
   UNION ALL SELECT p_partkey, 'custom_providers', '[{"name": "' || lower(replace(p_brand, '#', '-')) || '"}]', 'force', 'list'
             FROM part WHERE p_retailprice > 950
   UNION ALL SELECT p_partkey, 'custom_providers', NULL, 'remove', 'list' FROM part WHERE p_retailprice <= 950
-), kept AS (
-  SELECT * FROM ex e
-  WHERE NOT EXISTS (SELECT 1 FROM pol c WHERE c.d = e.d AND c.policy IN ('force', 'remove') AND starts_with(e.path, c.path || '.'))
-    AND NOT EXISTS (SELECT 1 FROM pol c WHERE c.d = e.d AND c.policy IN ('force', 'default') AND starts_with(c.path, e.path || '.'))
-), j AS (
-  SELECT coalesce(k.d, c.d) AS deployment_id, coalesce(k.path, c.path) AS path, k.value AS ev, k.vt AS evt,
-         c.value AS pv, c.vt AS pvt, c.policy
-  FROM kept k FULL OUTER JOIN pol c ON k.d = c.d AND k.path = c.path
-)
-SELECT deployment_id, path,
-       CASE WHEN policy = 'force' THEN pv WHEN policy = 'default' THEN coalesce(ev, pv) ELSE ev END AS value,
-       CASE WHEN policy = 'force' THEN pvt
-            WHEN policy = 'default' THEN CASE WHEN ev IS NOT NULL THEN evt ELSE pvt END
-            ELSE evt END AS value_type
-FROM j WHERE coalesce(policy, '') <> 'remove'
 """
 
 PROVIDER_DOCS = f"""
@@ -687,22 +674,29 @@ FROM t WHERE event IS NOT NULL
 def overlay_sql(ex: str, pol: str) -> str:
     """O10 over leaves ex(d, path, value, vt) and a policy pol(d, path, value, policy, vt)."""
     return f"""
-WITH ex AS ({ex}), pol AS ({pol}),
-kept AS (
-  SELECT * FROM ex e
-  WHERE NOT EXISTS (SELECT 1 FROM pol c WHERE c.d = e.d AND c.policy IN ('force', 'remove') AND starts_with(e.path, c.path || '.'))
-    AND NOT EXISTS (SELECT 1 FROM pol c WHERE c.d = e.d AND c.policy IN ('force', 'default') AND starts_with(c.path, e.path || '.'))
-), j AS (
-  SELECT coalesce(k.d, c.d) AS deployment_id, coalesce(k.path, c.path) AS path, k.value AS ev, k.vt AS evt,
-         c.value AS pv, c.vt AS pvt, c.policy
-  FROM kept k FULL OUTER JOIN pol c ON k.d = c.d AND k.path = c.path
-)
-SELECT deployment_id, path,
-       CASE WHEN policy = 'force' THEN pv WHEN policy = 'default' THEN coalesce(ev, pv) ELSE ev END AS value,
-       CASE WHEN policy = 'force' THEN pvt
-            WHEN policy = 'default' THEN CASE WHEN ev IS NOT NULL THEN evt ELSE pvt END
-            ELSE evt END AS value_type
-FROM j WHERE coalesce(policy, '') <> 'remove'
+WITH ex AS ({ex}), pol AS ({pol})
+SELECT d AS deployment_id, path, value, vt AS value_type FROM ex e
+WHERE NOT EXISTS (SELECT 1 FROM pol c WHERE c.d = e.d AND c.policy IN ('force', 'remove') AND (e.path = c.path OR starts_with(e.path, c.path || '.')))
+  AND NOT EXISTS (SELECT 1 FROM pol c WHERE c.d = e.d AND c.policy IN ('force', 'default') AND starts_with(c.path, e.path || '.'))
+UNION ALL SELECT d, path, value, vt FROM pol WHERE policy = 'force'
+UNION ALL SELECT d, path, value, vt FROM pol c WHERE policy = 'default'
+  AND NOT EXISTS (SELECT 1 FROM ex e WHERE e.d = c.d AND (e.path = c.path OR starts_with(e.path, c.path || '.')))
+"""
+
+
+ORACLE["overlay_config"] = overlay_sql(_PART_LEAVES, _PART_POLICY)
+
+_SIGN_INS = "SELECT p_partkey AS d, CASE WHEN p_size >= 25 THEN lower(p_brand) ELSE '' END AS model FROM part"
+
+ORACLE["overlay_sign_in"] = overlay_sql(_PART_LEAVES, f"""
+  SELECT d, 'model.default' AS path, model AS value, 'force' AS policy, 'str' AS vt FROM ({_SIGN_INS}) s WHERE model <> ''
+  UNION ALL SELECT d, unnest(['model.provider', 'data_dir']), unnest(['xai-oauth', '/data/.gateway']), 'force', 'str' FROM ({_SIGN_INS}) s
+  UNION ALL SELECT d, unnest(['terminal.backend', 'terminal.timeout', 'terminal.cwd', 'agent.max_iterations']),
+    unnest(['local', '60', '/tmp', '50']), 'default', unnest(['str', 'int', 'str', 'int']) FROM ({_SIGN_INS}) s
+""")
+
+ORACLE["sign_in_settings"] = f"""
+SELECT d AS deployment_id, unnest(['LLM_MODEL', '_MODEL_XAI_OAUTH']) AS key, model AS value FROM ({_SIGN_INS}) s WHERE model <> ''
 """
 
 
@@ -712,7 +706,7 @@ _CUSTOMER_LEAVES = """
   UNION ALL SELECT c_custkey, 'model.provider', 'xai-oauth', 'str' FROM customer WHERE c_nationkey >= 15 AND c_acctbal > 0
   UNION ALL SELECT c_custkey, 'terminal.backend', 'docker', 'str' FROM customer
   UNION ALL SELECT c_custkey, 'terminal.shell', 'zsh', 'str' FROM customer
-  UNION ALL SELECT c_custkey, 'agent.max_iterations', CAST(c_nationkey * 10 AS VARCHAR), 'int' FROM customer WHERE c_nationkey > 10
+  UNION ALL SELECT c_custkey, 'agent.max_iterations', CASE WHEN c_nationkey < 20 THEN CAST(c_nationkey * 10 AS VARCHAR) END, 'int' FROM customer WHERE c_nationkey > 10
   UNION ALL SELECT c_custkey, 'mcp_servers.fs.command', 'npx fs-' || CAST(c_custkey AS VARCHAR), 'str' FROM customer
   UNION ALL SELECT c_custkey, 'custom_providers', '[]', 'list' FROM customer WHERE c_mktsegment = 'AUTOMOBILE'
 """
@@ -721,10 +715,10 @@ _SETTINGS_POLICY = f"""
   WITH per AS (
     SELECT deployment_id AS d, max(CASE WHEN key = 'LLM_MODEL' THEN value END) AS model,
            bool_or(key IN {PROVIDERS_IN} AND length(value) > 0) AS anyp
-    FROM ({SETTINGS}) s GROUP BY deployment_id
+    FROM (SELECT * FROM ({SETTINGS}) s0 WHERE deployment_id % 4 <> 0 UNION ALL SELECT c_custkey, '', '' FROM customer) s GROUP BY deployment_id
   ), ce AS (
     SELECT deployment_id AS d, '[{{"name":"' || name || '","base_url":"' || base_url || '","key_env":"' || key_env || '"}}]' AS cj
-    FROM ({ORACLE["custom_endpoints"]}) x
+    FROM ({ORACLE["custom_endpoints"]}) x WHERE deployment_id % 4 <> 0
   ), p AS (SELECT per.*, ce.cj FROM per LEFT JOIN ce ON ce.d = per.d)
   SELECT d, 'model.default' AS path, coalesce(model, '') AS value, 'force' AS policy, 'str' AS vt FROM p
   UNION ALL SELECT d, 'model.provider', 'auto', 'force', 'str' FROM p WHERE coalesce(anyp, false)

@@ -21,54 +21,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.lifecycle import STATE_EVENTS
+
 OUTPUT_SCHEMA = "deployment_id string, event_ts timestamp, state string, pid long, run_started_at timestamp, restarts long"
 _COLS = ["deployment_id", "event_ts", "state", "pid", "run_started_at", "restarts"]
 
-_STATE_AFTER = {
-    "start": "running", "running": "running", "respawn": "running", "restart": "running", "starting": "starting",
-    "start_failed": "error", "stop": "stopped", "stopping": "stopping", "stopped": "stopped", "exit": "error",
-    "crashed": "crashed", "unready": "stopped",
-}
-_LIVE_MAKING = {"start", "running", "respawn", "restart"}
-_DEAD_MAKING = {"stop", "stopped", "exit", "start_failed", "crashed", "unready"}
+_SAME = {"starting": "starting", "restart": "starting", "respawn": "starting", "running": "running", "stopping": "stopping",
+         "stopped": "stopped", "unready": "stopped", "start_failed": "error", "crashed": "crashed"}
+_LIVE_MAKING = {"start", "running", "respawn", "restart", "starting"}
+_DEAD_MAKING = {"stopped", "exit", "start_failed", "crashed", "unready"}
+
+
+def _next_state(event: str, live: bool, stop_in_flight: bool) -> str | None:
+    """State that an event leads to, None where it changes nothing."""
+    if event == "start":
+        return None if live else "starting"
+    if event == "stop":
+        return "stopping" if live else "stopped"
+    if event == "exit":
+        return None if stop_in_flight else "error"
+    return _SAME[event]
 
 
 class StatusProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.st = handle.getValueState(
-            "status", "last_event string, last_ts timestamp, last_seq long, run_ts timestamp, run_pid long, in_run boolean, restarts long"
+            "status",
+            "state string, last_ts timestamp, last_seq long, live boolean, stop_in_flight boolean, run_ts timestamp, run_pid long, restarts long",
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if self.st.exists():
-            last_event, last_ts, last_seq, run_ts, run_pid, in_run, restarts = self.st.get()
+            state, last_ts, last_seq, live, stopping, run_ts, run_pid, restarts = self.st.get()
         else:
-            last_event, last_ts, last_seq, run_ts, run_pid, in_run, restarts = None, None, None, None, None, False, 0
+            state, last_ts, last_seq, live, stopping, run_ts, run_pid, restarts = None, None, None, False, False, None, None, 0
         # Schedules, cancellations, lock clean-ups change no state.
-        ev = [r for frame in rows for r in frame.itertuples(index=False) if r.event in _STATE_AFTER]
+        ev = [r for frame in rows for r in frame.itertuples(index=False) if r.event in STATE_EVENTS]
         for r in sorted(ev, key=lambda r: (r.ts, r.seq)):
             e = r.event
+            restarts += e in ("restart", "respawn")
             if last_ts is not None and (r.ts, r.seq) < (pd.Timestamp(last_ts), last_seq):
-                restarts += e in ("restart", "respawn")
                 continue
-            pid = getattr(r, "pid", None)
-            pid = None if pid is None or pd.isna(pid) else int(pid)
-            if e in _DEAD_MAKING:
-                in_run, run_ts, run_pid = False, None, None
-            elif e == "restart":
-                in_run, run_ts, run_pid = True, r.ts, pid
-            elif e in _LIVE_MAKING and not in_run:
-                in_run, run_ts, run_pid = True, r.ts, pid
-            if e in ("restart", "respawn"):
-                restarts += 1
-            last_event, last_ts, last_seq = e, r.ts, int(r.seq)
-        if last_event is None:
+            if e == "restart" or (e in _LIVE_MAKING and not live):
+                pid = getattr(r, "pid", None)
+                run_ts, run_pid = r.ts, None if pid is None or pd.isna(pid) else int(pid)
+            state = _next_state(e, live, stopping) or state
+            live = e in _LIVE_MAKING or (live and e not in _DEAD_MAKING)
+            stopping = e == "stop" or (stopping and e in ("start", "starting", "stopping"))
+            last_ts, last_seq = r.ts, int(r.seq)
+        if last_ts is None:
             return
-        self.st.update((last_event, last_ts, last_seq, run_ts, run_pid, in_run, int(restarts)))
-        state = _STATE_AFTER.get(last_event)
-        running = state == "running"
+        self.st.update((state, last_ts, last_seq, live, stopping, run_ts, run_pid, int(restarts)))
+        shown = state == "running"
         yield pd.DataFrame(
-            [(key[0], last_ts, state, run_pid if running else None, run_ts if running else None, int(restarts))], columns=_COLS
+            [(key[0], last_ts, state or "stopped", run_pid if shown else None, run_ts if shown else None, int(restarts))], columns=_COLS
         )
 
     def close(self) -> None:

@@ -180,7 +180,7 @@ def test_scatter_resists_outliers(spark):
     clean = rng.multivariate_normal([1, 2, 0, -1], np.diag([1, 2, 1.5, 1]) + 0.4, 800)
     bad = rng.normal(12, 0.5, (150, 4))
     rows = [("g", *map(float, x)) for x in np.concatenate([clean, bad])]
-    df = spark.createDataFrame(rows, "key string, " + ", ".join(f"{s} double" for s in Q.STATS))
+    df = spark.createDataFrame(rows, "key string, " + ", ".join(f"{s} double" for s in Q.STATS)).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(Q.SALTS)).cast("int"))
     e = Q.estimate(df).first()
     assert all(abs(e[f"m{i}"] - clean.mean(0)[i]) < 0.25 for i in range(4))
     low = np.array([[e[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])

@@ -36,6 +36,12 @@ def test_word_by_word_ids_equal_whole_text_ids(tokenizer):
         assert P.token_bytes(text, words) == b"".join(i.to_bytes(4, "little") for i in ids)
 
 
+def test_word_shapes_take_the_same_ids(tokenizer):
+    words = P.WordIds(TOKENIZER)
+    for w in ["Hello,", "naïve!?", "ÀÉÎ.", "ÿŸ", "Straße", "ŉ", "İx", "ſt", "ĳ", "ª", "µ.", "don't", "it's,", "...", "a.b", "x1", "ДА", "ﬁ", "e\u0301", "ǅ", "日本。", "Σας", "a" * 300]:
+        assert words[w.encode()] == words.packed(tokenizer.encode(w, add_special_tokens=False).ids), w
+
+
 def test_pack_round_trip(spark, docs_of, tokenizer):
     rows = corpus()
     got = P.pack(docs_of(rows).select("doc_id", "text"), TOKENIZER).collect()

@@ -29,14 +29,18 @@ from .common import SPACE_PATTERN, WORD_PATTERN, cut
 SHINGLE = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 STATS = ("f_len", "f_sym", "f_dup", "f_rep")
-#: Standard deviations that each statistic has at least (noise floors).
-FLOORS = (0.06, 0.75, 0.75, 0.75)
+#: Standard deviations that each statistic has at least (noise floors); a ninth of
+#: what a percentage can reach (log1p(100) = 4.6), so that each alone can be an outlier.
+FLOORS = (0.06, 0.5, 0.5, 0.5)
 SHARE = 0.75
 STEPS = 4
+#: Lines added to each text's number of lines where their repeats are judged: one chance
+#: repeat among four lines is no fault, most lines of a text alike are.
+EXTRA_LINES = 20
 MIN_GROUP = 80
 SALTS = 32
-#: Squared distance: the chi-square quantile of 4 degrees at 1 - 1e-9.
-CUTOFF = 47.6
+#: Squared distance: the chi-square quantile of 4 degrees at 0.999.
+CUTOFF = 18.47
 
 
 def _words(text: Column) -> Column:
@@ -103,7 +107,7 @@ def statistics() -> list[Column]:
     return [
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n).alias("f_len"),
         percent(F.col("n_symbols"), n).alias("f_sym"),
-        percent(F.col("n_dup_lines"), F.greatest(F.col("n_lines"), F.lit(1))).alias("f_dup"),
+        percent(F.col("n_dup_lines"), F.col("n_lines") + EXTRA_LINES).alias("f_dup"),
         percent(F.col("n_repeat_words"), n).alias("f_rep"),
     ]
 

@@ -174,6 +174,21 @@ def test_quality_counts_equal_brute_force(spark, docs_of):
     assert Q.judge(docs_of([])).count() == 0
 
 
+def test_quality_rejects_plain_faults(spark, docs_of):
+    """Symbols at 0.3 to 1 per word, and mostly duplicate lines that no 8-word repeat shows."""
+    rng = random.Random(8)
+    rows = [(i, "\n".join(prose(rng, 12) for _ in range(8)), "en", "a") for i in range(300)]
+    for k, every in enumerate([1, 1, 2, 2, 3, 3]):
+        w = prose(rng, 90).split()
+        rows.append((1000 + k, " ".join(x + "$" * (j % every == 0) for j, x in enumerate(w)), "en", "a"))
+    for k in range(4):  # short lines, alike, between long ones
+        lines = [x for _ in range(20) for x in ("ok", prose(rng, 12) if k % 2 and rng.random() < 0.2 else "ok")]
+        rows.append((2000 + k, "\n".join([*lines, prose(rng, 300)]), "en", "a"))
+    got = {r.doc_id: r for r in Q.judge(docs_of(rows)).collect()}
+    assert all(got[i].kept for i in range(300))
+    assert not any(r.base_failed or r.kept for i, r in got.items() if i >= 1000)
+
+
 def test_scatter_resists_outliers(spark):
     """MCD of a contaminated group is that of its clean part; brute-force distance agrees."""
     rng = np.random.default_rng(3)

@@ -3,9 +3,11 @@
 Each whole text gives base counts and a vector of transformed statistics.  Per
 (language, source) a minimum-covariance-determinant estimate of centre and
 scatter is found by concentration steps: from medians and median deviations,
-take the half-plus share of vectors with the smallest Mahalanobis distances,
-estimate anew, and repeat until the share settles.  A text whose squared
-distance exceeds the cutoff on the side of more noise is rejected.
+take the half-plus share ((n + 5) / 2 of n) of vectors with the smallest
+Mahalanobis distances, estimate anew, and repeat until the determinant stops
+falling.  The vectors within the 0.975 quantile of that estimate give the final
+one.  A text whose squared distance exceeds the cutoff on the side of more noise
+is rejected.
 
 Groups too small for an estimate use that of their language, and languages too
 small that of the whole table.  A noise floor on each variance keeps groups of
@@ -29,11 +31,17 @@ from .common import SPACE_PATTERN, WORD_PATTERN, cut
 SHINGLE = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 STATS = ("f_len", "f_sym", "f_dup", "f_rep")
+ESTIMATE = (*[f"m{i}" for i in range(len(STATS))], *[f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)])
 #: Standard deviations that each statistic has at least (noise floors); a ninth of
 #: what a percentage can reach (log1p(100) = 4.6), so that each alone can be an outlier.
 FLOORS = (0.06, 0.5, 0.5, 0.5)
-SHARE = 0.75
-STEPS = 4
+#: Shares of a group at which distances are cut; a group takes the first that holds
+#: the half-plus share.
+SHARES = tuple(0.5 + k / 200 for k in range(101))
+#: A determinant that falls by less than this part has stopped falling.
+SETTLED = 1e-6
+#: Squared distance up to which vectors feed the final estimate (0.975 quantile).
+REWEIGHT_SHARE, REWEIGHT_CUTOFF = 0.975, 11.143
 #: Lines added to each text's number of lines where their repeats are judged: one chance
 #: repeat among four lines is no fault, most lines of a text alike are.
 EXTRA_LINES = 20
@@ -137,20 +145,22 @@ def _groups(vectors: DataFrame, min_group: int) -> DataFrame:
     return g.crossJoin(F.broadcast(small)).select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "judge", feeds.alias("feeds"))
 
 
-def _scatter(rows: DataFrame, correction: float) -> DataFrame:
-    """Centre m_i and the Cholesky factor l_ij of the scatter, per key."""
+def _scatter(rows: DataFrame) -> DataFrame:
+    """Centre m_i, the Cholesky factor l_ij of the scatter and its determinant det, per
+    key, from rows with the correction of their share."""
     d = len(STATS)
     sums = [F.avg(a).alias(f"m{i}") for i, a in enumerate(STATS)]
     sums += [F.covar_pop(a, b).alias(f"c{i}{j}") for i, a in enumerate(STATS) for j, b in enumerate(STATS) if j <= i]
-    e = rows.groupBy("key").agg(*sums)
+    e = rows.groupBy("key").agg(F.first("correction").alias("correction"), *sums)
     for i in range(d):
         for j in range(i + 1):
-            c = F.col(f"c{i}{j}") * correction
+            c = F.col(f"c{i}{j}") * F.col("correction")
             c = c + F.lit(FLOORS[i] ** 2) if i == j else c
             for k in range(j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             e = e.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(FLOORS[i] ** 2))) if i == j else c / F.col(f"l{j}{j}"))
-    return e.select("key", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i in range(d) for j in range(i + 1)])
+    det = F.pow(F.col("l00") * F.col("l11") * F.col("l22") * F.col("l33"), 2).alias("det")
+    return e.select("key", *ESTIMATE, det)
 
 
 def _distance(prefix: str = "") -> Column:
@@ -178,7 +188,24 @@ def consistency(d: int, share: float) -> float:
     return share / cdf(lo, d + 2)
 
 
-def estimate(vectors: DataFrame, steps: int = STEPS, share: float = SHARE) -> DataFrame:
+def _near(vectors: DataFrame, est: DataFrame) -> DataFrame:
+    """Rows with their squared distance d2 (null where ``est`` has no such key)."""
+    rows = _beside(vectors, est.select(F.col("key").alias("k"), *ESTIMATE), [("key", "k")])
+    return rows.withColumn("d2", _distance()).select("key", "salt", *STATS, "d2")
+
+
+def _concentrate(vectors: DataFrame, est: DataFrame) -> DataFrame:
+    """One concentration step of the keys in ``est``."""
+    near = _near(vectors, est).filter("d2 is not null")
+    half = F.floor((F.col("n") + len(STATS) + 1) / 2) / F.col("n")
+    place = F.least(F.ceil((half - SHARES[0]) * 200 - 1e-9), F.lit(len(SHARES) - 1)).cast("int")
+    factors = F.array(*[F.lit(consistency(len(STATS), x)) for x in SHARES])
+    at = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("d2", list(SHARES), 10000).alias("cuts"))
+    at = at.select(F.col("key").alias("k"), F.get("cuts", place).alias("at"), F.get(factors, place).alias("correction"))
+    return _scatter(_beside(near, at, [("key", "k")]).filter(F.col("d2") <= F.col("at")))
+
+
+def estimate(vectors: DataFrame) -> DataFrame:
     """MCD estimates per key from rows (key, salt, statistics)."""
     mid = vectors.groupBy("key").agg(*[F.percentile_approx(a, 0.5, 10000).alias(f"m{i}") for i, a in enumerate(STATS)])
     mid = mid.withColumnRenamed("key", "k")
@@ -188,13 +215,16 @@ def estimate(vectors: DataFrame, steps: int = STEPS, share: float = SHARE) -> Da
     )
     zero = [F.lit(0.0).alias(f"l{i}{j}") for i in range(len(STATS)) for j in range(i)]
     diag = [F.sqrt(F.pow(F.col(f"s{i}") * 1.4826, 2) + FLOORS[i] ** 2).alias(f"l{i}{i}") for i in range(len(STATS))]
-    est = cut(dev.select("key", *[f"m{i}" for i in range(len(STATS))], *zero, *diag))
-    factor = consistency(len(STATS), share)
-    for _ in range(steps):
-        near = _beside(vectors, est.withColumnRenamed("key", "k"), [("key", "k")]).withColumn("d2", _distance()).select("key", "salt", *STATS, "d2")
-        at = near.groupBy("key").agg(F.percentile_approx("d2", share, 10000).alias("at")).withColumnRenamed("key", "k")
-        est = cut(_scatter(_beside(near, at, [("key", "k")]).filter(F.col("d2") <= F.col("at")), factor))
-    return est
+    start = dev.select("key", *[f"m{i}" for i in range(len(STATS))], *zero, *diag)
+    best = cut(_concentrate(vectors, start))
+    moving = best
+    # A step never raises the determinant but by rounding of the cuts, so this ends.
+    while not moving.isEmpty():
+        new = _concentrate(vectors, moving).withColumnRenamed("det", "new_det")
+        moving = cut(new.join(moving.select(F.col("key").alias("k"), "det"), F.col("key") == F.col("k")).filter(F.col("new_det") < F.col("det") * (1 - SETTLED)).select("key", *ESTIMATE, F.col("new_det").alias("det")))
+        best = cut(best.join(moving.select("key"), "key", "left_anti").unionByName(moving))
+    near = _near(vectors, best).filter(F.col("d2") <= REWEIGHT_CUTOFF)
+    return cut(_scatter(near.withColumn("correction", F.lit(consistency(len(STATS), REWEIGHT_SHARE)))).drop("det"))
 
 
 def judge(
@@ -218,7 +248,7 @@ def judge(
     on = [("lang", "gl"), ("source", "gs")]
     fed = cut(_beside(vectors, groups, on).select(F.explode("feeds").alias("key"), "salt", *STATS))
     enough = fed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_group).select("key")
-    est = estimate(fed, STEPS).join(enough, "key", "left_semi")
+    est = estimate(fed).join(enough, "key", "left_semi")
     known = groups.join(est, groups["judge"] == est["key"], "left").drop("feeds", "key")
     out = _beside(rows, known, on).withColumn("distance", _distance())
     # Fewer symbols or repeats than usual is no fault: only vectors beyond the centre count.

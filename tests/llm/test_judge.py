@@ -189,6 +189,16 @@ def test_quality_rejects_plain_faults(spark, docs_of):
     assert not any(r.base_failed or r.kept for i, r in got.items() if i >= 1000)
 
 
+@pytest.mark.parametrize("bad", [0.35, 0.45])
+def test_quality_resists_a_group_of_many_outliers(spark, docs_of, bad):
+    rng = random.Random(9)
+    n = int(300 * bad)
+    rows = [(i, prose(rng, rng.randint(60, 120)), "en", "a") for i in range(300 - n)]
+    rows += [(1000 + i, " ".join(w + rng.choice(["$$$", "&&&", "###"]) for w in prose(rng, rng.randint(60, 120)).split()), "en", "a") for i in range(n)]
+    got = {r.doc_id: r.kept for r in Q.judge(docs_of(rows)).collect()}
+    assert all(got[i] for i in range(300 - n)) and not any(got[1000 + i] for i in range(n))
+
+
 def test_scatter_resists_outliers(spark):
     """MCD of a contaminated group is that of its clean part; brute-force distance agrees."""
     rng = np.random.default_rng(3)

@@ -9,7 +9,9 @@ after a segment allow).  Candidates are verified by a bit-parallel automaton
 over the 2t + 1 diagonals of the band.
 
 A line is taken without surrounding white space.  Lines of fewer than
-``MIN_CHARS`` characters (headings, list marks, closing words) always stay.
+``MIN_CHARS`` characters (headings, list marks, closing words) stay, or with
+``short`` are classes by equality, of which the first occurrence stays.  Blank
+lines always stay.
 
 Order of occurrence is (doc_id, text, line number).  Defined results: null and
 empty texts have no line that takes part; rows alike in doc_id and text share
@@ -142,33 +144,43 @@ def _verifier(lines: DataFrame, edits: int):
     return verify
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS) -> DataFrame:
-    """doc_id, row, line_no, class_id (null for lines that take no part), kept: every line."""
+def _occurrences(docs: DataFrame, id_col: str, text_col: str, edits: int) -> DataFrame:
+    """doc_id, row, line_no, long, class_id (null for blank lines), kept (no earlier
+    occurrence): every line, short ones classed by equality."""
     rows = line_rows(docs, id_col, text_col)
     lines = rows.filter(takes_part(F.col("line"))).select(F.xxhash64("line").alias("node"), "line")
     members = lines.select("node", F.explode(probes(F.col("line"), edits)).alias("p")).select("p.bucket", "node", "p.index")
     parts, _ = link_components(members, _verifier(lines, edits))
-    node = F.when(takes_part(F.col("line")), F.xxhash64("line"))
+    node = F.when(F.col("line") != "", F.xxhash64("line"))
     parts = cut(parts.withColumnRenamed("node", "pn"))
-    occ = rows.select("doc_id", "row", "line_no", node.alias("node"))
-    occ = cut(occ.join(parts, F.col("node") == F.col("pn"), "left").select("doc_id", "row", "line_no", F.coalesce("component", "node").alias("class_id")))
+    occ = rows.select("doc_id", "row", "line_no", takes_part(F.col("line")).alias("long"), node.alias("node"))
+    occ = cut(occ.join(parts, F.col("node") == F.col("pn"), "left").select("doc_id", "row", "line_no", "long", F.coalesce("component", "node").alias("class_id")))
     # Only classes with a second occurrence matter, and they are counted before they are joined.
     place = F.struct("doc_id", "row", "line_no")
     again = occ.filter("class_id is not null").groupBy("class_id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     again = cut(again.filter(F.col("first") != F.col("last")).select(F.col("class_id").alias("c"), "first"))
     out = occ.join(again, F.col("class_id") == F.col("c"), "left")
     here = F.struct("doc_id", "row", "line_no")
-    return out.select("doc_id", "row", "line_no", "class_id", (F.col("first").isNull() | here.eqNullSafe(F.col("first"))).alias("kept"))
+    return out.select("doc_id", "row", "line_no", "long", "class_id", (F.col("first").isNull() | here.eqNullSafe(F.col("first"))).alias("kept"))
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS, short: bool = False) -> DataFrame:
+    """doc_id, row, line_no, class_id (null for lines that take no part), kept: every line."""
+    takes = F.lit(short) | F.col("long")
+    found = _occurrences(docs, id_col, text_col, edits)
+    return found.select("doc_id", "row", "line_no", F.when(takes, F.col("class_id")).alias("class_id"), (F.col("kept") | ~takes).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", edits: int = MAX_EDITS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", edits: int = MAX_EDITS, short: bool = False
+) -> DataFrame:
     """The documents without repeated lines; columns as given (``chars_col``, where
     there is one, follows the text)."""
-    found = line_classes(docs, id_col, text_col, edits)
+    found = _occurrences(docs, id_col, text_col, edits)
     tag = uuid.uuid4().hex
     i, r, gone, own = f"i{tag}", f"r{tag}", f"g{tag}", f"o{tag}"
     drops = found.groupBy("doc_id", "row").agg(
-        F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias(gone), F.max(F.col("class_id").isNotNull() & F.col("kept")).alias(own)
+        F.collect_set(F.when(~F.col("kept") & (F.lit(short) | F.col("long")), F.col("line_no"))).alias(gone), F.max(F.col("class_id").isNotNull() & F.col("kept")).alias(own)
     )
     drops = cut(drops.filter(F.size(gone) > 0).withColumnRenamed("doc_id", i).withColumnRenamed("row", r))
     text = F.col(f"`{text_col}`")

@@ -208,6 +208,14 @@ def test_dedup_lines_drops_lines_and_documents(spark, docs_of):
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: (f"{c}\nend", len(c) + 4), 4: ("end", 3), 5: (None, 0)}
 
 
+def test_short_lines_of_its_own_keep_a_document(spark, docs_of):
+    a = "a notice that many documents share"
+    verse = "\n".join(f"verse {i}" for i in range(30))
+    rows = [(1, f"{a}\nend"), (2, f"{a}\n{verse}\nend"), (3, f"{a}\n\nend"), (4, f"{a}\nひとつ")]
+    got = {r.doc_id: r.text for r in L.dedup_lines(docs_of(rows)).collect()}
+    assert got == {1: rows[0][1], 2: f"{verse}\nend", 4: "ひとつ"}
+
+
 def test_lines_empty_table(spark, docs_of):
     assert L.line_classes(docs_of([]).select("doc_id", "text")).count() == 0
     assert L.dedup_lines(docs_of([])).count() == 0

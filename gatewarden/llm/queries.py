@@ -41,7 +41,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.line_classes(docs).select("doc_id", "line_no", "class_id", "kept")
+    return linededup.line_classes(docs, short=True).select("doc_id", "line_no", "class_id", "kept")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

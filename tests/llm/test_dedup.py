@@ -216,6 +216,16 @@ def test_short_lines_of_its_own_keep_a_document(spark, docs_of):
     assert got == {1: rows[0][1], 2: f"{verse}\nend", 4: "ひとつ"}
 
 
+def test_short_lines_are_classes_by_equality(spark, docs_of):
+    rows = [(1, "Menu\n\n one \nMenu"), (2, "Menu\nMenü\none"), (3, "Menu"), (4, "\n"), (5, "日本語\n日本語です")]
+    got = {(r.doc_id, r.line_no): (r.class_id, r.kept) for r in L.line_classes(docs_of(rows), short=True).collect()}
+    assert {k for k, (c, _) in got.items() if c is None} == {(1, 1), (4, 0), (4, 1)}
+    assert {k for k, (_, kept) in got.items() if not kept} == {(1, 3), (2, 0), (2, 2), (3, 0)}
+    assert got[1, 0][0] == got[2, 0][0] != got[2, 1][0] and got[5, 0][0] != got[5, 1][0]
+    out = {r.doc_id: r.text for r in L.dedup_lines(docs_of(rows), short=True).collect()}
+    assert out == {1: "Menu\n\n one ", 2: "Menü", 4: "\n", 5: "日本語\n日本語です"}
+
+
 def test_lines_empty_table(spark, docs_of):
     assert L.line_classes(docs_of([]).select("doc_id", "text")).count() == 0
     assert L.dedup_lines(docs_of([])).count() == 0

@@ -14,6 +14,8 @@ table gives an empty result.  Only built-in expressions run.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +114,54 @@ OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
 PERFORMANCE OF THIS SOFTWARE.""",
 }
 
+_BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{}Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.
+
+{}Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_NAMES = """{}Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+
+"""
+# The BSD texts, with numbered and with unnumbered conditions.
+BSD_TEXTS = [
+    ("BSD-2-Clause", _BSD.format("1. ", "2. ", "")),
+    ("BSD-2-Clause", _BSD.format("", "", "")),
+    ("BSD-3-Clause", _BSD.format("1. ", "2. ", _BSD_NAMES.format("3. "))),
+    ("BSD-3-Clause", _BSD.format("", "", _BSD_NAMES.format(""))),
+]
+# Title lines that files put above the texts.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License"],
+}
+# In a text reflowed into one line the title ends where the copyright starts, and the
+# copyright where one of the known texts starts.
+TITLE_END = r"^(\s*(?:{}))\s+(?=copyright\b|\(c\)|©)".format("|".join(re.escape(t.lower()) for ts in TITLES.values() for t in ts))
+COPYRIGHT_END = (
+    r"(?m)^([^\p{L}\n(©]*(?:copyright\b|\(c\)|©)[^\n]*?)"
+    r"(?=\b(?:permission is hereby granted, free|permission to use, copy, modify|redistribution and use in source))"
+)
+
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\n(©]*(?:copyright\b|\(c\)|©)(?:[^\n]*\d{4}|[ \t]*(?:\(c\)|©))[^\n]*$"
 NO_WORD = r"[^\p{L}\p{N}]+"
 SENTENCE_END = r"([.!?])[ \t]+"
@@ -125,11 +175,18 @@ def known_texts() -> list[tuple[str, str]]:
     return list(TEXTS.items()) + notices
 
 
+def titled_texts() -> list[tuple[str, str]]:
+    """(licence, text): the BSD texts, and every whole text under each of its titles."""
+    plain = list(TEXTS.items()) + BSD_TEXTS
+    return BSD_TEXTS + [(spdx, f"{title}\n\n{text}") for spdx, text in plain for title in TITLES[spdx]]
+
+
 def canonical(text: Column) -> Column:
     """Canonical form; null where nothing is left."""
     t = F.lower(text)
     for spelling, usual in SPELLINGS:
         t = F.replace(t, F.lit(spelling), F.lit(usual))
+    t = F.regexp_replace(F.regexp_replace(t, TITLE_END, "$1\n"), COPYRIGHT_END, "$1\n")
     # A copyright line starts with the word or the sign and says no more than who and when.
     t = F.regexp_replace(t, COPYRIGHT_LINE, " ")
     t = F.trim(F.regexp_replace(t, NO_WORD, " "))
@@ -154,7 +211,7 @@ def units(text: Column) -> Column:
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest, license (of the whole text, else null), notices (licences of
     its lines and sentences, comma-separated in order, else null) and n_notices."""
-    known = known_texts() if known is None else known
+    known = known_texts() + titled_texts() if known is None else known
     table = known_digests(docs.sparkSession, known)
     # The list comes from the caller; broadcast up to a fixed length, shuffled beyond.
     small = (lambda d: F.broadcast(d)) if len(known) <= MAX_BROADCAST_DIGESTS else (lambda d: d)

@@ -130,6 +130,16 @@ def test_license_texts_and_notices(spark, docs_of):
     assert C.scan(docs_of([])).count() == 0
 
 
+def test_license_files_with_titles_and_in_one_line(spark, docs_of):
+    who = "Copyright (c) 2024 A. Body and others"
+    files = [(spdx, f"{C.TITLES[spdx][0]}\n\n{who}\n\n{text}") for spdx, text in [*C.TEXTS.items(), *C.BSD_TEXTS]]
+    files.append(("MIT", f"The MIT License (MIT)\n\n{who}\n\n{C.TEXTS['MIT']}"))
+    files += [(spdx, " ".join(t.split())) for spdx, t in files] + [(spdx, " ".join(f"{who} {t}".split())) for spdx, t in C.TEXTS.items()]
+    files.append((None, f"{who} {C.TEXTS['MIT']} and more"))
+    got = {r.doc_id: r.license for r in C.scan(docs_of([(i, t) for i, (_, t) in enumerate(files)])).collect()}
+    assert [got[i] for i in range(len(files))] == [spdx for spdx, _ in files]
+
+
 # ---------------------------------------------------------------------------
 # Quality
 # ---------------------------------------------------------------------------

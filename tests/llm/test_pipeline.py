@@ -11,16 +11,16 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
 
 
-@pytest.mark.parametrize("name", ["op6_url_filter", "op7_license_scan"])
+@pytest.mark.parametrize("name", ["op6_url_filter", "op7_license_scan", "op11_lexical_search", "op12_chat_format", "op13_fill_in_middle"])
 def test_query_equals_sql(spark, name):
     from gatewarden.llm.queries import ORACLE, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = QUERIES[name](spark, SF)
     want = con.execute(ORACLE[name])

@@ -9,10 +9,12 @@ Event vocabulary (typed by :func:`gatewarden.sources.logs.extract_lifecycle_even
 or written by the caller):
 
 ==============  =============================================================
-``start``       start request (boot / Start button); a no-op on a live process
+``start``       boot / Start button: a child is spawned; a no-op on a live process
+``starting``    a spawn has begun (only from sources that tell it apart from ``start``)
 ``running``     child spawned
 ``start_failed``spawn failed
-``stop``        deliberate stop requested
+``stop``        deliberate stop: the child is gone when it returns
+``stopping``    a stop has begun, the child still lives (as ``starting``)
 ``stopped``     stop finished
 ``restart``     Restart button: stop, then a start that always runs
 ``exit``        unexpected exit of the current child
@@ -201,8 +203,26 @@ LIVE_AFTER = {
     "start": True, "running": True, "respawn": True, "restart": True,
     "stop": False, "stopped": False, "exit": False, "start_failed": False, "crashed": False, "unready": False,
 }
-CONTROL_AFTER = {"stop": "stop", "start": "go", "restart": "go", "respawn": "go", "running": "go"}
+CONTROL_AFTER = {
+    "stop": "stop", "stopping": "stop",
+    "start": "go", "restart": "go", "respawn": "go", "running": "go", "starting": "go",
+}
 READY_AFTER = {"config_ready": True, "config_unready": False}
+# A stop is in flight until something is spawned again: exits up to then belong to it.
+STOP_IN_FLIGHT_AFTER = {
+    "stop": True, "stopping": True, "stopped": True,
+    "start": False, "restart": False, "respawn": False, "running": False, "starting": False,
+}
+# Events that spawn a child; those that end one are the rest of LIVE_AFTER.
+SPAWNING = tuple(e for e, live in LIVE_AFTER.items() if live)
+STATE_EVENTS = (*LIVE_AFTER, "starting", "stopping")
+# The state after each event; a start of a live process and an exit during a stop change nothing.
+STATE_AFTER = {
+    "start": "running", "restart": "running", "respawn": "running", "running": "running",
+    "starting": "starting", "stopping": "stopping",
+    "stop": "stopped", "stopped": "stopped", "unready": "stopped",
+    "exit": "error", "start_failed": "error", "crashed": "crashed",
+}
 
 
 def _after(table: dict[str, object]) -> Column:
@@ -249,68 +269,34 @@ def respawn_checks(
     return rows.select(key, F.col("__xt").alias("ts"), F.col("__xs").alias("seq"), F.col("ts").alias("due"), outcome.alias("outcome"))
 
 
-# Events that end a process, and those after which one lives.  A stop does
-# neither: the process lives until ``stopped`` (or its exit).
-_LIVE_MAKING = ("start", "running", "respawn", "restart", "starting")
-_DEAD_MAKING = ("stopped", "exit", "start_failed", "crashed", "unready")
-STATE_EVENTS = (*_LIVE_MAKING, *_DEAD_MAKING, "stop", "stopping")
-
-
-def _state_after() -> Column:
-    """State that an event leads to, null where it changes nothing: a start of a live
-    process, and the exit of one that is being stopped."""
-    e, live, stopping = F.col("event"), F.coalesce(F.col("__alive"), F.lit(False)), F.coalesce(F.col("__stop"), F.lit(False))
-    return (
-        F.when(e == "start", F.when(~live, "starting"))
-        .when(e.isin("restart", "respawn", "starting"), "starting")
-        .when(e == "running", "running")
-        .when((e == "stop") & live, "stopping")
-        .when(e == "stopping", "stopping")
-        .when(e.isin("stop", "stopped", "unready"), "stopped")
-        .when(e == "exit", F.when(~stopping, "error"))
-        .when(e == "start_failed", "error")
-        .when(e == "crashed", "crashed")
-    )
+def _state_specs() -> list[ScanSpec]:
+    """Liveness and a stop in flight, just before each event."""
+    return [
+        ScanSpec("__alive", "last", _after(LIVE_AFTER), exclusive=True),
+        ScanSpec("__stop", "last", _after(STOP_IN_FLIGHT_AFTER), exclusive=True),
+    ]
 
 
-def lifecycle_state(
-    events: DataFrame,
-    as_of: str | Column,
-    key: str = "deployment_id",
-    deployments: DataFrame | None = None,
-    bucket_s: int = DEFAULT_BUCKET_S,
+def _state_from_scanned(
+    ev: DataFrame, as_of_c: Column, key: str, spawned: Column, deployments: DataFrame | None
 ) -> DataFrame:
-    """State per key at ``as_of``: state, pid, uptime_s, restarts.
-
-    One skew-safe ordered scan gives every event the liveness and the stop in
-    flight just before it; one aggregation, partial map-side, does the rest:
-
-    * the last event that changes the state gives it (``starting`` until a
-      ``running``, ``stopping`` from the stop of a live process to ``stopped``;
-      a start before ``stopped`` changes nothing);
-    * a run begins where a live-making event finds the process dead, or at a
-      ``restart``; ``pid`` (if the input has one) is the pid of the last such
-      event, ``uptime_s`` the whole seconds from it to ``as_of``, both shown
-      only while running;
-    * ``restarts`` counts restart + respawn events.
-    """
-    as_of_c = as_timestamp(as_of)
-    # Typed log events also carry respawn schedules, cancellations, lock clean-ups, proxy errors ...
-    ev = events.filter((F.col("ts").cast("timestamp") <= as_of_c) & F.col("event").isin(*STATE_EVENTS))
-    ev = ev.select(key, "ts", "seq", "event", (F.col("pid") if "pid" in events.columns else F.lit(None).cast("bigint")).alias("__pid"))
-    alive = F.when(F.col("event").isin(*_LIVE_MAKING), F.lit(True)).when(F.col("event").isin(*_DEAD_MAKING), F.lit(False))
-    stop = F.when(F.col("event") == "stop", F.lit(True)).when(
-        F.col("event").isin("running", "restart", "respawn", *_DEAD_MAKING), F.lit(False)
+    """One row per key from scanned events up to ``as_of``; ``spawned`` tells a spawning
+    event that is known to have succeeded (true) or failed (false) from one that is not known."""
+    e = F.col("event")
+    alive, stopping = (F.coalesce(F.col(c), F.lit(False)) for c in ("__alive", "__stop"))
+    failed, sure = F.coalesce(~spawned, F.lit(False)), F.coalesce(spawned, F.lit(False))
+    after = (
+        F.when(e.isin(*SPAWNING) & failed, "starting")
+        .when((e == "start") & alive & ~sure, None)
+        .when((e == "exit") & stopping, None)
+        .otherwise(_after(STATE_AFTER))
     )
-    specs = [ScanSpec("__alive", "last", alive, exclusive=True), ScanSpec("__stop", "last", stop, exclusive=True)]
-    ev = ordered_scan(ev.withColumn("__t", micros("ts")), [key], "__t", ["__t", "seq"], specs, bucket_s)
+    begins = ~failed & (sure | (e == "restart") | (e.isin(*SPAWNING) & ~alive))
     order = F.struct("__t", "seq")
-    begins = (F.col("event") == "restart") | (F.col("event").isin(*_LIVE_MAKING) & ~F.coalesce(F.col("__alive"), F.lit(False)))
-    after = _state_after()
     res = ev.groupBy(key).agg(
         F.max_by(after, F.when(after.isNotNull(), order)).alias("state"),
         F.max(F.when(begins, F.struct("__t", "seq", "__pid"))).alias("__run"),
-        F.count_if(F.col("event").isin("restart", "respawn")).cast("bigint").alias("restarts"),
+        F.count_if(e.isin("restart", "respawn")).cast("bigint").alias("restarts"),
     )
     running = F.col("state") == "running"
     uptime = F.floor((F.unix_micros(as_of_c) - F.col("__run.__t")) / F.lit(1_000_000)).cast("bigint")
@@ -332,6 +318,42 @@ def lifecycle_state(
     return out
 
 
+def _pid_of(events: DataFrame) -> Column:
+    return (F.col("pid") if "pid" in events.columns else F.lit(None)).cast("bigint").alias("__pid")
+
+
+def lifecycle_state(
+    events: DataFrame,
+    as_of: str | Column,
+    key: str = "deployment_id",
+    deployments: DataFrame | None = None,
+    bucket_s: int = DEFAULT_BUCKET_S,
+) -> DataFrame:
+    """State per key at ``as_of``: state, pid, uptime_s, restarts.
+
+    One skew-safe ordered scan gives every event the liveness and the stop in
+    flight just before it; one aggregation, partial map-side, does the rest:
+
+    * the last event that changes the state gives it: ``running`` from a spawning
+      event, ``stopped`` from a stop (``starting`` and ``stopping`` only from events
+      of that name, or from a spawn known to fail later); a start of a live process
+      and the exit of a stopped one change nothing;
+    * a run begins where a spawning event finds the process dead, at a ``restart``,
+      or at a spawn that is known (column ``spawned``, see
+      :func:`lifecycle_from_log_events`); ``pid`` (if the input has one) is the pid
+      of the last such event, ``uptime_s`` the whole seconds from it to ``as_of``,
+      both shown only while running;
+    * ``restarts`` counts restart + respawn events.
+    """
+    as_of_c = as_timestamp(as_of)
+    # Typed log events also carry respawn schedules, cancellations, lock clean-ups, proxy errors ...
+    ev = events.filter((F.col("ts").cast("timestamp") <= as_of_c) & F.col("event").isin(*STATE_EVENTS))
+    spawned = F.col("spawned") if "spawned" in events.columns else F.lit(None).cast("boolean")
+    ev = ev.select(key, "ts", "seq", "event", _pid_of(events), spawned.alias("__spawned"))
+    ev = ordered_scan(ev.withColumn("__t", micros("ts")), [key], "__t", ["__t", "seq"], _state_specs(), bucket_s)
+    return _state_from_scanned(ev, as_of_c, key, F.col("__spawned"), deployments)
+
+
 def lifecycle_from_log_events(typed: DataFrame, key: str = "deployment_id", bucket_s: int = DEFAULT_BUCKET_S) -> DataFrame:
     """O6 output -> lifecycle vocabulary for O20-O23.
 
@@ -342,10 +364,17 @@ def lifecycle_from_log_events(typed: DataFrame, key: str = "deployment_id", buck
     Schedules and cancellations themselves change no state and are dropped;
     the other typed events keep their names (start, start_failed, exit,
     crashed, unready).
+
+    The line is written only once no child lives, before the spawn; neither a
+    stop nor the spawn's success has a line.  ``spawned`` (of start and respawn,
+    else null) tells by looking ahead: false where the next event is the failure.
+    :func:`lifecycle_state` takes a spawned start as a new run even where the
+    stop before it left no line, and a failing one as ``starting``.  Both looks,
+    back and ahead, are columns of one ordered scan.
     """
     ev = typed.filter(F.col("event").isin(*_ADAPTER_EVENTS)).withColumn("__t", micros("ts"))
-    ev = ordered_scan(ev, [key], "__t", ["__t", "seq"], [_respawn_marker_spec()], bucket_s)
-    return _apply_respawn(ev).drop("__t")
+    ev = ordered_scan(ev, [key], "__t", ["__t", "seq"], [_respawn_marker_spec(), _spawn_spec()], bucket_s)
+    return _apply_respawn(_with_spawned(ev)).drop("__t")
 
 
 _ADAPTER_EVENTS = ("start", "start_failed", "exit", "crashed", "unready", "respawn_scheduled", "respawn_cancelled")
@@ -360,12 +389,42 @@ def _respawn_marker_spec() -> ScanSpec:
     return ScanSpec("__prev", "last", marker, exclusive=True)
 
 
+def _spawn_spec() -> ScanSpec:
+    """The event after each row."""
+    return ScanSpec("__ahead", "next", F.col("event"), exclusive=True)
+
+
+def _with_spawned(ev: DataFrame) -> DataFrame:
+    fails = F.coalesce(F.col("__ahead") == "start_failed", F.lit(False))
+    return ev.withColumn("spawned", F.when(F.col("event") == "start", ~fails)).drop("__ahead")
+
+
 def _apply_respawn(ev: DataFrame) -> DataFrame:
     on_time = (F.col("__prev") >= 0) & (F.col("__t") >= F.col("__prev"))
     event = F.when((F.col("event") == "start") & on_time, F.lit("respawn")).otherwise(F.col("event"))
     return ev.filter(~F.col("event").isin("respawn_scheduled", "respawn_cancelled")).withColumn("event", event).drop("__prev")
 
 
+def lifecycle_state_from_log_events(
+    typed: DataFrame,
+    as_of: str | Column,
+    key: str = "deployment_id",
+    deployments: DataFrame | None = None,
+    bucket_s: int = DEFAULT_BUCKET_S,
+) -> DataFrame:
+    """:func:`lifecycle_from_log_events` then :func:`lifecycle_state`, in one ordered
+    scan instead of two stacked ones: the adapter's two markers and the state's two
+    are scanned together over the typed events.  Lines later than ``as_of`` serve the
+    look ahead and nothing else."""
+    as_of_c = as_timestamp(as_of)
+    ev = typed.filter(F.col("event").isin(*_ADAPTER_EVENTS))
+    ev = ev.select(key, "ts", "seq", "event", "delay_s", _pid_of(typed)).withColumn("__t", micros("ts"))
+    specs = [_respawn_marker_spec(), _spawn_spec(), *_state_specs()]
+    ev = ordered_scan(ev, [key], "__t", ["__t", "seq"], specs, bucket_s)
+    ev = _apply_respawn(_with_spawned(ev.filter(F.col("ts").cast("timestamp") <= as_of_c)))
+    return _state_from_scanned(ev, as_of_c, key, F.col("spawned"), deployments)
+
+
 def crash_loop_from_log_events(
     typed: DataFrame,
     key: str = "deployment_id",

@@ -1,4 +1,4 @@
-"""Skew-safe ordered scans (running sum / max / last-non-null per key).
+"""Skew-safe ordered scans (running sum / max / last and next non-null per key).
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of a key to
 one task.  When one deployment (or session, or flow) holds a third of all
@@ -31,11 +31,12 @@ DEFAULT_BUCKET_S = 3600
 
 @dataclass(frozen=True)
 class ScanSpec:
-    """One running column: ``kind`` in {"sum", "max", "last"}.
+    """One running column: ``kind`` in {"sum", "max", "last", "next"}.
 
     ``last`` is the last non-null value of ``expr`` up to and including the
-    current row (``exclusive=True``: strictly before it).  ``sum`` of an
-    all-null prefix is 0.
+    current row (``exclusive=True``: strictly before it), ``next`` the first one
+    from the current row on (strictly after it).  ``sum`` of an all-null prefix
+    is 0.
     """
 
     name: str
@@ -82,15 +83,18 @@ def ordered_scan(
     x = x.withColumns({f"__v{i}": s.expr for i, s in enumerate(specs)})
 
     w_base = Window.partitionBy(*[F.col(k) for k in keys], F.col(bkt)).orderBy(*order_cols)
+    # Looking ahead is looking back in reverse order: a second sort of the same
+    # partitions (a frame to the end of the partition would be quadratic).
+    w_ahead = Window.partitionBy(*[F.col(k) for k in keys], F.col(bkt)).orderBy(*[o.desc() for o in order_cols])
     local_cols = {}
     for i, s in enumerate(specs):
         v = F.col(f"__v{i}")
-        w_local = w_base.rowsBetween(Window.unboundedPreceding, -1 if s.exclusive else Window.currentRow)
+        w_local = (w_ahead if s.kind == "next" else w_base).rowsBetween(Window.unboundedPreceding, -1 if s.exclusive else Window.currentRow)
         if s.kind == "sum":
             local_cols[f"__l{i}"] = F.coalesce(F.sum(v).over(w_local), F.lit(0))
         elif s.kind == "max":
             local_cols[f"__l{i}"] = F.max(v).over(w_local)
-        elif s.kind == "last":
+        elif s.kind in ("last", "next"):
             local_cols[f"__l{i}"] = F.last(v, ignorenulls=True).over(w_local)
         else:
             raise ValueError(f"unknown scan kind {s.kind!r}")
@@ -108,15 +112,15 @@ def ordered_scan(
             summary_aggs.append(F.sum(v).alias(f"__s{i}"))
         elif s.kind == "max":
             summary_aggs.append(F.max(v).alias(f"__s{i}"))
+        elif s.kind == "next":
+            summary_aggs.append(F.min_by(v, F.when(v.isNotNull(), order_struct)).alias(f"__s{i}"))
         else:  # last: the last non-null value of the bucket
             summary_aggs.append(F.max_by(v, F.when(v.isNotNull(), order_struct)).alias(f"__s{i}"))
     summary = x.groupBy(*keys, bkt).agg(*summary_aggs)
 
-    w_prev = (
-        Window.partitionBy(*[F.col(k) for k in keys])
-        .orderBy(F.col(bkt))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    per_key = Window.partitionBy(*[F.col(k) for k in keys])
+    w_prev = per_key.orderBy(F.col(bkt)).rowsBetween(Window.unboundedPreceding, -1)
+    w_next = per_key.orderBy(F.col(bkt).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = []
     for i, s in enumerate(specs):
         sc = F.col(f"__s{i}")
@@ -125,7 +129,7 @@ def ordered_scan(
         elif s.kind == "max":
             c = F.max(sc).over(w_prev)
         else:
-            c = F.last(sc, ignorenulls=True).over(w_prev)
+            c = F.last(sc, ignorenulls=True).over(w_next if s.kind == "next" else w_prev)
         carry_cols.append(c.alias(f"__c{i}"))
     carry = summary.select(*keys, bkt, *carry_cols)
 
@@ -154,7 +158,8 @@ def ordered_scan_single_window(
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     cols = {}
     for s in specs:
-        w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1 if s.exclusive else 0)
+        along = [o.desc() for o in order_cols] if s.kind == "next" else order_cols
+        w = Window.partitionBy(*keys).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1 if s.exclusive else 0)
         if s.kind == "sum":
             cols[s.name] = F.coalesce(F.sum(s.expr).over(w), F.lit(0))
         elif s.kind == "max":

@@ -130,14 +130,15 @@ def tail_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with the whole vocabulary: click = start (start_failed above 45), error = exit
-    (crashed above 40), purchase = stop, signup = restart, view = running below 30, else stopped."""
+    (crashed above 40), purchase = stop, signup = restart, view = running below 5, starting
+    below 10, stopping below 40, else stopped."""
     et, v = F.col("event_type"), F.col("value")
     event = (
         F.when(et == "click", F.when(v > 45, "start_failed").otherwise("start"))
         .when(et == "error", F.when(v > 40, "crashed").otherwise("exit"))
         .when(et == "purchase", "stop")
         .when(et == "signup", "restart")
-        .otherwise(F.when(v < 30, "running").otherwise("stopped"))
+        .otherwise(F.when(v < 5, "running").when(v < 10, "starting").when(v < 40, "stopping").otherwise("stopped"))
     )
     return _events(spark, sf_dir).select(
         F.col("user_id").alias("deployment_id"), "ts", F.col("event_id").alias("seq"), event.alias("event"), F.col("event_id").alias("pid")
@@ -155,6 +156,24 @@ def lifecycle_state_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("lifecycle_state_from_logs")
+def lifecycle_state_from_logs_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3 -> O6 -> lifecycle adapter -> O22 on the rendered log lines, with some proxy
+    lines as failed spawns: of each hour of the day as a deployment of its own."""
+    from ..sources.logs import clean_log_lines, extract_lifecycle_events
+    from . import standins as X
+
+    typed = extract_lifecycle_events(clean_log_lines(X.event_log_raw(spark, sf_dir)))
+    failed = (F.col("event") == "upstream_status") & (F.col("status") == 404)
+    typed = typed.withColumn("event", F.when(failed, F.lit("start_failed")).otherwise(F.col("event")))
+    typed = typed.withColumn("deployment_id", F.col("deployment_id") * 24 + F.hour("ts"))
+    # The log tells no pid of a live child; the sequence number of the line stands for it.
+    res = L.lifecycle_state_from_log_events(typed.withColumn("pid", F.col("seq")), AS_OF)
+    return res.select(
+        "deployment_id", "state", F.col("pid").cast("string").alias("pid"), F.col("uptime_s").cast("string").alias("uptime_s"), "restarts"
+    )
+
+
 @query("restart_counts")
 def restart_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O23 over the lifecycle stand-in (signup = restart)."""

@@ -55,21 +55,21 @@ WITH ev AS (
          CASE event_type WHEN 'click' THEN CASE WHEN value > 45 THEN 'start_failed' ELSE 'start' END
                          WHEN 'error' THEN CASE WHEN value > 40 THEN 'crashed' ELSE 'exit' END
                          WHEN 'purchase' THEN 'stop' WHEN 'signup' THEN 'restart'
-                         ELSE CASE WHEN value < 30 THEN 'running' ELSE 'stopped' END END AS event
+                         ELSE CASE WHEN value < 5 THEN 'running' WHEN value < 10 THEN 'starting' WHEN value < 40 THEN 'stopping' ELSE 'stopped' END END AS event
   FROM events WHERE ts <= TIMESTAMP '2024-01-31 00:00:00'
 ), pos AS (SELECT *, row_number() OVER (PARTITION BY deployment_id ORDER BY ts, seq) AS p FROM ev
 ), b AS (
   SELECT e.*,
-    (SELECT arg_max(x.event, x.p) FROM pos x WHERE x.deployment_id = e.deployment_id AND x.p < e.p AND x.event <> 'stop') AS life,
-    (SELECT arg_max(x.event, x.p) FROM pos x WHERE x.deployment_id = e.deployment_id AND x.p < e.p AND x.event <> 'start') AS ctl
+    (SELECT arg_max(x.event, x.p) FROM pos x WHERE x.deployment_id = e.deployment_id AND x.p < e.p AND x.event NOT IN ('starting', 'stopping')) AS life,
+    (SELECT arg_max(x.event, x.p) FROM pos x WHERE x.deployment_id = e.deployment_id AND x.p < e.p AND x.event NOT IN ('exit', 'crashed', 'start_failed')) AS ctl
   FROM pos e
 ), t AS (
-  SELECT *, coalesce(life IN ('start', 'running', 'restart'), false) AS live FROM b
+  SELECT *, coalesce(life IN ('start', 'running', 'restart'), false) AS live,
+         coalesce(ctl IN ('stop', 'stopping', 'stopped'), false) AS halting FROM b
 ), st AS (
-  SELECT *, CASE event WHEN 'start' THEN CASE WHEN live THEN NULL ELSE 'starting' END WHEN 'restart' THEN 'starting' WHEN 'running' THEN 'running'
-                       WHEN 'stop' THEN CASE WHEN live THEN 'stopping' ELSE 'stopped' END WHEN 'stopped' THEN 'stopped'
-                       WHEN 'exit' THEN CASE WHEN coalesce(ctl, '') = 'stop' THEN NULL ELSE 'error' END
-                       WHEN 'start_failed' THEN 'error' ELSE 'crashed' END AS after,
+  SELECT *, CASE WHEN event = 'start' AND live THEN NULL WHEN event IN ('start', 'restart', 'running') THEN 'running'
+                 WHEN event IN ('starting', 'stopping', 'crashed') THEN event WHEN event IN ('stop', 'stopped') THEN 'stopped'
+                 WHEN event = 'exit' AND halting THEN NULL ELSE 'error' END AS after,
          event = 'restart' OR (event IN ('start', 'running') AND NOT live) AS begins
   FROM t
 ), a AS (
@@ -239,6 +239,32 @@ SELECT deployment_id, seq, ts, TRY_CAST(regexp_extract(line, 'restarting in (\\d
 FROM ({_LOG_LINES}) l JOIN (SELECT event_id, ts FROM events) e ON e.event_id = l.seq
 """
 
+ORACLE["lifecycle_state_from_logs"] = f"""
+WITH raw AS (SELECT deployment_id * 24 + hour(ts) AS deployment_id, seq, ts, delay_s,
+    coalesce(event, CASE WHEN (SELECT event_type = 'purchase' AND value <= 100 FROM events v WHERE v.event_id = x.seq) THEN 'start_failed' END) AS event
+  FROM ({_TYPED_EVENTS}) x),
+p AS (SELECT *, row_number() OVER (PARTITION BY deployment_id ORDER BY ts, seq) AS p FROM raw WHERE event IS NOT NULL),
+m AS (
+  SELECT e.*, n.event AS ahead,
+    last_value(CASE WHEN e.event = 'respawn_scheduled' THEN epoch_us(e.ts) + e.delay_s * 1000000 WHEN e.event IN ('start', 'exit') THEN -1 END IGNORE NULLS)
+      OVER (PARTITION BY e.deployment_id ORDER BY e.p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+  FROM p e LEFT JOIN p n ON n.deployment_id = e.deployment_id AND n.p = e.p + 1
+), k AS (
+  SELECT *, event = 'start' AND coalesce(ahead, '') <> 'start_failed' AS begins,
+    event = 'start' AND prev >= 0 AND epoch_us(ts) >= prev AS respawned
+  FROM m WHERE ts <= TIMESTAMP '2024-01-31 00:00:00' AND event <> 'respawn_scheduled'
+), a AS (
+  SELECT deployment_id, arg_max(CASE WHEN begins THEN 'running' WHEN event = 'start' THEN 'starting' ELSE 'error' END, p) AS state,
+    max(p) FILTER (WHERE begins) AS run_p, count(*) FILTER (WHERE respawned) AS restarts
+  FROM k GROUP BY deployment_id
+)
+SELECT a.deployment_id, a.state, CAST(CASE WHEN a.state = 'running' THEN r.seq END AS VARCHAR) AS pid,
+       CAST(CASE WHEN a.state = 'running'
+            THEN CAST(floor((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(r.ts)) / 1000000) AS BIGINT) END AS VARCHAR) AS uptime_s,
+       a.restarts
+FROM a LEFT JOIN p r ON r.deployment_id = a.deployment_id AND r.p = a.run_p
+"""
+
 ORACLE["crash_loop_from_logs"] = f"""
 WITH t AS (SELECT * FROM ({_TYPED_EVENTS}) x WHERE event IS NOT NULL),
 m AS (

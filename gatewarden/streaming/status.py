@@ -21,26 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.lifecycle import STATE_EVENTS
+from ..operators.lifecycle import LIVE_AFTER, SPAWNING, STATE_AFTER, STATE_EVENTS, STOP_IN_FLIGHT_AFTER
 
 OUTPUT_SCHEMA = "deployment_id string, event_ts timestamp, state string, pid long, run_started_at timestamp, restarts long"
 _COLS = ["deployment_id", "event_ts", "state", "pid", "run_started_at", "restarts"]
 
-_SAME = {"starting": "starting", "restart": "starting", "respawn": "starting", "running": "running", "stopping": "stopping",
-         "stopped": "stopped", "unready": "stopped", "start_failed": "error", "crashed": "crashed"}
-_LIVE_MAKING = {"start", "running", "respawn", "restart", "starting"}
-_DEAD_MAKING = {"stopped", "exit", "start_failed", "crashed", "unready"}
-
-
 def _next_state(event: str, live: bool, stop_in_flight: bool) -> str | None:
     """State that an event leads to, None where it changes nothing."""
-    if event == "start":
-        return None if live else "starting"
-    if event == "stop":
-        return "stopping" if live else "stopped"
-    if event == "exit":
-        return None if stop_in_flight else "error"
-    return _SAME[event]
+    if (event == "start" and live) or (event == "exit" and stop_in_flight):
+        return None
+    return STATE_AFTER[event]
 
 
 class StatusProcessor(StatefulProcessor):
@@ -62,12 +52,12 @@ class StatusProcessor(StatefulProcessor):
             restarts += e in ("restart", "respawn")
             if last_ts is not None and (r.ts, r.seq) < (pd.Timestamp(last_ts), last_seq):
                 continue
-            if e == "restart" or (e in _LIVE_MAKING and not live):
+            if e == "restart" or (e in SPAWNING and not live):
                 pid = getattr(r, "pid", None)
                 run_ts, run_pid = r.ts, None if pid is None or pd.isna(pid) else int(pid)
             state = _next_state(e, live, stopping) or state
-            live = e in _LIVE_MAKING or (live and e not in _DEAD_MAKING)
-            stopping = e == "stop" or (stopping and e in ("start", "starting", "stopping"))
+            live = LIVE_AFTER.get(e, live)
+            stopping = STOP_IN_FLIGHT_AFTER.get(e, stopping)
             last_ts, last_seq = r.ts, int(r.seq)
         if last_ts is None:
             return

@@ -264,3 +264,60 @@ def test_flow_without_expiry_has_the_default_life(spark):
     )
     assert L.device_flow_outcome(flows, polls, ts(2000)).first().status == "expired"
     assert L.device_flow_outcome(flows, polls, ts(800)).first().status == "pending"
+
+
+def _typed(spark, rows):
+    kind = "deployment_id string, ts timestamp, seq long, event string, delay_s int, pid long"
+    return spark.createDataFrame([(d, ts(s), q, e, w, p) for d, s, q, e, w, p in rows], kind)
+
+
+def test_state_on_log_events(spark):
+    rows = [
+        ("up", 0, 1, "start", None, 11),
+        ("again", 0, 1, "start", None, 21), ("again", 60, 2, "start", None, 22),  # a stop in between leaves no line
+        ("failed", 0, 1, "start", None, 31), ("failed", 1, 2, "start_failed", None, None),
+        ("failing", 95, 1, "start", None, 41), ("failing", 105, 2, "start_failed", None, None),
+        ("back", 0, 1, "start", None, 51), ("back", 10, 2, "exit", None, None), ("back", 10, 3, "respawn_scheduled", 2, None),
+        ("back", 12, 4, "start", None, 52),
+        ("waits", 0, 1, "start", None, 61), ("waits", 10, 2, "exit", None, None), ("waits", 10, 3, "respawn_scheduled", 2, None),
+        ("gone", 0, 1, "start", None, 71), ("gone", 10, 2, "crashed", None, None),
+    ]
+    want = {
+        "up": ("running", 11, 100, 0), "again": ("running", 22, 40, 0), "failed": ("error", None, None, 0),
+        "failing": ("starting", None, None, 0), "back": ("running", 52, 88, 1), "waits": ("error", None, None, 0),
+        "gone": ("crashed", None, None, 0),
+    }
+    typed = _typed(spark, rows)
+    for got in (L.lifecycle_state(L.lifecycle_from_log_events(typed), ts(100)), L.lifecycle_state_from_log_events(typed, ts(100))):
+        assert {r.deployment_id: (r.state, r.pid, r.uptime_s, r.restarts) for r in got.collect()} == want
+
+
+def test_fused_state_equals_adapter_then_state(spark):
+    rnd = random.Random(23)
+    kinds = ["start", "start", "exit", "respawn_scheduled", "respawn_cancelled", "crashed", "unready", "start_failed", "lock_cleared"]
+    rows = [(f"d{rnd.randrange(60)}", rnd.randrange(0, 2000), q, rnd.choice(kinds), 2 * (q % 4), q) for q in range(900)]
+    typed = _typed(spark, rows)
+    composed = L.lifecycle_state(L.lifecycle_from_log_events(typed, bucket_s=70), ts(1500), bucket_s=300)
+    fused = L.lifecycle_state_from_log_events(typed, ts(1500), bucket_s=50)
+    assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, composed.collect()))
+    assert len({r.state for r in fused.collect()}) >= 4
+
+
+def test_next_scan_equals_single_window(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice("abc"), rnd.randrange(0, 400), q, rnd.choice([None, q])) for q in range(600)]
+    df = spark.createDataFrame(rows, "k string, t long, seq long, v long")
+    specs = [ScanSpec("n", "next", F.col("v")), ScanSpec("ne", "next", F.col("v"), exclusive=True), ScanSpec("l", "last", F.col("v"), exclusive=True)]
+    cut = ordered_scan(df.withColumn("t", F.col("t") * 1_000_000), ["k"], "t", ["t", "seq"], specs, bucket_s=7)
+    whole = ordered_scan_single_window(df, ["k"], ["t", "seq"], specs)
+    cols = ["k", "seq", "n", "ne", "l"]
+    assert sorted(map(str, cut.select(cols).collect())) == sorted(map(str, whole.select(cols).collect()))
+
+
+def test_starting_and_stopping_only_from_their_own_events(spark):
+    rows = [
+        ("a", 0, 1, "start"), ("a", 5, 2, "stopping"), ("b", 0, 1, "starting"), ("c", 0, 1, "start"), ("c", 5, 2, "stop"), ("c", 6, 3, "exit"),
+        ("d", 0, 1, "starting"), ("d", 3, 2, "running"), ("e", 0, 1, "start"), ("e", 5, 2, "stop"), ("e", 9, 3, "start"), ("f", 0, 1, "stop"),
+    ]
+    got = {r.deployment_id: (r.state, r.uptime_s) for r in L.lifecycle_state(events_df(spark, rows), ts(10)).collect()}
+    assert got == {"a": ("stopping", None), "b": ("starting", None), "c": ("stopped", None), "d": ("running", 7), "e": ("running", 1), "f": ("stopped", None)}

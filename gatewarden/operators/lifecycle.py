@@ -72,6 +72,12 @@ def tail_per_source(
 # ---------------------------------------------------------------------------
 
 
+# Rows of one key in one window beyond which one task should not hold them.
+HOT_ROWS = 2_000_000
+# So many hot keys at most are broadcast; more are joined.
+MAX_BROADCAST_KEYS = 100_000
+
+
 def crash_loop(
     events: DataFrame,
     is_exit: Column,
@@ -82,6 +88,8 @@ def crash_loop(
     window_s: float = C.CRASH_WINDOW_S,
     max_exits: int = C.CRASH_MAX_EXITS,
     bucket_s: int = DEFAULT_BUCKET_S,
+    hot_rows: int = HOT_ROWS,
+    to_count: DataFrame | None = None,
 ) -> DataFrame:
     """Rolling count of unexpected exits, one output row per exit.
 
@@ -92,20 +100,16 @@ def crash_loop(
     count exceeds ``max_exits`` (the 6th exit with the defaults), else
     ``respawn``.
 
-    Plan: one shuffle on (key, time bucket), no window over a whole key.
     With ``Cnt`` = running number of exits in (ts, seq) order,
     ``exits_in_window = Cnt(self) - max(Cnt(last reset), Cnt(ts - window))``.
-    Buckets are at least ``window_s`` wide, so the rows an exit needs lie in
-    its own bucket or in the last ``window_s`` of the previous one; those
-    rows are copied into the next bucket as history (a W/B fraction of the
-    input).  A reset older than that history cannot matter: its count is
-    below ``Cnt(ts - window)``.  Inside a bucket the three counts are window
-    columns over one sort: a ROWS running count, a RANGE count up to
-    ``ts - window`` (inclusive, so exits exactly ``window_s`` earlier drop
-    out), and the last reset's running count.
+    Keys are cut into time buckets, so no task holds a whole key.  Buckets at
+    least a window wide need one shuffle and no carry (:func:`_counts_in_wide`).
+    Where a window is wider than ``bucket_s``, keys with more than ``hot_rows``
+    rows in one window are counted first, and those keys get buckets narrower
+    than the window (:func:`_counts_in_narrow`).  ``to_count`` gives a cheaper
+    superset of the exits and resets to count where ``events`` is costly.
     """
     w_us = int(round(window_s * 1_000_000))
-    b_us = max(int(bucket_s) * 1_000_000, w_us)
     base = events.filter(is_exit | is_reset).select(
         F.col(key).alias("__key"),
         F.col(ts).alias("__ts"),
@@ -113,6 +117,45 @@ def crash_loop(
         micros(ts).alias("__t"),
         F.when(is_exit, F.lit(1)).otherwise(F.lit(0)).alias("__exit"),
     )
+    wide_us = max(int(bucket_s) * 1_000_000, w_us)
+    hot, most = None, 0
+    if w_us > int(bucket_s) * 1_000_000:
+        rows = base if to_count is None else to_count.select(F.col(key).alias("__key"), micros(ts).alias("__t"))
+        hot, most = _hot_keys(rows, wide_us, hot_rows)
+    if hot is None:
+        counted = _counts_in_wide(base, w_us, wide_us)
+    else:
+        narrow_us = max(wide_us // -(-4 * most // hot_rows), 1)
+        same = F.col("__key").eqNullSafe(F.col("__hot"))
+        cold = _counts_in_wide(base.join(hot, same, "left_anti"), w_us, wide_us)
+        counted = cold.unionByName(_counts_in_narrow(base.join(hot, same, "left_semi"), w_us, narrow_us))
+    out = counted.select(F.col("__key").alias(key), F.col("__ts").alias(ts), F.col("__seq").alias(seq), F.col("__n").alias("exits_in_window"))
+    return out.withColumn(
+        "verdict", F.when(F.col("exits_in_window") > max_exits, F.lit("crashed")).otherwise(F.lit("respawn"))
+    )
+
+
+def _hot_keys(base: DataFrame, width_us: int, hot_rows: int) -> tuple[DataFrame | None, int]:
+    """Keys with more than ``hot_rows`` rows in a bucket, and the most rows of any."""
+    groups = base.groupBy("__key", bucket_of("__t", width_us).alias("__b")).agg(F.count(F.lit(1)).alias("__rows"))
+    hot = groups.filter(F.col("__rows") > hot_rows).groupBy(F.col("__key").alias("__hot")).agg(F.max("__rows").alias("__rows"))
+    n, most = hot.agg(F.count(F.lit(1)), F.max("__rows")).first()
+    if not n:
+        return None, 0
+    return (F.broadcast(hot.select("__hot")) if n <= MAX_BROADCAST_KEYS else hot.select("__hot")), most
+
+
+def _counts_in_wide(base: DataFrame, w_us: int, b_us: int) -> DataFrame:
+    """Counts with buckets at least a window wide: one shuffle on (key, bucket).
+
+    The rows an exit needs lie in its own bucket or in the last window of the
+    previous one; those rows are copied into the next bucket as history (a W/B
+    fraction of the input).  A reset older than that history cannot matter: its
+    count is below ``Cnt(ts - window)``.  Inside a bucket the three counts are
+    window columns over one sort: a ROWS running count, a RANGE count up to
+    ``ts - window`` (inclusive, so exits exactly ``window_s`` earlier drop out),
+    and the last reset's running count.
+    """
     bkt = bucket_of("__t", b_us)
     own = F.struct(bkt.alias("b"), F.lit(True).alias("own"))
     hist = F.struct((bkt + 1).alias("b"), F.lit(False).alias("own"))
@@ -131,15 +174,50 @@ def crash_loop(
     )
     x = x.withColumn("__cnt_r", F.last(F.when(F.col("__exit") == 0, F.col("__cnt")), ignorenulls=True).over(w_rows))
     n = (F.col("__cnt") - F.greatest(F.coalesce("__cnt_r", F.lit(0)), F.col("__cnt_w"))).cast("bigint")
-    out = x.filter(F.col("__own") & (F.col("__exit") == 1)).select(
-        F.col("__key").alias(key),
-        F.col("__ts").alias(ts),
-        F.col("__seq").alias(seq),
-        n.alias("exits_in_window"),
+    return x.filter(F.col("__own") & (F.col("__exit") == 1)).select("__key", "__ts", "__seq", n.alias("__n"))
+
+
+def _counts_in_narrow(base: DataFrame, w_us: int, b_us: int) -> DataFrame:
+    """Counts with buckets of any width, for keys whose windows hold too many rows.
+
+    An exit leaves the windows ``w_us`` after it: a second row at that moment,
+    ahead of the events of the same moment, lands in the one bucket where the
+    window's far end falls, so ``Cnt(ts - window)`` is a running count of such
+    rows and needs no look at the buckets in between.  Each bucket counts its own
+    rows; a table of one row per (key, bucket) carries the counts of whole
+    earlier buckets and the last reset's count, and is joined back.
+    """
+    kind = dict(base.dtypes)["__ts"]
+    exit_ = F.col("__exit") == 1
+    # step: 0 an exit leaves the window, 1 an event.
+    event = F.struct(F.col("__t").alias("t"), F.lit(1).alias("step"))
+    leaves = F.struct((F.col("__t") + F.lit(w_us)).alias("t"), F.lit(0).alias("step"))
+    x = base.select("__key", "__seq", "__exit", F.explode(F.when(exit_, F.array(event, leaves)).otherwise(F.array(event))).alias("__e"))
+    x = x.select("__key", "__seq", "__exit", F.col("__e.t").alias("__t"), F.col("__e.step").alias("__step"))
+    x = x.withColumn("__b", bucket_of("__t", b_us))
+    rows = (
+        Window.partitionBy("__key", "__b")
+        .orderBy("__t", "__step", "__seq")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return out.withColumn(
-        "verdict", F.when(F.col("exits_in_window") > max_exits, F.lit("crashed")).otherwise(F.lit("respawn"))
+    x = x.withColumns(
+        {
+            "__in": F.sum(F.col("__exit") * F.col("__step")).over(rows),
+            "__out": F.sum(1 - F.col("__step")).over(rows),
+        }
     )
+    x = x.withColumn("__at", F.last(F.when((F.col("__step") == 1) & ~exit_, F.col("__in")), ignorenulls=True).over(rows))
+    # All three only grow along a bucket: their largest is their last.
+    totals = x.groupBy("__key", "__b").agg(F.max("__in").alias("__i"), F.max("__out").alias("__o"), F.max("__at").alias("__r"))
+    earlier = Window.partitionBy("__key").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.withColumns({f"__c{c}": F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)) for c in "io"})
+    carry = carry.withColumn("__cr", F.coalesce(F.max(F.col("__ci") + F.col("__r")).over(earlier), F.lit(0)))
+    carry = carry.select(F.col("__key").alias("__ck"), F.col("__b").alias("__cb"), "__ci", "__co", "__cr")
+    x = x.filter((F.col("__step") == 1) & exit_)
+    x = x.join(carry, F.col("__key").eqNullSafe(F.col("__ck")) & (F.col("__b") == F.col("__cb")))
+    reset = F.coalesce(F.col("__ci") + F.col("__at"), F.col("__cr"))
+    n = (F.col("__ci") + F.col("__in") - F.greatest(reset, F.col("__co") + F.col("__out"))).cast("bigint")
+    return x.select("__key", F.timestamp_micros("__t").cast(kind).alias("__ts"), "__seq", n.alias("__n"))
 
 
 def respawn_delay(
@@ -173,7 +251,7 @@ def lifecycle_crash_loop(
     """
     ev = events.withColumn("__t", micros("ts"))
     ev = ordered_scan(ev, [key], "__t", ["__t", "seq"], _crash_specs(), bucket_s)
-    return _crash_from_scanned(ev, key, window_s, max_exits, bucket_s)
+    return _crash_from_scanned(ev, events, key, window_s, max_exits, bucket_s)
 
 
 def _crash_specs() -> list[ScanSpec]:
@@ -184,12 +262,13 @@ def _crash_specs() -> list[ScanSpec]:
     return [ScanSpec("__ctl", "last", control), ScanSpec("__live_before", "last", _after(LIVE_AFTER), exclusive=True)]
 
 
-def _crash_from_scanned(ev: DataFrame, key: str, window_s: float, max_exits: int, bucket_s: int) -> DataFrame:
+def _crash_from_scanned(ev: DataFrame, unscanned: DataFrame, key: str, window_s: float, max_exits: int, bucket_s: int) -> DataFrame:
     is_exit = (F.col("event") == "exit") & ~F.coalesce(F.col("__ctl") == "stop", F.lit(False))
     is_reset = (F.col("event") == "restart") | (
         (F.col("event") == "start") & ~F.coalesce(F.col("__live_before"), F.lit(False))
     )
-    res = crash_loop(ev, is_exit, is_reset, key=key, window_s=window_s, max_exits=max_exits, bucket_s=bucket_s)
+    to_count = unscanned.filter(F.col("event").isin("exit", "restart", "start"))
+    res = crash_loop(ev, is_exit, is_reset, key=key, window_s=window_s, max_exits=max_exits, bucket_s=bucket_s, to_count=to_count)
     return respawn_delay(res.drop("__ctl", "__live_before"))
 
 
@@ -443,7 +522,7 @@ def crash_loop_from_log_events(
     """
     ev = typed.filter(F.col("event").isin(*_ADAPTER_EVENTS)).withColumn("__t", micros("ts"))
     ev = ordered_scan(ev, [key], "__t", ["__t", "seq"], [_respawn_marker_spec(), *_crash_specs()], bucket_s)
-    return _crash_from_scanned(_apply_respawn(ev), key, window_s, max_exits, bucket_s)
+    return _crash_from_scanned(_apply_respawn(ev), typed, key, window_s, max_exits, bucket_s)
 
 
 def restart_counts(events: DataFrame, key: str = "deployment_id") -> DataFrame:

@@ -14,7 +14,8 @@ from ..operators.scans import micros
 from ..sources.dotenv import parse_dotenv
 from ..sources.keyed_json import read_keyed_json
 from ..sources.logs import clean_log_lines, extract_lifecycle_events
-from ..sources.sinks import merge_published
+from ..session import shared_folder
+from ..sources.sinks import publish_pairing_state, read_published
 from . import standins as X
 from .bindings import query
 from .tables import table
@@ -381,14 +382,18 @@ def resolve_remaining_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("publish_pairing_state")
 def publish_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the deployments publish their requests of value 20 and more
-    (their telegram requests all go); the others' rows stay as they were."""
+    """O5, written and read back: all deployments publish, then a third of them publish
+    their requests of value 20 and more (their telegram requests all go); the others'
+    rows stay as they were."""
     before = X.pending_from_events(spark, sf_dir)
     published = table(spark, sf_dir, "events", ["user_id"]).select(F.col("user_id").alias("deployment_id")).filter("deployment_id % 3 = 0")
     now = before.join(
         table(spark, sf_dir, "events", ["event_id", "value"]).select(F.col("event_id").cast("string").alias("code"), "value"), "code"
     ).filter("value >= 20")
-    return merge_published(before, now.select(before.columns), published).select("deployment_id", "platform", "code", "user_id", "user_name")
+    root, none = shared_folder(spark, "pairing-state"), before.limit(0)
+    publish_pairing_state(before, none, before, root)
+    publish_pairing_state(now.select(before.columns), none, published, root)
+    return read_published(spark, root, "pending").select("deployment_id", "platform", "code", "user_id", "user_name")
 
 
 @query("approved_users")

@@ -9,6 +9,8 @@ own session.
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +31,17 @@ REQUIRED_CONF = {
 }
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
+    A session that names none must be local: then a folder of this machine serves."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="gatewarden-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "gatewarden") -> SparkSession:
     """A local session configured the way the tests and the bench expect."""
     builder = (

@@ -93,6 +93,68 @@ def test_unfinished_publish_is_not_seen(spark):
     assert read_published(spark, root, "pending") is None and read_published(spark, root, "approved").count() == 1
 
 
+def test_publish_writes_only_its_own_buckets(spark):
+    import os
+
+    root = tempfile.mkdtemp(prefix="gw-sink-")
+    kind = "deployment_id string, platform string, code string"
+    many = spark.createDataFrame([(f"d{i}", "tg", str(i)) for i in range(300)], kind)
+    publish_pairing_state(many, many, many, root)
+    before = {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(root) for f in fs}
+    one = spark.createDataFrame([("d7", "dc", "x")], kind)
+    assert publish_pairing_state(one, one.limit(0), one, root) == 2
+    after = {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(root) for f in fs}
+    assert {f: after[f] for f in before} == before
+    new = {d.split("bucket=")[1] for f in after.keys() - before.keys() for d in [os.path.dirname(f)] if "bucket=" in d and f.endswith(".parquet")}
+    assert len(new) == 1
+    got = {(r.deployment_id, r.platform, r.code) for r in read_published(spark, root, "pending").collect()}
+    assert got == {(f"d{i}", "tg", str(i)) for i in range(300) if i != 7} | {("d7", "dc", "x")}
+    assert {r.deployment_id for r in read_published(spark, root, "approved").collect()} == {f"d{i}" for i in range(300) if i != 7}
+
+
+def test_concurrent_publishers_lose_nothing(spark):
+    import threading
+
+    root = tempfile.mkdtemp(prefix="gw-sink-")
+    kind = "deployment_id string, platform string, code string"
+
+    def publish(who: str) -> None:
+        # Its own deployment, and one that all publish (two rows each, never mixed).
+        rows = spark.createDataFrame([(who, "tg", who), ("shared", "tg", f"{who}-1"), ("shared", "tg", f"{who}-2")], kind)
+        publish_pairing_state(rows, rows.limit(0), rows, root)
+
+    threads = [threading.Thread(target=publish, args=(f"w{k}",)) for k in range(5)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    got = read_published(spark, root, "pending").collect()
+    assert {r.code for r in got if r.deployment_id != "shared"} == {f"w{k}" for k in range(5)}
+    shared = sorted(r.code for r in got if r.deployment_id == "shared")
+    assert len(shared) == 2 and len({c.split("-")[0] for c in shared}) == 1
+
+
+def test_compacted_state_and_uncommitted_folder(spark):
+    from gatewarden.sources.sinks import committed_version, compact_published
+
+    root, into = tempfile.mkdtemp(prefix="gw-sink-"), tempfile.mkdtemp(prefix="gw-sink-") + "/new"
+    kind = "deployment_id string, platform string, code string"
+    rows = lambda *r: spark.createDataFrame(list(r), kind)
+    publish_pairing_state(rows(("A", "tg", "1"), ("B", "tg", "2")), rows(("B", "dc", "3")), rows(("A", "", ""), ("B", "", "")), root)
+    publish_pairing_state(rows(), rows(("A", "dc", "4")), rows(("A", "", "")), root)
+    # Rows and cover of a publish that never committed.
+    rows(("B", "tg", "9")).selectExpr("*", "9 AS bucket").write.partitionBy("bucket").parquet(f"{root}/rows/pending/publish=p-dead")
+    spark.createDataFrame([("B", 9)], "deployment_id string, bucket int").write.partitionBy("bucket").parquet(f"{root}/covered/publish=p-dead")
+    want = {"pending": [("B", "tg", "2")], "approved": [("A", "dc", "4"), ("B", "dc", "3")]}
+    compact_published(spark, root, into)
+    for where in (root, into):
+        for name, expect in want.items():
+            assert sorted(map(tuple, read_published(spark, where, name).select("deployment_id", "platform", "code").collect())) == expect
+    assert committed_version(spark, into) == committed_version(spark, root) == 2
+    assert publish_pairing_state(rows(), rows(), rows(("B", "", "")), into) == 3
+    assert read_published(spark, into, "pending") is None
+
+
 def test_mixed_entries_spoil_no_others(spark):
     files = spark.createDataFrame(
         [("d", "tg-pending.json", json.dumps({"a": "oops", "b": {"user_id": "1"}, "c": None, "e": {"created_at": "x", "user_id": 2}}))],

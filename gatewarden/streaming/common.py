@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -14,6 +19,8 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     current = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     if current != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # The stream manager brings up the state stores' coordinator, which processors on batch frames need too.
+    spark.streams.active
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int = 200) -> DataFrame:
@@ -46,9 +53,142 @@ def start_sink(
     return w.start()
 
 
-def put_list(state, values: list) -> None:
-    """Replace a ListState's contents (the store refuses empty lists: clear instead)."""
-    if values:
-        state.put(values)
-    else:
-        state.clear()
+#: The watermark that a stateful processor sees where it runs on a batch frame.
+BATCH_WATERMARK = -1
+
+
+def is_batch(timer_values) -> bool:
+    """True where a processor runs over a batch frame: all rows of a key come in one
+    call and no timer will ever fire."""
+    return timer_values.getCurrentWatermarkInMs() == BATCH_WATERMARK
+
+
+def micros_of(ts) -> int:
+    return int(pd.Timestamp(ts).value // 1000)
+
+
+def timestamp_of(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us, unit="us")
+
+
+class HeldRows:
+    """Rows of one key in event order: a priority queue in ``MapState``.
+
+    Rows ``(micros, seq, ...)`` (JSON values) wait in buckets of ``bucket_s`` seconds
+    of event time, one state entry for what one micro-batch brings to one bucket.
+    Adding touches only the buckets of the new rows; draining reads and removes only
+    buckets that are over, in order, each sorted by (micros, seq).  So the work is in
+    proportion to what comes and to what is ripe, and one bucket is in memory at a
+    time.  One timer stands for each key, at the next moment anything can be done.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, bucket_s: float):
+        self.handle, self.bucket_us = handle, max(int(bucket_s * 1_000_000), 1)
+        self.rows = handle.getMapState(f"{name}_rows", "bucket long, part long", "rows string")
+        self.parts = handle.getMapState(f"{name}_parts", "bucket long", "parts long")
+        self.timer = handle.getValueState(f"{name}_timer", "at_ms long")
+
+    def add(self, rows: Iterable[tuple]) -> None:
+        buckets: dict[int, list[tuple]] = {}
+        for r in rows:
+            buckets.setdefault(r[0] // self.bucket_us, []).append(r)
+        for b, part in buckets.items():
+            n = self.parts.getValue((b,))[0] if self.parts.containsKey((b,)) else 0
+            self.rows.updateValue((b, n), (json.dumps(part),))
+            self.parts.updateValue((b,), (n + 1,))
+
+    def whole_until(self, now_us: int) -> int:
+        """All rows before this moment have come once the watermark has reached ``now_us``."""
+        return now_us // self.bucket_us * self.bucket_us
+
+    def drain(self, until_us: int | None) -> Iterator[list[list]]:
+        """The rows of each bucket that ends by ``until_us`` (of all where None)."""
+        for b in sorted(k[0] for k in self.parts.keys()):
+            if until_us is not None and (b + 1) * self.bucket_us > until_us:
+                return
+            rows: list[list] = []
+            for part in range(self.parts.getValue((b,))[0]):
+                rows += json.loads(self.rows.getValue((b, part))[0])
+                self.rows.removeKey((b, part))
+            self.parts.removeKey((b,))
+            yield sorted(rows, key=lambda r: (r[0], r[1]))
+
+    def wake(self, also_us: int | None = None) -> None:
+        """Move the key's timer to the end of the first bucket held, or of the bucket of ``also_us``."""
+        ends = [k[0] + 1 for k in self.parts.keys()]
+        if also_us is not None:
+            ends.append(also_us // self.bucket_us + 1)
+        at = -(-min(ends) * self.bucket_us // 1000) if ends else None
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if at == old:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        if at is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def fired(self) -> None:
+        self.timer.clear()
+
+
+class RecentTimes:
+    """How many of a key's times lie less than a window back, in event order.
+
+    Times are kept in up to 65 buckets of a window; adding one touches the last
+    bucket, expiring touches the first ones, and buckets in between are not read.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, window_us: int):
+        self.window_us, self.bucket_us = window_us, max(window_us // 64, 1)
+        self.times = handle.getMapState(f"{name}_times", "bucket long", "times string")
+        self.held = handle.getValueState(f"{name}_held", "counts string")
+
+    def load(self) -> None:
+        #: bucket -> its number of times, oldest first; the buckets read so far; those to write.
+        self.counts = dict(json.loads(self.held.get()[0])) if self.held.exists() else {}
+        self.open: dict[int, list[int]] = {}
+        self.changed: set[int] = set()
+
+    def _bucket(self, b: int) -> list[int]:
+        if b not in self.open:
+            self.open[b] = json.loads(self.times.getValue((b,))[0]) if b in self.counts else []
+        return self.open[b]
+
+    def add(self, t: int) -> int:
+        """The number of times in the window that ends with ``t``, itself included."""
+        gone = t - self.window_us
+        for b in list(self.counts):
+            if b * self.bucket_us > gone:
+                break
+            kept = [x for x in self._bucket(b) if x > gone] if (b + 1) * self.bucket_us > gone else []
+            if len(kept) < self.counts[b]:
+                self._replace(b, kept)
+        b = t // self.bucket_us
+        self._replace(b, [*self._bucket(b), t])
+        return sum(self.counts.values())
+
+    def _replace(self, b: int, times: list[int]) -> None:
+        self.open[b] = times
+        self.changed.add(b)
+        if times:
+            self.counts[b] = len(times)
+        else:
+            self.counts.pop(b, None)
+
+    def clear(self) -> None:
+        for b in list(self.counts):
+            self.open[b] = []
+            self.changed.add(b)
+        self.counts = {}
+
+    def save(self) -> None:
+        for b in self.changed:
+            if self.open[b]:
+                self.times.updateValue((b,), (json.dumps(self.open[b]),))
+            elif self.times.containsKey((b,)):
+                self.times.removeKey((b,))
+        if self.changed:
+            self.held.update((json.dumps(list(self.counts.items())),))

@@ -1,8 +1,10 @@
 """ST2: crash-loop guard and respawn backoff as a live stream (O20 + O21 + timers).
 
-Keyed by deployment with ``transformWithStateInPandas``.  Rows are held in state
-until the watermark passes their time and are then applied in event order, so
-the order of arrival within ``lateness`` does not matter.  Every counted exit
+Keyed by deployment with ``transformWithStateInPandas``.  Rows wait in an event-time
+queue (:class:`gatewarden.streaming.common.HeldRows`) until the watermark passes
+their bucket of time and are then applied in event order, so the order of arrival
+within ``lateness`` does not matter.  A deployment has one timer, and a timer's work
+is in proportion to what is ripe.  Every counted exit
 emits a row with ``exits_in_window``, ``verdict`` and ``delay_s``; every respawn
 emits a ``respawn_check`` row for the moment its delay ends: ``cancelled`` (a
 stop came first), ``already_running``, ``unready`` (configuration incomplete) or
@@ -16,6 +18,8 @@ batch.  Rows later than ``lateness`` never reach the stream;
 
 from __future__ import annotations
 
+import heapq
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +29,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions import constants as C
 from ..operators.lifecycle import CONTROL_AFTER, LIVE_AFTER, READY_AFTER, lifecycle_crash_loop, respawn_checks
-from .common import put_list
+from .common import HeldRows, RecentTimes, is_batch, micros_of, timestamp_of
 
 EVENTS_SCHEMA = "deployment_id string, ts timestamp, seq long, event string"
 OUTPUT_SCHEMA = (
@@ -35,71 +39,69 @@ OUTPUT_SCHEMA = (
 _COLS = ["deployment_id", "ts", "seq", "kind", "exits_in_window", "verdict", "delay_s", "outcome"]
 
 
-def _us(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1000)
-
-
 class CrashLoopProcessor(StatefulProcessor):
     def __init__(self, window_s: float = C.CRASH_WINDOW_S, max_exits: int = C.CRASH_MAX_EXITS,
-                 base_s: float = C.RESPAWN_BASE_DELAY_S, cap_s: float = C.RESPAWN_MAX_DELAY_S):
+                 base_s: float = C.RESPAWN_BASE_DELAY_S, cap_s: float = C.RESPAWN_MAX_DELAY_S, bucket_s: float = 1):
         self.window_us = int(window_s * 1_000_000)
         self.max_exits = max_exits
-        self.base_s, self.cap_s = base_s, cap_s
+        self.base_s, self.cap_s, self.bucket_s = base_s, cap_s, bucket_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "t long, ts timestamp, seq long, event string")
-        self.exits = handle.getListState("exits", "t long")
-        self.flags = handle.getValueState("flags", "live boolean, control string, ready boolean")
-        self.pending = handle.getListState("pending", "due long, ts timestamp, seq long")
+        self.held = HeldRows(handle, "held", self.bucket_s)
+        self.exits = RecentTimes(handle, "exits", self.window_us)
+        # pending: [due, micros, seq] of the respawns to come, by due time; within the longest delay.
+        self.folded = handle.getValueState("folded", "live boolean, control string, ready boolean, pending string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        moments = set()
         for frame in rows:
-            new = [(_us(r.ts), pd.Timestamp(r.ts).to_pydatetime(), int(r.seq), r.event) for r in frame.itertuples(index=False)]
-            self.held.appendList(new)
-            moments.update(-(-t // 1000) for t, _, _, _ in new)
-        for ms in moments:
-            self.handle.registerTimer(ms)
-        return iter(())
+            self.held.add((micros_of(r.ts), int(r.seq), r.event) for r in frame.itertuples(index=False))
+        if is_batch(timerValues):
+            yield from self._advance(key[0], None)
+        else:
+            self.held.wake(self._next_due())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # All that the watermark has passed, not this timer alone: checks that fall due meanwhile have no timer to come.
+        self.held.fired()
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
-        held = sorted(self.held.get()) if self.held.exists() else []
-        ripe = [r for r in held if r[0] <= now]
-        flags = list(self.flags.get()) if self.flags.exists() else [False, None, True]
-        exits = [r[0] for r in self.exits.get()] if self.exits.exists() else []
-        pending = sorted(self.pending.get()) if self.pending.exists() else []
+        yield from self._advance(key[0], self.held.whole_until(now))
+        self.held.wake(self._next_due())
+
+    def _next_due(self) -> int | None:
+        pending = json.loads(self.folded.get()[3]) if self.folded.exists() else []
+        return pending[0][0] if pending else None
+
+    def _advance(self, dep: str, until: int | None) -> Iterator[pd.DataFrame]:
+        """Apply all rows before ``until`` (all rows where None) and settle the checks due by then."""
+        live, control, ready, pending = self.folded.get() if self.folded.exists() else (False, None, True, "[]")
+        pending = [tuple(p) for p in json.loads(pending)]
+        self.exits.load()
         out: list[tuple] = []
 
-        def settle(until: int) -> None:
-            live, control, ready = flags
+        def settle(moment: int | None) -> None:
             outcome = "cancelled" if control == "stop" else "already_running" if live else "respawn_due" if ready else "unready"
-            while pending and pending[0][0] < until:
-                _, ts, seq = pending.pop(0)
-                out.append((key[0], ts, seq, "respawn_check", None, None, None, outcome))
-
-        for t, ts, seq, event in ripe:
-            settle(t)
-            if event == "restart" or (event == "start" and not flags[0]):
-                exits.clear()
-            if event == "exit" and flags[1] != "stop":
-                exits[:] = [*(x for x in exits if x > t - self.window_us), t]
-                verdict = "crashed" if len(exits) > self.max_exits else "respawn"
-                delay = int(min(self.base_s * 2 ** (len(exits) - 1), self.cap_s)) if verdict == "respawn" else None
-                out.append((key[0], ts, seq, "exit", len(exits), verdict, delay, None))
-                if delay is not None:
-                    due = t + delay * 1_000_000
-                    pending.append((due, ts, seq))
-                    pending.sort()
-                    self.handle.registerTimer(due // 1000 + 1)
-            flags[:] = [LIVE_AFTER.get(event, flags[0]), CONTROL_AFTER.get(event, flags[1]), READY_AFTER.get(event, flags[2])]
-        settle(now + 1)
-        put_list(self.held, [tuple(r) for r in held[len(ripe) :]])
-        put_list(self.exits, [(x,) for x in exits])
-        put_list(self.pending, [tuple(r) for r in pending])
-        self.flags.update(tuple(flags))
+            while pending and (moment is None or pending[0][0] < moment):
+                _, t, seq = heapq.heappop(pending)
+                out.append((dep, timestamp_of(t), seq, "respawn_check", None, None, None, outcome))
+
+        for rows in self.held.drain(until):
+            for t, seq, event in rows:
+                settle(t)
+                if event == "restart" or (event == "start" and not live):
+                    self.exits.clear()
+                if event == "exit" and control != "stop":
+                    n = self.exits.add(t)
+                    verdict = "crashed" if n > self.max_exits else "respawn"
+                    delay = int(min(self.base_s * 2 ** (n - 1), self.cap_s)) if verdict == "respawn" else None
+                    out.append((dep, timestamp_of(t), seq, "exit", n, verdict, delay, None))
+                    if delay is not None:
+                        heapq.heappush(pending, (t + delay * 1_000_000, t, seq))
+                live, control, ready = LIVE_AFTER.get(event, live), CONTROL_AFTER.get(event, control), READY_AFTER.get(event, ready)
+            if out:
+                yield pd.DataFrame(out, columns=_COLS)
+                out.clear()
+        settle(until)
+        self.exits.save()
+        self.folded.update((live, control, ready, json.dumps(sorted(pending))))
         if out:
             yield pd.DataFrame(out, columns=_COLS)
 
@@ -108,15 +110,16 @@ class CrashLoopProcessor(StatefulProcessor):
 
 
 def crash_alert_stream(
-    events: DataFrame, lateness: str, window_s: float = C.CRASH_WINDOW_S, max_exits: int = C.CRASH_MAX_EXITS
+    events: DataFrame, lateness: str, window_s: float = C.CRASH_WINDOW_S, max_exits: int = C.CRASH_MAX_EXITS, bucket_s: float = 1
 ) -> DataFrame:
     """Streaming O20+O21 with respawn checks.  ``lateness`` bounds how late an event
-    may arrive; results come that much later."""
+    may arrive; results come that much and ``bucket_s`` later.  On a batch frame it
+    gives all rows at once."""
     return (
         events.withWatermark("ts", lateness)
         .groupBy("deployment_id")
         .transformWithStateInPandas(
-            statefulProcessor=CrashLoopProcessor(window_s, max_exits),
+            statefulProcessor=CrashLoopProcessor(window_s, max_exits, bucket_s=bucket_s),
             outputStructType=OUTPUT_SCHEMA,
             outputMode="Append",
             timeMode="EventTime",

@@ -259,3 +259,30 @@ def test_st5_late_start_does_not_revive(spark):
     assert read_latest_status(spark, os.path.join(root, "status")).first().state == "error"
     compact_status(spark, os.path.join(root, "status"), os.path.join(root, "compact"))
     assert [r.state for r in spark.read.parquet(os.path.join(root, "compact")).collect()] == ["error"]
+
+
+def test_st2_hot_key_and_batch_frame(spark):
+    """100,000 events of one deployment in many micro-batches, shuffled within the
+    lateness: the rows of the batch rules; the processor on a batch frame gives them too."""
+    from gatewarden.streaming.crash_alerts import EVENTS_SCHEMA, crash_alert_stream
+
+    common.use_rocksdb_state(spark)
+    rnd = random.Random(31)
+    t0 = dt.datetime(2024, 1, 1)
+    kinds = ["exit"] * 8 + ["start", "stop", "running", "config_unready", "config_ready", "restart"]
+    rows = [("hot", t0 + dt.timedelta(milliseconds=100 * i + rnd.randint(0, 50)), i, rnd.choice(kinds)) for i in range(100_000)]
+    df = spark.createDataFrame(rows, EVENTS_SCHEMA)
+    root = _scratch()
+    for k in range(8):
+        part = rows[k * 12_500 : (k + 1) * 12_500]
+        rnd.shuffle(part)
+        spark.createDataFrame(part, EVENTS_SCHEMA).coalesce(1).write.mode("append").parquet(os.path.join(root, "in"))
+    tick = spark.createDataFrame([("tick", t0 + dt.timedelta(days=2), 1, "start")], EVENTS_SCHEMA)
+    tick.coalesce(1).write.mode("append").parquet(os.path.join(root, "in"))
+    got = _run(crash_alert_stream(common.file_stream(spark, os.path.join(root, "in"), EVENTS_SCHEMA, max_files=2), "40 minutes", bucket_s=30), root)
+    from gatewarden.streaming.crash_alerts import missed_rows
+
+    assert missed_rows(df, got).count() == 0
+    assert got.filter("kind = 'exit'").count() == L.lifecycle_crash_loop(df).count()
+    batch = crash_alert_stream(df, "0 seconds", bucket_s=600)
+    assert missed_rows(df, batch).count() == 0 and batch.count() == got.filter("deployment_id = 'hot'").count()

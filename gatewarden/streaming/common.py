@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,8 @@ def start_sink(
     return w.start()
 
 
+#: Rows of one key that are sorted in a worker's memory.
+SORT_ROWS = 50_000
 #: The watermark that a stateful processor sees where it runs on a batch frame.
 BATCH_WATERMARK = -1
 
@@ -97,6 +100,19 @@ class HeldRows:
             self.rows.updateValue((b, n), (json.dumps(part),))
             self.parts.updateValue((b,), (n + 1,))
 
+    def in_order(self, rows: Iterable[tuple]) -> Iterator[list]:
+        """All of ``rows``, at once and in order, where none are to wait: sorted in memory
+        up to ``SORT_ROWS``, beyond that through the buckets."""
+        rows = iter(rows)
+        some = list(islice(rows, SORT_ROWS + 1))
+        if len(some) <= SORT_ROWS:
+            yield sorted(some, key=lambda r: (r[0], r[1]))
+            return
+        while some:
+            self.add(some)
+            some = list(islice(rows, SORT_ROWS))
+        yield from self.drain(None)
+
     def whole_until(self, now_us: int) -> int:
         """All rows before this moment have come once the watermark has reached ``now_us``."""
         return now_us // self.bucket_us * self.bucket_us

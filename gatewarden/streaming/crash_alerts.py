@@ -53,25 +53,26 @@ class CrashLoopProcessor(StatefulProcessor):
         self.folded = handle.getValueState("folded", "live boolean, control string, ready boolean, pending string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            self.held.add((micros_of(r.ts), int(r.seq), r.event) for r in frame.itertuples(index=False))
+        new = ((micros_of(r.ts), int(r.seq), r.event) for frame in rows for r in frame.itertuples(index=False))
         if is_batch(timerValues):
-            yield from self._advance(key[0], None)
+            yield from self._advance(key[0], self.held.in_order(new), None)
         else:
+            self.held.add(new)
             self.held.wake(self._next_due())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.held.fired()
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
-        yield from self._advance(key[0], self.held.whole_until(now))
+        until = self.held.whole_until(now)
+        yield from self._advance(key[0], self.held.drain(until), until)
         self.held.wake(self._next_due())
 
     def _next_due(self) -> int | None:
         pending = json.loads(self.folded.get()[3]) if self.folded.exists() else []
         return pending[0][0] if pending else None
 
-    def _advance(self, dep: str, until: int | None) -> Iterator[pd.DataFrame]:
-        """Apply all rows before ``until`` (all rows where None) and settle the checks due by then."""
+    def _advance(self, dep: str, ripe: Iterator[list], until: int | None) -> Iterator[pd.DataFrame]:
+        """Apply the ripe rows and settle the checks due before ``until`` (all where None)."""
         live, control, ready, pending = self.folded.get() if self.folded.exists() else (False, None, True, "[]")
         pending = [tuple(p) for p in json.loads(pending)]
         self.exits.load()
@@ -83,7 +84,7 @@ class CrashLoopProcessor(StatefulProcessor):
                 _, t, seq = heapq.heappop(pending)
                 out.append((dep, timestamp_of(t), seq, "respawn_check", None, None, None, outcome))
 
-        for rows in self.held.drain(until):
+        for rows in ripe:
             for t, seq, event in rows:
                 settle(t)
                 if event == "restart" or (event == "start" and not live):

@@ -1,22 +1,25 @@
 """ST4: device-code flows as a stream, with an event-time timer at expiry.
 
 Keyed by flow id.  A ``flow`` row starts the flow (its expiry, initial
-interval); ``poll`` rows are replies.  The first terminal reply emits the
-outcome (authorized / error); with none, the timer at ``expires_at`` emits
-``expired`` once the watermark passes it.  Interval rules as in the batch
+interval); ``poll`` rows are replies.  Rows wait until the watermark passes them
+and apply in event order.  The first terminal reply emits the outcome (authorized
+/ error); with none, ``expired`` comes once the watermark has passed ``expires_at``
+and the one interval in which the reply to a last poll may still come.  Interval rules as in the batch
 job: max(given, 5) at start, +5 per slow-down capped at 30; a reply counts
 only if the loop check before its sleep was before expiry; a flow without an
 expiry lives ``DEVICE_FLOW_LIFE_S``.
 
 The two sources progress on their own, so replies that come before their flow
-row wait in state for it.  A flow's state goes when it expires; replies whose
-flow row has not come within a flow's life end as ``no_flow`` rows.
+row wait in state for it.  A flow's state goes one default life after its end;
+replies whose flow row has not come within a flow's life end as ``no_flow`` rows.
+Rows later than ``lateness`` never reach the stream; :func:`missed_outcomes`
+recomputes a closed range and returns what the stream lacks.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,103 +27,121 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import constants as C
+from ..operators.lifecycle import device_flow_outcome
+from .common import HeldRows, is_batch, micros_of, timestamp_of
 
 OUTPUT_SCHEMA = "flow_id string, ts timestamp, status string, error string, interval_s long"
 _COLS = ["flow_id", "ts", "status", "error", "interval_s"]
 
 
-class _Poll(NamedTuple):
-    ts: object
-    seq: int
-    http_status: int | None
-    body_ok: bool | None
-    error: str | None
-    error_description: str | None
+LIFE_US = C.DEVICE_FLOW_LIFE_S * 1_000_000
+
+
+def _plain(x):
+    """A cell of a frame as JSON can hold it."""
+    return None if x is None or pd.isna(x) else x.item() if hasattr(x, "item") else x
 
 
 class DeviceFlowProcessor(StatefulProcessor):
+    def __init__(self, bucket_s: float = 1):
+        self.bucket_s = bucket_s
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.flow = handle.getValueState("flow", "expires_ms long, interval_s long, done boolean")
-        self.early = handle.getListState(
-            "early", "ts timestamp, seq long, http_status int, body_ok boolean, error string, error_description string"
-        )
+        self.held = HeldRows(handle, "held", self.bucket_s)
+        self.flow = handle.getValueState("flow", "expires_us long, interval_s long, done boolean")
+        # Replies before their flow row, in order.
+        self.early = handle.getValueState("early", "rows string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fid = key[0]
-        st = self.flow.get() if self.flow.exists() else None
-        expires_ms, interval, done = (st[0], st[1], bool(st[2])) if st else (None, None, False)
-        flows, polls = [], []
-        for frame in rows:
-            for r in frame.itertuples(index=False):
-                if r.kind == "flow":
-                    flows.append(r)
-                else:
-                    polls.append(_Poll(*(None if pd.isna(x) else x for x in (r.ts, r.seq, r.http_status, r.body_ok, r.error, r.error_description))))
-        if expires_ms is None and not flows:
-            # The flow row is still to come.
-            self.early.appendList([(pd.Timestamp(p.ts).to_pydatetime(), *p[1:]) for p in polls])
-            last = max(int(pd.Timestamp(p.ts).value // 1_000_000) for p in polls)
-            self.handle.registerTimer(last + C.DEVICE_FLOW_LIFE_S * 1000)
-            return
-        if self.early.exists():
-            polls += [_Poll(*x) for x in self.early.get()]
-            self.early.clear()
-        out = []
-        for r in [*flows, *sorted(polls, key=lambda p: (pd.Timestamp(p.ts), p.seq))]:
-            if not isinstance(r, _Poll):
-                started = pd.Timestamp(r.ts)
-                expiry = started + pd.Timedelta(seconds=C.DEVICE_FLOW_LIFE_S) if pd.isna(r.expires_at) else pd.Timestamp(r.expires_at)
-                expires_ms = int(expiry.value // 1_000_000)
-                given = C.DEVICE_FLOW_MIN_INTERVAL_S if pd.isna(r.interval_s) else int(r.interval_s)
-                interval, done = max(given, C.DEVICE_FLOW_MIN_INTERVAL_S), False
-                self.handle.registerTimer(expires_ms)
-                continue
-            if done:
-                continue
-            t_ms = int(pd.Timestamp(r.ts).value // 1_000_000)
-            if t_ms - interval * 1000 >= expires_ms:
-                continue  # the loop had already stopped before this reply
-            status = None if r.http_status is None else int(r.http_status)
-            err = r.error or ""
-            if status is None:
-                continue
+        new = (
+            (micros_of(r.ts), int(r.seq), r.kind, None if pd.isna(r.expires_at) else micros_of(r.expires_at), _plain(r.interval_s),
+             _plain(r.http_status), _plain(r.body_ok), _plain(r.error), _plain(r.error_description))
+            for frame in rows
+            for r in frame.itertuples(index=False)
+        )
+        if is_batch(timerValues):
+            yield from self._advance(key[0], self.held.in_order(new), None)
+        else:
+            self.held.add(new)
+            self.held.wake(self._deadline())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.fired()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        until = self.held.whole_until(now)
+        yield from self._advance(key[0], self.held.drain(until), until)
+        self.held.wake(self._deadline())
+
+    def _deadline(self) -> int | None:
+        """When the flow is to end, then when its state goes, or when early replies stop waiting."""
+        if self.flow.exists():
+            expires, interval, done = self.flow.get()
+            return expires + interval * 1_000_000 + (LIFE_US if done else 0)
+        early = json.loads(self.early.get()[0]) if self.early.exists() else []
+        return early[-1][0] + LIFE_US if early else None
+
+    def _advance(self, fid: str, ripe: Iterator[list], until: int | None) -> Iterator[pd.DataFrame]:
+        """Apply the ripe rows, then what is due before ``until`` (all where None)."""
+        flow = list(self.flow.get()) if self.flow.exists() else None
+        early = json.loads(self.early.get()[0]) if self.early.exists() else []
+        out: list[tuple] = []
+
+        def reply(t, status, body_ok, error, description) -> None:
+            expires, interval, done = flow
+            if done or status is None or t - interval * 1_000_000 >= expires:
+                return  # over, no reply at all, or the loop had stopped before it
+            error, ts = error or "", timestamp_of(t)
             if status == 200:
-                ok = bool(r.body_ok)
-                out.append((fid, r.ts, "authorized" if ok else "error", None if ok else C.DEVICE_FLOW_BAD_BODY_ERROR, interval))
-                done = True
-            elif err == "authorization_pending":
-                continue
-            elif err == "slow_down":
-                interval = min(interval + C.DEVICE_FLOW_SLOWDOWN_STEP_S, C.DEVICE_FLOW_MAX_INTERVAL_S)
-            else:
-                out.append((fid, r.ts, "error", r.error_description or err or C.DEVICE_FLOW_TERMINAL_ERROR, interval))
-                done = True
-        if expires_ms is not None:
-            self.flow.update((expires_ms, interval, done))
+                out.append((fid, ts, "authorized" if body_ok else "error", None if body_ok else C.DEVICE_FLOW_BAD_BODY_ERROR, interval))
+                flow[2] = True
+            elif error == "slow_down":
+                flow[1] = min(interval + C.DEVICE_FLOW_SLOWDOWN_STEP_S, C.DEVICE_FLOW_MAX_INTERVAL_S)
+            elif error != "authorization_pending":
+                out.append((fid, ts, "error", description or error or C.DEVICE_FLOW_TERMINAL_ERROR, interval))
+                flow[2] = True
+
+        for rows in ripe:
+            for t, seq, kind, expires, interval, *answer in rows:
+                if kind == "flow":
+                    flow = [t + LIFE_US if expires is None else expires, max(interval or 0, C.DEVICE_FLOW_MIN_INTERVAL_S), False]
+                    for held in early:
+                        reply(*held)
+                    early = []
+                elif flow is None:
+                    early.append([t, *answer])
+                else:
+                    reply(t, *answer)
+        if flow is not None:
+            expires, interval, done = flow
+            # A reply to a poll that began before the expiry may come an interval later.
+            if not done and (until is None or expires + interval * 1_000_000 < until):
+                out.append((fid, timestamp_of(expires), "expired", None, interval))
+                flow[2] = True
+            if until is None or (flow[2] and expires + interval * 1_000_000 + LIFE_US < until):
+                flow = None
+        if early and (until is None or early[-1][0] + LIFE_US < until):
+            out += [(fid, timestamp_of(x[0]), "no_flow", None, None) for x in early]
+            early = []
+        self._keep(self.flow, tuple(flow) if flow else None)
+        self._keep(self.early, (json.dumps(early),) if early else None)
         if out:
             yield pd.DataFrame(out, columns=_COLS)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.flow.exists():
-            waiting = list(self.early.get()) if self.early.exists() else []
-            self.early.clear()
-            if waiting:
-                yield pd.DataFrame([(key[0], x[0], "no_flow", None, None) for x in waiting], columns=_COLS)
-            return
-        expires_ms, interval, done = self.flow.get()
-        self.flow.clear()
-        if not done:
-            ts = pd.Timestamp(expires_ms, unit="ms")
-            yield pd.DataFrame([(key[0], ts, "expired", None, interval)], columns=_COLS)
+    @staticmethod
+    def _keep(state, value: tuple | None) -> None:
+        if value is not None:
+            state.update(value)
+        elif state.exists():
+            state.clear()
 
     def close(self) -> None:
         pass
 
 
-def device_flow_stream(flows: DataFrame, polls: DataFrame, lateness: str) -> DataFrame:
+def device_flow_stream(flows: DataFrame, polls: DataFrame, lateness: str, bucket_s: float = 1) -> DataFrame:
     """flows(flow_id, started_at, expires_at, interval_s) and polls(flow_id, ts,
-    seq, http_status, body_ok, error, error_description) streams -> outcomes."""
+    seq, http_status, body_ok, error, error_description) streams -> outcomes.
+    Batch frames give every flow's outcome, ``expired`` for those without a reply."""
     f = flows.select(
         "flow_id", F.col("started_at").alias("ts"), F.lit(-1).cast("long").alias("seq"), F.lit("flow").alias("kind"),
         "expires_at", F.col("interval_s").cast("long").alias("interval_s"),
@@ -136,6 +157,14 @@ def device_flow_stream(flows: DataFrame, polls: DataFrame, lateness: str) -> Dat
         .withWatermark("ts", lateness)
         .groupBy("flow_id")
         .transformWithStateInPandas(
-            statefulProcessor=DeviceFlowProcessor(), outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="EventTime"
+            statefulProcessor=DeviceFlowProcessor(bucket_s), outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="EventTime"
         )
     )
+
+
+def missed_outcomes(flows: DataFrame, polls: DataFrame, as_of, emitted: DataFrame) -> DataFrame:
+    """Outcomes of the batch rule at ``as_of`` over a closed range, late rows included,
+    that the stream did not emit as they are."""
+    settled = device_flow_outcome(flows, polls, as_of).filter(F.col("status") != "pending")
+    cols = ["flow_id", "status", "error", "interval_s"]
+    return settled.select(*cols).exceptAll(emitted.select(*cols))

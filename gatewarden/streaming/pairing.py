@@ -1,7 +1,8 @@
 """ST3: pairing requests and approve/deny decisions as a stream (O16 + O17 inputs).
 
 Keyed by (deployment_id, platform, code) with ``transformWithStateInPandas``:
-the state is the pending entry of that code (if any).  Requests, approvals
+the state is the pending entry of that code (if any) and, where a lateness is
+given, the rows that the watermark has not passed yet.  Requests, approvals
 and denials are applied in (ts, seq) order, the way the admin endpoints
 apply them: approve of an unknown or already resolved code is 404, of an
 entry without a user id 422 (the entry stays), else 200 and the entry moves
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import py_strip
+from .common import HeldRows, is_batch, micros_of, timestamp_of
 
 INPUT_SCHEMA = (
     "deployment_id string, platform string, code string, ts timestamp, seq long, kind string, "
@@ -33,49 +35,87 @@ _COLS = ["deployment_id", "platform", "code", "ts", "seq", "kind", "decision_id"
 
 
 class PairingProcessor(StatefulProcessor):
+    def __init__(self, ordered: bool = False, bucket_s: float = 1):
+        self.ordered, self.bucket_s = ordered, bucket_s
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.entry = handle.getValueState("entry", "user_id string, user_name string")
+        self.held = HeldRows(handle, "held", self.bucket_s)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """The pending entry that a batch run left for this code."""
+        for r in initialState.itertuples(index=False):
+            self.entry.update((r.user_id or "", r.user_name or ""))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = (
+            (micros_of(r.ts), int(r.seq), r.kind, None if pd.isna(r.decision_id) else int(r.decision_id), r.user_id, r.user_name)
+            for frame in rows
+            for r in frame.itertuples(index=False)
+        )
+        if self.ordered and not is_batch(timerValues):
+            self.held.add(new)
+            self.held.wake()
+        else:
+            yield from self._apply(key, self.held.in_order(new))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.fired()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        yield from self._apply(key, self.held.drain(self.held.whole_until(now)))
+        self.held.wake()
+
+    def _apply(self, key, ripe: Iterator[list]) -> Iterator[pd.DataFrame]:
         dep, platform, code = key
-        ev = [r for frame in rows for r in frame.itertuples(index=False)]
         entry = self.entry.get() if self.entry.exists() else None
-        out = []
-        for r in sorted(ev, key=lambda r: (r.ts, r.seq)):
-            if r.kind == "request":
-                entry = (r.user_id or "", r.user_name or "")
-                continue
-            if r.kind == "approve":
-                if not platform or not code:
-                    status = 400
-                elif entry is None:
-                    status = 404
-                elif not (entry[0] or "").strip():
-                    status = 422
+        for rows in ripe:
+            out = []
+            for t, seq, kind, decision, user_id, user_name in rows:
+                ts = timestamp_of(t)
+                if kind == "request":
+                    entry = (user_id or "", user_name or "")
+                    continue
+                if kind == "approve":
+                    if not platform or not code:
+                        status = 400
+                    elif entry is None:
+                        status = 404
+                    elif not (entry[0] or "").strip():
+                        status = 422
+                    else:
+                        status = 200
+                        out.append((dep, platform, code, ts, seq, "approval", decision, 200, entry[0].strip(), entry[1]))
+                        entry = None
+                elif kind == "deny":
+                    status, entry = 200, None
                 else:
-                    status = 200
-                    out.append((dep, platform, code, r.ts, r.seq, "approval", r.decision_id, 200, entry[0].strip(), entry[1]))
-                    entry = None
-            elif r.kind == "deny":
-                status, entry = 200, None
-            else:
-                status = 400
-            out.append((dep, platform, code, r.ts, r.seq, "outcome", r.decision_id, status, None, None))
+                    status = 400
+                out.append((dep, platform, code, ts, seq, "outcome", decision, status, None, None))
+            if out:
+                yield pd.DataFrame(out, columns=_COLS)
         if entry is None:
             self.entry.clear()
         else:
-            self.entry.update(entry)
-        if out:
-            yield pd.DataFrame(out, columns=_COLS)
+            self.entry.update(tuple(entry))
 
     def close(self) -> None:
         pass
 
 
-def pairing_stream(requests: DataFrame, decisions: DataFrame) -> DataFrame:
+def pairing_stream(
+    requests: DataFrame, decisions: DataFrame, lateness: str | None = None, initial: DataFrame | None = None, bucket_s: float = 1
+) -> DataFrame:
     """requests(deployment_id, platform, code, ts, user_id, user_name, seq) and
     decisions(decision_id, deployment_id, ts, seq, op, platform, code) streams
-    -> outcome and approval rows (append)."""
+    -> outcome and approval rows (append).
+
+    With ``lateness`` rows wait until the watermark passes them and apply in event
+    order, whatever order they and their micro-batches come in; without it each
+    micro-batch is taken as later than the ones before.  ``initial``
+    (deployment_id, platform, code, user_id, user_name; one row for each code) is
+    the pending table to start from, such as what is left of
+    :func:`gatewarden.operators.pairing.resolve_decisions`.  On batch frames all rows
+    apply in event order."""
     r = requests.select(
         "deployment_id", "platform", "code", "ts", "seq", F.lit("request").alias("kind"),
         F.lit(None).cast("long").alias("decision_id"), "user_id", "user_name",
@@ -85,12 +125,16 @@ def pairing_stream(requests: DataFrame, decisions: DataFrame) -> DataFrame:
         "ts", "seq", F.coalesce("op", F.lit("invalid")).alias("kind"), "decision_id",
         F.lit(None).cast("string").alias("user_id"), F.lit(None).cast("string").alias("user_name"),
     )
-    return (
-        r.unionByName(d)
-        .groupBy("deployment_id", "platform", "code")
-        .transformWithStateInPandas(
-            statefulProcessor=PairingProcessor(), outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="None"
-        )
+    rows = r.unionByName(d)
+    if lateness is not None:
+        rows = rows.withWatermark("ts", lateness)
+    k = ["deployment_id", "platform", "code"]
+    return rows.groupBy(*k).transformWithStateInPandas(
+        statefulProcessor=PairingProcessor(lateness is not None, bucket_s),
+        outputStructType=OUTPUT_SCHEMA,
+        outputMode="Append",
+        timeMode="None" if lateness is None else "EventTime",
+        initialState=None if initial is None else initial.select(*k, "user_id", "user_name").groupBy(*k),
     )
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.lifecycle import LIVE_AFTER, SPAWNING, STATE_AFTER, STATE_EVENTS, STOP_IN_FLIGHT_AFTER
+from .common import HeldRows, micros_of, timestamp_of
 
 OUTPUT_SCHEMA = "deployment_id string, event_ts timestamp, state string, pid long, run_started_at timestamp, restarts long"
 _COLS = ["deployment_id", "event_ts", "state", "pid", "run_started_at", "restarts"]
@@ -34,7 +35,11 @@ def _next_state(event: str, live: bool, stop_in_flight: bool) -> str | None:
 
 
 class StatusProcessor(StatefulProcessor):
+    def __init__(self, bucket_s: float = 3600):
+        self.bucket_s = bucket_s
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = HeldRows(handle, "held", self.bucket_s)
         self.st = handle.getValueState(
             "status",
             "state string, last_ts timestamp, last_seq long, live boolean, stop_in_flight boolean, run_ts timestamp, run_pid long, restarts long",
@@ -46,19 +51,24 @@ class StatusProcessor(StatefulProcessor):
         else:
             state, last_ts, last_seq, live, stopping, run_ts, run_pid, restarts = None, None, None, False, False, None, None, 0
         # Schedules, cancellations, lock clean-ups change no state.
-        ev = [r for frame in rows for r in frame.itertuples(index=False) if r.event in STATE_EVENTS]
-        for r in sorted(ev, key=lambda r: (r.ts, r.seq)):
-            e = r.event
-            restarts += e in ("restart", "respawn")
-            if last_ts is not None and (r.ts, r.seq) < (pd.Timestamp(last_ts), last_seq):
-                continue
-            if e == "restart" or (e in SPAWNING and not live):
-                pid = getattr(r, "pid", None)
-                run_ts, run_pid = r.ts, None if pid is None or pd.isna(pid) else int(pid)
-            state = _next_state(e, live, stopping) or state
-            live = LIVE_AFTER.get(e, live)
-            stopping = STOP_IN_FLIGHT_AFTER.get(e, stopping)
-            last_ts, last_seq = r.ts, int(r.seq)
+        new = (
+            (micros_of(r.ts), int(r.seq), r.event, None if pd.isna(pid := getattr(r, "pid", None)) else int(pid))
+            for frame in rows
+            for r in frame.itertuples(index=False)
+            if r.event in STATE_EVENTS
+        )
+        for ripe in self.held.in_order(new):
+            for t, seq, e, pid in ripe:
+                restarts += e in ("restart", "respawn")
+                ts = timestamp_of(t).to_pydatetime()
+                if last_ts is not None and (ts, seq) < (pd.Timestamp(last_ts).to_pydatetime(), last_seq):
+                    continue
+                if e == "restart" or (e in SPAWNING and not live):
+                    run_ts, run_pid = ts, pid
+                state = _next_state(e, live, stopping) or state
+                live = LIVE_AFTER.get(e, live)
+                stopping = STOP_IN_FLIGHT_AFTER.get(e, stopping)
+                last_ts, last_seq = ts, seq
         if last_ts is None:
             return
         self.st.update((state, last_ts, last_seq, live, stopping, run_ts, run_pid, int(restarts)))

@@ -286,3 +286,98 @@ def test_st2_hot_key_and_batch_frame(spark):
     assert got.filter("kind = 'exit'").count() == L.lifecycle_crash_loop(df).count()
     batch = crash_alert_stream(df, "0 seconds", bucket_s=600)
     assert missed_rows(df, batch).count() == 0 and batch.count() == got.filter("deployment_id = 'hot'").count()
+
+
+def test_st3_event_order_and_initial_state(spark):
+    """Requests and decisions dealt over micro-batches at random, decisions ahead of
+    their requests: with a lateness the stream starts from what a batch run left and
+    gives the outcomes of all events in order."""
+    from gatewarden.operators import pairing as P
+    from gatewarden.streaming.pairing import pairing_stream
+
+    common.use_rocksdb_state(spark)
+    rnd = random.Random(41)
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    kind_r = "deployment_id string, platform string, code string, ts timestamp, seq long, user_id string, user_name string"
+    kind_d = "decision_id long, deployment_id string, ts timestamp, seq long, op string, platform string, code string"
+    requests = [("d", "tg", f"c{i}", at(10 * i), i, rnd.choice(["", f"u{i}"]), f"n{i}") for i in range(60)]
+    decisions = [(j, "d", at(5 + 6 * j), 1000 + j, rnd.choice(["approve", "approve", "deny", None]), "tg", f"c{rnd.randint(0, 69)}") for j in range(150)]
+    old = [("d", "tg", f"c{i}", f"u{i}", f"n{i}") for i in range(55, 70)]  # left pending by an earlier run
+    initial = spark.createDataFrame(old, "deployment_id string, platform string, code string, user_id string, user_name string")
+
+    entries = {c: (u, n) for _, _, c, u, n in old}
+    want, approved = [], []
+    for t, _, kind, row in sorted([(r[3], r[4], "r", r) for r in requests] + [(d[2], d[3], "d", d) for d in decisions]):
+        if kind == "r":
+            entries[row[2]] = (row[5], row[6])
+        elif row[4] == "deny":
+            entries.pop(row[6], None)
+            want.append((row[0], 200))
+        elif row[4] is None:
+            want.append((row[0], 400))
+        elif row[6] not in entries:
+            want.append((row[0], 404))
+        elif not entries[row[6]][0]:
+            want.append((row[0], 422))
+        else:
+            approved.append((*entries.pop(row[6]),))
+            want.append((row[0], 200))
+
+    root = _scratch()
+    rnd.shuffle(requests), rnd.shuffle(decisions)
+    for k in range(3):
+        spark.createDataFrame(requests[k::3], kind_r).coalesce(1).write.mode("append").parquet(os.path.join(root, "req"))
+        spark.createDataFrame(decisions[k::3], kind_d).coalesce(1).write.mode("append").parquet(os.path.join(root, "dec"))
+    for day in (2, 3):  # moves the watermark
+        spark.createDataFrame([("tick", "", "", at(86400 * day), 0, "", "")], kind_r).coalesce(1).write.mode("append").parquet(os.path.join(root, "req"))
+        spark.createDataFrame([(-day, "tick", at(86400 * day), 1, "deny", "", "")], kind_d).coalesce(1).write.mode("append").parquet(os.path.join(root, "dec"))
+    req, dec = (common.file_stream(spark, os.path.join(root, n), spark.createDataFrame([], k).schema, max_files=1) for n, k in (("req", kind_r), ("dec", kind_d)))
+    got = _run(pairing_stream(req, dec, "20 minutes", initial), root).filter("deployment_id = 'd'")
+    assert sorted((r.decision_id, r.status) for r in got.filter("kind = 'outcome'").collect()) == sorted(want)
+    assert sorted((r.user_id, r.user_name) for r in got.filter("kind = 'approval'").collect()) == sorted(approved)
+
+    # What batch O16 leaves, as the stream's first state: the decisions that remain for it.
+    pend = spark.createDataFrame([(d, p, c, t0, 0, u, n) for d, p, c, u, n in old], kind_r).withColumnRenamed("ts", "created_at")
+    first = spark.createDataFrame([(1, "d", t0, 1, "deny", "tg", "c60"), (2, "d", t0, 2, "approve", "tg", "c61")], kind_d)
+    _, remaining, _ = P.resolve_decisions(pend, first)
+    again = spark.createDataFrame([(3, "d", at(9), 3, "approve", "tg", "c60"), (4, "d", at(9), 4, "approve", "tg", "c61"), (5, "d", at(9), 5, "approve", "tg", "c62")], kind_d)
+    out = pairing_stream(spark.createDataFrame([], kind_r), again, "1 minute", remaining)
+    assert sorted((r.decision_id, r.status) for r in out.filter("kind = 'outcome'").collect()) == [(3, 404), (4, 404), (5, 200)]
+
+
+def test_st4_event_order_late_reply_and_missed(spark):
+    """Micro-batches in any order give the batch outcomes; the reply to a poll begun
+    before the expiry counts after it; rows beyond the lateness are reported."""
+    from gatewarden.streaming.device_flow import device_flow_stream, missed_outcomes
+
+    common.use_rocksdb_state(spark)
+    rnd = random.Random(6)
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    kind_f = "flow_id string, started_at timestamp, expires_at timestamp, interval_s int"
+    kind_p = "flow_id string, ts timestamp, seq long, http_status int, body_ok boolean, error string, error_description string"
+    flows = [(f"f{i}", at(i), at(i + rnd.choice([60, 300])) if i % 4 else None, rnd.choice([5, 20, 40])) for i in range(30)]
+    errors = ["authorization_pending"] * 6 + ["slow_down", "slow_down", "access_denied"]
+    polls = [(f"f{i}", at(i + 7 * j), j, rnd.choice([400] * 12 + [200]), rnd.random() < 0.8, rnd.choice(errors), None) for i in range(30) for j in range(1, 20)]
+    flows.append(("last", at(0), at(100), 5))
+    polls.append(("last", at(104), 1, 200, True, None, None))
+    df, dp = spark.createDataFrame(flows, kind_f), spark.createDataFrame(polls, kind_p)
+    root = _scratch()
+    rnd.shuffle(flows), rnd.shuffle(polls)
+    for k in range(3):
+        spark.createDataFrame(flows[k::3], kind_f).coalesce(1).write.mode("append").parquet(os.path.join(root, "flows"))
+        spark.createDataFrame(polls[k::3], kind_p).coalesce(1).write.mode("append").parquet(os.path.join(root, "polls"))
+    for day in (2, 3):
+        spark.createDataFrame([(f"tick{day}", at(86400 * day), None, 5)], kind_f).coalesce(1).write.mode("append").parquet(os.path.join(root, "flows"))
+        spark.createDataFrame([(f"tick{day}", at(86400 * day), 1, 400, True, "authorization_pending", None)], kind_p).coalesce(1).write.mode("append").parquet(os.path.join(root, "polls"))
+    fs = common.file_stream(spark, os.path.join(root, "flows"), df.schema, max_files=1)
+    ps = common.file_stream(spark, os.path.join(root, "polls"), dp.schema, max_files=1)
+    got = _run(device_flow_stream(fs, ps, "1 hour"), root)
+    assert missed_outcomes(df, dp, at(90_000), got).count() == 0
+    assert {r.flow_id: r.status for r in got.collect()}["last"] == "authorized"
+    assert got.filter("flow_id not like 'tick%'").count() == df.count()
+    late = spark.createDataFrame([("f1", at(2), 0, 200, True, None, None)], kind_p)
+    assert [r.flow_id for r in missed_outcomes(df, dp.unionByName(late), at(90_000), got).collect()] == ["f1"]
+    batch = device_flow_stream(df, dp, "1 hour")
+    assert missed_outcomes(df, dp, at(90_000), batch).count() == 0 and batch.count() == df.count()

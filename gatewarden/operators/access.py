@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -90,6 +90,101 @@ def classify_routes(
     ).drop("__r")
 
 
+# Rules of a table that are broadcast to the requests' paths; more are joined by key.
+MAX_BROADCAST_RULES = 100_000
+# Copies of a larger table's rules, so that a hot node's paths spread over as many tasks.
+RULE_COPIES = 8
+_REST = "{path:path}"
+
+
+def routes_table(spark: SparkSession, routes: Sequence[tuple[str, str, tuple[str, ...] | None, str]] = C.ROUTES) -> DataFrame:
+    """A route list in the form of :func:`classify_routes_by_table` (without deployments)."""
+    rows = [(i, kind, pattern, list(methods) if methods else None, handler) for i, (kind, pattern, methods, handler) in enumerate(routes)]
+    return spark.createDataFrame(rows, "priority int, kind string, pattern string, methods array<string>, handler string")
+
+
+def _rule_nodes(rules: DataFrame) -> DataFrame:
+    """(rn_kind, rn_node, rn_rest, ...): a rule hangs at its exact path, or at the whole
+    segments of its prefix with the rest of the prefix kept beside."""
+    pattern = F.col("pattern")
+    open_ = pattern.endswith(_REST)
+    prefix = F.substring(pattern, F.lit(1), F.char_length(pattern) - len(_REST))
+    whole = F.regexp_extract(prefix, r"(?s)^(.*/)?", 0)
+    allowed = F.coalesce(F.transform("methods", lambda m: F.upper(m)), F.array(F.lit("GET")))
+    allowed = F.when(F.size(allowed) == 0, F.array(F.lit("GET"))).otherwise(allowed)
+    allowed = F.when(F.array_contains(allowed, "GET"), F.array_append(allowed, F.lit("HEAD"))).otherwise(allowed)
+    return rules.select(
+        *([F.col("deployment_id").alias("rn_dep")] if "deployment_id" in rules.columns else []),
+        F.col("kind").alias("rn_kind"),
+        F.when(open_, F.concat(F.lit("*"), whole)).otherwise(F.concat(F.lit("="), pattern)).alias("rn_node"),
+        F.when(open_, F.substring(prefix, F.char_length(whole) + 1, F.char_length(prefix))).otherwise(F.lit("")).alias("rn_rest"),
+        allowed.alias("rn_methods"),
+        F.col("priority").cast("int").alias("rn_priority"),
+        F.col("handler").alias("rn_handler"),
+    )
+
+
+def classify_routes_by_table(
+    access: DataFrame,
+    rules: DataFrame,
+    path: str = "path",
+    method: str = "method",
+    kind: str | None = "kind",
+    max_broadcast_rules: int = MAX_BROADCAST_RULES,
+) -> DataFrame:
+    """:func:`classify_routes` with the rules of a table, of any number:
+    rules([deployment_id,] priority, kind, pattern, methods, handler), the lowest
+    priority first; with a ``deployment_id`` each deployment has its own.
+
+    The outcome depends on (deployment, kind, path, method) only, so requests are
+    reduced to those (partially aggregated map-side).  Each path emits its nodes -
+    itself, and its prefixes that end in a slash, as many as it has segments - and
+    meets the rules that hang there by an equi-join; a rule whose prefix ends inside
+    a segment tests the rest.  The lowest priorities of a full and of a path-only
+    match per path decide, and are joined back.  Up to ``max_broadcast_rules``
+    (counted) the rules are broadcast; beyond that they are copied over
+    ``RULE_COPIES`` keys, as one node such as ``/`` may take all paths.
+
+    A null path, method or kind matches nothing (``not_found``; a null method still
+    meets a path: 405).  Two rules of one priority: the lesser handler's name wins.
+    """
+    by_dep = "deployment_id" in rules.columns
+    k = F.col(kind) if kind and kind in access.columns else F.lit("http")
+    key = {"__k": k, "__p": F.col(path), "__m": F.upper(F.col(method))}
+    if by_dep:
+        key["__d"] = F.col("deployment_id")
+    wanted = access.select(*[c.alias(n) for n, c in key.items()]).distinct()
+    nodes = _rule_nodes(rules)
+    few = nodes.limit(max_broadcast_rules + 1).count() <= max_broadcast_rules
+    if few:
+        nodes, salt = F.broadcast(nodes.withColumn("rn_salt", F.lit(0))), F.lit(0)
+    else:
+        nodes = nodes.withColumn("rn_salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_COPIES - 1))))
+        salt = F.pmod(F.xxhash64("__p", "__m"), F.lit(RULE_COPIES)).cast("int")
+    # The k-th prefix that ends in a slash, for each slash of the path, and the empty one.
+    parts = F.split("__p", "/")
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.concat(F.lit("*"), F.array_join(F.slice(parts, 1, i), "/"), F.when(i > 0, "/").otherwise("")))
+    own = F.concat(prefixes, F.array(F.concat(F.lit("="), F.col("__p"))))
+    at = wanted.filter(F.col("__p").isNotNull()).select("*", salt.alias("__s"), F.explode(F.array_distinct(own)).alias("__n"))
+    on = (F.col("__n") == F.col("rn_node")) & (F.col("__k") == F.col("rn_kind")) & (F.col("__s") == F.col("rn_salt"))
+    if by_dep:
+        on = on & (F.col("__d") == F.col("rn_dep"))
+    rest = F.when(F.col("__n").startswith("*"), F.substring("__p", F.char_length("__n"), F.char_length("__p"))).otherwise(F.lit(""))
+    hits = at.join(nodes, on).filter(rest.startswith(F.col("rn_rest")))
+    ok = (F.col("__k") == "ws") | F.coalesce(F.array_contains("rn_methods", F.col("__m")), F.lit(False))
+    hit = F.struct(F.col("rn_priority").alias("i"), F.col("rn_handler").alias("h"))
+    best = hits.groupBy(*key).agg(F.min(F.when(ok, hit)).alias("__full"), F.min(F.when(F.col("__k") == "http", F.col("rn_priority"))).alias("__part"))
+    best = best.select(*[F.col(n).alias(f"{n}b") for n in key], "__full", "__part")
+    same = None
+    for n, c in key.items():
+        equal = c.eqNullSafe(F.col(f"{n}b"))
+        same = equal if same is None else same & equal
+    out = access.join(best, same, "left")
+    handler = F.coalesce("__full.h", F.when(F.col("__part").isNotNull(), "method_not_allowed"), F.lit("not_found"))
+    out = out.withColumns({"handler": handler, "route_index": F.coalesce("__full.i", "__part")})
+    return out.withColumn("is_public", F.col("handler").isin(*C.PUBLIC_HANDLERS)).drop("__full", "__part", *[f"{n}b" for n in key])
+
+
 # ---------------------------------------------------------------------------
 # O29 session_validity
 # ---------------------------------------------------------------------------

@@ -103,10 +103,9 @@ def lifecycle_crash_loop_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("respawn_checks")
-def respawn_checks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST2's respawn checks in batch, on the lifecycle stand-in with views as readiness
-    events (unready below 10): the delays are stretched to hours so that events fall into them."""
+def squeezed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lifecycle stand-in with views as readiness events (unready below 10): the
+    delays are stretched to hours so that events fall into them."""
     ev = lifecycle_events(spark, sf_dir).select("deployment_id", "ts", "seq", "event")
     views = _events(spark, sf_dir).filter("event_type = 'view'").select(
         F.col("user_id").alias("deployment_id"), "ts", F.col("event_id").alias("seq"),
@@ -114,7 +113,13 @@ def respawn_checks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # An hour of events counts as a second: epoch 2024 stays the origin.
     squeezed = F.timestamp_micros(F.floor(micros("ts") / 3600).cast("bigint"))
-    res = L.respawn_checks(ev.unionByName(views).withColumn("ts", squeezed), window_s=CRASH_WINDOW_H, max_exits=CRASH_MAX)
+    return ev.unionByName(views).withColumn("ts", squeezed)
+
+
+@query("respawn_checks")
+def respawn_checks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2's respawn checks in batch, on the squeezed lifecycle stand-in."""
+    res = L.respawn_checks(squeezed_events(spark, sf_dir), window_s=CRASH_WINDOW_H, max_exits=CRASH_MAX)
     return res.select("deployment_id", "seq", micros("due").alias("due_us"), "outcome")
 
 
@@ -226,9 +231,8 @@ def crash_loop_from_logs_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("device_flow_outcome")
-def device_flow_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One flow per user, started at its first event, 10 days of life (no
+def device_flows_and_polls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One flow per user, started at its first event, 10 days of life (no
     expiry given for every seventh, which then lives 900 s);
     polls: view = pending, click = slow_down, purchase = 200, error = denied
     (with a description when value > 25)."""
@@ -253,9 +257,15 @@ def device_flow_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("error"),
         F.when((et == "error") & (F.col("value") > 25), "The user denied the request").alias("error_description"),
     )
-    res = L.device_flow_outcome(flows, polls, AS_OF)
+    return flows, polls
+
+
+@query("device_flow_outcome")
+def device_flow_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O26 on the flows and polls of all users."""
+    res = L.device_flow_outcome(*device_flows_and_polls(spark, sf_dir), AS_OF)
     return res.select(F.col("flow_id").cast("bigint"), "status", "error", "interval_s")
 
 
 # The remaining domains register themselves on import.
-from . import bindings_fleet  # noqa: E402,F401
+from . import bindings_fleet, bindings_streams  # noqa: E402,F401

@@ -441,6 +441,30 @@ def classify_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "variant", "method", "path", "handler", F.col("route_index").cast("bigint"), "is_public")
 
 
+@query("classify_routes_by_table")
+def classify_by_table_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O27 with a rules table: ten deployments with a rule for each of their pages (its
+    path, everything below its folder, or everything that begins like it), first page
+    first; five requests per page."""
+    p = table(spark, sf_dir, "pages", ["page_id", "url"])
+    path = F.regexp_extract("url", X.URL_PATH_RE, 1)
+    folder = F.regexp_extract(path, r"^(.*/)", 1)
+    rest = F.lit("{path:path}")
+    some = F.substring(path, F.lit(1), F.char_length(path) - 1)
+    rules = p.select(
+        (F.col("page_id") % 10).alias("deployment_id"),
+        # Wide rules come after narrow ones.
+        (F.col("page_id") + F.when(F.col("page_id") % 7 == 0, 1_000_000).otherwise(0)).alias("priority"),
+        F.lit("http").alias("kind"),
+        F.when(F.col("page_id") % 7 == 0, F.concat(folder, rest)).when(F.col("page_id") % 7 < 4, F.concat(some, rest)).otherwise(path).alias("pattern"),
+        F.when(F.col("page_id") % 3 == 0, F.array(F.lit("POST"), F.lit("PUT"))).when(F.col("page_id") % 3 == 1, F.array(F.lit("GET"))).alias("methods"),
+        F.concat(F.lit("h"), F.col("page_id")).alias("handler"),
+    )
+    requests = X.page_requests(spark, sf_dir).withColumn("deployment_id", F.col("page_id") % 10)
+    out = A.classify_routes_by_table(requests, rules)
+    return out.select("page_id", "variant", "handler", F.col("route_index").cast("string").alias("route_index"))
+
+
 @query("session_validity")
 def session_validity_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """login = signup, request = view/click/purchase, boot = error, 2-day lifetime."""

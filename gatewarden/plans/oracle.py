@@ -309,3 +309,54 @@ SELECT deployment_id, seq, ts_us, exits_in_window,
             ELSE CAST(least(2.0 * pow(2.0, exits_in_window - 1), 30.0) AS BIGINT) END AS VARCHAR) AS delay_s
 FROM cnt
 """
+
+# --- streams: the rows of each processor over all events -----------------------
+
+ORACLE["st1_lifecycle_events"] = ORACLE["extract_lifecycle_events"]
+
+_EXITS = ORACLE["respawn_checks"].split(", due AS (")[0]
+ORACLE["st2_crash_alerts"] = f"""
+SELECT deployment_id, seq, 'respawn_check' AS kind, outcome AS result, CAST(NULL AS VARCHAR) AS exits FROM ({ORACLE["respawn_checks"]}) r
+UNION ALL
+SELECT deployment_id, seq, 'exit', CASE WHEN n > 5 THEN 'crashed' ELSE 'respawn' END, CAST(n AS VARCHAR) FROM ({_EXITS} SELECT * FROM cnt) c
+"""
+
+ORACLE["st3_pairing"] = """
+WITH ev AS (
+  SELECT event_id, ts, user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p
+  FROM events
+), d AS (
+  SELECT e.*,
+    (SELECT max(r.p) FROM ev r WHERE r.user_id = e.user_id AND r.p < e.p AND r.event_type = 'signup') AS request
+  FROM ev e WHERE event_type <> 'signup'
+), s AS (
+  SELECT d.*, r.value AS asked, r.event_id AS asked_id,
+    EXISTS (SELECT 1 FROM ev x WHERE x.user_id = d.user_id AND x.p > d.request AND x.p < d.p
+            AND (x.event_type = 'error' OR (x.event_type = 'click' AND r.value >= 20))) AS gone
+  FROM d LEFT JOIN ev r ON r.user_id = d.user_id AND r.p = d.request
+), o AS (
+  SELECT *, CASE WHEN event_type IN ('purchase', 'view') THEN 400 WHEN event_type = 'error' THEN 200
+                 WHEN request IS NULL OR gone THEN 404 WHEN asked < 20 THEN 422 ELSE 200 END AS status FROM s
+)
+SELECT 'outcome' AS kind, event_id AS decision_id, CASE WHEN event_type = 'view' THEN '' ELSE CAST(user_id AS VARCHAR) END AS code,
+       CAST(status AS BIGINT) AS status, CAST(NULL AS VARCHAR) AS user_id, CAST(NULL AS VARCHAR) AS user_name FROM o
+UNION ALL
+SELECT 'approval', event_id, CAST(user_id AS VARCHAR), 200, CAST(user_id AS VARCHAR), 'n' || CAST(asked_id AS VARCHAR)
+FROM o WHERE event_type = 'click' AND status = 200
+"""
+
+ORACLE["st4_device_flow"] = ORACLE["device_flow_outcome"].replace("TIMESTAMP '2024-01-31 00:00:00'", "TIMESTAMP '2100-01-01 00:00:00'")
+
+_STATE_ALL = ORACLE["lifecycle_state"].replace("FROM events WHERE ts <= TIMESTAMP '2024-01-31 00:00:00'", "FROM events").split("SELECT a.deployment_id, a.state")[0]
+ORACLE["st5_status"] = f"""
+{_STATE_ALL}
+SELECT a.deployment_id, a.state, CAST(CASE WHEN a.state = 'running' THEN r.seq END AS VARCHAR) AS pid,
+       CAST(CASE WHEN a.state = 'running' THEN epoch_us(r.ts) END AS VARCHAR) AS run_us, a.restarts
+FROM a LEFT JOIN pos r ON r.deployment_id = a.deployment_id AND r.p = a.run_p
+"""
+
+_FLAGS = ORACLE["integration_status"].replace("AS configured", "AS configured, c.c_acctbal < 0 AS cleared")
+ORACLE["st5_integrations"] = f"""
+SELECT deployment_id, kind, name, configured AND NOT cleared AS configured, CASE WHEN configured AND cleared THEN 2 ELSE 1 END AS changes
+FROM ({_FLAGS}) f
+"""

@@ -540,6 +540,25 @@ SELECT page_id, variant, method, path, handler, route_index, is_public
 FROM ({classify_sql(PAGE_REQUESTS, 'page_id, variant')}) c
 """
 
+ORACLE["classify_routes_by_table"] = f"""
+WITH rules AS (
+  SELECT page_id % 10 AS dep, page_id + CASE WHEN page_id % 7 = 0 THEN 1000000 ELSE 0 END AS priority,
+         page_id % 7 < 4 AS open, CASE WHEN page_id % 7 = 0 THEN regexp_extract(path, '^(.*/)', 1) WHEN page_id % 7 < 4 THEN path[:-2] ELSE path END AS pat,
+         CASE page_id % 3 WHEN 0 THEN ['POST', 'PUT'] ELSE ['GET', 'HEAD'] END AS methods, 'h' || page_id AS handler
+  FROM (SELECT page_id, {PAGE_PATH} AS path FROM pages) x
+), m AS (
+  SELECT r.page_id, r.variant, t.priority, t.handler, list_contains(t.methods, r.method) AS ok
+  FROM ({PAGE_REQUESTS}) r JOIN rules t ON t.dep = r.page_id % 10 AND r.kind = 'http'
+   AND (CASE WHEN t.open THEN starts_with(r.path, t.pat) ELSE r.path = t.pat END)
+), best AS (
+  SELECT page_id, variant, arg_min(handler, priority) FILTER (WHERE ok) AS handler, min(priority) FILTER (WHERE ok) AS fp, min(priority) AS pp
+  FROM m GROUP BY page_id, variant
+)
+SELECT r.page_id, r.variant, CASE WHEN b.fp IS NOT NULL THEN b.handler WHEN b.pp IS NOT NULL THEN 'method_not_allowed' ELSE 'not_found' END AS handler,
+       CAST(coalesce(b.fp, b.pp) AS VARCHAR) AS route_index
+FROM ({PAGE_REQUESTS}) r LEFT JOIN best b USING (page_id, variant)
+"""
+
 SESSION_SQL = """
 WITH acc AS (
   SELECT user_id AS deployment_id, event_id AS seq, ts, event_type, value FROM events WHERE event_type IN ('view', 'click', 'purchase')

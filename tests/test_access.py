@@ -189,3 +189,58 @@ def test_return_targets_hidden_hosts(spark):
     cases = {"/\t/evil.com": "/", "/\n/evil.com": "/", "/\r/evil.com": "/", "/a\tb": "/a\tb", "/\t//x": "/\t//x", "/ok?x=//y": "/ok?x=//y"}
     df = spark.createDataFrame(list(enumerate(cases)), "i int, return_to string")
     assert {list(cases)[r.i]: r.target for r in safe_return_target(df).collect()} == cases
+
+
+def _requests(spark, seed, n=1500):
+    import random
+
+    rnd = random.Random(seed)
+    parts = ["setup", "api", "config", "login", "health", "plugins", "x", "", "events", "pairing", "ws", "pty", "lo", "setu", "gateway", "é"]
+    paths = [r[1].replace("{path:path}", rnd.choice(["", "a", "a/b", "/"])) for r in A.C.ROUTES for _ in range(4)]
+    paths += ["/" + "/".join(rnd.choice(parts) for _ in range(rnd.randint(0, 4))) for _ in range(n)] + [None, "", "no/slash", "//", "/setup//"]
+    rows = [(i, rnd.choice(["http", "http", "ws", None]), rnd.choice(["GET", "get", "POST", "PUT", "DELETE", "HEAD", "TRACE", None]), p) for i, p in enumerate(paths * 3)]
+    return spark.createDataFrame(rows, "id long, kind string, method string, path string")
+
+
+def test_rules_table_equals_compiled_chain(spark):
+    df = _requests(spark, 1)
+    cols = ["id", "handler", "route_index", "is_public"]
+    want = sorted(map(str, A.classify_routes(df).select(cols).collect()))
+    for limit in (100_000, 3):  # broadcast, and joined in copies
+        got = A.classify_routes_by_table(df, A.routes_table(spark), max_broadcast_rules=limit)
+        assert sorted(map(str, got.select(cols).collect())) == want
+        assert got.columns[: len(df.columns)] == df.columns
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rules_of_ten_thousand_by_deployment(spark):
+    import random
+
+    rnd = random.Random(2)
+    segs = [f"s{i}" for i in range(30)]
+    rules = []
+    for i in range(10_000):
+        path = "/" + "/".join(rnd.choice(segs) for _ in range(rnd.randint(1, 3)))
+        pattern = rnd.choice([path, path + "/{path:path}", path[:-1] + "{path:path}", path])
+        rules.append((f"d{i % 7}", rnd.randrange(10**6), rnd.choice(["http", "http", "ws"]), pattern, rnd.choice([None, [], ["POST"], ["get", "PUT"]]), f"h{i}"))
+    rows = [(i, f"d{rnd.randrange(8)}", rnd.choice(["http", "ws"]), rnd.choice(["GET", "HEAD", "POST", "PATCH"]), "/" + "/".join(rnd.choice(segs) for _ in range(rnd.randint(0, 5)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, deployment_id string, kind string, method string, path string")
+    table = spark.createDataFrame(rules, "deployment_id string, priority int, kind string, pattern string, methods array<string>, handler string")
+
+    def one(dep, kind, method, path):
+        fits = []
+        for d, pr, k, pat, ms, h in rules:
+            if d == dep and k == kind and (path.startswith(pat[: -len("{path:path}")]) if pat.endswith("{path:path}") else path == pat):
+                allowed = {m.upper() for m in (ms or ["GET"])}
+                allowed |= {"HEAD"} if "GET" in allowed else set()
+                fits.append((pr, h, k == "ws" or method in allowed))
+        full = sorted((pr, h) for pr, h, ok in fits if ok)
+        if full:
+            return full[0][::-1]
+        return ("method_not_allowed", min(f[0] for f in fits)) if fits and kind == "http" else ("not_found", None)
+
+    got = {r.id: (r.handler, r.route_index) for r in A.classify_routes_by_table(df, table).collect()}
+    assert got == {i: one(*rest) for i, *rest in rows}
+    none = A.classify_routes_by_table(df, table.limit(0)).collect()
+    assert {r.handler for r in none} == {"not_found"} and len(none) == 400

@@ -381,3 +381,33 @@ def test_st4_event_order_late_reply_and_missed(spark):
     assert [r.flow_id for r in missed_outcomes(df, dp.unionByName(late), at(90_000), got).collect()] == ["f1"]
     batch = device_flow_stream(df, dp, "1 hour")
     assert missed_outcomes(df, dp, at(90_000), batch).count() == 0 and batch.count() == df.count()
+
+
+def test_st5_integrations_equal_batch_and_emit_changes_only(spark):
+    from gatewarden.operators.settings import integration_status
+    from gatewarden.streaming.integrations import integration_stream, latest_integrations
+
+    common.use_rocksdb_state(spark)
+    t0 = dt.datetime(2024, 1, 1)
+    kind = "deployment_id string, ts timestamp, key string, value string"
+    snapshots = [
+        [("a", "OPENROUTER_API_KEY", "k"), ("a", "WHATSAPP_ENABLED", "false"), ("a", "X", "1"), ("b", "TELEGRAM_BOT_TOKEN", "t")],
+        [("a", "WHATSAPP_ENABLED", "yes"), ("a", "X", "1"), ("b", "TELEGRAM_BOT_TOKEN", "t2")],
+        [("a", "WHATSAPP_ENABLED", "yes"), ("b", "NOTHING", None)],
+    ]
+    root = _scratch()
+    import time
+
+    for n, rows in enumerate(snapshots):
+        at = t0 + dt.timedelta(hours=n)
+        spark.createDataFrame([(d, at, k, v) for d, k, v in rows], kind).coalesce(1).write.mode("append").parquet(os.path.join(root, "in"))
+        time.sleep(1.1)
+    schema = spark.createDataFrame([], kind).schema
+    got = _run(integration_stream(common.file_stream(spark, os.path.join(root, "in"), schema, max_files=1)), root)
+    last = spark.createDataFrame([(d, k, v) for d, k, v in snapshots[-1]], "deployment_id string, key string, value string")
+    want = sorted(map(tuple, integration_status(last.select("deployment_id"), last).collect()))
+    assert sorted(map(tuple, latest_integrations(got).collect())) == want
+    later = sorted((r.deployment_id, r.kind, r.configured) for r in got.filter(F.col("ts") > F.lit(t0)).collect())
+    assert later == [("a", "channel", True), ("a", "provider", False), ("b", "channel", False)]
+    whole = spark.read.parquet(os.path.join(root, "in"))
+    assert sorted(map(str, integration_stream(whole).collect())) == sorted(map(str, got.collect()))

@@ -62,10 +62,7 @@ def pairing_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 def st3_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST3: outcomes and approvals of requests and decisions in event order."""
     use_rocksdb_state(spark)
-    # Views have no code: they are decided without any state, one key for each.
-    requests, decisions = pairing_events(spark, sf_dir)
-    spread = F.when(F.trim("code") == "", F.concat(F.lit("d"), F.col("seq"))).otherwise(F.col("deployment_id"))
-    out = pairing.pairing_stream(requests, decisions.withColumn("deployment_id", spread), "0 seconds", bucket_s=BUCKET_S)
+    out = pairing.pairing_stream(*pairing_events(spark, sf_dir), "0 seconds", bucket_s=BUCKET_S)
     return out.select("kind", "decision_id", "code", F.col("status").cast("long").alias("status"), "user_id", "user_name")
 
 

@@ -76,9 +76,7 @@ class PairingProcessor(StatefulProcessor):
                     entry = (user_id or "", user_name or "")
                     continue
                 if kind == "approve":
-                    if not platform or not code:
-                        status = 400
-                    elif entry is None:
+                    if entry is None:
                         status = 404
                     elif not (entry[0] or "").strip():
                         status = 422
@@ -86,10 +84,8 @@ class PairingProcessor(StatefulProcessor):
                         status = 200
                         out.append((dep, platform, code, ts, seq, "approval", decision, 200, entry[0].strip(), entry[1]))
                         entry = None
-                elif kind == "deny":
-                    status, entry = 200, None
                 else:
-                    status = 400
+                    status, entry = 200, None
                 out.append((dep, platform, code, ts, seq, "outcome", decision, status, None, None))
             if out:
                 yield pd.DataFrame(out, columns=_COLS)
@@ -125,17 +121,23 @@ def pairing_stream(
         "ts", "seq", F.coalesce("op", F.lit("invalid")).alias("kind"), "decision_id",
         F.lit(None).cast("string").alias("user_id"), F.lit(None).cast("string").alias("user_name"),
     )
-    rows = r.unionByName(d)
+    # What no entry can change is answered at once; it needs no state and no shuffle.
+    nothing = (F.col("kind") == "approve") & ((F.col("platform") == "") | (F.col("code") == ""))
+    refused = d.filter(nothing | ~F.col("kind").isin("approve", "deny")).select(
+        "deployment_id", "platform", "code", "ts", "seq", F.lit("outcome").alias("kind"), "decision_id", F.lit(400).alias("status"), "user_id", "user_name"
+    )
+    rows = r.unionByName(d.filter(~nothing & F.col("kind").isin("approve", "deny")))
     if lateness is not None:
         rows = rows.withWatermark("ts", lateness)
     k = ["deployment_id", "platform", "code"]
-    return rows.groupBy(*k).transformWithStateInPandas(
+    decided = rows.groupBy(*k).transformWithStateInPandas(
         statefulProcessor=PairingProcessor(lateness is not None, bucket_s),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",
         timeMode="None" if lateness is None else "EventTime",
         initialState=None if initial is None else initial.select(*k, "user_id", "user_name").groupBy(*k),
     )
+    return decided.unionByName(refused)
 
 
 APPROVED_SCHEMA = "deployment_id string, platform string, user_id string, user_name string, approved_at timestamp, approved boolean"

@@ -5,8 +5,10 @@ their first occurrence.  A line within t edits of another keeps at least one of
 the other's t + 1 segments whole: so every line is indexed by its t + 1 segments,
 and probes the index of each length it may match with the few substrings that
 can be such a segment (the positions that both the edits before and the edits
-after a segment allow).  Candidates are verified by a bit-parallel automaton
-over the 2t + 1 diagonals of the band.
+after a segment allow).  A segment that many lines share is cut further: its lines
+meet by one more whole piece left or right of it.  Candidates are verified by a
+bit-parallel automaton over the 2t + 1 diagonals of the band, run on what lies
+between the pair's common beginning and end.
 
 A line is taken without surrounding white space.  Lines of fewer than
 ``MIN_CHARS`` characters (headings, list marks, closing words) stay, or with
@@ -33,6 +35,9 @@ from .links import link_components
 MAX_EDITS = 2
 MIN_CHARS = 20
 MAX_BROADCAST_LINES = 300_000
+#: Characters after which pairs that differ throughout are told.
+FIRST_CHARS = 16
+PAIRS_A_TASK = 2_000
 
 
 def trimmed(line: Column) -> Column:
@@ -51,10 +56,10 @@ def takes_part(line: Column) -> Column:
     return F.char_length(line) >= MIN_CHARS
 
 
-def probes(line: Column, edits: int = MAX_EDITS) -> Column:
-    """Buckets of a line: (hash of length, segment number and substring; whether
-    it is the line's own segment, so that other lines may find it there)."""
-    n, parts, out = F.char_length(line), edits + 1, []
+def _places(line: Column, edits: int):
+    """Where a line looks for segments: (shorter, segment number, start, size, shift)
+    for every length that may match, the line's own segments at (0, ..., 0)."""
+    n, parts = F.char_length(line), edits + 1
     for shorter in range(edits + 1):
         length = n - shorter
         base, extra = F.floor(length / parts).cast("int"), (length % parts).cast("int")
@@ -65,9 +70,39 @@ def probes(line: Column, edits: int = MAX_EDITS) -> Column:
             size = base + F.when(F.lit(i) >= F.lit(parts) - extra, 1).otherwise(0)
             before, after = i, edits - i
             for shift in range(max(-before, shorter - after), min(before, shorter + after) + 1):
-                piece = F.substring(line, start + shift, size)
-                out.append(F.struct(F.xxhash64(length, F.lit(i), piece).alias("bucket"), F.lit(shorter == 0 and shift == 0).alias("index")))
-    return F.array(*out)
+                yield shorter, i, start, size, shift
+
+
+def _bucket(line: Column, shorter: int, i: int, start: Column, size: Column, shift: int) -> Column:
+    return F.xxhash64(F.char_length(line) - shorter, F.lit(i), F.substring(line, start + shift, size))
+
+
+def probes(line: Column, edits: int = MAX_EDITS) -> Column:
+    """Buckets of a line: (hash of length, segment number and substring; whether
+    it is the line's own segment, so that other lines may find it there)."""
+    found = [F.struct(_bucket(line, *place).alias("bucket"), F.lit(place[0] == 0 and place[4] == 0).alias("index")) for place in _places(line, edits)]
+    return F.array(*found)
+
+
+def _finer(line: Column, bucket: Column, edits: int) -> Column:
+    """Buckets within a bucket that many lines share.  Two lines within the edits meet
+    in a bucket along an alignment: what lies left and what lies right of the shared
+    segment differ by the edits together.  So of edits + 1 pieces, cut from the index
+    line's left and right, one is whole in the other line, at most the edits off."""
+    out = []
+    for shorter, i, start, size, shift in _places(line, edits):
+        own = shorter == 0 and shift == 0
+        here = _bucket(line, shorter, i, start, size, shift) == bucket
+        left, right = start - 1, F.char_length(line) - shorter - start - size + 1
+        cuts = (0, edits + 1) if i == 0 else (edits + 1, 0) if i == edits else (-(-(edits + 1) // 2),) * 2
+        for side, (length, pieces, begin) in enumerate(((left, cuts[0], F.lit(1)), (right, cuts[1], start + size + shift))):
+            for k in range(pieces):
+                wide = F.floor(length / pieces).cast("int")
+                for off in range(-edits, edits + 1):
+                    at = begin + wide * k + off
+                    key = F.xxhash64(bucket, F.lit(2 * k + side), F.substring(line, at, wide))
+                    out.append(F.when(here & (at >= 1), F.struct(key.alias("bucket"), F.lit(own and off == 0).alias("index"))))
+    return F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull()))
 
 
 def _let(value: Column, body) -> Column:
@@ -126,31 +161,75 @@ def edit_distance(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
 
     n = F.char_length(b)
     chars = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"))
-    walk = _let(chars, lambda x: F.aggregate(F.sequence(F.lit(1), n), start, step(x["a"], x["b"]), done))
-    return F.when(F.abs(off) > edits, F.lit(edits + 1)).when(n == 0, F.char_length(a)).otherwise(walk)
+
+    def walk(x: Column) -> Column:
+        # Strings that differ throughout leave no diagonal after a few characters.
+        alive = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(FIRST_CHARS))), start, step(x["a"], x["b"]), lambda state: state[f"r{edits}"] != 0)
+        return F.when(alive, F.aggregate(F.sequence(F.lit(1), n), start, step(x["a"], x["b"]), done)).otherwise(F.lit(edits + 1))
+
+    return F.when(F.abs(off) > edits, F.lit(edits + 1)).when(n == 0, F.char_length(a)).otherwise(_let(chars, walk))
+
+
+def _common(a: Column, b: Column, most: Column, steps: int = 31) -> Column:
+    """Length of the common beginning, up to ``most``: a binary search for the last
+    length at which native comparison finds the beginnings equal."""
+    low = F.struct(F.lit(0).alias("lo"), most.cast("int").alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = s["lo"] + F.floor((s["hi"] - s["lo"] + 1) / 2).cast("int")
+        equal = F.substring(a, F.lit(1), middle) == F.substring(b, F.lit(1), middle)
+        return F.struct(F.when(equal, middle).otherwise(s["lo"]).alias("lo"), F.when(equal, s["hi"]).otherwise(F.greatest(middle - 1, s["lo"])).alias("hi"))
+
+    # As many halvings as the length has binary digits.
+    rounds = F.sequence(F.lit(0), F.least(F.ceil(F.log2(most + 1.0)).cast("int"), F.lit(steps)))
+    return F.aggregate(rounds, low, halve, lambda s: s["lo"])
+
+
+def differing(pairs: DataFrame) -> DataFrame:
+    """Columns x and y without their common beginning and end, which no edit need touch."""
+    shorter = F.least(F.char_length("x"), F.char_length("y"))
+    p = pairs.withColumn("__p", _common(F.col("x"), F.col("y"), shorter))
+    p = p.withColumn("__s", _common(F.reverse("x"), F.reverse("y"), shorter - F.col("__p")))
+    middle = lambda c: F.substring(F.col(c), F.col("__p") + 1, F.char_length(c) - F.col("__p") - F.col("__s"))
+    return p.withColumns({"x": middle("x"), "y": middle("y")}).drop("__p", "__s")
+
+
+def _texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, line) of the nodes (column need, distinct)."""
+    few = nodes.count() <= MAX_BROADCAST_LINES
+    texts = lines.join(F.broadcast(nodes) if few else nodes, F.col("node") == F.col("need"))
+    return table_in_shared_dir(texts.groupBy("node").agg(F.any_value("line").alias("line")), "lines")
 
 
 def _verifier(lines: DataFrame, edits: int):
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        need = cut(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct())
-        few = need.count() <= MAX_BROADCAST_LINES
-        texts = lines.join(F.broadcast(need) if few else need, F.col("node") == F.col("need"))
-        texts = table_in_shared_dir(texts.groupBy("node").agg(F.any_value("line").alias("line")), "lines")
+        texts = _texts(lines, cut(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()))
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
         both = both.join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+        # Tasks by the number of pairs: their bytes say little of the work.
+        both = differing(both.repartition(pairs.count() // PAIRS_A_TASK + 1, "a", "b"))
         return both.filter(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
 
     return verify
 
 
+def _narrower(lines: DataFrame, edits: int):
+    def narrow(members: DataFrame) -> DataFrame:
+        texts = _texts(lines, cut(members.select(F.col("node").alias("need")).distinct()))
+        m = members.join(texts, "node").select("node", "c", F.explode(_finer(F.col("line"), F.col("bucket"), edits)).alias("f"))
+        return m.select("f.bucket", "node", "f.index", "c")
+
+    return narrow
+
+
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, edits: int) -> DataFrame:
     """doc_id, row, line_no, long, class_id (null for blank lines), kept (no earlier
     occurrence): every line, short ones classed by equality."""
     rows = line_rows(docs, id_col, text_col)
     lines = rows.filter(takes_part(F.col("line"))).select(F.xxhash64("line").alias("node"), "line")
     members = lines.select("node", F.explode(probes(F.col("line"), edits)).alias("p")).select("p.bucket", "node", "p.index")
-    parts, _ = link_components(members, _verifier(lines, edits))
+    parts, _ = link_components(members, _verifier(lines, edits), narrow=_narrower(lines, edits))
     node = F.when(F.col("line") != "", F.xxhash64("line"))
     parts = cut(parts.withColumnRenamed("node", "pn"))
     occ = rows.select("doc_id", "row", "line_no", takes_part(F.col("line")).alias("long"), node.alias("node"))

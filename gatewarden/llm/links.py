@@ -20,6 +20,9 @@ from .common import connected_components, cut
 
 Pairs = Callable[[DataFrame], DataFrame]
 
+#: Index rows of a bucket beyond which its rows are dealt into finer buckets.
+HOT_INDEX = 32
+
 
 #: Up to so many shared buckets (a number each) are broadcast to their members.
 MAX_BROADCAST_BUCKETS = 1_000_000
@@ -45,14 +48,33 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter(F.col("a") < F.col("b")).distinct()
 
 
-def link_components(members: DataFrame, verify: Pairs, cross: Pairs | None = None) -> tuple[DataFrame, DataFrame]:
+def _apart(rows: DataFrame) -> DataFrame:
+    """(x, y): index rows with the rows of their bucket that are in another component."""
+    left = rows.filter("index").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"))
+    right = rows.select(F.col("bucket").alias("rb"), F.col("node").alias("y"), F.col("c").alias("cy"))
+    return left.join(right, (F.col("bucket") == F.col("rb")) & (F.col("cx") != F.col("cy"))).select("x", "y")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold an index row and several components, with the
+    number of index rows beside."""
+    per = rows.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if("index").alias("n_index"))
+    return rows.join(per.filter("lo < hi AND n_index > 0").select("bucket", "n_index"), "bucket")
+
+
+def link_components(
+    members: DataFrame, verify: Pairs, cross: Pairs | None = None, narrow: Pairs | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(components, links): components (node, component) without single nodes, links
     the verified pairs (a, b) that were tested.
 
     members: bucket, node (long), index (true where other rows may meet this one).
     verify: pairs (a, b) -> those that hold.  cross, where given, finds the links
     among groups (centre, node, component) whose members differ in component, in
-    place of one join on the bucket.
+    place of one join on the bucket.  narrow, where given, deals rows (bucket, node,
+    index, c) of buckets with more than ``HOT_INDEX`` index rows into finer buckets in
+    which every pair that can hold meets again; one join pairs an index row with few
+    others, so candidates grow with the rows.
     """
     m = cut(shared_buckets(members))
     stars = cut(ordered(m.select(F.col("centre").alias("x"), F.col("node").alias("y"))))
@@ -63,11 +85,14 @@ def link_components(members: DataFrame, verify: Pairs, cross: Pairs | None = Non
         groups = named.select("centre", "node", F.col("c").alias("component")).distinct()
         more = cut(cross(groups))
     else:
-        mixed = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-        rest = named.join(mixed, "bucket")
-        left = rest.filter("index").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"))
-        right = rest.select(F.col("bucket").alias("rb"), F.col("node").alias("y"), F.col("c").alias("cy"))
-        pairs = left.join(right, (F.col("bucket") == F.col("rb")) & (F.col("cx") != F.col("cy")))
-        more = cut(verify(cut(ordered(pairs.select("x", "y")).join(stars, ["a", "b"], "left_anti"))))
+        rest = _mixed(named.select("bucket", "node", "index", "c"))
+        if narrow is None:
+            pairs = _apart(rest)
+        else:
+            rest = cut(rest)
+            cold, hot = rest.filter(F.col("n_index") <= HOT_INDEX), rest.filter(F.col("n_index") > HOT_INDEX).drop("n_index")
+            finer = cut(narrow(hot).groupBy("bucket", "node", "c").agg(F.max("index").alias("index")))
+            pairs = _apart(cold).unionByName(_apart(_mixed(finer)))
+        more = cut(verify(cut(ordered(pairs).join(stars, ["a", "b"], "left_anti"))))
     links = links.unionByName(more)
     return connected_components(links), links

@@ -229,3 +229,67 @@ def test_short_lines_are_classes_by_equality(spark, docs_of):
 def test_lines_empty_table(spark, docs_of):
     assert L.line_classes(docs_of([]).select("doc_id", "text")).count() == 0
     assert L.dedup_lines(docs_of([])).count() == 0
+
+
+def test_edit_distance_of_trimmed_pairs(spark):
+    rng = random.Random(12)
+    pairs = [("", ""), ("", "ab"), ("aaaa", "aaaaa"), ("abcabc", "abc"), ("x" * 70, "x" * 72), ("日本語日本語", "日本日本語")]
+    for _ in range(600):
+        a = [rng.choice("ab日😀") for _ in range(rng.randint(0, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choice([[], ["z"], ["a"]])
+        pairs.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, x string, y string")
+    got = {r.i: r.d for r in L.differing(df).withColumn("d", L.edit_distance(F.col("x"), F.col("y"))).collect()}
+    want = {r.i: min(r.d, 3) for r in df.withColumn("d", F.levenshtein("x", "y")).collect()}
+    assert got == want
+
+
+def test_lines_that_share_a_segment_meet_in_finer_buckets(spark, docs_of, monkeypatch):
+    """Hundreds of lines of one length share their beginning, middle or end: the classes
+    of brute force, with far fewer candidates than pairs."""
+    from gatewarden.llm import links
+
+    monkeypatch.setattr(links, "HOT_INDEX", 4)
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    lines = []
+    for k in range(240):
+        mid = word(14)
+        lines.append([f"shared opening words {mid}{word(7)}", f"{mid}{word(7)} shared closing word", f"{mid[:10]} shared middle of it {word(11)}"][k % 3])
+    for line in lines[:60]:
+        s = list(line)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(s))
+            s[at : at + rng.randint(0, 1)] = rng.choice([[], ["z"], ["q"]])
+        lines.append("".join(s))
+    seen = []
+    verifier = L._verifier
+    monkeypatch.setattr(L, "_verifier", lambda *a: lambda pairs: (seen.append(pairs.count()), verifier(*a)(pairs))[1])
+    got = {r.doc_id: r.class_id for r in L.line_classes(docs_of(list(enumerate(lines))).select("doc_id", "text")).collect()}
+
+    def near(a, b):
+        prev = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+            prev = row
+        return prev[-1] <= L.MAX_EDITS
+
+    distinct = sorted(set(lines))
+    parent = {x: x for x in distinct}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(distinct, 2):
+        if abs(len(a) - len(b)) <= 2 and near(a, b):
+            parent[root(a)] = root(b)
+    for (i, a), (j, b) in itertools.combinations(enumerate(lines), 2):
+        assert (got[i] == got[j]) == (root(a) == root(b))
+    assert sum(seen) < 3000  # all pairs that share a segment: about 100 * 100 / 2 for each of three

@@ -84,25 +84,43 @@ def probes(line: Column, edits: int = MAX_EDITS) -> Column:
     return F.array(*found)
 
 
-def _finer(line: Column, bucket: Column, edits: int) -> Column:
-    """Buckets within a bucket that many lines share.  Two lines within the edits meet
-    in a bucket along an alignment: what lies left and what lies right of the shared
-    segment differ by the edits together.  So of edits + 1 pieces, cut from the index
-    line's left and right, one is whole in the other line, at most the edits off."""
-    out = []
-    for shorter, i, start, size, shift in _places(line, edits):
-        own = shorter == 0 and shift == 0
-        here = _bucket(line, shorter, i, start, size, shift) == bucket
-        left, right = start - 1, F.char_length(line) - shorter - start - size + 1
-        cuts = (0, edits + 1) if i == 0 else (edits + 1, 0) if i == edits else (-(-(edits + 1) // 2),) * 2
-        for side, (length, pieces, begin) in enumerate(((left, cuts[0], F.lit(1)), (right, cuts[1], start + size + shift))):
-            for k in range(pieces):
-                wide = F.floor(length / pieces).cast("int")
-                for off in range(-edits, edits + 1):
-                    at = begin + wide * k + off
-                    key = F.xxhash64(bucket, F.lit(2 * k + side), F.substring(line, at, wide))
-                    out.append(F.when(here & (at >= 1), F.struct(key.alias("bucket"), F.lit(own and off == 0).alias("index"))))
-    return F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull()))
+def _finer(members: DataFrame, edits: int) -> DataFrame:
+    """Buckets within buckets that many lines share: rows (bucket, node, c, line) ->
+    (bucket, node, index, c).
+
+    Two lines within the edits meet in a bucket along an alignment: what lies left and
+    what lies right of the shared segment differ by the edits together.  So of
+    edits + 1 pieces, cut from the index line's left and right, one is whole in the
+    other line, at most the edits off."""
+    line = F.col("line")
+    met = [
+        F.struct(
+            _bucket(line, shorter, i, start, size, shift).alias("b"),
+            F.lit(i).alias("i"),
+            (start - 1).alias("left"),
+            (F.char_length(line) - shorter - start - size + 1).alias("right"),
+            (start + size + shift).alias("after"),
+            F.lit(shorter == 0 and shift == 0).alias("own"),
+        )
+        for shorter, i, start, size, shift in _places(line, edits)
+    ]
+    m = members.select("bucket", "node", "c", "line", F.explode(F.array(*met)).alias("m")).filter(F.col("m.b") == F.col("bucket"))
+    half = -(-(edits + 1) // 2)
+    first, last = F.col("m.i") == 0, F.col("m.i") == edits
+    sides = [
+        (F.lit(1), F.col("m.left"), F.when(first, 0).when(last, edits + 1).otherwise(half)),
+        (F.col("m.after"), F.col("m.right"), F.when(first, edits + 1).when(last, 0).otherwise(half)),
+    ]
+    keys = []
+    for side, (begin, length, pieces) in enumerate(sides):
+        wide = F.floor(length / pieces).cast("int")
+        for k in range(edits + 1):
+            for off in range(-edits, edits + 1):
+                at = begin + wide * k + off
+                key = F.xxhash64("bucket", F.lit(side), F.lit(k), F.substring(line, at, wide))
+                keys.append(F.when((pieces > k) & (at >= 1), F.struct(key.alias("bucket"), (F.col("m.own") & F.lit(off == 0)).alias("index"))))
+    m = m.select("node", "c", F.explode(F.array(*keys)).alias("f")).filter("f is not null")
+    return m.select("f.bucket", "node", "f.index", "c")
 
 
 def _let(value: Column, body) -> Column:
@@ -185,13 +203,20 @@ def _common(a: Column, b: Column, most: Column, steps: int = 31) -> Column:
     return F.aggregate(rounds, low, halve, lambda s: s["lo"])
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns worked out once: the optimizer would copy an expression to every use of it."""
+    value = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode(F.array(value)).alias("__v")).select(*kept, "__v.*")
+
+
 def differing(pairs: DataFrame) -> DataFrame:
     """Columns x and y without their common beginning and end, which no edit need touch."""
     shorter = F.least(F.char_length("x"), F.char_length("y"))
-    p = pairs.withColumn("__p", _common(F.col("x"), F.col("y"), shorter))
-    p = p.withColumn("__s", _common(F.reverse("x"), F.reverse("y"), shorter - F.col("__p")))
+    p = _once(pairs, __p=_common(F.col("x"), F.col("y"), shorter))
+    p = _once(p, __s=_common(F.reverse("x"), F.reverse("y"), shorter - F.col("__p")))
     middle = lambda c: F.substring(F.col(c), F.col("__p") + 1, F.char_length(c) - F.col("__p") - F.col("__s"))
-    return p.withColumns({"x": middle("x"), "y": middle("y")}).drop("__p", "__s")
+    return _once(p, x=middle("x"), y=middle("y")).drop("__p", "__s")
 
 
 def _texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -217,8 +242,7 @@ def _verifier(lines: DataFrame, edits: int):
 def _narrower(lines: DataFrame, edits: int):
     def narrow(members: DataFrame) -> DataFrame:
         texts = _texts(lines, cut(members.select(F.col("node").alias("need")).distinct()))
-        m = members.join(texts, "node").select("node", "c", F.explode(_finer(F.col("line"), F.col("bucket"), edits)).alias("f"))
-        return m.select("f.bucket", "node", "f.index", "c")
+        return _finer(members.join(texts, "node"), edits)
 
     return narrow
 

@@ -6,7 +6,8 @@ the other's t + 1 segments whole: so every line is indexed by its t + 1 segments
 and probes the index of each length it may match with the few substrings that
 can be such a segment (the positions that both the edits before and the edits
 after a segment allow).  A segment that many lines share is cut further: its lines
-meet by one more whole piece left or right of it.  Candidates are verified by a
+meet by one more whole piece left or right of it, and pairs that Spark's own banded
+distance tells to be farther apart don't leave the join.  Candidates are verified by a
 bit-parallel automaton over the 2t + 1 diagonals of the band, run on what lies
 between the pair's common beginning and end.
 
@@ -247,13 +248,29 @@ def _narrower(lines: DataFrame, edits: int):
     return narrow
 
 
+def _meeter(lines: DataFrame, edits: int):
+    """Pairs of rows of a bucket in different components.  Lines that are near copies of
+    one another but not within the edits share many buckets, so the texts come along
+    and Spark's banded distance holds back, inside the join, what can't be verified."""
+
+    def meet(members: DataFrame) -> DataFrame:
+        members = cut(members)
+        m = members.join(_texts(lines, cut(members.select(F.col("node").alias("need")).distinct())), "node")
+        left = m.filter("index").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("line").alias("lx"))
+        right = m.select(F.col("bucket").alias("rb"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("line").alias("ly"))
+        near = (F.col("bucket") == F.col("rb")) & (F.col("cx") != F.col("cy")) & (F.levenshtein("lx", "ly", edits) >= 0)
+        return left.join(right, near).select("x", "y")
+
+    return meet
+
+
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, edits: int) -> DataFrame:
     """doc_id, row, line_no, long, class_id (null for blank lines), kept (no earlier
     occurrence): every line, short ones classed by equality."""
     rows = line_rows(docs, id_col, text_col)
     lines = rows.filter(takes_part(F.col("line"))).select(F.xxhash64("line").alias("node"), "line")
     members = lines.select("node", F.explode(probes(F.col("line"), edits)).alias("p")).select("p.bucket", "node", "p.index")
-    parts, _ = link_components(members, _verifier(lines, edits), narrow=_narrower(lines, edits))
+    parts, _ = link_components(members, _verifier(lines, edits), narrow=_narrower(lines, edits), meet=_meeter(lines, edits))
     node = F.when(F.col("line") != "", F.xxhash64("line"))
     parts = cut(parts.withColumnRenamed("node", "pn"))
     occ = rows.select("doc_id", "row", "line_no", takes_part(F.col("line")).alias("long"), node.alias("node"))

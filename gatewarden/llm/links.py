@@ -48,7 +48,7 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter(F.col("a") < F.col("b")).distinct()
 
 
-def _apart(rows: DataFrame) -> DataFrame:
+def apart(rows: DataFrame) -> DataFrame:
     """(x, y): index rows with the rows of their bucket that are in another component."""
     left = rows.filter("index").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"))
     right = rows.select(F.col("bucket").alias("rb"), F.col("node").alias("y"), F.col("c").alias("cy"))
@@ -63,7 +63,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def link_components(
-    members: DataFrame, verify: Pairs, cross: Pairs | None = None, narrow: Pairs | None = None
+    members: DataFrame, verify: Pairs, cross: Pairs | None = None, narrow: Pairs | None = None, meet: Pairs | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(components, links): components (node, component) without single nodes, links
     the verified pairs (a, b) that were tested.
@@ -73,9 +73,11 @@ def link_components(
     among groups (centre, node, component) whose members differ in component, in
     place of one join on the bucket.  narrow, where given, deals rows (bucket, node,
     index, c) of buckets with more than ``HOT_INDEX`` index rows into finer buckets in
-    which every pair that can hold meets again; one join pairs an index row with few
-    others, so candidates grow with the rows.
+    which every pair that can hold meets again.  meet, where given, pairs the rows
+    (bucket, node, index, c) of buckets itself (default: :func:`apart`, every index row
+    with every row of another component).
     """
+    meet = meet or apart
     m = cut(shared_buckets(members))
     stars = cut(ordered(m.select(F.col("centre").alias("x"), F.col("node").alias("y"))))
     links = cut(verify(stars))
@@ -87,12 +89,12 @@ def link_components(
     else:
         rest = _mixed(named.select("bucket", "node", "index", "c"))
         if narrow is None:
-            pairs = _apart(rest)
+            pairs = meet(rest)
         else:
             rest = cut(rest)
             cold, hot = rest.filter(F.col("n_index") <= HOT_INDEX), rest.filter(F.col("n_index") > HOT_INDEX).drop("n_index")
             finer = cut(narrow(hot).groupBy("bucket", "node", "c").agg(F.max("index").alias("index")))
-            pairs = _apart(cold).unionByName(_apart(_mixed(finer)))
+            pairs = meet(cold.drop("n_index").unionByName(_mixed(finer).drop("n_index")))
         more = cut(verify(cut(ordered(pairs).join(stars, ["a", "b"], "left_anti"))))
     links = links.unionByName(more)
     return connected_components(links), links

@@ -4,7 +4,9 @@ A text is brought to a canonical form (lower case, equivalent spellings, no
 copyright lines, punctuation as blanks, single blanks), hashed, and hash-joined
 to the digests of known licence texts, made the same way.  The whole document is
 looked up as one text; so is each of its lines and sentences, which finds the
-one-sentence notices that name a licence.
+one-sentence notices that name a licence.  A line or sentence is only hashed where
+its first two words are those of a known text, or where one of the phrases stands in
+it that a known text may start with behind a copyright: no other can be one.
 
 Defined results: null text, and a text that is empty in canonical form, has no
 digest and no licence; a text that only holds part of a licence has none.  Rows
@@ -14,6 +16,7 @@ table gives an empty result.  Only built-in expressions run.
 
 from __future__ import annotations
 
+import pkgutil
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +24,19 @@ from pyspark.sql import functions as F
 
 from .common import cut, same
 
+#: Whole texts shipped as files of ``license_texts``: (licence, file).
+FILES = [
+    ("Apache-2.0", "Apache-2.0"),
+    ("CC0-1.0", "CC0-1.0"),
+    ("GPL-2.0", "GPL-2"),
+    ("GPL-3.0", "GPL-3"),
+    ("LGPL-2.1", "LGPL-2.1"),
+    ("LGPL-3.0", "LGPL-3"),
+    ("MPL-2.0", "MPL-2.0"),
+]
+#: Files also come without the appendix behind this line.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
 # Equivalent spellings, longer first where one is part of another.
 SPELLINGS = [
     ("sub-licence", "sublicense"),
@@ -157,22 +173,33 @@ TITLES = {
 # In a text reflowed into one line the title ends where the copyright starts, and the
 # copyright where one of the known texts starts.
 TITLE_END = r"^(\s*(?:{}))\s+(?=copyright\b|\(c\)|©)".format("|".join(re.escape(t.lower()) for ts in TITLES.values() for t in ts))
-COPYRIGHT_END = (
-    r"(?m)^([^\p{L}\n(©]*(?:copyright\b|\(c\)|©)[^\n]*?)"
-    r"(?=\b(?:permission is hereby granted, free|permission to use, copy, modify|redistribution and use in source))"
-)
+STARTS = ["permission is hereby granted, free", "permission to use, copy, modify", "redistribution and use in source"]
+COPYRIGHT_END = r"(?m)^([^\p{L}\n(©]*(?:copyright\b|\(c\)|©)[^\n]*?)" + r"(?=\b(?:{}))".format("|".join(STARTS))
 
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\n(©]*(?:copyright\b|\(c\)|©)(?:[^\n]*\d{4}|[ \t]*(?:\(c\)|©))[^\n]*$"
 NO_WORD = r"[^\p{L}\p{N}]+"
 SENTENCE_END = r"([.!?])[ \t]+"
 
 MAX_BROADCAST_DIGESTS = 200_000
+#: Up to so many different beginnings of known texts are tested before hashing.
+MAX_BEGINNINGS = 1_000
+
+
+def file_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the shipped files, whole and up to the end of their terms."""
+    out = []
+    for spdx, name in FILES:
+        text = pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode("utf-8")
+        out.append((spdx, text))
+        if TERMS_END in text:
+            out.append((spdx, text[: text.index(TERMS_END) + len(TERMS_END)]))
+    return out
 
 
 def known_texts() -> list[tuple[str, str]]:
     """(licence, text): whole texts, and every notice form with every name."""
     notices = [(spdx, form.format(name)) for spdx, names in NAMES.items() for name in names for form in FORMS]
-    return list(TEXTS.items()) + notices
+    return list(TEXTS.items()) + file_texts() + notices
 
 
 def titled_texts() -> list[tuple[str, str]]:
@@ -181,11 +208,16 @@ def titled_texts() -> list[tuple[str, str]]:
     return BSD_TEXTS + [(spdx, f"{title}\n\n{text}") for spdx, text in plain for title in TITLES[spdx]]
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form; null where nothing is left."""
+def usual_spelling(text: Column) -> Column:
+    """Lower case, equivalent spellings: the same for a text and for its parts."""
     t = F.lower(text)
     for spelling, usual in SPELLINGS:
         t = F.replace(t, F.lit(spelling), F.lit(usual))
+    return t
+
+
+def bare(t: Column) -> Column:
+    """Canonical form of a text in usual spelling; null where nothing is left."""
     t = F.regexp_replace(F.regexp_replace(t, TITLE_END, "$1\n"), COPYRIGHT_END, "$1\n")
     # A copyright line starts with the word or the sign and says no more than who and when.
     t = F.regexp_replace(t, COPYRIGHT_LINE, " ")
@@ -193,14 +225,33 @@ def canonical(text: Column) -> Column:
     return F.when(t != "", t)
 
 
+def canonical(text: Column) -> Column:
+    """Canonical form; null where nothing is left."""
+    return bare(usual_spelling(text))
+
+
 def digest(text: Column) -> Column:
     return F.md5(canonical(text).cast("binary"))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    """digest, license: one row per digest (the first licence by name where two agree)."""
-    rows = spark.createDataFrame(known, "license string, text string").select(digest(F.col("text")).alias("digest"), "license")
-    return rows.filter("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+    """digest, license, beginning (the first two words): one row per digest (the first
+    licence by name where two agree)."""
+    rows = spark.createDataFrame(known, "license string, text string").select("license", canonical(F.col("text")).alias("text")).filter("text is not null")
+    beginning = F.substring_index("text", " ", 2).alias("beginning")
+    return rows.groupBy(F.md5(F.col("text").cast("binary")).alias("digest"), beginning).agg(F.min("license").alias("license"))
+
+
+def may_be_known(unit: Column, beginnings: list[str]) -> Column:
+    """False only for one-line texts in usual spelling whose canonical form starts with
+    none of ``beginnings`` (one or two words).  What a canonical form leaves out of one
+    line is its end, or a copyright before one of ``STARTS``, or one behind a title of
+    two or more words: so it keeps the first two words, or the line holds a start."""
+    words = "|".join(NO_WORD.join(re.escape(w) for w in b.split(" ")) for b in sorted(beginnings))
+    test = unit.rlike(rf"^(?:{NO_WORD})?(?:{words})(?![\p{{L}}\p{{N}}])") if beginnings else F.lit(False)
+    for start in STARTS:
+        test = test | unit.contains(start)
+    return test
 
 
 def units(text: Column) -> Column:
@@ -212,19 +263,22 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: st
     """doc_id, digest, license (of the whole text, else null), notices (licences of
     its lines and sentences, comma-separated in order, else null) and n_notices."""
     known = known_texts() + titled_texts() if known is None else known
-    table = known_digests(docs.sparkSession, known)
+    table = cut(known_digests(docs.sparkSession, known))
+    beginnings = [r.beginning for r in table.select("beginning").distinct().limit(MAX_BEGINNINGS + 1).collect()]
     # The list comes from the caller; broadcast up to a fixed length, shuffled beyond.
     small = (lambda d: F.broadcast(d)) if len(known) <= MAX_BROADCAST_DIGESTS else (lambda d: d)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"), F.crc32(text).alias("crc"), text.alias("text"))
-    whole = rows.select("doc_id", "row", "crc", digest(F.col("text")).alias("digest"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"), F.crc32(text).alias("crc"), usual_spelling(text).alias("text"))
+    whole = rows.select("doc_id", "row", "crc", F.md5(bare(F.col("text")).cast("binary")).alias("digest"))
     parts = rows.select("doc_id", "row", "crc", F.posexplode(units(F.col("text"))).alias("k", "unit"))
-    parts = parts.withColumn("d", digest(F.col("unit"))).select("doc_id", "row", "crc", "k", "d")
+    if len(beginnings) <= MAX_BEGINNINGS:
+        parts = parts.filter(may_be_known(F.col("unit"), beginnings))
+    parts = parts.withColumn("d", F.md5(bare(F.col("unit")).cast("binary"))).select("doc_id", "row", "crc", "k", "d")
     hits = parts.join(small(table.select(F.col("digest").alias("kd"), "license")), F.col("d") == F.col("kd"))
     # The same place of rows alike in doc_id and text counts once.
     hits = hits.select("doc_id", "row", "crc", "k", "license").distinct().groupBy("doc_id", "row", "crc")
     hits = cut(hits.agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"), F.count(F.lit(1)).alias("n_notices")))
     hits = hits.select(F.col("doc_id").alias("hi"), F.col("row").alias("hr"), F.col("crc").alias("hc"), "notices", "n_notices")
-    out = whole.join(small(table.withColumnRenamed("digest", "kd")), F.col("digest") == F.col("kd"), "left")
+    out = whole.join(small(table.select(F.col("digest").alias("kd"), "license")), F.col("digest") == F.col("kd"), "left")
     out = out.join(hits, same(F.col("doc_id"), F.col("hi")) & (F.col("row") == F.col("hr")) & (F.col("crc") == F.col("hc")), "left")
     return out.select("doc_id", "digest", "license", "notices", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))

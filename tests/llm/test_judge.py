@@ -140,6 +140,30 @@ def test_license_files_with_titles_and_in_one_line(spark, docs_of):
     assert [got[i] for i in range(len(files))] == [spdx for spdx, _ in files]
 
 
+def test_license_shipped_files(spark, docs_of):
+    files = C.file_texts()
+    assert {spdx for spdx, _ in files} == {spdx for spdx, _ in C.FILES} and min(len(t) for _, t in files) > 6000
+    rows = files + [(spdx, " ".join(t.upper().split())) for spdx, t in files if "Copyright (" not in t] + [(None, t[: len(t) // 2]) for _, t in files]
+    got = {r.doc_id: r.license for r in C.scan(docs_of([(i, t) for i, (_, t) in enumerate(rows)])).collect()}
+    assert [got[i] for i in range(len(rows))] == [spdx for spdx, _ in rows]
+
+
+def test_license_guard_leaves_out_no_known_unit(spark, monkeypatch):
+    """With and without the test of beginnings the same units are found."""
+    mit = " ".join(C.TEXTS["MIT"].split())
+    names = [n for ns in C.NAMES.values() for n in ns]
+    heads = ["", "* ", "12) ", "(c) 2020 X ", "Copyright 2020 X. ", "\r", "2020 Copyright X\r", "Ⅷ ", "MIT License Copyright (c) 2020 X ", "the ", "Σ. "]
+    tails = ["", ".", "!! ", "\r", " Copyright 2020 X", "\rCopyright 2020 X", " more"]
+    known = C.known_texts() + [("one", "ok"), ("two", "MIT"), ("line", mit.replace(". ", ", ")), ("mark", "© of all")]
+    bodies = [f.format(n) for f in C.FORMS for n in names[::4]] + ["ok", "mit", "MIT License", known[-2][1], "© of all", "of all", "nothing"]
+    rows = [(i, h + b + t) for i, (h, b, t) in enumerate((h, b, t) for h in heads for b in bodies for t in tails)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: sorted((r.doc_id, r.notices, r.n_notices) for r in C.scan(docs, known).filter("n_notices > 0").collect())
+    with_test = found()
+    monkeypatch.setattr(C, "MAX_BEGINNINGS", 1)
+    assert found() == with_test and len(with_test) > 500
+
+
 # ---------------------------------------------------------------------------
 # Quality
 # ---------------------------------------------------------------------------

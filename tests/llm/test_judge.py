@@ -236,21 +236,70 @@ def test_quality_resists_a_group_of_many_outliers(spark, docs_of, bad):
 def test_scatter_resists_outliers(spark):
     """MCD of a contaminated group is that of its clean part; brute-force distance agrees."""
     rng = np.random.default_rng(3)
-    clean = rng.multivariate_normal([1, 2, 0, -1], np.diag([1, 2, 1.5, 1]) + 0.4, 800)
-    bad = rng.normal(12, 0.5, (150, 4))
+    d = len(Q.STATS)
+    clean = rng.multivariate_normal([1, 2, 0, -1, 1][:d], np.diag([1, 2, 1.5, 1, 1.2][:d]) + 0.4, 800)
+    bad = rng.normal(12, 0.5, (150, d))
     rows = [("g", *map(float, x)) for x in np.concatenate([clean, bad])]
     df = spark.createDataFrame(rows, "key string, " + ", ".join(f"{s} double" for s in Q.STATS)).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(Q.SALTS)).cast("int"))
     e = Q.estimate(df).first()
-    assert all(abs(e[f"m{i}"] - clean.mean(0)[i]) < 0.25 for i in range(4))
-    low = np.array([[e[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+    assert all(abs(e[f"m{i}"] - clean.mean(0)[i]) < 0.25 for i in range(d))
+    low = np.array([[e[f"l{i}{j}"] if j <= i else 0 for j in range(d)] for i in range(d)])
     scatter = low @ low.T
     x = df.crossJoin(spark.createDataFrame([e]).drop("key")).withColumn("d", Q._distance()).limit(5).collect()
     for r in x:
-        v = np.array([r[s] for s in Q.STATS]) - [e[f"m{i}"] for i in range(4)]
+        v = np.array([r[s] for s in Q.STATS]) - [e[f"m{i}"] for i in range(d)]
         assert math.isclose(r.d, v @ np.linalg.solve(scatter, v), rel_tol=1e-6)
     assert np.linalg.det(scatter) < 4 * np.linalg.det(np.cov(clean.T) + np.diag(np.square(Q.FLOORS)))
 
 
+def independent_mcd(v):
+    """Concentration steps in numpy from the same start, and the reweighted estimate."""
+    d, floor = v.shape[1], np.square(Q.FLOORS)
+    half, ball = (len(v) + d + 1) // 2, np.random.default_rng(0).normal(size=(400_000, d))
+    r = np.square(ball).sum(1)
+
+    def consistent(share):
+        return 1 / ball[r <= np.quantile(r, share)].var()
+
+    def distances(m, c):
+        return np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(c), v - m)
+
+    m = np.median(v, 0)
+    c = np.diag(np.square(1.4826 * np.median(np.abs(v - m), 0)) + floor)
+    for _ in range(100):
+        near = v[np.argsort(distances(m, c), kind="stable")[:half]]
+        m, c = near.mean(0), np.cov(near.T, bias=True) * consistent(half / len(v)) + np.diag(floor)
+    near = v[distances(m, c) <= np.quantile(r, 0.975)]
+    return near.mean(0), np.cov(near.T, bias=True) * consistent(0.975) + np.diag(floor)
+
+
+def test_estimate_agrees_with_an_independent_one(spark):
+    rng = np.random.default_rng(11)
+    d = len(Q.STATS)
+    v = np.concatenate([rng.multivariate_normal(np.arange(d), np.diag(np.linspace(0.5, 2, d)) + 0.3, 900), rng.normal(9, 1, (200, d))])
+    df = spark.createDataFrame([("g", *map(float, x)) for x in v], "key string, " + ", ".join(f"{s} double" for s in Q.STATS)).withColumn("salt", F.lit(0))
+    e = Q.estimate(df).first()
+    low = np.array([[e[f"l{i}{j}"] if j <= i else 0 for j in range(d)] for i in range(d)])
+    centre, scatter = independent_mcd(v)
+    assert np.allclose([e[f"m{i}"] for i in range(d)], centre, atol=0.05)
+    assert np.allclose(low @ low.T, scatter, atol=0.12)
+
+
+def test_sources_of_different_spread_judge_the_same_text_differently(spark, docs_of):
+    """Capitals: rare and steady in one source, of any share in another."""
+    rng = random.Random(12)
+
+    def capitals(share):
+        return " ".join(w.capitalize() if rng.random() < share else w for w in prose(rng, 150).split())
+
+    rows = [(i, capitals(0.1), "en", "steady") for i in range(200)] + [(200 + i, capitals(rng.uniform(0.05, 0.9)), "en", "varied") for i in range(200)]
+    text = capitals(0.6)
+    rows += [(1000, text, "en", "steady"), (1001, text, "en", "varied")]
+    got = {r.doc_id: r for r in Q.judge(docs_of(rows)).collect()}
+    assert not got[1000].kept and got[1001].kept and got[1000].distance > 4 * got[1001].distance
+    assert not got[1000].base_failed and sum(not got[i].kept for i in range(400)) <= 4
+
+
 # ---------------------------------------------------------------------------
 # Embeddings
 # ---------------------------------------------------------------------------

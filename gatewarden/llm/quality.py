@@ -1,17 +1,22 @@
 """Quality rules: robust multivariate outliers per language and source (operator 9).
 
-Each whole text gives base counts and a vector of transformed statistics.  Per
+Each whole text gives base counts and a vector of transformed statistics in which
+clean texts differ too: mean word length, share of characters that are no letters,
+share of capitals, share of words met before in their block of ``BLOCK`` words; and
+the share of repeated lines, which most texts do not have.  Per
 (language, source) a minimum-covariance-determinant estimate of centre and
 scatter is found by concentration steps: from medians and median deviations,
-take the half-plus share ((n + 5) / 2 of n) of vectors with the smallest
+take the half-plus share ((n + d + 1) / 2 of n) of vectors with the smallest
 Mahalanobis distances, estimate anew, and repeat until the determinant stops
 falling.  The vectors within the 0.975 quantile of that estimate give the final
-one.  A text whose squared distance exceeds the cutoff on the side of more noise
-is rejected.
+one.  A text whose squared distance exceeds the cutoff is rejected where a statistic
+stands out on the side of more noise.  Statistics over few words scatter more, so
+distances of n words are weighed by n / (n + ``STEADY_WORDS``).
 
 Groups too small for an estimate use that of their language, and languages too
-small that of the whole table.  A noise floor on each variance keeps groups of
-nearly equal vectors (all without symbols, say) from rejecting tiny deviations.
+small that of the whole table.  Where half the vectors agree in a statistic (the
+exact fit of the method: no capitals, no repeated line) its scatter is zero, and a
+floor well below the spread of usual texts takes its place.
 
 Defined results: null text or text without a word has zero counts, fails the
 base rules and is not kept.  Null languages and sources are groups of their own.
@@ -21,6 +26,7 @@ decide.  Repeated rows are judged alike.  Only built-in expressions run.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,25 +36,37 @@ from .common import SPACE_PATTERN, WORD_PATTERN, cut
 
 SHINGLE = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-STATS = ("f_len", "f_sym", "f_dup", "f_rep")
-ESTIMATE = (*[f"m{i}" for i in range(len(STATS))], *[f"l{i}{j}" for i in range(len(STATS)) for j in range(i + 1)])
-#: Standard deviations that each statistic has at least (noise floors); a ninth of
-#: what a percentage can reach (log1p(100) = 4.6), so that each alone can be an outlier.
-FLOORS = (0.06, 0.5, 0.5, 0.5)
+STATS = ("f_len", "f_mark", "f_up", "f_same", "f_dup")
+LOWER = [(i, j) for i in range(len(STATS)) for j in range(i + 1)]
+#: Centre, Cholesky factor of the scatter and the inverse of that factor.
+ESTIMATE = (*[f"m{i}" for i in range(len(STATS))], *[f"l{i}{j}" for i, j in LOWER], *[f"w{i}{j}" for i, j in LOWER])
+#: Standard deviations that each statistic has at least.  Measured scatter of the first
+#: four is two to four times as large; repeated lines have none among most texts.
+FLOORS = (0.03, 0.07, 0.07, 0.07, 0.5)
+#: Words of a block in which words met before are counted (texts of any length compare).
+BLOCK = 50
+#: Shares below which differences of a logarithm of a share mean little.
+SMALL_MARK, SMALL_UP, SMALL_SAME = 0.01, 0.01, 0.02
+#: Words from which on a text weighs more than half of its distance.
+STEADY_WORDS = 200
 #: Shares of a group at which distances are cut; a group takes the first that holds
 #: the half-plus share.
 SHARES = tuple(0.5 + k / 200 for k in range(101))
+MAX_STEPS = 500
 #: A determinant that falls by less than this part has stopped falling.
-SETTLED = 1e-6
+SETTLED = 1e-4
 #: Squared distance up to which vectors feed the final estimate (0.975 quantile).
-REWEIGHT_SHARE, REWEIGHT_CUTOFF = 0.975, 11.143
+REWEIGHT_SHARE, REWEIGHT_CUTOFF = 0.975, 12.833
 #: Lines added to each text's number of lines where their repeats are judged: one chance
 #: repeat among four lines is no fault, most lines of a text alike are.
 EXTRA_LINES = 20
-MIN_GROUP = 80
+#: Five texts for each statistic.
+MIN_GROUP = 5 * len(STATS)
 SALTS = 32
-#: Squared distance: the chi-square quantile of 4 degrees at 0.999.
-CUTOFF = 18.47
+#: Squared distance: the chi-square quantile of 5 degrees at 0.999.
+CUTOFF = 20.515
+#: Deviations by which a statistic stands out.
+STANDS_OUT = 3.0
 
 
 def _words(text: Column) -> Column:
@@ -60,15 +78,20 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _window_hashes(words: Column) -> Column:
-    """Hashes of all 8-word windows, by doubling: pairs, fours, eights."""
+def _window_hashes(one: Column) -> Column:
+    """Hashes of all 8-word windows from those of the words, by doubling: pairs, fours, eights."""
 
     def double(h: Column, by: int) -> Column:
         n = F.greatest(F.size(h) - by, F.lit(0))
         return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(by + 1), n), lambda a, b: F.xxhash64(a, b))
 
-    one = F.transform(words, lambda w: F.xxhash64(w))
-    return _let(one, lambda h: _let(double(h, 1), lambda h2: _let(double(h2, 2), lambda h4: double(h4, 4))))
+    return _let(double(one, 1), lambda h2: _let(double(h2, 2), lambda h4: double(h4, 4)))
+
+
+def _distinct_in_blocks(hashes: Column) -> Column:
+    """Distinct words of every block of ``BLOCK`` words, summed."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(hashes), F.lit(1)), F.lit(BLOCK))
+    return F.aggregate(starts, F.lit(0).cast("long"), lambda a, k: a + F.size(F.array_distinct(F.slice(hashes, k, F.lit(BLOCK)))))
 
 
 def _covered(hashes: Column) -> Column:
@@ -88,14 +111,18 @@ def _covered(hashes: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
-    """n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words of every whole text."""
+    """n_words, word_chars, n_symbols, n_letters, n_upper, n_distinct, n_lines, n_dup_lines,
+    n_repeat_words of every whole text."""
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_PATTERN))
 
     def from_hashes(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h)).otherwise(F.lit(0).cast("long"))
 
-    words = _let(_words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), _let(_window_hashes(w), from_hashes).alias("rep")))
+    def per_word(h: Column) -> Column:
+        return F.struct(F.size(h).cast("long").alias("n"), _distinct_in_blocks(h).alias("distinct"), _let(_window_hashes(h), from_hashes).alias("rep"))
+
+    words = _let(F.transform(_words(t), lambda w: F.xxhash64(w)), per_word)
     per_line = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
     d = docs.select(
         *keep,
@@ -103,31 +130,36 @@ def base_counts(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
         per_line.alias("l"),
         (F.char_length(t) - F.regexp_count(t, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        # Letters with the marks that scripts write beside them.
+        F.char_length(F.regexp_replace(t, r"[^\p{L}\p{M}]+", "")).cast("long").alias("n_letters"),
+        F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
     )
     rest = [c for c in d.columns if c not in ("w", "l")]
-    return d.select(*rest, F.col("w.n").alias("n_words"), F.col("w.rep").alias("n_repeat_words"), F.col("l.n").alias("n_lines"), F.col("l.dup").alias("n_dup_lines"))
+    return d.select(*rest, F.col("w.n").alias("n_words"), F.col("w.distinct").alias("n_distinct"), F.col("w.rep").alias("n_repeat_words"), F.col("l.n").alias("n_lines"), F.col("l.dup").alias("n_dup_lines"))
 
 
 def statistics() -> list[Column]:
     """Transformed statistics, larger for worse texts but the first, which has two sides."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    percent = lambda part, whole: F.log1p(F.lit(100.0) * part / whole)
+    chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
+    share = lambda part, whole, small: F.log(small + part / whole)
     return [
-        F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n).alias("f_len"),
-        percent(F.col("n_symbols"), n).alias("f_sym"),
-        percent(F.col("n_dup_lines"), F.col("n_lines") + EXTRA_LINES).alias("f_dup"),
-        percent(F.col("n_repeat_words"), n).alias("f_rep"),
+        F.log(chars / n).alias("f_len"),
+        share(F.col("word_chars") - F.col("n_letters"), chars, SMALL_MARK).alias("f_mark"),
+        share(F.col("n_upper"), chars, SMALL_UP).alias("f_up"),
+        share(F.col("n_words") - F.col("n_distinct"), n, SMALL_SAME).alias("f_same"),
+        F.log1p(F.lit(100.0) * F.col("n_dup_lines") / (F.col("n_lines") + EXTRA_LINES)).alias("f_dup"),
     ]
 
 
-def _beside(rows: DataFrame, small: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
-    """``rows`` (with a column salt) left-joined to a table of one row per group: the
+def _beside(rows: DataFrame, small: DataFrame, on: list[tuple[str, str]], how: str = "left") -> DataFrame:
+    """``rows`` (with a column salt) joined to a table of one row per group: the
     small side is copied to every salt, so a hot group's rows stay spread out."""
     copies = small.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     match = F.col("salt") == F.col("__s")
     for a, b in on:
         match = match & F.col(a).eqNullSafe(F.col(b))
-    return rows.join(copies, match, "left").drop("__s", *[b for _, b in on])
+    return rows.join(copies, match, how).drop("__s", *[b for _, b in on])
 
 
 def _groups(vectors: DataFrame, min_group: int) -> DataFrame:
@@ -146,63 +178,69 @@ def _groups(vectors: DataFrame, min_group: int) -> DataFrame:
 
 
 def _scatter(rows: DataFrame) -> DataFrame:
-    """Centre m_i, the Cholesky factor l_ij of the scatter and its determinant det, per
-    key, from rows with the correction of their share."""
+    """Centre m_i, the Cholesky factor l_ij of the scatter, its inverse w_ij and the
+    determinant det, per key, from rows with the correction of their share; old_det is
+    the determinant det of the rows."""
     d = len(STATS)
-    sums = [F.avg(a).alias(f"m{i}") for i, a in enumerate(STATS)]
-    sums += [F.covar_pop(a, b).alias(f"c{i}{j}") for i, a in enumerate(STATS) for j, b in enumerate(STATS) if j <= i]
-    e = rows.groupBy("key").agg(F.first("correction").alias("correction"), *sums)
-    for i in range(d):
-        for j in range(i + 1):
-            c = F.col(f"c{i}{j}") * F.col("correction")
-            c = c + F.lit(FLOORS[i] ** 2) if i == j else c
-            for k in range(j):
-                c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            e = e.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(FLOORS[i] ** 2))) if i == j else c / F.col(f"l{j}{j}"))
-    det = F.pow(F.col("l00") * F.col("l11") * F.col("l22") * F.col("l33"), 2).alias("det")
-    return e.select("key", *ESTIMATE, det)
-
-
-def _distance(prefix: str = "") -> Column:
-    """Squared Mahalanobis distance by forward substitution."""
-    y: list[Column] = []
-    for i, a in enumerate(STATS):
-        v = F.col(a) - F.col(f"m{i}")
-        for k in range(i):
-            v = v - F.col(f"l{i}{k}") * y[k]
-        y.append(v / F.col(f"l{i}{i}"))
-    total = y[0] * y[0]
-    for v in y[1:]:
-        total = total + v * v
-    return total
-
-
+    sums = [f"avg({a}) AS m{i}" for i, a in enumerate(STATS)] + [f"covar_pop({STATS[i]}, {STATS[j]}) AS c{i}{j}" for i, j in LOWER]
+    e = rows.groupBy("key").agg(*map(F.expr, ["first(correction) AS correction", "first(det) AS old_det", *sums]))
+    # Each column may use those before it.
+    columns = ["key", "old_det", *[f"m{i}" for i in range(d)]]
+    for j in range(d):
+        for i in range(j, d):
+            rest = f"c{i}{j} * correction" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            floor = f"{FLOORS[j] ** 2!r}D"
+            columns.append(f"sqrt(greatest({rest} + {floor}, {floor})) AS l{j}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    for i, j in LOWER:
+        row = " + ".join(f"l{i}{k} * w{k}{j}" for k in range(j, i))
+        columns.append(f"1D / l{i}{i} AS w{i}{i}" if i == j else f"-({row}) / l{i}{i} AS w{i}{j}")
+    columns.append(f"pow({' * '.join(f'l{i}{i}' for i in range(d))}, 2) AS det")
+    return e.selectExpr(*columns).select("key", *ESTIMATE, "det", "old_det")
+
+
+def _distance() -> Column:
+    """Squared Mahalanobis distance."""
+    rows = [" + ".join(f"w{i}{j} * ({STATS[j]} - m{j})" for j in range(i + 1)) for i in range(len(STATS))]
+    return F.expr(" + ".join(f"pow({r}, 2)" for r in rows))
+
+
+def _chi2(x: float, k: int) -> float:
+    """Distribution function of chi-square with k degrees."""
+    y, odd = x / 2, k % 2
+    at, p = (0.5, math.erf(math.sqrt(y))) if odd else (1.0, 1 - math.exp(-y))
+    while at < k / 2:
+        p -= y**at * math.exp(-y) / math.gamma(at + 1)
+        at += 1
+    return p
+
+
+@functools.cache
 def consistency(d: int, share: float) -> float:
     """Factor that makes the scatter of the closest ``share`` of a normal sample
-    consistent: share / P(chi2[d+2] <= quantile of chi2[d] at share), d even."""
-    cdf = lambda x, k: 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(k // 2))
+    consistent: share / P(chi2[d+2] <= quantile of chi2[d] at share)."""
     lo, hi = 0.0, 200.0
     for _ in range(100):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if cdf(mid, d) < share else (lo, mid)
-    return share / cdf(lo, d + 2)
+        lo, hi = (mid, hi) if _chi2(mid, d) < share else (lo, mid)
+    return share / _chi2(lo, d + 2)
 
 
 def _near(vectors: DataFrame, est: DataFrame) -> DataFrame:
-    """Rows with their squared distance d2 (null where ``est`` has no such key)."""
-    rows = _beside(vectors, est.select(F.col("key").alias("k"), *ESTIMATE), [("key", "k")])
-    return rows.withColumn("d2", _distance()).select("key", "salt", *STATS, "d2")
+    """The rows of the keys in ``est`` with their squared distance d2."""
+    rows = _beside(vectors, est.select(F.col("key").alias("k"), *ESTIMATE, "det"), [("key", "k")], "inner")
+    return rows.withColumn("d2", _distance()).select("key", "salt", *STATS, "d2", "det")
 
 
 def _concentrate(vectors: DataFrame, est: DataFrame) -> DataFrame:
-    """One concentration step of the keys in ``est``."""
-    near = _near(vectors, est).filter("d2 is not null")
+    """One concentration step of the keys in ``est``; moving: the determinant fell."""
+    near = _near(vectors, est)
     half = F.floor((F.col("n") + len(STATS) + 1) / 2) / F.col("n")
     place = F.least(F.ceil((half - SHARES[0]) * 200 - 1e-9), F.lit(len(SHARES) - 1)).cast("int")
-    factors = F.array(*[F.lit(consistency(len(STATS), x)) for x in SHARES])
+    factors = F.expr(f"array({', '.join(f'{consistency(len(STATS), x)!r}D' for x in SHARES)})")
     at = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("d2", list(SHARES), 10000).alias("cuts"))
     at = at.select(F.col("key").alias("k"), F.get("cuts", place).alias("at"), F.get(factors, place).alias("correction"))
-    return _scatter(_beside(near, at, [("key", "k")]).filter(F.col("d2") <= F.col("at")))
+    new = _scatter(_beside(near, at, [("key", "k")]).filter(F.col("d2") <= F.col("at")))
+    return new.select("key", *ESTIMATE, "det", (F.col("det") < F.col("old_det") * (1 - SETTLED)).alias("moving"))
 
 
 def estimate(vectors: DataFrame) -> DataFrame:
@@ -213,18 +251,20 @@ def estimate(vectors: DataFrame) -> DataFrame:
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(len(STATS))],
         *[F.percentile_approx(F.abs(F.col(a) - F.col(f"m{i}")), 0.5, 10000).alias(f"s{i}") for i, a in enumerate(STATS)],
     )
-    zero = [F.lit(0.0).alias(f"l{i}{j}") for i in range(len(STATS)) for j in range(i)]
-    diag = [F.sqrt(F.pow(F.col(f"s{i}") * 1.4826, 2) + FLOORS[i] ** 2).alias(f"l{i}{i}") for i in range(len(STATS))]
-    start = dev.select("key", *[f"m{i}" for i in range(len(STATS))], *zero, *diag)
-    best = cut(_concentrate(vectors, start))
-    moving = best
-    # A step never raises the determinant but by rounding of the cuts, so this ends.
-    while not moving.isEmpty():
-        new = _concentrate(vectors, moving).withColumnRenamed("det", "new_det")
-        moving = cut(new.join(moving.select(F.col("key").alias("k"), "det"), F.col("key") == F.col("k")).filter(F.col("new_det") < F.col("det") * (1 - SETTLED)).select("key", *ESTIMATE, F.col("new_det").alias("det")))
-        best = cut(best.join(moving.select("key"), "key", "left_anti").unionByName(moving))
-    near = _near(vectors, best).filter(F.col("d2") <= REWEIGHT_CUTOFF)
-    return cut(_scatter(near.withColumn("correction", F.lit(consistency(len(STATS), REWEIGHT_SHARE)))).drop("det"))
+    spread = [F.sqrt(F.pow(F.col(f"s{i}") * 1.4826, 2) + FLOORS[i] ** 2) for i in range(len(STATS))]
+    first = [(spread[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in LOWER]
+    first += [(1 / spread[i] if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i, j in LOWER]
+    start = dev.select("key", *[f"m{i}" for i in range(len(STATS))], *first, F.lit(float("inf")).alias("det"), F.lit(True).alias("moving"))
+    # One job a step: settled keys pass through, the others move on.
+    state = cut(start)
+    for _ in range(MAX_STEPS):
+        state = cut(_concentrate(vectors, state.filter("moving")).unionByName(state.filter("NOT moving")))
+        if state.filter("moving").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"estimates still change after {MAX_STEPS} steps")
+    near = _near(vectors, state).filter(F.col("d2") <= REWEIGHT_CUTOFF)
+    return cut(_scatter(near.withColumn("correction", F.lit(consistency(len(STATS), REWEIGHT_SHARE)))).drop("det", "old_det"))
 
 
 def judge(
@@ -250,12 +290,14 @@ def judge(
     enough = fed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_group).select("key")
     est = estimate(fed).join(enough, "key", "left_semi")
     known = groups.join(est, groups["judge"] == est["key"], "left").drop("feeds", "key")
-    out = _beside(rows, known, on).withColumn("distance", _distance())
-    # Fewer symbols or repeats than usual is no fault: only vectors beyond the centre count.
+    steady = F.col("n_words") / (F.col("n_words") + F.lit(float(STEADY_WORDS)))
+    out = _beside(rows, known, on).withColumn("distance", _distance() * steady)
+    # Fewer marks or repeats than usual are no fault; of word lengths both sides are.
     worse = F.lit(False)
     for i, a in enumerate(STATS):
         gap = F.col(a) - F.col(f"m{i}")
-        worse = worse | ((F.abs(gap) if i == 0 else gap) > 3 * F.lit(FLOORS[i]))
+        spread = sum((F.pow(F.col(f"l{i}{j}"), 2) for j in range(i + 1)), F.lit(0.0))
+        worse = worse | ((F.abs(gap) if i == 0 else gap) > STANDS_OUT * F.sqrt(spread))
     outlier = F.coalesce((F.col("distance") > cutoff) & worse, F.lit(False))
     return out.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",

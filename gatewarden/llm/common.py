@@ -28,13 +28,15 @@ def limit_arrow_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
-    Only where the session names none (tests) a folder of our own is set."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.  A session
+    that names none must be local (tests): then a folder of this machine serves, and the
+    context remembers it."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="gatewarden-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -106,16 +108,16 @@ def _nearest(edges: DataFrame, salts: int) -> DataFrame:
     return salted.join(low, (F.col("u") == F.col("__u")) & (F.col("__k") == F.col("__s"))).select("u", "v", "m")
 
 
-def connected_components(edges: DataFrame, salts: int = 8, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, salts: int = 8) -> DataFrame:
     """Components of an undirected graph: edges (a, b) of any orderable type ->
     (node, component), component the smallest node.  Smallest nodes themselves
     have no row.  Alternating large-star and small-star rounds over distributed
-    tables; only a count and a checksum reach the driver.
+    tables, until a round changes nothing; only a count and a checksum reach the driver.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") != F.col("v"))
     e = cut(e.distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = _nearest(both, salts)
         large = near.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
@@ -124,6 +126,5 @@ def connected_components(edges: DataFrame, salts: int = 8, max_rounds: int = 60)
         e = cut(small.select("e.*").filter(F.col("u") != F.col("v")).distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = tuple(now)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

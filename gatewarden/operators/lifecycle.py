@@ -39,30 +39,30 @@ from .scans import DEFAULT_BUCKET_S, ScanSpec, as_timestamp, bucket_of, micros,
 # ---------------------------------------------------------------------------
 
 
+#: Buckets of each key in the first level of a tail.
+TAIL_BUCKETS = 32
+
+
 def tail_per_source(
     lines: DataFrame,
     n: int = C.GATEWAY_LOG_LINES,
     keys: Sequence[str] = ("deployment_id", "source"),
     ts: str = "ts",
     seq: str = "seq",
-    bucket_s: int = DEFAULT_BUCKET_S,
 ) -> DataFrame:
     """Ring buffer: the newest ``n`` lines per key, with ``newest_rank`` (1 = newest).
 
-    For ``n`` up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by
-    default) Catalyst plans a ``WindowGroupLimit`` that pre-limits every map
-    partition before the shuffle, so a hot key ships at most ``n`` rows per
-    map task.  Beyond the threshold the pre-limit is done explicitly per
-    ``(key, time bucket)`` so a hot key never lands whole in one task.
+    In two levels for every ``n``: the newest ``n`` of each (key, hash bucket of the
+    row), then of each key.  The last task of a hot key reads at most
+    ``TAIL_BUCKETS * n`` rows, however many partitions the input has.  For ``n`` up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default) Catalyst also
+    limits every map partition before each shuffle (``WindowGroupLimit``).
     """
     keys = list(keys)
     order = [F.col(ts).desc(), F.col(seq).desc()]
-    threshold = int(lines.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    src = lines
-    if n > threshold:
-        bkt = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(int(bucket_s)))
-        w_pre = Window.partitionBy(*keys, bkt).orderBy(*order)
-        src = src.withColumn("__rn", F.row_number().over(w_pre)).filter(F.col("__rn") <= n).drop("__rn")
+    bucket = F.pmod(F.xxhash64(F.col(ts), F.col(seq)), F.lit(TAIL_BUCKETS))
+    per_bucket = Window.partitionBy(*keys, bucket).orderBy(*order)
+    src = lines.withColumn("__rn", F.row_number().over(per_bucket)).filter(F.col("__rn") <= n).drop("__rn")
     w = Window.partitionBy(*keys).orderBy(*order)
     return src.withColumn("newest_rank", F.row_number().over(w)).filter(F.col("newest_rank") <= n)
 

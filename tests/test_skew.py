@@ -58,7 +58,7 @@ def test_tail_above_window_group_limit_threshold(spark):
     old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
     try:
-        got = sorted((r.deployment_id, r.seq, r.newest_rank) for r in L.tail_per_source(lines, n=50, bucket_s=86400).collect())
+        got = sorted((r.deployment_id, r.seq, r.newest_rank) for r in L.tail_per_source(lines, n=50).collect())
     finally:
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
     by = {}

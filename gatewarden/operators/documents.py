@@ -164,6 +164,41 @@ def parse_doc(doc: Column) -> Column:
     return F.from_json(doc, DOC_MAP)
 
 
+def _deepest(docs: DataFrame, doc: str) -> int:
+    """The most objects open at once in any JSON document."""
+    bare = F.regexp_replace(F.col(doc), r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    braces = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(a["top"], now).alias("top"))
+
+    return docs.filter(F.try_parse_json(doc).isNotNull()).agg(F.max(F.aggregate(braces, start, step)["top"])).first()[0] or 0
+
+
+def document_leaves(docs: DataFrame, doc: str = "doc", key: str = "deployment_id") -> DataFrame:
+    """``(key, path, value)``: every scalar and every empty object or array of JSON
+    documents, of any depth; a text that is no JSON object is one row with path ``$``.
+
+    One pass opens a level after the other, as many as the deepest document has
+    (counted first); rows that are leaves already pass through.
+    """
+    v = F.try_parse_json(doc)
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    at = lambda path, value: F.struct(path.alias("path"), value.alias("v"))
+    rows = docs.select(key, F.when(~is_object, F.col(doc)).alias("plain"), at(F.lit("$"), F.when(is_object, v)).alias("at"))
+    path, value = F.col("at.path"), F.col("at.v")
+    kind = F.coalesce(F.schema_of_variant(value), F.lit(""))
+    for _ in range(_deepest(docs, doc)):
+        entries = F.map_entries(F.from_json(F.to_json(value), DOC_MAP))
+        inner = F.transform(entries, lambda e: at(F.concat(path, F.lit("."), e["key"]), e["value"]))
+        nested = kind.startswith("OBJECT") & (F.to_json(value) != "{}")
+        rows = rows.select(key, "plain", F.explode(F.when(nested, inner).otherwise(F.array(F.col("at")))).alias("at"))
+    leaf = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json(value)).otherwise(F.try_variant_get(value, "$", "string"))
+    return rows.select(key, path.alias("path"), F.coalesce("plain", leaf).alias("value"))
+
+
 def remove_provider(docs: DataFrame, name: str, doc: str = "doc") -> DataFrame:
     """Delete ``providers[name]``; clear ``active_provider`` only if it was ``name``.
     A document that is unreadable, or whose ``providers`` is there but no object,

@@ -266,31 +266,10 @@ def credential_presence_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.customer_refresh_tokens(spark, sf_dir)
 
 
-DOC_DEPTH = 6
-
-
-def _doc_leaves(df: DataFrame) -> DataFrame:
-    """The written documents as (deployment_id, path, value): every scalar and every
-    empty object or array; a text that is no JSON object is one row with path ``$``."""
-    v = F.try_parse_json("doc")
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    front = df.filter(is_object).select("deployment_id", F.lit("$").alias("path"), v.alias("v"))
-    out = df.filter(~is_object).select("deployment_id", F.lit("$").alias("path"), F.col("doc").alias("value"))
-    for _ in range(DOC_DEPTH):
-        kind = F.schema_of_variant("v")
-        text = F.try_variant_get("v", "$", "string")
-        nested = kind.startswith("OBJECT") & (F.to_json("v") != "{}")
-        leaf = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json("v")).otherwise(text)
-        out = out.unionByName(front.filter(~nested).select("deployment_id", "path", leaf.alias("value")))
-        front = front.filter(nested).select("deployment_id", "path", F.explode(F.from_json(F.to_json("v"), D.DOC_MAP)).alias("k", "v"))
-        front = front.select("deployment_id", F.concat("path", F.lit("."), "k").alias("path"), "v")
-    return out
-
-
 @query("remove_provider")
 def remove_provider_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove the device-flow provider from every credential document; all leaves."""
-    return _doc_leaves(D.remove_provider(X.provider_docs(spark, sf_dir), "xai-oauth"))
+    return D.document_leaves(D.remove_provider(X.provider_docs(spark, sf_dir), "xai-oauth"))
 
 
 @query("upsert_provider")
@@ -303,7 +282,7 @@ def upsert_provider_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     discovery = {"authorization_endpoint": "https://auth.example.com/authorize", "token_endpoint": "https://auth.example.com/token"}
     out = D.upsert_provider(docs, "xai-oauth", tokens, F.lit(X.AS_OF).cast("timestamp"), extra={"discovery": discovery})
-    return _doc_leaves(out)
+    return D.document_leaves(out)
 
 
 @query("inject_html")

@@ -133,3 +133,21 @@ def test_last_of_equal_json_keys_counts(spark):
     doc = '{"providers": {"xai-oauth": {"tokens": {"refresh_token": ""}}}, "providers": {"xai-oauth": {"tokens": {"refresh_token": "x"}}}}'
     df = spark.createDataFrame([("d", doc)], "deployment_id string, doc string")
     assert D.credential_presence(df).first().has_refresh_token is True
+
+
+def test_document_leaves_of_any_depth(spark):
+    deep, path = "1", "$"
+    for i in range(12):
+        deep, path = '{"k%d": %s, "t": "}{\\"{"}' % (11 - i, deep), path + f".k{i}"
+    docs = spark.createDataFrame(
+        [("deep", deep), ("flat", '{"a": [1, {"b": 2}], "e": {}, "n": null, "s": "x"}'), ("empty", "{}"), ("list", "[1]"), ("bad", "{{{{"), ("none", None)],
+        "deployment_id string, doc string",
+    )
+    got = {}
+    for r in D.document_leaves(docs).collect():
+        got.setdefault(r.deployment_id, {})[r.path] = r.value
+    assert got["deep"][path] == "1" and len(got["deep"]) == 13 and got["deep"]["$.k0.t"] == '}{"{'
+    assert got["flat"] == {"$.a": '[1,{"b":2}]', "$.e": "{}", "$.n": None, "$.s": "x"}
+    assert got["empty"] == {"$": "{}"} and got["list"] == {"$": "[1]"} and got["bad"] == {"$": "{{{{"} and got["none"] == {"$": None}
+    plan = D.document_leaves(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "Exchange" not in plan

@@ -226,3 +226,38 @@ def test_read_pairing_dir(spark):
     entries, corrupt = read_pairing_dir(spark, os.path.join(root, "*"), "pending", deployment_from_path=r"/([^/]+)/[^/]+$")
     assert [(r.deployment_id, r.platform, r.entry_key, r.user_id) for r in entries.collect()] == [("dep1", "telegram", "ab", "7")]
     assert [r.name for r in corrupt.collect()] == ["bad-pending.json"]
+
+
+def test_dotenv_tree_round_trip(spark):
+    from gatewarden.operators.settings import render_dotenv
+    from gatewarden.sources.dotenv_tree import read_dotenv_tree, write_dotenv_tree
+
+    root = os.path.join(tempfile.mkdtemp(prefix="gw-tree-"), "new")
+    kind = "deployment_id string, key string, value string"
+    first = [("d1", "LLM_MODEL", "m"), ("d1", "X", "1=2 é"), ("d1", "E", ""), ("d2", "SLACK_BOT_TOKEN", "xoxb-1"), *[(f"e{i}", "K", str(i)) for i in range(30)]]
+    s = spark.createDataFrame(first, kind)
+    write_dotenv_tree(s, root)
+    back = read_dotenv_tree(spark, root).select("deployment_id", "key", "value")
+    assert sorted(map(tuple, back.collect())) == sorted(r for r in first if r[2])
+    texts = {r.deployment_id: r.text for r in render_dotenv(s).collect()}
+    read = lambda d: open(os.path.join(root, d, ".env"), encoding="utf-8").read()
+    assert {d: read(d) for d in os.listdir(root)} == texts
+    # An emptied deployment's file has no byte; others stay; no other file is left over.
+    write_dotenv_tree(spark.createDataFrame([("d1", "X", ""), ("d3", "X", "1")], kind), root)
+    assert read("d1") == "" and read("d2") == texts["d2"] and read("d3") == "# Other\nX=1\n"
+    assert all(os.listdir(os.path.join(root, d)) == [".env"] for d in os.listdir(root))
+    assert "d1" not in {r.deployment_id for r in read_dotenv_tree(spark, root).collect()}
+
+
+def test_dotenv_tree_fails_loudly(spark):
+    import pytest
+
+    from gatewarden.sources.dotenv_tree import read_dotenv_tree, write_dotenv_tree
+
+    root = tempfile.mkdtemp(prefix="gw-tree-")
+    with pytest.raises(Exception, match="missing"):
+        read_dotenv_tree(spark, os.path.join(root, "missing")).count()
+    with pytest.raises(Exception, match="no folder name"):
+        write_dotenv_tree(spark.createDataFrame([("../x", "K", "1")], "deployment_id string, key string, value string"), root)
+    assert os.listdir(root) == []
+    assert read_dotenv_tree(spark, root).count() == 0

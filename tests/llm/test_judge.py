@@ -364,3 +364,22 @@ def test_no_link_is_lost_within_a_probed_list():
     got = {(a, b) for u, v in E.link_block(ix, 0, x, x, codes, errors, E.COSINE) for a, b in zip(u.tolist(), v.tolist())}
     want = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= E.COSINE))}
     assert got == want
+
+
+@pytest.mark.parametrize("lists", [128, 1024])
+def test_recall_with_many_more_lists_than_probes(lists):
+    """Pairs at cosine 0.95 to 0.97, hardly above the threshold: either side probes the
+    other's own list."""
+    rng = np.random.default_rng(4)
+    n, d = 8000, 64
+    x = E._unit(rng.normal(size=(n, d)))
+    aside = rng.normal(size=(n, d))
+    aside = E._unit(aside - (aside * x).sum(1, keepdims=True) * x)
+    cosine = rng.uniform(0.95, 0.97, (n, 1))
+    y = cosine * x + np.sqrt(1 - cosine**2) * aside
+    ix = E.Index(np.concatenate([x, y])[rng.permutation(2 * n)[:8192]], lists)
+    assert len(ix.centres) == lists > 10 * E.PROBES
+    px, py = E._nearest(x, ix.centres, E.PROBES), E._nearest(y, ix.centres, E.PROBES)
+    found = (px == py[:, :1]).any(1) | (py == px[:, :1]).any(1)
+    print("recall", lists, found.mean())
+    assert found.mean() >= 0.97

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
@@ -74,6 +77,53 @@ def timestamp_of(us: int) -> pd.Timestamp:
     return pd.Timestamp(us, unit="us")
 
 
+#: Shards that keys are dealt to where a call for each key would cost more than its
+#: rows, and the pages of a shard's states.
+SHARDS, PAGES = 4096, 16
+#: Stands for a null time, as the least of all.
+NO_TIME = -9223372036854776
+
+
+def shard_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SHARDS)).cast("int")
+
+
+def micros_col(ts: str) -> Column:
+    return F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(NO_TIME))
+
+
+class PagedStates:
+    """States (JSON values) of the keys of one shard in ``MapState``, a page an entry.
+
+    A call of the processor reads and writes each page that it touches once, however
+    many of the page's keys it changes; pages that it does not touch are not read.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str):
+        self.pages = handle.getMapState(f"{name}_pages", "page int", "states string")
+
+    def load(self) -> None:
+        self.open: dict[int, dict[str | None, Any]] = {}
+
+    def _page(self, key: str | None) -> dict[str | None, Any]:
+        p = zlib.crc32((key or "").encode()) % PAGES
+        if p not in self.open:
+            # Pairs, as a key may be null.
+            self.open[p] = dict(json.loads(self.pages.getValue((p,))[0])) if self.pages.containsKey((p,)) else {}
+        return self.open[p]
+
+    def get(self, key: str | None) -> Any:
+        return self._page(key).get(key)
+
+    def put(self, key: str | None, state: Any) -> None:
+        self._page(key)[key] = state
+
+    def save(self) -> None:
+        for p, states in self.open.items():
+            if states:
+                self.pages.updateValue((p,), (json.dumps(list(states.items())),))
+
+
 class HeldRows:
     """Rows of one key in event order: a priority queue in ``MapState``.
 

@@ -1,7 +1,7 @@
 """ST5: latest lifecycle status per deployment, kept by a stream.
 
-A stateful processor keyed by deployment folds lifecycle events into
-(state, pid, run start, restarts) exactly like the batch
+A stateful processor, called once for a shard of deployments, folds lifecycle events
+into (state, pid, run start, restarts) of each deployment exactly like the batch
 :func:`gatewarden.operators.lifecycle.lifecycle_state`, and emits the new
 status of every deployment touched by a micro-batch.  An event older than the
 last one applied changes no state (its restart still counts).  The sink is a
@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.lifecycle import LIVE_AFTER, SPAWNING, STATE_AFTER, STATE_EVENTS, STOP_IN_FLIGHT_AFTER
-from .common import HeldRows, micros_of, timestamp_of
+from .common import HeldRows, PagedStates, micros_col, shard_of
+
+_COLS = ["deployment_id", "event_us", "state", "pid", "run_us", "restarts"]
+_SCHEMA = "deployment_id string, event_us long, state string, pid long, run_us long, restarts long"
+#: state, time and seq of the last event applied, live, stop in flight, run start, run pid, restarts
+_NEW = (None, None, None, False, False, None, None, 0)
 
-OUTPUT_SCHEMA = "deployment_id string, event_ts timestamp, state string, pid long, run_started_at timestamp, restarts long"
-_COLS = ["deployment_id", "event_ts", "state", "pid", "run_started_at", "restarts"]
 
 def _next_state(event: str, live: bool, stop_in_flight: bool) -> str | None:
     """State that an event leads to, None where it changes nothing."""
@@ -40,42 +43,46 @@ class StatusProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = HeldRows(handle, "held", self.bucket_s)
-        self.st = handle.getValueState(
-            "status",
-            "state string, last_ts timestamp, last_seq long, live boolean, stop_in_flight boolean, run_ts timestamp, run_pid long, restarts long",
-        )
+        self.states = PagedStates(handle, "status")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.st.exists():
-            state, last_ts, last_seq, live, stopping, run_ts, run_pid, restarts = self.st.get()
-        else:
-            state, last_ts, last_seq, live, stopping, run_ts, run_pid, restarts = None, None, None, False, False, None, None, 0
-        # Schedules, cancellations, lock clean-ups change no state.
-        new = (
-            (micros_of(r.ts), int(r.seq), r.event, None if pd.isna(pid := getattr(r, "pid", None)) else int(pid))
-            for frame in rows
-            for r in frame.itertuples(index=False)
-            if r.event in STATE_EVENTS
-        )
-        for ripe in self.held.in_order(new):
-            for t, seq, e, pid in ripe:
+        self.states.load()
+        now: dict[str | None, list] = {}
+
+        def new() -> Iterator[tuple]:
+            for frame in rows:
+                pids = frame["pid"] if "pid" in frame.columns else [None] * len(frame)
+                for dep, us, seq, event, pid in zip(frame["deployment_id"], frame["us"], frame["seq"], frame["event"], pids):
+                    if dep not in now:
+                        now[dep] = list(self.states.get(dep) or _NEW)
+                    # Schedules, cancellations, lock clean-ups change no state.
+                    if event in STATE_EVENTS:
+                        yield int(us), int(seq), dep, event, None if pd.isna(pid) else int(pid)
+
+        for ripe in self.held.in_order(new()):
+            for us, seq, dep, e, pid in ripe:
+                st = now[dep]
+                state, last_us, last_seq, live, stopping, run_us, run_pid, restarts = st
                 restarts += e in ("restart", "respawn")
-                ts = timestamp_of(t).to_pydatetime()
-                if last_ts is not None and (ts, seq) < (pd.Timestamp(last_ts).to_pydatetime(), last_seq):
+                if last_us is not None and (us, seq) < (last_us, last_seq):
+                    st[7] = restarts
                     continue
                 if e == "restart" or (e in SPAWNING and not live):
-                    run_ts, run_pid = ts, pid
+                    run_us, run_pid = us, pid
                 state = _next_state(e, live, stopping) or state
-                live = LIVE_AFTER.get(e, live)
-                stopping = STOP_IN_FLIGHT_AFTER.get(e, stopping)
-                last_ts, last_seq = ts, seq
-        if last_ts is None:
-            return
-        self.st.update((state, last_ts, last_seq, live, stopping, run_ts, run_pid, int(restarts)))
-        shown = state == "running"
-        yield pd.DataFrame(
-            [(key[0], last_ts, state or "stopped", run_pid if shown else None, run_ts if shown else None, int(restarts))], columns=_COLS
-        )
+                st[:] = state, us, seq, LIVE_AFTER.get(e, live), STOP_IN_FLIGHT_AFTER.get(e, stopping), run_us, run_pid, restarts
+        out: list[tuple] = []
+        for dep, st in now.items():
+            state, last_us, _, _, _, run_us, run_pid, restarts = st
+            if last_us is None:
+                continue
+            self.states.put(dep, st)
+            shown = state == "running"
+            out.append((dep, last_us, state or "stopped", run_pid if shown else None, run_us if shown else None, restarts))
+        self.states.save()
+        if out:
+            # Objects: whole numbers stay whole beside nulls.
+            yield pd.DataFrame(out, columns=_COLS, dtype=object)
 
     def close(self) -> None:
         pass
@@ -83,13 +90,14 @@ class StatusProcessor(StatefulProcessor):
 
 def status_stream(events: DataFrame) -> DataFrame:
     """lifecycle events (deployment_id, ts, seq, event[, pid]) -> one status row per touched deployment and batch."""
-    cols = ["deployment_id", "ts", "seq", "event"] + (["pid"] if "pid" in events.columns else [])
-    return (
-        events.select(*cols)
-        .groupBy("deployment_id")
-        .transformWithStateInPandas(
-            statefulProcessor=StatusProcessor(), outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="None"
-        )
+    cols = ["seq", "event"] + (["pid"] if "pid" in events.columns else [])
+    out = (
+        events.select(shard_of("deployment_id").alias("shard"), "deployment_id", micros_col("ts").alias("us"), *cols)
+        .groupBy("shard")
+        .transformWithStateInPandas(statefulProcessor=StatusProcessor(), outputStructType=_SCHEMA, outputMode="Append", timeMode="None")
+    )
+    return out.select(
+        "deployment_id", F.timestamp_micros("event_us").alias("event_ts"), "state", "pid", F.timestamp_micros("run_us").alias("run_started_at"), "restarts"
     )
 
 

@@ -3,7 +3,8 @@
 Input rows are settings of whole snapshots (deployment_id, ts, key, value): one
 snapshot of a deployment is all its rows of one ``ts``.  The state of a deployment
 is its newest snapshot's flags of the catalogue's settings (at most one entry for
-each, whatever the snapshot holds); a snapshot emits a row for each integration
+each, whatever the snapshot holds; a call of the processor serves a shard of
+deployments); a snapshot emits a row for each integration
 whose flag differs from the last one emitted, and the first one all of them.
 Snapshots of one micro-batch (or batch frame) apply in order of time; one that
 comes in several micro-batches adds to itself; older ones change nothing.
@@ -14,7 +15,6 @@ Folded to the newest row of each (deployment_id, kind, name) the rows equal
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,11 +25,13 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions import constants as C
 from ..functions.text import bool_like, truthy
 from ..operators.settings import Registry, integration_catalogue
-from .common import HeldRows, micros_of, timestamp_of
+from .common import HeldRows, PagedStates, micros_col, shard_of
 
-OUTPUT_SCHEMA = "deployment_id string, ts timestamp, kind string, name string, configured boolean"
+_SCHEMA = "deployment_id string, us long, kind string, name string, configured boolean"
 _UNSET = ("", False, False)
-_COLS = ["deployment_id", "ts", "kind", "name", "configured"]
+_COLS = ["deployment_id", "us", "kind", "name", "configured"]
+#: Rows given out at once.
+_OUT_ROWS = 20_000
 
 
 class IntegrationProcessor(StatefulProcessor):
@@ -37,38 +39,54 @@ class IntegrationProcessor(StatefulProcessor):
         self.catalogue = catalogue
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # found: settings key -> [value, as provider, as channel] of the newest snapshot;
-        # shown: 0 or 1 for each catalogue entry, as last emitted.
-        self.snapshot = handle.getValueState("snapshot", "ts_us long, found string, shown string")
+        # Of each deployment: the time of its newest snapshot; found: settings key ->
+        # [value, as provider, as channel] of that; shown: 0 or 1 for each catalogue
+        # entry, as last emitted.
+        self.states = PagedStates(handle, "snapshot")
         self.held = HeldRows(handle, "held", 86400)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ts, found, shown = self.snapshot.get() if self.snapshot.exists() else (None, "{}", None)
-        found = json.loads(found)
+        self.states.load()
+        now: dict[str | None, list] = {}
         out: list[tuple] = []
 
-        def show() -> None:
-            nonlocal shown
-            now = [found.get(s, _UNSET)[2 if kind == "channel" else 1] for kind, _, s, _ in self.catalogue]
-            for i, ((kind, name, _, _), flag) in enumerate(zip(self.catalogue, now)):
-                if shown is None or shown[i] != "01"[flag]:
-                    out.append((key[0], timestamp_of(ts), kind, name, flag))
-            shown = "".join("01"[flag] for flag in now)
-
-        new = (
-            (micros_of(r.ts), 0, r.key, r.value, bool(r.as_provider), bool(r.as_channel)) for frame in rows for r in frame.itertuples(index=False)
-        )
-        for ripe in self.held.in_order(new):
-            for t, _, setting, *flags in ripe:
-                if ts is None or t > ts:
-                    if ts is not None:
-                        show()
-                    ts, found = t, {}
+        def show(dep: str | None, state: list) -> None:
+            us, found, shown = state
+            flags = [found.get(s, _UNSET)[2 if kind == "channel" else 1] for kind, _, s, _ in self.catalogue]
+            state[2] = "".join("01"[flag] for flag in flags)
+            if state[2] != shown:
+                for i, ((kind, name, _, _), flag) in enumerate(zip(self.catalogue, flags)):
+                    if shown is None or shown[i] != "01"[flag]:
+                        out.append((dep, us, kind, name, flag))
+
+        def new() -> Iterator[tuple]:
+            for frame in rows:
+                for dep, us, *setting, provider, channel in zip(*(frame[c] for c in ("deployment_id", "us", "key", "value", "as_provider", "as_channel"))):
+                    yield int(us), 0, dep, *setting, bool(provider), bool(channel)
+
+        for ripe in self.held.in_order(new()):
+            for us, _, dep, setting, *flags in ripe:
+                state = now.get(dep)
+                if state is None:
+                    state = now[dep] = self.states.get(dep) or [None, {}, None]
+                if state[0] is None or us > state[0]:
+                    if state[0] is not None:
+                        show(dep, state)
+                    state[0], state[1] = us, {}
                 # Of several values of one key the greatest counts, as in the batch pivot.
-                if t == ts and setting is not None and (setting not in found or flags[0] > found[setting][0]):
+                found = state[1]
+                if us == state[0] and setting is not None and (setting not in found or flags[0] > found[setting][0]):
                     found[setting] = flags
-        show()
-        self.snapshot.update((ts, json.dumps(found), shown))
+            if len(out) >= _OUT_ROWS:
+                yield pd.DataFrame(out, columns=_COLS)
+                out.clear()
+        for dep, state in now.items():
+            show(dep, state)
+            self.states.put(dep, state)
+            if len(out) >= _OUT_ROWS:
+                yield pd.DataFrame(out, columns=_COLS)
+                out.clear()
+        self.states.save()
         if out:
             yield pd.DataFrame(out, columns=_COLS)
 
@@ -83,16 +101,18 @@ def integration_stream(settings: DataFrame, registry: Registry = C.REGISTRY) ->
     catalogue = integration_catalogue(registry)
     wanted = F.col("key").isin(*sorted({s for _, _, s, _ in catalogue}))
     rows = settings.select(
+        shard_of("deployment_id").alias("shard"),
         "deployment_id",
-        "ts",
+        micros_col("ts").alias("us"),
         F.when(wanted, F.col("key")).alias("key"),
         F.when(wanted, F.coalesce("value", F.lit(""))).alias("value"),
         truthy("value").alias("as_provider"),
         bool_like("value").alias("as_channel"),
     )
-    return rows.groupBy("deployment_id").transformWithStateInPandas(
-        statefulProcessor=IntegrationProcessor(catalogue), outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="None"
+    changes = rows.groupBy("shard").transformWithStateInPandas(
+        statefulProcessor=IntegrationProcessor(catalogue), outputStructType=_SCHEMA, outputMode="Append", timeMode="None"
     )
+    return changes.select("deployment_id", F.timestamp_micros("us").alias("ts"), "kind", "name", "configured")
 
 
 def latest_integrations(changes: DataFrame) -> DataFrame:

@@ -411,3 +411,57 @@ def test_st5_integrations_equal_batch_and_emit_changes_only(spark):
     assert later == [("a", "channel", True), ("a", "provider", False), ("b", "channel", False)]
     whole = spark.read.parquet(os.path.join(root, "in"))
     assert sorted(map(str, integration_stream(whole).collect())) == sorted(map(str, got.collect()))
+
+
+class _Handle:
+    """State of one key in memory, in place of Spark's handle."""
+
+    class _Map(dict):
+        containsKey = dict.__contains__
+        getValue = dict.get
+        updateValue = dict.__setitem__
+        removeKey = dict.__delitem__
+
+    def __init__(self):
+        self.states = {}
+
+    def getMapState(self, name, *schemas):
+        return self.states.setdefault(name, self._Map())
+
+    def getValueState(self, name, *schemas):
+        return None
+
+
+def test_st5_calls_serve_many_deployments():
+    """One call of a processor, and one state entry, serves all deployments of a page."""
+    import pandas as pd
+
+    from gatewarden.functions import constants as C
+    from gatewarden.operators.settings import integration_catalogue
+    from gatewarden.streaming.integrations import IntegrationProcessor
+    from gatewarden.streaming.status import StatusProcessor
+
+    names = [None, *[f"d{i}" for i in range(300)]]
+    handle, cols = _Handle(), ["deployment_id", "us", "seq", "event", "pid"]
+    status = StatusProcessor()
+    status.init(handle)
+    first = pd.DataFrame([(d, 10 + i, i, "start", 2**60 + i) for i, d in enumerate(names)] + [("quiet", 1, 1, "backoff", 5)], columns=cols)
+    got = pd.concat(status.handleInputRows((7,), iter([first[:100], first[100:]]), None))
+    assert [tuple(r)[:4] for r in got.itertuples(index=False)] == [(d, 10 + i, "running", 2**60 + i) for i, d in enumerate(names)]
+    assert 0 < len(handle.states["status_pages"]) <= common.PAGES
+    # Later rows find the states; older ones change nothing; deployments that are not touched show nothing.
+    then = pd.DataFrame([("d3", 900, 900, "exit", None), (None, 900, 901, "restart", 4), ("d5", 1, 0, "exit", None)], columns=cols)
+    got = pd.concat(status.handleInputRows((7,), iter([then]), None))
+    assert {r.deployment_id: (r.state, r.event_us, r.restarts) for r in got.itertuples()} == {
+        "d3": ("error", 900, 0), None: ("running", 900, 1), "d5": ("running", 16, 0),
+    }
+
+    handle, cols = _Handle(), ["deployment_id", "us", "key", "value", "as_provider", "as_channel"]
+    flags = IntegrationProcessor(integration_catalogue(C.REGISTRY))
+    flags.init(handle)
+    key = next(s for kind, _, s, _ in flags.catalogue if kind != "channel")
+    frame = pd.DataFrame([(d, 5, key, "k", True, True) for d in names] + [("d1", 6, None, None, False, False)], columns=cols)
+    got = pd.concat(flags.handleInputRows((7,), iter([frame]), None))
+    assert (got[got.us == 5].groupby("deployment_id", dropna=False).size() == len(flags.catalogue)).all()
+    assert set(got[got.us == 6].deployment_id) == {"d1"} and not got[got.us == 6].configured.any()
+    assert not list(flags.handleInputRows((7,), iter([frame[:10]]), None))

@@ -6,14 +6,11 @@ position with the probability of the weighted Jaccard similarity; positions are
 banded, texts that share a band are candidates, and candidates are verified by
 the exact weighted Jaccard similarity of the whole texts.
 
-The inverse document frequency is ln(1 + 1/share), scaled to 1, where share is the
-part of the documents that hold the shingle but at least ``COMMON``: passages in a
-quarter of all documents and more weigh less.  The floor is that high because a
-group of near copies may itself be a third of the rows: what its members share
-must not be discounted to the point where they no longer look alike.  It also
-bounds the table of common shingles (mean shingles of a text / COMMON entries).
-Its entries are found exactly: a shingle that is common overall is common in at
-least one chunk, so chunks propose, and a second pass counts the proposals.
+The inverse document frequency is ln(1 + texts / frequency); the frequency is the exact
+number of distinct texts that hold the shingle, counted for every shingle.  Texts are
+dealt to chunks by hash; each chunk sends its distinct shingles, packed and in hash
+ranges, to be merged with those of all chunks, and gets back the frequencies of those
+that other texts hold too.  No table of shingles is sent to all tasks or the driver.
 
 Equal texts are one class from the start and never paired.
 
@@ -26,13 +23,14 @@ which one stays.  An empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, limit_arrow_batches, same, table_in_shared_dir, text_key
@@ -41,10 +39,15 @@ from .links import link_components
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
-COMMON = 0.25
+#: A shingle that a quarter of the texts hold weighs 1.
+UNIT = np.log1p(4)
 #: Five standard deviations of the agreement of BANDS x ROWS samples below 0.8.
 MIN_AGREEMENT = 16
-CHUNK = 4_000_000
+#: Bytes of text in a chunk; there are as many hash ranges as chunks, up to MAX_RANGES.
+CHUNK_BYTES = 8 << 20
+MAX_RANGES = 4096
+#: Texts that a task remembers to send equal ones once.
+SEEN = 1_000_000
 MAX_BROADCAST_KEYS = 200_000
 GROUP_BLOCK = 256
 WORD_CACHE = 500_000
@@ -82,21 +85,39 @@ def shingles(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
     return np.unique(_mix(s), return_counts=True)
 
 
+def idf(frequencies: np.ndarray, documents: int) -> np.ndarray:
+    return np.log1p(documents / frequencies) / UNIT
+
+
+def pack_frequencies(frequencies: np.ndarray) -> bytes:
+    """Frequencies in the order of a text's shingles (most are 1)."""
+    return zlib.compress(frequencies.astype("<u8").tobytes(), 1)
+
+
+def weigh(counts: np.ndarray, packed: bytes, documents: int) -> np.ndarray:
+    return counts * idf(np.frombuffer(zlib.decompress(packed), "<u8"), documents)
+
+
+def lookup(s: np.ndarray, keys: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
+    """Frequencies of the shingles s, 1 of those that are not among the sorted keys."""
+    out = np.ones(len(s), np.uint64)
+    if len(keys) and len(s):
+        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+        hit = keys[at] == s
+        out[hit] = frequencies[at[hit]]
+    return out
+
+
 class Weights:
-    """Inverse document frequencies: 1 but for the listed common shingles."""
+    """Weights by the frequencies of all shingles that several texts hold."""
 
     def __init__(self, common: dict[int, int], documents: int):
         self.keys = np.array(sorted(common), np.uint64)
-        share = np.array([max(common[int(k)] / max(documents, 1), COMMON) for k in self.keys], float)
-        self.idf = np.log1p(1 / share) / np.log1p(1 / COMMON)
+        self.frequencies = np.array([common[int(k)] for k in self.keys], np.uint64)
+        self.documents = documents
 
     def __call__(self, s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = counts.astype(float)
-        if len(self.keys) and len(s):
-            at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
-            hit = self.keys[at] == s
-            w[hit] *= self.idf[at[hit]]
-        return w
+        return counts * idf(lookup(s, self.keys, self.frequencies), self.documents)
 
 
 def _gamma2_quantiles(n: int) -> np.ndarray:
@@ -124,8 +145,9 @@ class Sampler:
         best = np.full(len(self.seeds), np.inf)
         out = np.zeros(len(self.seeds), np.uint64)
         log_w = np.log(w)
-        for i in range(0, len(s), chunk):
-            part, lw = s[i : i + chunk], log_w[i : i + chunk]
+        # Most weights are 1, which need no level.
+        sides = ((s[at], log_w[at]) for at in (log_w == 0, log_w != 0))
+        for part, lw in ((h[i : i + chunk], v[i : i + chunk]) for h, v in sides for i in range(0, len(h), chunk)):
             x = _mix(self.seeds[:, None] ^ part[None, :])
             r = self.r[x & np.uint64(0xFFFF)]
             log_a = self.log_c[(x >> np.uint64(16)) & np.uint64(0xFFFF)]
@@ -155,73 +177,107 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / (a[1].sum() + b[1].sum() - shared))
 
 
-def common_shingles(docs: DataFrame, text_col: str = "text") -> Weights:
-    """The exact counts of shingles that at least COMMON of the documents hold."""
-    texts = docs.select(F.col(text_col).alias("text"))
+def worded(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, held, n = WordHashes(), [], 0, 0
 
-        def chunk():
-            s, c = np.unique(np.concatenate(parts), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            often = c >= COMMON * n
-            got = s[often].view(np.int64)
-            # The row with a null shingle carries the number of documents.
-            return pa.RecordBatch.from_arrays([pa.array([None, *got.tolist()], pa.int64()), pa.array([n, *[0] * len(got)], pa.int64())], names=["s", "n"])
+def chunks_of(docs: DataFrame, text: Column, size: int) -> DataFrame:
+    """chunk, key, text of the texts with a word; of equal texts one for each task, all
+    in one chunk.  size: bytes of all texts, or more."""
+    chunk = F.pmod(F.xxhash64("key"), F.lit(max(-(-size // CHUNK_BYTES), 1))).cast("int")
+    rows = docs.filter(worded(text)).select(text_key(text).alias("key"), text.alias("text"))
 
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for batch in batches:
-            for text in batch.column(0):
-                s, _ = shingles(text.as_py(), hashes)
-                if len(s):
-                    parts.append(s)
-                    held += len(s)
-                    n += 1
-                if held >= CHUNK:
-                    yield chunk()
-                    parts, held, n = [], 0, 0
-        yield chunk()
-
-    proposed = cut(texts.mapInArrow(propose, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")))
-    documents = proposed.filter("s is null").select("n").first()
-    documents = int(documents[0]) if documents else 0
-    # Small chunks (fewer than a few documents) propose all they hold; a shuffled count handles any number of proposals.
-    few = [r["s"] for r in proposed.filter("s is not null").select("s").limit(1_000_001).collect()] if documents else []
-    if not few:
-        return Weights({}, documents)
-    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(few, np.int64).view(np.uint64))) if len(few) <= 1_000_000 else None
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fresh = []
+            for k in batch.column("key").to_pylist():
+                fresh.append(k not in seen)
+                seen.add(k)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield batch.filter(pa.array(fresh))
+
+    return rows.select(chunk.alias("chunk"), "key", "text").mapInArrow(first, "chunk int, key string, text string")
+
+
+def shared_frequencies(chunks: DataFrame, size: int) -> DataFrame:
+    """chunk, s, f: the shingles of a chunk (sorted, packed) that several distinct texts
+    of the table hold, with the number of those texts; some rows a chunk."""
+    ranges = min(max(-(-size // CHUNK_BYTES), 1), MAX_RANGES)
+
+    def lists(part: pd.DataFrame) -> pd.DataFrame:
         hashes = WordHashes()
-        for batch in batches:
-            parts = []
-            for text in batch.column(0):
-                s, _ = shingles(text.as_py(), hashes)
-                if wanted is not None and len(s):
-                    keys = wanted.value
-                    s = s[keys[np.minimum(np.searchsorted(keys, s), len(keys) - 1)] == s]
-                parts.append(s)
-            s, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(c)], names=["s", "c"])
-
-    counted = texts.mapInArrow(count, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).filter(F.col("c") >= COMMON * documents)
-    return Weights({int(np.int64(r["s"]).view(np.uint64)): r["c"] for r in counted.collect()}, documents)
-
-
-def signatures(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (the text's digest), sig (null without a word) of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sampler = WordHashes(), Sampler()
-        for batch in batches:
-            sigs = []
-            for text in batch.column("text"):
-                s, c = shingles(text.as_py(), hashes)
-                sigs.append(sampler(s, weights(s, c)).tolist() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "key", "sig"])
+        texts = part.drop_duplicates("key")["text"]
+        s, n = np.unique(np.concatenate([shingles(t, hashes)[0] for t in texts]), return_counts=True)
+        of = ((s >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        ends = np.searchsorted(of, np.arange(ranges + 1))
+        chunk, rows = int(part["chunk"].iloc[0]), []
+        for r, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])):
+            if lo < hi:
+                rows.append((r, chunk, s[lo:hi].astype("<u8").tobytes(), n[lo:hi].astype("<u4").tobytes()))
+        return pd.DataFrame(rows, columns=["range", "chunk", "s", "n"])
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        s = np.concatenate([np.frombuffer(b, "<u8") for b in part["s"]])
+        n = np.concatenate([np.frombuffer(b, "<u4") for b in part["n"]])
+        _, at = np.unique(s, return_inverse=True)
+        f = np.bincount(at, n)[at].astype("<u8")
+        rows, lo = [], 0
+        for chunk, b in zip(part["chunk"], part["s"]):
+            hi = lo + len(b) // 8
+            several = f[lo:hi] > 1
+            if several.any():
+                rows.append((chunk, s[lo:hi][several].tobytes(), f[lo:hi][several].tobytes()))
+            lo = hi
+        return pd.DataFrame(rows, columns=["chunk", "s", "f"])
+
+    packed = chunks.groupBy("chunk").applyInPandas(lists, "range int, chunk int, s binary, n binary")
+    return packed.groupBy("range").applyInPandas(merge, "chunk int, s binary, f binary")
+
+
+def unpacked(part: Any) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles and their frequencies from packed rows (s, f)."""
+    s = np.concatenate([np.empty(0, "<u8"), *[np.frombuffer(b, "<u8") for b in part["s"]]])
+    f = np.concatenate([np.empty(0, "<u8"), *[np.frombuffer(b, "<u8") for b in part["f"]]])
+    order = np.argsort(s)
+    return s[order], f[order]
+
+
+def text_size(docs: DataFrame, text: Column) -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(sign, f"doc_id {id_type}, key string, sig array<int>")
+
+def common_shingles(docs: DataFrame, text_col: str = "text") -> Weights:
+    """The exact frequencies of all shingles that several texts hold, on the driver: for
+    tables that it can hold.  :func:`near_duplicates` leaves them distributed."""
+    text = F.col(text_col)
+    documents = docs.filter(worded(text)).select(text_key(text)).distinct().count()
+    size = text_size(docs, text)
+    s, f = unpacked(shared_frequencies(chunks_of(docs, text, size), size).select("s", "f").toPandas())
+    return Weights(dict(zip(s.tolist(), f.tolist())), documents)
+
+
+def signatures(docs: DataFrame, documents: int, text_col: str = "text") -> DataFrame:
+    """key (the text's digest), sig and f (packed frequencies of its shingles) of every
+    distinct text with a word; documents: their number."""
+    text = F.col(text_col)
+    size = text_size(docs, text)
+    chunks = chunks_of(docs, text, size)
+    rare = float(idf(np.ones(1), documents)[0])
+
+    def sign(part: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        hashes, sampler, known, rows = WordHashes(), Sampler(), unpacked(shared), []
+        part = part.drop_duplicates("key")
+        for key, t in zip(part["key"], part["text"]):
+            s, c = shingles(t, hashes)
+            f = lookup(s, *known)
+            # In units of the rarest, as samples do not depend on the unit.
+            rows.append((key, sampler(s, np.where(f == 1, c, c * idf(f, documents) / rare)), pack_frequencies(f)))
+        return pd.DataFrame(rows, columns=["key", "sig", "f"])
+
+    shared = shared_frequencies(chunks, size)
+    return chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(sign, "key string, sig array<int>, f binary")
 
 
 def block_links(left: list, right: list, threshold: float) -> Iterator[tuple[int, int]]:
@@ -268,8 +324,8 @@ def block_links(left: list, right: list, threshold: float) -> Iterator[tuple[int
 class Verifier:
     """Exact tests of whole texts, for pairs and for groups of class nodes."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, weights: Weights, text_col: str, threshold: float):
-        self.docs, self.classes, self.weights, self.text_col, self.threshold = docs, classes, weights, text_col, threshold
+    def __init__(self, docs: DataFrame, classes: DataFrame, documents: int, text_col: str, threshold: float):
+        self.docs, self.classes, self.documents, self.text_col, self.threshold = docs, classes, documents, text_col, threshold
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose signatures do not rule out the threshold."""
@@ -278,55 +334,55 @@ class Verifier:
         return pairs.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b").filter(agree >= MIN_AGREEMENT).select("a", "b")
 
     def texts(self, nodes: DataFrame) -> DataFrame:
-        """node, text of some class nodes, written once."""
-        need = cut(nodes.distinct().join(self.classes.select("node", F.col("key").alias("k")), "node"))
+        """node, text, f (its packed frequencies) of some class nodes, written once."""
+        need = cut(nodes.distinct().join(self.classes.select("node", F.col("key").alias("k"), "f"), "node"))
         # Broadcast only what is counted to be small; otherwise the texts are shuffled to their keys.
         few = need.count() <= MAX_BROADCAST_KEYS
         texts = self.docs.select(text_key(F.col(self.text_col)).alias("key"), F.col(self.text_col).alias("text"))
         texts = texts.join(F.broadcast(need) if few else need, F.col("key") == F.col("k"))
-        return table_in_shared_dir(texts.groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+        return table_in_shared_dir(texts.groupBy("node").agg(F.any_value("text").alias("text"), F.any_value("f").alias("f")), "texts")
 
     def pairs(self, pairs: DataFrame) -> DataFrame:
-        weights, threshold = self.weights, self.threshold
+        documents, threshold = self.documents, self.threshold
 
         @F.pandas_udf("boolean")
-        def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def alike(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             hashes, last, left = WordHashes(), None, None
-            for xs, ys in batches:
+            for columns in batches:
                 out = []
-                for x, y in zip(xs, ys):
+                for x, fx, y, fy in zip(*columns):
                     if x != last:
                         s, c = shingles(x, hashes)
-                        last, left = x, (s, weights(s, c))
+                        last, left = x, (s, weigh(c, fx, documents))
                     s, c = shingles(y, hashes)
-                    out.append(similarity(left, (s, weights(s, c))) >= threshold)
+                    out.append(similarity(left, (s, weigh(c, fy, documents))) >= threshold)
                 yield pd.Series(out, dtype=bool)
 
         pairs = cut(self.likely(pairs))
         texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        return both.filter(alike("ta", "tb")).select("a", "b")
+        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb"), F.col("f").alias("fb")), "b")
+        both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta"), F.col("f").alias("fa")), "a")
+        return both.filter(alike("ta", "fa", "tb", "fb")).select("a", "b")
 
     def groups(self, groups: DataFrame, block: int = GROUP_BLOCK) -> DataFrame:
         """Links among the members (centre, node, component) of each group that are in
         different components.  A group is cut into blocks and each pair of blocks is
         one task's work, so a hot group spreads and no pair leaves a task but links."""
-        weights, threshold = self.weights, self.threshold
+        documents, threshold = self.documents, self.threshold
         per = groups.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         per = per.filter("lo < hi").select("centre", F.ceil(F.col("n") / F.lit(float(block))).cast("int").alias("blocks"))
         rows = cut(groups.join(per, "centre"))
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.join(self.texts(rows.select("node")), "node").select(
-            "centre", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "component", "text"
+            "centre", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "component", "text", "f"
         )
 
         def test(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
             hashes, sides = WordHashes(), {}
-            for own, node, component, text in zip(part["own"], part["node"], part["component"], part["text"]):
+            for own, node, component, text, f in zip(part["own"], part["node"], part["component"], part["text"], part["f"]):
                 s, c = shingles(text, hashes)
-                sides.setdefault(own, []).append((node, component, s, weights(s, c)))
+                sides.setdefault(own, []).append((node, component, s, weigh(c, f, documents)))
             left, right = sides.get(key[1], []), sides.get(key[2], [])
             found = list(block_links(left, right, threshold)) if left and right else []
             return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
@@ -338,20 +394,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, key, class_id (smallest doc_id of the group), copy_id (smallest doc_id
     with the very same text) and kept, for every row."""
     limit_arrow_batches(docs.sparkSession)
-    weights = common_shingles(docs, text_col)
-    rows = table_in_shared_dir(signatures(docs, weights, id_col, text_col), "signatures")
-    classes = rows.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.any_value("sig").alias("sig")).filter(F.col("sig").isNotNull())
-    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    text = F.col(text_col)
+    rows = table_in_shared_dir(docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("key"), worded(text).alias("worded")), "keys")
+    copies = cut(rows.filter("worded").groupBy("key").agg(F.min("doc_id").alias("copy_id")))
+    documents = copies.count()
+    signed = signatures(docs, documents, text_col)
+    classes = table_in_shared_dir(copies.join(signed, "key").withColumn("node", F.monotonically_increasing_id()), "signatures")
     bands = F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * ROWS + 1, ROWS)) for b in range(BANDS)])
     members = classes.select(F.explode(bands).alias("bucket"), "node", F.lit(True).alias("index"))
-    exact = Verifier(docs, classes, weights, text_col, threshold)
+    exact = Verifier(docs, classes, documents, text_col, threshold)
     parts, _ = link_components(members, exact.pairs, exact.groups)
     named = classes.join(parts, "node", "left").select("key", "copy_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min(F.struct("copy_id", "key")).alias("first"))
     known = named.join(least, "component").select(
         F.col("key").alias("k"), "copy_id", F.col("first.copy_id").alias("class_id"), (F.col("key") == F.col("first.key")).alias("stays")
     )
-    out = rows.select("doc_id", "key", F.col("sig").isNull().alias("bare")).join(known, F.col("key") == F.col("k"), "left")
+    out = rows.select("doc_id", "key", (~F.col("worded")).alias("bare")).join(known, F.col("key") == F.col("k"), "left")
     return out.select(
         "doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"),
         (F.col("bare") | (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("copy_id")))).alias("kept"),
@@ -366,7 +424,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = cut(found.select(F.col("doc_id").alias(f"i{tag}"), F.col("key").alias(f"k{tag}"), F.col("n").alias(f"n{tag}")))
     key = text_key(F.col(text_col))
     kept = docs.withColumn(f"t{tag}", key).join(found, same(F.col(id_col), F.col(f"i{tag}")) & (F.col(f"t{tag}") == F.col(f"k{tag}")))
-    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    many = (F.col(f"n{tag}") > 1) & worded
+    many = (F.col(f"n{tag}") > 1) & worded(F.col(text_col))
     once = kept.filter(many).dropDuplicates([f"i{tag}", f"k{tag}"])
     return kept.filter(~many).unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])

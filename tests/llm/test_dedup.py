@@ -293,3 +293,22 @@ def test_lines_that_share_a_segment_meet_in_finer_buckets(spark, docs_of, monkey
     for (i, a), (j, b) in itertools.combinations(enumerate(lines), 2):
         assert (got[i] == got[j]) == (root(a) == root(b))
     assert sum(seen) < 3000  # all pairs that share a segment: about 100 * 100 / 2 for each of three
+
+
+def test_every_shingle_weighs_by_the_texts_that_hold_it(spark, docs_of, monkeypatch):
+    """Frequencies far below a quarter of the texts count, over any number of chunks."""
+    monkeypatch.setattr(M, "CHUNK_BYTES", 2000)
+    rng = random.Random(8)
+    shared = prose(rng, 60)
+    notice = [(i, shared + " " + " ".join(f"own{i}w{k}" for k in range(8))) for i in range(30)]
+    rows = notice + [(100 + i, prose(rng, 80)) for i in range(300)] + [(500, notice[0][1]), (600, None), (601, " ")]
+    docs = docs_of(rows).repartition(3)
+    w = M.common_shingles(docs)
+    s, c = M.shingles(" ".join(shared.split()[:5]), M.WordHashes())
+    assert w.documents == 330
+    assert w(s, c) == pytest.approx([np.log1p(330 / 30) / np.log1p(4)])
+    # Alike by plain counts, told apart by what only one of them holds.
+    a, b = (M.shingles(t, M.WordHashes()) for _, t in notice[:2])
+    assert M.similarity(a, b) > 0.7 > 0.6 > M.similarity((a[0], w(*a)), (b[0], w(*b)))
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(docs.select("doc_id", "text"), threshold=0.7).collect()}
+    assert got == {i: 0 if i == 500 else i for i, _ in rows}

@@ -43,7 +43,9 @@ POPULATION = 4
 GENERATIONS = 8
 WELL_FILLED = 0.995
 ROUNDS = 3
-WORD_CACHE = 1_000_000
+#: Words, and runs of them, whose ids a worker remembers: so many newest and as many
+#: before them.  Workers live on between tasks, so both fill up, to some 120 MB.
+WORD_CACHE = 100_000
 
 Bins = list[list[int]]
 
@@ -63,6 +65,9 @@ class WordIds(dict):
     text are those of its words.  Most words are letters and closing marks, two
     runs that it encodes apart; their lower-case letters below U+0180 need no
     composing and go to its model directly.  All other words take its whole path.
+
+    When the newest words are as many as may be, they become the words before, so the
+    usual words stay known while rare ones go.
     """
 
     MARKS = ".,;:!?"
@@ -75,6 +80,8 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         self.characters = _byte_characters()
         self.runs: dict[str, bytes] = {}
+        self.words_before: dict[bytes, bytes] = {}
+        self.runs_before: dict[str, bytes] = {}
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
@@ -83,25 +90,32 @@ class WordIds(dict):
     def run(self, text: str) -> bytes:
         out = self.runs.get(text)
         if out is None:
+            out = self.runs_before.get(text)
+            if out is None:
+                sign = self.characters
+                out = self.packed([t.id for t in self.model.tokenize("".join([sign[b] for b in text.encode()]))])
             if len(self.runs) >= WORD_CACHE:
-                self.runs.clear()
-            sign = self.characters
-            out = self.packed([t.id for t in self.model.tokenize("".join([sign[b] for b in text.encode()]))])
+                self.runs, self.runs_before = {}, self.runs
             self.runs[text] = out
         return out
 
     def __missing__(self, word: bytes) -> bytes:
+        out = self.words_before.get(word)
+        if out is None:
+            out = self.encoded(word)
         if len(self) >= WORD_CACHE:
+            self.words_before = dict(self)
             self.clear()
+        self[word] = out
+        return out
+
+    def encoded(self, word: bytes) -> bytes:
         text = word.decode()
         letters = text.rstrip(self.MARKS)
         if letters.isalpha() and max(letters) < "\u0180" and "\u0130" not in letters:
             marks = text[len(letters) :]
-            out = self.run(letters.lower()) + (self.run(marks) if marks else b"")
-        else:
-            out = self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        self[word] = out
-        return out
+            return self.run(letters.lower()) + (self.run(marks) if marks else b"")
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=1)

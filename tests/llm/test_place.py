@@ -239,3 +239,14 @@ def test_take_repeats_rows(spark, docs_of):
 def test_mix_empty_table(spark, docs_of):
     assert X.mix(docs_of([]).select("doc_id", "text", "source")).count() == 0
     assert X.take(docs_of([])).count() == 0
+
+
+def test_remembered_words_are_bounded_and_give_the_same_ids(tokenizer, monkeypatch):
+    monkeypatch.setattr(P, "WORD_CACHE", 8)
+    words = P.WordIds(TOKENIZER)
+    rng = random.Random(4)
+    for _ in range(60):
+        text = prose(rng, 30) + " the the, The."
+        assert P.token_bytes(text, words) == words.packed(tokenizer.encode(text, add_special_tokens=False).ids + [P.END_ID])
+        assert max(map(len, (words, words.words_before, words.runs, words.runs_before))) <= 8
+    assert len(words.words_before) == len(words.runs_before) == 8

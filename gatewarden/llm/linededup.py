@@ -57,32 +57,43 @@ def takes_part(line: Column) -> Column:
     return F.char_length(line) >= MIN_CHARS
 
 
-def _places(line: Column, edits: int):
-    """Where a line looks for segments: (shorter, segment number, start, size, shift)
-    for every length that may match, the line's own segments at (0, ..., 0)."""
-    n, parts = F.char_length(line), edits + 1
-    for shorter in range(edits + 1):
-        length = n - shorter
-        base, extra = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-        for i in range(parts):
-            # The last `extra` segments are one character longer.
-            longer = F.greatest(F.lit(i) - (F.lit(parts) - extra), F.lit(0))
-            start = base * i + longer + 1
-            size = base + F.when(F.lit(i) >= F.lit(parts) - extra, 1).otherwise(0)
-            before, after = i, edits - i
-            for shift in range(max(-before, shorter - after), min(before, shorter + after) + 1):
-                yield shorter, i, start, size, shift
-
-
-def _bucket(line: Column, shorter: int, i: int, start: Column, size: Column, shift: int) -> Column:
-    return F.xxhash64(F.char_length(line) - shorter, F.lit(i), F.substring(line, start + shift, size))
-
-
-def probes(line: Column, edits: int = MAX_EDITS) -> Column:
-    """Buckets of a line: (hash of length, segment number and substring; whether
-    it is the line's own segment, so that other lines may find it there)."""
-    found = [F.struct(_bucket(line, *place).alias("bucket"), F.lit(place[0] == 0 and place[4] == 0).alias("index")) for place in _places(line, edits)]
-    return F.array(*found)
+def _places(edits: int) -> list[tuple[int, int, int]]:
+    """Where a line looks for segments: (shorter, segment number, shift) for every length
+    that may match, the line's own segments at (0, ..., 0)."""
+    return [
+        (shorter, i, shift)
+        for shorter in range(edits + 1)
+        for i in range(edits + 1)
+        for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1)
+    ]
+
+
+def _segments(lines: DataFrame, edits: int) -> DataFrame:
+    """A row for each place of each line: besides the columns of ``lines`` length, i, shift
+    and own of the place, start and size of the segment, and its bucket (hash of length,
+    segment number and substring)."""
+    parts = edits + 1
+    # Places are rows, not expressions of one row: so the code for a place stays short and
+    # a line's characters are counted once.
+    places = F.array(*[F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for shorter, i, shift in _places(edits)])
+    s = lines.withColumn("chars", F.char_length("line")).withColumn("raw", F.col("line").cast("binary"))
+    s = s.withColumn("plain", F.octet_length("line") == F.col("chars")).withColumn("place", F.explode(places))
+    s = s.withColumn("length", F.col("chars") - F.col("place.shorter")).withColumn("i", F.col("place.i")).withColumn("shift", F.col("place.shift"))
+    s = s.withColumn("base", F.floor(F.col("length") / parts).cast("int")).withColumn("extra", F.col("length") % parts)
+    # The last `extra` segments are one character longer.
+    longer = F.col("i") - (parts - F.col("extra"))
+    s = s.withColumn("start", F.col("base") * F.col("i") + F.greatest(longer, F.lit(0)) + 1).withColumn("size", F.col("base") + F.when(longer >= 0, 1).otherwise(0))
+    at = F.col("start") + F.col("shift")
+    # Of ASCII lines bytes are characters, found without walking up to them.
+    part = F.when(F.col("plain"), F.substring(F.col("raw"), at, F.col("size"))).otherwise(F.substring(F.col("line"), at, F.col("size")).cast("binary"))
+    own = (F.col("place.shorter") == 0) & (F.col("shift") == 0)
+    return s.select(*lines.columns, "length", "i", "shift", own.alias("own"), "start", "size", F.xxhash64("length", "i", part).alias("bucket"))
+
+
+def probes(lines: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
+    """(node, line) -> bucket, node, index: the buckets of each line; index: whether it is
+    the line's own segment, so that other lines may find it there."""
+    return _segments(lines.select("node", "line"), edits).select("bucket", "node", F.col("own").alias("index"))
 
 
 def _finer(members: DataFrame, edits: int) -> DataFrame:
@@ -93,24 +104,13 @@ def _finer(members: DataFrame, edits: int) -> DataFrame:
     what lies right of the shared segment differ by the edits together.  So of
     edits + 1 pieces, cut from the index line's left and right, one is whole in the
     other line, at most the edits off."""
-    line = F.col("line")
-    met = [
-        F.struct(
-            _bucket(line, shorter, i, start, size, shift).alias("b"),
-            F.lit(i).alias("i"),
-            (start - 1).alias("left"),
-            (F.char_length(line) - shorter - start - size + 1).alias("right"),
-            (start + size + shift).alias("after"),
-            F.lit(shorter == 0 and shift == 0).alias("own"),
-        )
-        for shorter, i, start, size, shift in _places(line, edits)
-    ]
-    m = members.select("bucket", "node", "c", "line", F.explode(F.array(*met)).alias("m")).filter(F.col("m.b") == F.col("bucket"))
+    m = _segments(members.select(F.col("bucket").alias("met"), "node", "c", "line"), edits).filter(F.col("bucket") == F.col("met"))
     half = -(-(edits + 1) // 2)
-    first, last = F.col("m.i") == 0, F.col("m.i") == edits
+    left, right, after = F.col("start") - 1, F.col("length") - F.col("start") - F.col("size") + 1, F.col("start") + F.col("size") + F.col("shift")
+    first, last = F.col("i") == 0, F.col("i") == edits
     sides = [
-        (F.lit(1), F.col("m.left"), F.when(first, 0).when(last, edits + 1).otherwise(half)),
-        (F.col("m.after"), F.col("m.right"), F.when(first, edits + 1).when(last, 0).otherwise(half)),
+        (F.lit(1), left, F.when(first, 0).when(last, edits + 1).otherwise(half)),
+        (after, right, F.when(first, edits + 1).when(last, 0).otherwise(half)),
     ]
     keys = []
     for side, (begin, length, pieces) in enumerate(sides):
@@ -118,8 +118,8 @@ def _finer(members: DataFrame, edits: int) -> DataFrame:
         for k in range(edits + 1):
             for off in range(-edits, edits + 1):
                 at = begin + wide * k + off
-                key = F.xxhash64("bucket", F.lit(side), F.lit(k), F.substring(line, at, wide))
-                keys.append(F.when((pieces > k) & (at >= 1), F.struct(key.alias("bucket"), (F.col("m.own") & F.lit(off == 0)).alias("index"))))
+                key = F.xxhash64("bucket", F.lit(side), F.lit(k), F.substring(F.col("line"), at, wide))
+                keys.append(F.when((pieces > k) & (at >= 1), F.struct(key.alias("bucket"), (F.col("own") & F.lit(off == 0)).alias("index"))))
     m = m.select("node", "c", F.explode(F.array(*keys)).alias("f")).filter("f is not null")
     return m.select("f.bucket", "node", "f.index", "c")
 
@@ -220,57 +220,56 @@ def differing(pairs: DataFrame) -> DataFrame:
     return _once(p, x=middle("x"), y=middle("y")).drop("__p", "__s")
 
 
-def _texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, line) of the nodes (column need, distinct)."""
-    few = nodes.count() <= MAX_BROADCAST_LINES
-    texts = lines.join(F.broadcast(nodes) if few else nodes, F.col("node") == F.col("need"))
-    return table_in_shared_dir(texts.groupBy("node").agg(F.any_value("line").alias("line")), "lines")
+class _Linker:
+    """The steps of :func:`link_components` for lines (node, line)."""
+
+    def __init__(self, lines: DataFrame, edits: int):
+        self.lines, self.edits, self.found = lines, edits, None
 
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, line) of the nodes (column need) at least.  The first call, that of the
+        stars, names every node of a shared bucket, and later ones no others: so the
+        documents are read once."""
+        if self.found is None:
+            nodes = cut(nodes.distinct())
+            few = nodes.count() <= MAX_BROADCAST_LINES
+            found = self.lines.join(F.broadcast(nodes) if few else nodes, F.col("node") == F.col("need"))
+            self.found = table_in_shared_dir(found.groupBy("node").agg(F.any_value("line").alias("line")), "lines")
+        return self.found
 
-def _verifier(lines: DataFrame, edits: int):
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(self, pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        texts = _texts(lines, cut(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()))
+        texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("need")))
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
         both = both.join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
         # Tasks by the number of pairs: their bytes say little of the work.
         both = differing(both.repartition(pairs.count() // PAIRS_A_TASK + 1, "a", "b"))
-        return both.filter(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
-
-    return verify
+        return both.filter(edit_distance(F.col("x"), F.col("y"), self.edits) <= self.edits).select("a", "b")
 
+    def narrow(self, members: DataFrame) -> DataFrame:
+        return _finer(members.join(self.texts(members.select(F.col("node").alias("need"))), "node"), self.edits)
 
-def _narrower(lines: DataFrame, edits: int):
-    def narrow(members: DataFrame) -> DataFrame:
-        texts = _texts(lines, cut(members.select(F.col("node").alias("need")).distinct()))
-        return _finer(members.join(texts, "node"), edits)
-
-    return narrow
-
-
-def _meeter(lines: DataFrame, edits: int):
-    """Pairs of rows of a bucket in different components.  Lines that are near copies of
-    one another but not within the edits share many buckets, so the texts come along
-    and Spark's banded distance holds back, inside the join, what can't be verified."""
-
-    def meet(members: DataFrame) -> DataFrame:
+    def meet(self, members: DataFrame) -> DataFrame:
+        """Pairs of rows of a bucket in different components.  Lines that are near copies of
+        one another but not within the edits share many buckets, so the texts come along
+        and Spark's banded distance holds back, inside the join, what can't be verified.
+        Two index rows find each other, so one of them looks."""
         members = cut(members)
-        m = members.join(_texts(lines, cut(members.select(F.col("node").alias("need")).distinct())), "node")
+        m = members.join(self.texts(members.select(F.col("node").alias("need"))), "node")
         left = m.filter("index").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("line").alias("lx"))
-        right = m.select(F.col("bucket").alias("rb"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("line").alias("ly"))
-        near = (F.col("bucket") == F.col("rb")) & (F.col("cx") != F.col("cy")) & (F.levenshtein("lx", "ly", edits) >= 0)
+        right = m.select(F.col("bucket").alias("rb"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("index").alias("iy"), F.col("line").alias("ly"))
+        once = ~F.col("iy") | (F.col("x") < F.col("y"))
+        near = (F.col("bucket") == F.col("rb")) & (F.col("cx") != F.col("cy")) & once & (F.levenshtein("lx", "ly", self.edits) >= 0)
         return left.join(right, near).select("x", "y")
 
-    return meet
-
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, edits: int) -> DataFrame:
     """doc_id, row, line_no, long, class_id (null for blank lines), kept (no earlier
     occurrence): every line, short ones classed by equality."""
     rows = line_rows(docs, id_col, text_col)
     lines = rows.filter(takes_part(F.col("line"))).select(F.xxhash64("line").alias("node"), "line")
-    members = lines.select("node", F.explode(probes(F.col("line"), edits)).alias("p")).select("p.bucket", "node", "p.index")
-    parts, _ = link_components(members, _verifier(lines, edits), narrow=_narrower(lines, edits), meet=_meeter(lines, edits))
+    linker = _Linker(lines, edits)
+    parts, _ = link_components(probes(lines, edits), linker.verify, narrow=linker.narrow, meet=linker.meet)
     node = F.when(F.col("line") != "", F.xxhash64("line"))
     parts = cut(parts.withColumnRenamed("node", "pn"))
     occ = rows.select("doc_id", "row", "line_no", takes_part(F.col("line")).alias("long"), node.alias("node"))

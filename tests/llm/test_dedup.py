@@ -312,3 +312,30 @@ def test_every_shingle_weighs_by_the_texts_that_hold_it(spark, docs_of, monkeypa
     assert M.similarity(a, b) > 0.7 > 0.6 > M.similarity((a[0], w(*a)), (b[0], w(*b)))
     got = {r.doc_id: r.class_id for r in M.near_duplicates(docs.select("doc_id", "text"), threshold=0.7).collect()}
     assert got == {i: 0 if i == 500 else i for i, _ in rows}
+
+
+def test_the_documents_are_read_three_times(spark, docs_of, monkeypatch):
+    """Two passes find the shared buckets and one the texts of their lines, however many
+    steps compare lines."""
+    calls = []
+    monkeypatch.setattr(L, "table_in_shared_dir", lambda df, name, f=L.table_in_shared_dir: calls.append(name) or f(df, name))
+    L.line_classes(docs_of(line_corpus()).select("doc_id", "text")).collect()
+    assert calls == ["lines"]
+
+
+def test_buckets_of_a_line_are_hashes_of_its_segments(spark):
+    from pyspark.sql import functions as F
+
+    lines = ["abcdefghijklmnopqrstu", "äbcdéfghijklmnöpqrstuv", "日本語" * 8]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "node long, line string")
+    got = {(r.node, r.bucket, r["index"]) for r in L.probes(df, 2).collect()}
+    want = []
+    for k, x in enumerate(lines):
+        for shorter in range(3):
+            n = len(x) - shorter
+            cuts = [n // 3 * i + max(i - (3 - n % 3), 0) for i in range(4)]
+            for i in range(3):
+                for shift in range(max(-i, shorter - (2 - i)), min(i, shorter + 2 - i) + 1):
+                    want.append((k, n, i, x[cuts[i] + shift : cuts[i + 1] + shift], shorter == 0 and shift == 0))
+    rows = spark.createDataFrame(want, "node long, n int, i int, part string, own boolean")
+    assert got == {tuple(r) for r in rows.select("node", F.xxhash64("n", "i", "part"), "own").collect()} and len(want) == 36

@@ -53,6 +53,10 @@ STEADY_WORDS = 200
 #: the half-plus share.
 SHARES = tuple(0.5 + k / 200 for k in range(101))
 MAX_STEPS = 500
+#: Estimates of up to so many groups (some 400 bytes each) are broadcast to the vectors.
+MAX_BROADCAST_GROUPS = 5_000
+#: Partitions that the estimates of all groups keep from step to step.
+STATE_PARTITIONS = 8
 #: A determinant that falls by less than this part has stopped falling.
 SETTLED = 1e-4
 #: Squared distance up to which vectors feed the final estimate (0.975 quantile).
@@ -152,13 +156,16 @@ def statistics() -> list[Column]:
     ]
 
 
-def _beside(rows: DataFrame, small: DataFrame, on: list[tuple[str, str]], how: str = "left") -> DataFrame:
+def _beside(rows: DataFrame, small: DataFrame, on: list[tuple[str, str]], how: str = "left", few: bool = False) -> DataFrame:
     """``rows`` (with a column salt) joined to a table of one row per group: the
-    small side is copied to every salt, so a hot group's rows stay spread out."""
-    copies = small.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    match = F.col("salt") == F.col("__s")
+    small side is broadcast where it has ``few`` rows, else copied to every salt, so a
+    hot group's rows stay spread out."""
+    match = F.lit(True) if few else F.col("salt") == F.col("__s")
     for a, b in on:
         match = match & F.col(a).eqNullSafe(F.col(b))
+    if few:
+        return rows.join(F.broadcast(small), match, how).drop(*[b for _, b in on])
+    copies = small.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.join(copies, match, how).drop("__s", *[b for _, b in on])
 
 
@@ -225,29 +232,30 @@ def consistency(d: int, share: float) -> float:
     return share / _chi2(lo, d + 2)
 
 
-def _near(vectors: DataFrame, est: DataFrame) -> DataFrame:
+def _near(vectors: DataFrame, est: DataFrame, few: bool) -> DataFrame:
     """The rows of the keys in ``est`` with their squared distance d2."""
-    rows = _beside(vectors, est.select(F.col("key").alias("k"), *ESTIMATE, "det"), [("key", "k")], "inner")
+    rows = _beside(vectors, est.select(F.col("key").alias("k"), *ESTIMATE, "det"), [("key", "k")], "inner", few)
     return rows.withColumn("d2", _distance()).select("key", "salt", *STATS, "d2", "det")
 
 
-def _concentrate(vectors: DataFrame, est: DataFrame) -> DataFrame:
+def _concentrate(vectors: DataFrame, est: DataFrame, few: bool) -> DataFrame:
     """One concentration step of the keys in ``est``; moving: the determinant fell."""
-    near = _near(vectors, est)
+    near = _near(vectors, est, few)
     half = F.floor((F.col("n") + len(STATS) + 1) / 2) / F.col("n")
     place = F.least(F.ceil((half - SHARES[0]) * 200 - 1e-9), F.lit(len(SHARES) - 1)).cast("int")
     factors = F.expr(f"array({', '.join(f'{consistency(len(STATS), x)!r}D' for x in SHARES)})")
     at = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("d2", list(SHARES), 10000).alias("cuts"))
     at = at.select(F.col("key").alias("k"), F.get("cuts", place).alias("at"), F.get(factors, place).alias("correction"))
-    new = _scatter(_beside(near, at, [("key", "k")]).filter(F.col("d2") <= F.col("at")))
+    new = _scatter(_beside(near, at, [("key", "k")], few=few).filter(F.col("d2") <= F.col("at")))
     return new.select("key", *ESTIMATE, "det", (F.col("det") < F.col("old_det") * (1 - SETTLED)).alias("moving"))
 
 
 def estimate(vectors: DataFrame) -> DataFrame:
     """MCD estimates per key from rows (key, salt, statistics)."""
+    few = vectors.select("key").distinct().count() <= MAX_BROADCAST_GROUPS
     mid = vectors.groupBy("key").agg(*[F.percentile_approx(a, 0.5, 10000).alias(f"m{i}") for i, a in enumerate(STATS)])
     mid = mid.withColumnRenamed("key", "k")
-    dev = _beside(vectors, mid, [("key", "k")]).groupBy("key").agg(
+    dev = _beside(vectors, mid, [("key", "k")], few=few).groupBy("key").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(len(STATS))],
         *[F.percentile_approx(F.abs(F.col(a) - F.col(f"m{i}")), 0.5, 10000).alias(f"s{i}") for i, a in enumerate(STATS)],
     )
@@ -255,15 +263,17 @@ def estimate(vectors: DataFrame) -> DataFrame:
     first = [(spread[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in LOWER]
     first += [(1 / spread[i] if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i, j in LOWER]
     start = dev.select("key", *[f"m{i}" for i in range(len(STATS))], *first, F.lit(float("inf")).alias("det"), F.lit(True).alias("moving"))
-    # One job a step: settled keys pass through, the others move on.
-    state = cut(start)
+    # One job a step: settled keys pass through, the others move on.  Without coalesce the
+    # union would add the partitions of a step to those of all steps before it.
+    state = cut(start.coalesce(STATE_PARTITIONS))
     for _ in range(MAX_STEPS):
-        state = cut(_concentrate(vectors, state.filter("moving")).unionByName(state.filter("NOT moving")))
+        moved = _concentrate(vectors, state.filter("moving"), few).unionByName(state.filter("NOT moving"))
+        state = cut(moved.coalesce(STATE_PARTITIONS))
         if state.filter("moving").isEmpty():
             break
     else:
         raise RuntimeError(f"estimates still change after {MAX_STEPS} steps")
-    near = _near(vectors, state).filter(F.col("d2") <= REWEIGHT_CUTOFF)
+    near = _near(vectors, state, few).filter(F.col("d2") <= REWEIGHT_CUTOFF)
     return cut(_scatter(near.withColumn("correction", F.lit(consistency(len(STATS), REWEIGHT_SHARE)))).drop("det", "old_det"))
 
 

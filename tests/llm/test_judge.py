@@ -383,3 +383,25 @@ def test_recall_with_many_more_lists_than_probes(lists):
     found = (px == py[:, :1]).any(1) | (py == px[:, :1]).any(1)
     print("recall", lists, found.mean())
     assert found.mean() >= 0.97
+
+
+def test_estimates_keep_their_partitions_from_step_to_step(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"g{k}", *map(float, x)) for k in range(3) for x in np.concatenate([rng.normal(size=(150, len(Q.STATS))), rng.normal(4, 1, (60, len(Q.STATS)))])]
+    df = spark.createDataFrame(rows, "key string, " + ", ".join(f"{s} double" for s in Q.STATS)).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(Q.SALTS)).cast("int"))
+    parts = []
+
+    def counted(frame, cut=Q.cut):
+        out = cut(frame)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(Q, "cut", counted)
+    monkeypatch.setattr(Q, "STATE_PARTITIONS", 2)
+    few = {r["key"]: r for r in Q.estimate(df).collect()}
+    assert len(parts) > 4 and max(parts[:-1]) <= 2
+    # The salted join of many groups gives the same.
+    monkeypatch.setattr(Q, "MAX_BROADCAST_GROUPS", 0)
+    many = {r["key"]: r for r in Q.estimate(df).collect()}
+    assert set(few) == set(many) == {"g0", "g1", "g2"}
+    assert all(math.isclose(few[k][c], many[k][c], rel_tol=1e-9, abs_tol=1e-12) for k in few for c in Q.ESTIMATE)

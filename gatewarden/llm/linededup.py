@@ -220,16 +220,16 @@ def differing(pairs: DataFrame) -> DataFrame:
     return _once(p, x=middle("x"), y=middle("y")).drop("__p", "__s")
 
 
-class _Linker:
-    """The steps of :func:`link_components` for lines (node, line)."""
+class _Texts:
+    """(node, line) of lines that are compared, kept in one table.  The first call, that of
+    the stars, names every node of a shared bucket, and later ones no others: so the
+    documents are read once."""
 
-    def __init__(self, lines: DataFrame, edits: int):
-        self.lines, self.edits, self.found = lines, edits, None
+    def __init__(self, lines: DataFrame):
+        self.lines, self.found = lines, None
 
-    def texts(self, nodes: DataFrame) -> DataFrame:
-        """(node, line) of the nodes (column need) at least.  The first call, that of the
-        stars, names every node of a shared bucket, and later ones no others: so the
-        documents are read once."""
+    def __call__(self, nodes: DataFrame) -> DataFrame:
+        """The texts of the nodes (column need) at least."""
         if self.found is None:
             nodes = cut(nodes.distinct())
             few = nodes.count() <= MAX_BROADCAST_LINES
@@ -237,39 +237,52 @@ class _Linker:
             self.found = table_in_shared_dir(found.groupBy("node").agg(F.any_value("line").alias("line")), "lines")
         return self.found
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
+
+def _verifier(texts: _Texts, edits: int):
+    def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
-        texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("need")))
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
-        both = both.join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+        found = texts(pairs.select(F.explode(F.array("a", "b")).alias("need")))
+        both = pairs.join(found.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
+        both = both.join(found.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
         # Tasks by the number of pairs: their bytes say little of the work.
         both = differing(both.repartition(pairs.count() // PAIRS_A_TASK + 1, "a", "b"))
-        return both.filter(edit_distance(F.col("x"), F.col("y"), self.edits) <= self.edits).select("a", "b")
+        return both.filter(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
+
+    return verify
+
+
+def _narrower(texts: _Texts, edits: int):
+    def narrow(members: DataFrame) -> DataFrame:
+        return _finer(members.join(texts(members.select(F.col("node").alias("need"))), "node"), edits)
 
-    def narrow(self, members: DataFrame) -> DataFrame:
-        return _finer(members.join(self.texts(members.select(F.col("node").alias("need"))), "node"), self.edits)
+    return narrow
 
-    def meet(self, members: DataFrame) -> DataFrame:
-        """Pairs of rows of a bucket in different components.  Lines that are near copies of
-        one another but not within the edits share many buckets, so the texts come along
-        and Spark's banded distance holds back, inside the join, what can't be verified.
-        Two index rows find each other, so one of them looks."""
+
+def _meeter(texts: _Texts, edits: int):
+    """Pairs of rows of a bucket in different components.  Lines that are near copies of
+    one another but not within the edits share many buckets, so the texts come along
+    and Spark's banded distance holds back, inside the join, what can't be verified.
+    Two index rows find each other, so one of them looks."""
+
+    def meet(members: DataFrame) -> DataFrame:
         members = cut(members)
-        m = members.join(self.texts(members.select(F.col("node").alias("need"))), "node")
+        m = members.join(texts(members.select(F.col("node").alias("need"))), "node")
         left = m.filter("index").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("line").alias("lx"))
         right = m.select(F.col("bucket").alias("rb"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("index").alias("iy"), F.col("line").alias("ly"))
         once = ~F.col("iy") | (F.col("x") < F.col("y"))
-        near = (F.col("bucket") == F.col("rb")) & (F.col("cx") != F.col("cy")) & once & (F.levenshtein("lx", "ly", self.edits) >= 0)
+        near = (F.col("bucket") == F.col("rb")) & (F.col("cx") != F.col("cy")) & once & (F.levenshtein("lx", "ly", edits) >= 0)
         return left.join(right, near).select("x", "y")
 
+    return meet
+
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str, edits: int) -> DataFrame:
     """doc_id, row, line_no, long, class_id (null for blank lines), kept (no earlier
     occurrence): every line, short ones classed by equality."""
     rows = line_rows(docs, id_col, text_col)
     lines = rows.filter(takes_part(F.col("line"))).select(F.xxhash64("line").alias("node"), "line")
-    linker = _Linker(lines, edits)
-    parts, _ = link_components(probes(lines, edits), linker.verify, narrow=linker.narrow, meet=linker.meet)
+    texts = _Texts(lines)
+    parts, _ = link_components(probes(lines, edits), _verifier(texts, edits), narrow=_narrower(texts, edits), meet=_meeter(texts, edits))
     node = F.when(F.col("line") != "", F.xxhash64("line"))
     parts = cut(parts.withColumnRenamed("node", "pn"))
     occ = rows.select("doc_id", "row", "line_no", takes_part(F.col("line")).alias("long"), node.alias("node"))

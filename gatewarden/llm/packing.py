@@ -23,13 +23,18 @@ empty table gives an empty result.  Whole texts count, whatever their length.
 from __future__ import annotations
 
 import random
+import re
+import string
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +49,8 @@ GENERATIONS = 8
 WELL_FILLED = 0.995
 ROUNDS = 3
 #: Words, and runs of them, whose ids a worker remembers: so many newest and as many
-#: before them.  Workers live on between tasks, so both fill up, to some 120 MB.
-WORD_CACHE = 100_000
+#: before them.  Workers live on between tasks, so both fill up, to some 200 MB.
+WORD_CACHE = 300_000
 
 Bins = list[list[int]]
 
@@ -58,6 +63,10 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
+#: A character that may change by composing, or by another rule of lower case than Python's.
+ODD = re.compile("[^\\x00-\u012f\u0131-\u017f]")
+
+
 class WordIds(dict):
     """Word -> its token ids as little-endian bytes.
 
@@ -70,7 +79,8 @@ class WordIds(dict):
     usual words stay known while rare ones go.
     """
 
-    MARKS = ".,;:!?"
+    #: Neither letters, numbers nor white space.
+    MARKS = string.punctuation
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -85,15 +95,17 @@ class WordIds(dict):
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def run(self, text: str) -> bytes:
         out = self.runs.get(text)
         if out is None:
             out = self.runs_before.get(text)
             if out is None:
+                # Letters and marks of ASCII stand for themselves.
                 sign = self.characters
-                out = self.packed([t.id for t in self.model.tokenize("".join([sign[b] for b in text.encode()]))])
+                signs = text if text.isascii() else "".join([sign[b] for b in text.encode()])
+                out = self.packed([t.id for t in self.model.tokenize(signs)])
             if len(self.runs) >= WORD_CACHE:
                 self.runs, self.runs_before = {}, self.runs
             self.runs[text] = out
@@ -112,7 +124,7 @@ class WordIds(dict):
     def encoded(self, word: bytes) -> bytes:
         text = word.decode()
         letters = text.rstrip(self.MARKS)
-        if letters.isalpha() and max(letters) < "\u0180" and "\u0130" not in letters:
+        if letters.isalpha() and (letters.isascii() or not ODD.search(letters)):
             marks = text[len(letters) :]
             return self.run(letters.lower()) + (self.run(marks) if marks else b"")
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -124,10 +136,30 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def tokens_of(texts: pa.Array, words: WordIds) -> Iterator[bytes]:
+    """Each text's ids and the end id as little-endian bytes.  A word's ids are asked
+    for once a batch, however often it occurs there."""
+    texts = texts.fill_null("")
+    # The tokenizer ignores case, but not within its added tokens, all of which hold "<|".
+    texts = pc.if_else(pc.match_substring_regex(texts, f"{ODD.pattern}|<[|]"), texts, pc.utf8_lower(texts))
+    # ASCII white space only, which the tokenizer drops too; empty words have no ids.
+    parts = pc.ascii_split_whitespace(texts)
+    coded = parts.flatten().dictionary_encode()
+    ids = [words[w] for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    known, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+    word = coded.indices.to_numpy()
+    count = size[word]
+    ends = np.concatenate([[0], np.cumsum(count)])
+    # Where each id stands among the known ones: its word's place and its own in the word.
+    data = known[np.repeat(begin[word] - ends[:-1], count) + np.arange(ends[-1])]
+    cuts = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+    for k in range(len(texts)):
+        yield data[cuts[k] : cuts[k + 1]].tobytes() + END_ID.to_bytes(4, "little")
+
+
 def token_bytes(text: str | None, words: WordIds) -> bytes:
-    # bytes.split() parts at ASCII white space only, which the tokenizer drops too.
-    body = b"".join([words[w] for w in text.encode().split()]) if text else b""
-    return body + END_ID.to_bytes(4, "little")
+    return next(tokens_of(pa.array([text], pa.string()), words))
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,8 +172,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col
         words = word_ids(tokenizer)
         for batch in batches:
             of, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column("text")):
-                data = token_bytes(text.as_py(), words)
+            for row, data in enumerate(tokens_of(batch.column("text"), words)):
                 for k in range(0, len(data), step):
                     part = data[k : k + step]
                     of.append(row)

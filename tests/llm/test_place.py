@@ -4,6 +4,7 @@ import random
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from gatewarden.llm import mixing as X
@@ -250,3 +251,32 @@ def test_remembered_words_are_bounded_and_give_the_same_ids(tokenizer, monkeypat
         assert P.token_bytes(text, words) == words.packed(tokenizer.encode(text, add_special_tokens=False).ids + [P.END_ID])
         assert max(map(len, (words, words.words_before, words.runs, words.runs_before))) <= 8
     assert len(words.words_before) == len(words.runs_before) == 8
+
+
+def test_a_batch_asks_for_each_word_once_and_gives_whole_text_ids(tokenizer):
+    asked = []
+
+    class Asked(P.WordIds):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    def expect(texts, words):
+        want = [words.packed(tokenizer.encode(t or "", add_special_tokens=False).ids + [P.END_ID]) for t in texts]
+        assert list(P.tokens_of(pa.array(texts, pa.string()), words)) == want
+
+    words = Asked(TOKENIZER)
+    words.tokenizer = None  # letters and marks need no whole path
+    rng = random.Random(6)
+    texts = [prose(rng, 200) + " Und.*** und&&& THE| the) naïve$$$ ÄÖ%%%" for _ in range(20)]
+    expect(texts, words)
+    assert len(asked) == len(set(asked)) < sum(len(t.split()) for t in texts)
+
+    odd = [f"A{chr(c)}S{chr(c)} x{chr(c)} {chr(c)}{chr(c)} '{chr(c)}" for c in range(0x250)]
+    odd += ["ΣΑΣ Σ", "İİ I\u0307", "a<|endoftext|>B <|ENDOFTEXT|>", "<|startoftext|>It'S 'Tis don'T", "e\u0301É", "“Quoted” — it’S…", "", None, " \n\t", " a "]
+    words = P.WordIds(TOKENIZER)
+    expect(odd, words)
+    expect(odd[::-1], words)
+    expect(["", None], words)
+    expect([], words)
+    assert list(P.tokens_of(pa.array(["x y", None, "The end", ""]).slice(1, 2), words)) == [P.token_bytes(t, words) for t in (None, "The end")]

@@ -51,9 +51,17 @@ SEEN = 1_000_000
 MAX_BROADCAST_KEYS = 200_000
 GROUP_BLOCK = 256
 WORD_CACHE = 500_000
+#: Bytes of a word that are hashed together with those of other words.
+LANE_WORD = 64
+#: Texts that are sampled together, and (position, shingle) whose values are found together.
+SAMPLED = 64
+CANDIDATES = 100_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
+#: The first k of eight bytes.
+_MASKS = np.array([256**k - 1 for k in range(9)], np.uint64)
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M2
@@ -62,6 +70,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
+    """Hashes of words longer than LANE_WORD bytes."""
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
@@ -71,18 +81,50 @@ class WordHashes(dict):
         return h
 
 
+def _step(x: np.ndarray) -> np.ndarray:
+    x *= _M1
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def word_hashes(text: str, hashes: WordHashes) -> np.ndarray:
+    """Hashes of the words of a text, all at once: eight bytes of every word, then the
+    next eight of those that are longer."""
+    raw = b" " + text.encode() + b" " * 8
+    octets = np.frombuffer(raw, np.uint8)
+    blank = (octets == 32) | (octets - np.uint8(9) < 5)
+    turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, sizes = turns[::2], turns[1::2] - turns[::2]
+    lanes = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))
+    h = _step(sizes.astype(np.uint64) ^ _M2)
+    h = _step(h ^ (lanes[starts] & _MASKS[np.minimum(sizes, 8)]))
+    at = np.flatnonzero(sizes > 8)
+    for k in range(8, LANE_WORD, 8):
+        if not len(at):
+            break
+        h[at] = _step(h[at] ^ (lanes[starts[at] + k] & _MASKS[np.minimum(sizes[at] - k, 8)]))
+        at = at[sizes[at] > k + 8]
+    for i in at.tolist():
+        h[i] = hashes[raw[starts[i] : starts[i] + sizes[i]]]
+    return h
+
+
 def shingles(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of the whole text and their counts."""
-    words = text.encode().split() if text else []
-    if not words:
+    w = word_hashes(text or "", hashes)
+    if not len(w):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    w = np.fromiter((hashes[x] for x in words), np.uint64, len(words))
     n = max(len(w) - WORDS + 1, 1)
     s = np.zeros(n, np.uint64)
     for k in range(min(WORDS, len(w))):
-        s = (s ^ w[k : k + n]) * _M1
-        s ^= s >> np.uint64(32)
-    return np.unique(_mix(s), return_counts=True)
+        s ^= w[k : k + n]
+        s = _step(s)
+    s = _mix(s)
+    s.sort()
+    new = np.flatnonzero(s[1:] != s[:-1]) + 1
+    if len(new) == n - 1:
+        return s, np.ones(n, np.int64)
+    return s[np.r_[0, new]], np.diff(np.r_[0, new, n])
 
 
 def idf(frequencies: np.ndarray, documents: int) -> np.ndarray:
@@ -120,52 +162,118 @@ class Weights:
         return counts * idf(lookup(s, self.keys, self.frequencies), self.documents)
 
 
-def _gamma2_quantiles(n: int) -> np.ndarray:
-    """Quantiles of Gamma(2, 1) at the midpoints of n equal shares."""
-    p = (np.arange(n) + 0.5) / n
-    lo, hi = np.zeros(n), np.full(n, 40.0)
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        low = 1 - np.exp(-mid) * (1 + mid) < p
-        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
-    return (lo + hi) / 2
+def _unit(bits: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of n bits as fractions between 0 and 1, neither included."""
+    return (bits.astype(float) + 0.5) * 2.0**-n
+
+
+def _parts(s: np.ndarray, log_w: np.ndarray, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in range(0, len(s), chunk):
+        yield s[i : i + chunk], log_w[i : i + chunk]
 
 
 class Sampler:
-    """Consistent weighted samples.  The random draws of (shingle, position) come
-    from one 64-bit hash: 16 bits each choose the two gamma variates by their
-    quantiles, 32 bits are the uniform one."""
+    """Consistent weighted samples.  The variates of (shingle, position) are r and c of
+    Gamma(2, 1) and a uniform beta; the value at weight 1, a = c exp(-r (1 - beta)), is
+    Exp(1).  They are drawn from a on: given a, c - a is Exp(1), and so is r - log(c / a),
+    which leaves 1 - beta = log(c / a) / r.  a rises with a 64-bit hash, so shingles of
+    weight 1 need no more than the hash; and as a value never falls when its weight does,
+    shingles of less weight need the other variates only where their a is near the least."""
 
     def __init__(self, positions: int = BANDS * ROWS):
         self.seeds = _mix(np.arange(1, positions + 1, dtype=np.uint64) * _M1)
-        self.r = _gamma2_quantiles(1 << 16)
-        self.log_c = np.log(self.r)
-
-    def __call__(self, s: np.ndarray, w: np.ndarray, chunk: int = 4096) -> np.ndarray:
-        best = np.full(len(self.seeds), np.inf)
-        out = np.zeros(len(self.seeds), np.uint64)
-        log_w = np.log(w)
-        # Most weights are 1, which need no level.
-        sides = ((s[at], log_w[at]) for at in (log_w == 0, log_w != 0))
-        for part, lw in ((h[i : i + chunk], v[i : i + chunk]) for h, v in sides for i in range(0, len(h), chunk)):
-            x = _mix(self.seeds[:, None] ^ part[None, :])
-            r = self.r[x & np.uint64(0xFFFF)]
-            log_a = self.log_c[(x >> np.uint64(16)) & np.uint64(0xFFFF)]
-            beta = (x >> np.uint64(32)).astype(float) * 2.0**-32
-            if lw.any():
-                t = np.floor(lw / r + beta)
-                log_a = log_a - r * (t - beta) - r
-            else:
-                t = None
-                log_a = log_a + r * (beta - 1)
-            at = log_a.argmin(1)
-            rows = np.arange(len(at))
-            low = log_a[rows, at]
-            level = t[rows, at].astype(np.int64).astype(np.uint64) if t is not None else np.uint64(0)
-            value = _mix(part[at] + level * _M1)
-            nearer = low < best
-            best, out = np.where(nearer, low, best), np.where(nearer, value, out)
-        return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        self.room = np.empty((2, 0), np.uint64)
+
+    def hashes(self, s: np.ndarray) -> np.ndarray:
+        """The hashes of a (position, shingle), valid until the next call.  The shingles are
+        mixed already."""
+        size = len(self.seeds) * len(s)
+        if self.room.shape[1] < size:
+            self.room = np.empty((2, size), np.uint64)
+        x, y = (room[:size].reshape(len(self.seeds), len(s)) for room in self.room)
+        np.bitwise_xor(self.seeds[:, None], s[None, :], out=x)
+        x *= _M2
+        np.right_shift(x, np.uint64(32), out=y)
+        x ^= y
+        x *= _M3
+        return x
+
+    def values(self, x: np.ndarray, log_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of the values, and the levels, by the hashes of a."""
+        a = -np.log1p(-_unit(x >> np.uint64(12), 52))
+        y = _mix(x ^ _M1)
+        e1, e2 = -np.log(_unit(y >> np.uint64(32), 32)), -np.log(_unit(y & np.uint64(0xFFFFFFFF), 32))
+        z = np.log1p(e1 / a)
+        r = z + e2
+        beta = 1 - z / r
+        t = np.floor(log_w / r + beta)
+        # At weight 1 the level is 0 and the value is a, without rounding.
+        return np.where(log_w == 0, np.log(a), np.log(a + e1) - r * (t - beta) - r), np.where(log_w == 0, 0, t)
+
+    def candidates(self, s: np.ndarray, log_w: np.ndarray, chunk: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Positions, shingles, hashes and logarithms of weights: in every position the
+        shingle of the least value is among them."""
+        rows = np.arange(len(self.seeds))
+        low = np.full(len(rows), ~np.uint64(0))
+        plain = log_w == 0
+        n_plain = int(plain.sum())
+        if n_plain:
+            least = np.zeros(len(rows), np.uint64)
+            for part, _ in _parts(s[plain], log_w, chunk):
+                x = self.hashes(part)
+                at = x.argmin(1)
+                own = x[rows, at]
+                least = np.where(own <= low, part[at], least)
+                low = np.minimum(low, own)
+            yield rows, least, low, np.zeros(len(rows))
+        if n_plain == len(s):
+            return
+        few = n_plain * 8 < (log_w < 0).sum()
+        for part, lw in _parts(s[~plain], log_w[~plain], chunk):
+            x = self.hashes(part)
+            light, bound = lw < 0, low
+            if few and light.any():
+                xs = x[:, light]
+                at = xs.argmin(1)
+                own = xs[rows, at]
+                near = np.exp(self.values(own, lw[light][at])[0] + 1e-6)
+                # The hash of that value, with room for rounding; doubles end at 2**64 - 2048.
+                low = np.minimum(low, np.minimum(-np.expm1(-near) * 2.0**64, 2.0**64 - 2048).astype(np.uint64))
+                bound = np.maximum(low, own)
+            row, col = np.nonzero((x <= bound[:, None]) | ~light)
+            yield row, part[col], x[row, col], lw[col]
+
+    def many(self, texts: list[tuple[np.ndarray, np.ndarray]], chunk: int = 512) -> np.ndarray:
+        """A row of samples for each of some texts, given as (shingles, weights)."""
+        positions = len(self.seeds)
+        best = np.full(len(texts) * positions, np.inf)
+        out = np.zeros(len(best), np.uint64)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def settle() -> None:
+            slot, part, x, lw = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            value, level = self.values(x, lw)
+            order = np.lexsort((value, slot))
+            first = order[np.flatnonzero(np.diff(slot[order], prepend=-1))]
+            first = first[value[first] < best[slot[first]]]
+            best[slot[first]] = value[first]
+            out[slot[first]] = _mix(part[first] + level[first].astype(np.int64).astype(np.uint64) * _M1)
+
+        waiting = 0
+        for k, (s, w) in enumerate(texts):
+            for row, *rest in self.candidates(s, np.log(w), chunk):
+                held.append((row + k * positions, *rest))
+                waiting += len(row)
+                if waiting > CANDIDATES:
+                    settle()
+                    waiting = 0
+        if held:
+            settle()
+        return (out >> np.uint64(32)).astype(np.uint32).view(np.int32).reshape(len(texts), positions)
+
+    def __call__(self, s: np.ndarray, w: np.ndarray, chunk: int = 512) -> np.ndarray:
+        return self.many([(s, w)], chunk)[0]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -267,14 +375,18 @@ def signatures(docs: DataFrame, documents: int, text_col: str = "text") -> DataF
     rare = float(idf(np.ones(1), documents)[0])
 
     def sign(part: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        hashes, sampler, known, rows = WordHashes(), Sampler(), unpacked(shared), []
+        hashes, sampler, known, rows, samples = WordHashes(), Sampler(), unpacked(shared), [], []
         part = part.drop_duplicates("key")
-        for key, t in zip(part["key"], part["text"]):
-            s, c = shingles(t, hashes)
-            f = lookup(s, *known)
-            # In units of the rarest, as samples do not depend on the unit.
-            rows.append((key, sampler(s, np.where(f == 1, c, c * idf(f, documents) / rare)), pack_frequencies(f)))
-        return pd.DataFrame(rows, columns=["key", "sig", "f"])
+        for i in range(0, len(part), SAMPLED):
+            weighted = []
+            for key, t in zip(part["key"].iloc[i : i + SAMPLED], part["text"].iloc[i : i + SAMPLED]):
+                s, c = shingles(t, hashes)
+                f = lookup(s, *known)
+                # In units of the rarest, as samples do not depend on the unit.
+                weighted.append((s, np.where(f == 1, c, c * idf(f, documents) / rare)))
+                rows.append((key, pack_frequencies(f)))
+            samples.extend(sampler.many(weighted))
+        return pd.DataFrame(rows, columns=["key", "f"]).assign(sig=pd.Series(samples, dtype=object))[["key", "sig", "f"]]
 
     shared = shared_frequencies(chunks, size)
     return chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(sign, "key string, sig array<int>, f binary")

@@ -113,6 +113,51 @@ def test_consistent_samples_estimate_weighted_jaccard():
     assert (sampler(*a, chunk=7) == sampler(*a)).all()
 
 
+def test_words_up_to_64_bytes_are_hashed_together():
+    """Shingles are told apart by their words alone, which are no longer looked up one by one."""
+    rng = random.Random(7)
+    words = ["a", "b", "a\0", "a\0\0", "é", "né", "\u2003", "x" * 8, "x" * 9, "x" * 16, "x" * 17, "x" * 63, "x" * 64, "y" + "x" * 63, "\x1c", "x" * 32 + "y"]
+    hashes, of, back = M.WordHashes(), {}, {}
+    for _ in range(300):
+        text = [rng.choice(words) for _ in range(rng.randint(1, 12))]
+        s, c = M.shingles(rng.choice(["", " ", "\n\t"]) + "".join(w + rng.choice([" ", "\n", "\x0b\x0c ", "\r\n"]) for w in text), hashes)
+        want = [tuple(text[k : k + M.WORDS]) for k in range(max(len(text) - M.WORDS + 1, 1))]
+        assert (np.diff(s.astype(object)) > 0).all() if len(s) > 1 else len(s) == 1
+        assert sorted(c.tolist()) == sorted(want.count(x) for x in set(want))
+        for x in want:
+            h = M.shingles(" ".join(x), hashes)[0]
+            assert len(h) == 1 and h[0] in s
+            assert of.setdefault(x, int(h[0])) == int(h[0]) and back.setdefault(int(h[0]), x) == x
+    assert not hashes
+    a, b, c = (int(M.shingles(w, hashes)[0][0]) for w in ("x" * 65, "x" * 66, "x" * 64 + "y"))
+    assert len({a, b, c, of.get(("x" * 64,))}) >= 3 and len(hashes) == 3
+    assert [len(v) for v in M.shingles(None, hashes)] == [0, 0] and [len(v) for v in M.shingles(" \n\x0b", hashes)] == [0, 0]
+
+
+def test_values_are_found_only_near_the_least(monkeypatch):
+    """Samples are those of the least value of all shingles, though few values are computed."""
+    rng = np.random.default_rng(4)
+    sampler, seen = M.Sampler(), []
+    values = M.Sampler.values
+    monkeypatch.setattr(M.Sampler, "values", lambda self, x, lw: seen.append(x.size) or values(self, x, lw))
+    texts = []
+    for n in (1, 2, 30, 700):
+        s = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for w in (np.ones(n), rng.uniform(0.05, 1, n), np.where(rng.random(n) < 0.1, 0.5, 1.0), rng.uniform(0.1, 4, n)):
+            texts.append((s, w))
+    got = sampler.many(texts)
+    for (s, w), samples in zip(texts, got):
+        value, level = values(sampler, sampler.hashes(s).copy(), np.log(w)[None, :])
+        at = value.argmin(1)
+        level = level[np.arange(len(at)), at].astype(np.int64).astype(np.uint64)
+        assert (samples == (M._mix(s[at] + level * M._M1) >> np.uint64(32)).astype(np.uint32).view(np.int32)).all()
+    seen.clear()
+    sampler(*texts[-4])
+    sampler(*texts[-2])
+    # 700 shingles in 36 positions: 25,200 pairs each.
+    assert sum(seen) < 300
+
+
 def test_common_shingles_are_counted_exactly(spark, docs_of):
     rows = [(i, "a b c d e" + (f" x{i} y z w" if i % 2 else f" q{i}")) for i in range(20)]
     w = M.common_shingles(docs_of(rows).repartition(3))

@@ -448,11 +448,12 @@ class Verifier:
     def texts(self, nodes: DataFrame) -> DataFrame:
         """node, text, f (its packed frequencies) of some class nodes, written once."""
         need = cut(nodes.distinct().join(self.classes.select("node", F.col("key").alias("k"), "f"), "node"))
-        # Broadcast only what is counted to be small; otherwise the texts are shuffled to their keys.
+        # Broadcast only keys, and those only if counted to be few; otherwise the texts are shuffled to them.
         few = need.count() <= MAX_BROADCAST_KEYS
         texts = self.docs.select(text_key(F.col(self.text_col)).alias("key"), F.col(self.text_col).alias("text"))
-        texts = texts.join(F.broadcast(need) if few else need, F.col("key") == F.col("k"))
-        return table_in_shared_dir(texts.groupBy("node").agg(F.any_value("text").alias("text"), F.any_value("f").alias("f")), "texts")
+        keys = need.select("node", "k")
+        texts = texts.join(F.broadcast(keys) if few else keys, F.col("key") == F.col("k")).groupBy("node").agg(F.any_value("text").alias("text"))
+        return table_in_shared_dir(texts.join(need.select("node", "f"), "node"), "texts")
 
     def pairs(self, pairs: DataFrame) -> DataFrame:
         documents, threshold = self.documents, self.threshold

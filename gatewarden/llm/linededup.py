@@ -30,12 +30,11 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, cut, same, table_in_shared_dir
+from .common import SPACE_CHARS, cut, likely_in, same, table_in_shared_dir
 from .links import link_components
 
 MAX_EDITS = 2
 MIN_CHARS = 20
-MAX_BROADCAST_LINES = 300_000
 #: Characters after which pairs that differ throughout are told.
 FIRST_CHARS = 16
 PAIRS_A_TASK = 2_000
@@ -232,9 +231,8 @@ class _Texts:
         """The texts of the nodes (column need) at least."""
         if self.found is None:
             nodes = cut(nodes.distinct())
-            few = nodes.count() <= MAX_BROADCAST_LINES
-            found = self.lines.join(F.broadcast(nodes) if few else nodes, F.col("node") == F.col("need"))
-            self.found = table_in_shared_dir(found.groupBy("node").agg(F.any_value("line").alias("line")), "lines")
+            found = likely_in(self.lines, "node", nodes, nodes.count()).groupBy("node").agg(F.any_value("line").alias("line"))
+            self.found = table_in_shared_dir(found.join(nodes, F.col("node") == F.col("need")).select("node", "line"), "lines")
         return self.found
 
 

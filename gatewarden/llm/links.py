@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, likely_in
 
 Pairs = Callable[[DataFrame], DataFrame]
 
@@ -24,20 +24,16 @@ Pairs = Callable[[DataFrame], DataFrame]
 HOT_INDEX = 32
 
 
-#: Up to so many shared buckets (a number each) are broadcast to their members.
-MAX_BROADCAST_BUCKETS = 1_000_000
-
-
 def shared_buckets(members: DataFrame) -> DataFrame:
     """(bucket, node, index, centre) of buckets that hold an index row and another node.
 
     One aggregation finds these buckets (most hold a single node and go no
-    further); their members then come from a second pass over the input."""
+    further); their members then come from a second pass over the input, where a
+    filter of bounded size drops most others before they are shuffled."""
     found = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("index").alias("any"))
     found = cut(found.filter(F.col("any") & (F.col("lo") < F.col("hi"))).select("bucket"))
-    few = found.count() <= MAX_BROADCAST_BUCKETS
-    m = members.join(F.broadcast(found) if few else found, "bucket")
-    m = cut(m.groupBy("bucket", "node").agg(F.max("index").alias("index")))
+    m = likely_in(members, "bucket", found, found.count()).groupBy("bucket", "node").agg(F.max("index").alias("index"))
+    m = cut(m.join(found, "bucket"))
     score = m.join(m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket").groupBy("node").agg(F.sum("n").alias("score"))
     best = m.filter("index").join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("low"))).alias("best"))
     return m.join(best, "bucket").select("bucket", "node", "index", (-F.col("best.low")).alias("centre"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, limit_arrow_batches, same, table_in_shared_dir, text_key
+from .common import cut, likely_in, limit_arrow_batches, same, table_in_shared_dir, text_key
 from .links import link_components
 
 WORDS = 5
@@ -48,7 +48,6 @@ CHUNK_BYTES = 8 << 20
 MAX_RANGES = 4096
 #: Texts that a task remembers to send equal ones once.
 SEEN = 1_000_000
-MAX_BROADCAST_KEYS = 200_000
 GROUP_BLOCK = 256
 WORD_CACHE = 500_000
 #: Bytes of a word that are hashed together with those of other words.
@@ -448,12 +447,10 @@ class Verifier:
     def texts(self, nodes: DataFrame) -> DataFrame:
         """node, text, f (its packed frequencies) of some class nodes, written once."""
         need = cut(nodes.distinct().join(self.classes.select("node", F.col("key").alias("k"), "f"), "node"))
-        # Broadcast only keys, and those only if counted to be few; otherwise the texts are shuffled to them.
-        few = need.count() <= MAX_BROADCAST_KEYS
         texts = self.docs.select(text_key(F.col(self.text_col)).alias("key"), F.col(self.text_col).alias("text"))
-        keys = need.select("node", "k")
-        texts = texts.join(F.broadcast(keys) if few else keys, F.col("key") == F.col("k")).groupBy("node").agg(F.any_value("text").alias("text"))
-        return table_in_shared_dir(texts.join(need.select("node", "f"), "node"), "texts")
+        # A filter drops most other texts before they are shuffled, and copies are met before the join.
+        texts = likely_in(texts, "key", need.select("k"), need.count()).groupBy("key").agg(F.any_value("text").alias("text"))
+        return table_in_shared_dir(texts.join(need, F.col("key") == F.col("k")).select("node", "text", "f"), "texts")
 
     def pairs(self, pairs: DataFrame) -> DataFrame:
         documents, threshold = self.documents, self.threshold

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from gatewarden.llm import linededup as L
 from gatewarden.llm import minhash as M
-from gatewarden.llm.common import connected_components
-from gatewarden.llm.links import link_components
+from gatewarden.llm.common import _nearest, connected_components, cut, likely_in
+from gatewarden.llm.links import link_components, shared_buckets
 
 
 def components(nodes, pairs):
@@ -46,6 +47,38 @@ def test_link_components_lose_no_link(spark):
     assert {n: got.get(n, n) for n in nodes} == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 13: 13, 20: 20, 22: 22}
 
 
+def test_a_filter_keeps_all_rows_of_its_keys(spark):
+    rows = spark.createDataFrame([(k if k % 50 else None, f"t{k}", "x") for k in range(3000)], "k long, text string, __x string")
+    for column, n in (("k", 700), ("text", 40), ("k", 0)):
+        keys = rows.select(column).filter(f"{column} is not null").limit(n)
+        want = {r[0] for r in keys.collect()}
+        got = likely_in(rows, column, keys, n)
+        assert got.columns == rows.columns
+        found = [r[column] for r in got.collect()]
+        assert len(found) == len(set(found)) and want <= set(found) and len(found) <= len(want) + 0.1 * 3000
+    assert likely_in(rows, "k", rows.select("k"), 10**12) is rows
+
+
+def test_the_driver_gets_no_table_of_shared_buckets(spark, monkeypatch):
+    """What is broadcast are bits; the buckets found are the same."""
+    members = spark.range(40_000).select(F.floor(F.col("id") / 2).alias("bucket"), F.col("id").alias("node"), F.lit(True).alias("index"))
+    members = members.unionByName(spark.range(9).select((-F.col("id")).alias("bucket"), F.lit(77).cast("long").alias("node"), F.lit(True).alias("index")))
+    sizes = []
+    monkeypatch.setattr(F, "broadcast", lambda df, f=F.broadcast: sizes.append(df.count()) or f(df))
+    got = shared_buckets(members).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("centre").alias("c")).collect()
+    assert max(sizes, default=0) <= 200
+    assert len(got) == 20_000 and all((r.n, r.c) == {0: (3, 77), 38: (2, 77)}.get(r.bucket, (2, 2 * r.bucket)) for r in got)
+
+
+def test_rounds_of_components_join_by_one_number(spark):
+    """So that a join that becomes a broadcast takes no whole pages of the driver."""
+    edges = cut(spark.range(200).select(F.col("id").alias("u"), F.floor(F.col("id") / 7).alias("v")))
+    near = _nearest(edges, 4)
+    assert sorted(tuple(r) for r in near.collect()) == [(u, u // 7, u // 7) for u in range(200)]
+    keys = re.findall(r"(?:BroadcastHash|SortMerge)Join (?:\(skew=true\) )?\[([^\]]*)\]", near._jdf.queryExecution().executedPlan().toString())
+    assert keys and all("," not in k for k in keys)
+
+
 # ---------------------------------------------------------------------------
 # MinHash
 # ---------------------------------------------------------------------------
